@@ -58,6 +58,16 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op2_byte_bpe"] = op2_byte_bpe
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested against the tokenizers library and for whole, gapless sequences (SQL can't express it)."""
+    from tilewright.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES["op4_packing"] = op4_packing
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.llm.exact_dedup import exact_dedup
 
@@ -70,3 +80,27 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested by held-out accuracy and against brute-force kernels (SQL can't express it)."""
+    from tilewright.llm.language_id import language_id
+
+    return language_id(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES["op7_language_id"] = op7_language_id
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested by round trips and brute force (SQL has no base32)."""
+    from tilewright.llm.warc import read_archives, write_archives
+
+    records = read_archives(write_archives(table(spark, sf_dir, "pages"), min_bytes=0))
+    page = lambda urn: F.replace(urn, F.lit("urn:page:")).cast("long")
+    return records.select(
+        page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to")
+    )
+
+
+QUERIES["op8_warc"] = op8_warc
