@@ -23,8 +23,8 @@ MIN_BITS, MAX_BITS = 20, 29
 BITS_A_HASH = 24
 
 
-def bits_for(n_hashes: int) -> int:
-    return int(np.clip(np.ceil(np.log2(max(1, n_hashes) * BITS_A_HASH)), MIN_BITS, MAX_BITS))
+def bits_for(n_hashes: int, most: int = MAX_BITS) -> int:
+    return int(np.clip(np.ceil(np.log2(max(1, n_hashes) * BITS_A_HASH)), MIN_BITS, most))
 
 
 def probes(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -80,3 +80,16 @@ def twice_seen(parts: DataFrame, bits: int) -> np.ndarray:
         part = np.frombuffer(zlib.decompress(bytes(twice)), np.uint8)
         whole[segment * SEGMENT : segment * SEGMENT + len(part)] = part
     return whole
+
+
+def filter_of(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A plain filter of a column of 64-bit hashes: the tasks' filters merge by segments."""
+
+    def fill_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = SeenTwice(bits)
+        for batch in batches:
+            fill(seen.once, probes(batch.iloc[:, 0].to_numpy().view(np.uint64), bits))
+        seen.twice = seen.once  # all of it is wanted
+        yield pd.DataFrame(seen.segments(), columns=["segment", "once", "twice"])
+
+    return twice_seen(hashes.mapInPandas(fill_all, "segment long, once binary, twice binary"), bits)

@@ -82,6 +82,16 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested against brute force: SQL compares all pairs, which is too slow on whole tables."""
+    from tilewright.llm.jaccard_join import jaccard_groups
+
+    return jaccard_groups(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
+QUERIES["op5_jaccard_join"] = op5_jaccard_join
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tested by held-out accuracy and against brute-force kernels (SQL can't express it)."""
     from tilewright.llm.language_id import language_id

@@ -145,7 +145,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     folder = new_folder(spark, "warc")
     rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     digests = stored(rows.select("page_id", F.unhex(F.sha1("html")).alias("digest"), F.octet_length("html").alias("n")).where((F.col("n") >= min_bytes) & F.col("page_id").isNotNull()), "digests")
-    firsts = digests.groupBy("digest", "n").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").drop("last")
+    firsts = stored(digests.groupBy("digest", "n").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").drop("last"), "firsts")
     revisits = digests.join(firsts, ["digest", "n"]).where("page_id > first").select(F.col("page_id").alias("revisit_id"), F.col("first").alias("refers_to")).distinct()
     told = rows.join(revisits.hint("shuffle_hash"), F.col("page_id") == F.col("revisit_id"), "left").select(
         F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string")
