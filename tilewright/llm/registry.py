@@ -114,3 +114,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_warc"] = op8_warc
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested for recall against brute force (an index can miss links; SQL compares all pairs)."""
+    from tilewright.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op9_embedding_dedup"] = op9_embedding_dedup
