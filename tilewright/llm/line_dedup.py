@@ -18,19 +18,16 @@ from pyspark.sql import functions as F
 from tilewright.llm import bloom
 from tilewright.llm.scratch import small_batches, stored
 
-BLANKS = " \t\n\x0b\x0c\r"
-UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: The filters are sized for lines of so many bytes; shorter lines only make more suspects.
+LINE_BYTES = 100
 
 
-def line_key(line: str) -> str:
-    return line.strip(BLANKS).translate(UPPER) if not line.isascii() else line.strip(BLANKS).lower()
-
-
-def key_digests(text: str, min_chars: int) -> tuple[list[str], list[bytes | None]]:
-    """The lines of a text and, for each whose key is long enough, the 128-bit digest of the key."""
-    lines = text.split("\n")
-    digest = xxhash.xxh3_128_digest
-    return lines, [digest(k.encode("utf-8", "surrogatepass")) if len(k := line_key(x)) >= min_chars else None for x in lines]
+def key_digests(text: str, min_chars: int) -> tuple[list[bytes], list[bytes | None]]:
+    """The lines of a text in UTF-8 and, for each whose key is long enough, the 128-bit digest of the key."""
+    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+    keys = [x.strip().lower() for x in lines]  # of bytes: ASCII white space and A-Z only
+    digest, sure = xxhash.xxh3_128_digest, 4 * min_chars
+    return lines, [digest(k) if len(k) >= sure or len(k) >= min_chars and len(k.decode("utf-8", "surrogatepass")) >= min_chars else None for k in keys]
 
 
 def as_longs(digests: list[bytes]) -> np.ndarray:
@@ -48,8 +45,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.col("id").isNotNull())
-    lines = texts.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
-    bits = bloom.bits_for(lines)
+    size = texts.agg(F.sum(F.octet_length("text") + LINE_BYTES)).first()[0] or 0
+    bits = bloom.bits_for(size // LINE_BYTES)
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = bloom.SeenTwice(bits)
@@ -74,6 +71,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     suspected = stored(texts.mapInPandas(suspects, f"id {kind}, k1 long, k2 long"), "suspects")
     repeated = suspected.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    repeated = stored(repeated, "repeated")  # as a table of its own, so that a join on a very common line can be split
     drops = (
         suspected.join(repeated, ["k1", "k2"])
         .where("id > first")
@@ -92,7 +90,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             gone = {d.tobytes() for d in np.stack([a, b], axis=1)}
             lines, keys = key_digests(x, min_chars)
             kept = [line for line, key in zip(lines, keys, strict=True) if key not in gone]
-            out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
+            out.append((b"\n".join(kept).decode("utf-8", "surrogatepass"), len(lines), len(lines) - len(kept)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
     joined = docs.join(drops.hint("shuffle_hash"), docs[id_col] == F.col("__drop_id"), "left")
