@@ -58,6 +58,16 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op2_byte_bpe"] = op2_byte_bpe
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and base scores tested against brute force, the model by its gain on held-out texts (SQL can't express it)."""
+    from tilewright.llm.maxent_lm import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_lm_scores"] = op3_lm_scores
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tested against the tokenizers library and for whole, gapless sequences (SQL can't express it)."""
     from tilewright.llm.packing import pack
