@@ -1,11 +1,62 @@
-"""The corpus pipeline (its stages follow as their operators are written)."""
+"""The corpus pipeline: language, lines, near duplicates, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on every row of docs and returns a DataFrame; run() writes it as Parquet
+in the shared folder and reads it again as the docs of the next. All stages but the last return the columns of
+documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tilewright.llm.jaccard_join import jaccard_groups
+from tilewright.llm.language_id import identify, train
+from tilewright.llm.line_dedup import line_dedup
+from tilewright.llm.packing import pack
+from tilewright.llm.scratch import stored
+
+#: A document whose best language scores lower (its regression's output is under -0.5) is of none of the languages.
+LEAST_SCORE = 0.25
+#: Near duplicates: five-word shingles, similarity of 0.8 or more.
+WIDTH, NUM, DEN = 5, 80, 100
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a known language: those without letters go, and those that are of none of the languages
+    learned from the labelled documents. Where no document is labelled, only those without letters go."""
+    model = train(docs, "doc_id", "text", "lang")
+    told = identify(docs, model)
+    known = F.col("score") >= LEAST_SCORE if model.languages else F.col("text").rlike(r"\p{L}")
+    return told.where(known).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated lines out of the texts; every document stays, some with fewer lines."""
+    done = line_dedup(docs)
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest identifier of each group of near copies."""
+    groups = jaccard_groups(docs, width=WIDTH, num=NUM, den=DEN)
+    gone = groups.where("doc_id <> component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents that are left into sequences of at most 4096 tokens."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("packing", packing)]
+#: SQL can't express the first stage; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
     return docs

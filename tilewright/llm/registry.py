@@ -134,3 +134,30 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_embedding_dedup"] = op9_embedding_dedup
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the byte-level BPE by source and language, after four commits over the whole table: first counts by
+    bytes; then counts by BPE, which take the place of those by bytes; then counts revised by the end that closes each
+    document; then the third commit again, which changes nothing. Tested against the tiktoken library."""
+    from tilewright.llm.byte_bpe import bpe_encode, token_count
+    from tilewright.llm.scratch import new_folder, stored
+    from tilewright.llm.token_counts import TokenRollup
+
+    small_batches(spark)
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    tokens = token_count(bpe_encode(F.col("text"), *vocabulary))
+    counted = stored(docs.select(F.col("doc_id").alias("id"), "source", "lang", size.alias("size"), tokens.alias("n")), "counted")
+    change = lambda op, version, n: counted.select(F.lit(op).alias("op"), "id", "source", "lang", F.lit(version).alias("version"), n.alias("tokens"))
+    rollup = TokenRollup(spark, new_folder(spark, "rollup"), docs.schema["doc_id"].dataType.simpleString())
+    rollup.commit(1, change("insert", "bytes", F.col("size")))
+    rollup.commit(2, change("insert", "byte_bpe_50k", F.col("n")).union(change("delete", "bytes", F.col("size"))))
+    closed = change("revise", "byte_bpe_50k", F.col("n") + 1)
+    rollup.commit(3, closed)
+    rollup.commit(3, closed)
+    return rollup.totals()
+
+
+QUERIES["op10_token_counts"] = op10_token_counts
