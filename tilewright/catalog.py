@@ -1,21 +1,11 @@
-"""Named queries over the test tables, each with the SQL that gives the same rows."""
+"""Named queries over the test tables, each with the SQL that gives the same rows where SQL can express it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tilewright.plans import expression_queries
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+FLAGSHIP = "expr_case"
+PARTS = [expression_queries]
 
-FLAGSHIP = "event_types"
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-
-
-QUERIES["event_types"] = event_types
-ORACLES["event_types"] = "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"
+QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
