@@ -131,15 +131,16 @@ class Recent(dict):
     def __init__(self, make: Callable, room: int) -> None:
         self.make, self.room, self.old = make, room, {}
 
-    def __missing__(self, key: str) -> bytes:
+    def __missing__(self, key: str) -> object:
         found = self.old.get(key)
-        if found is None:
-            found = self.make(key)
+        return self.put(key, self.make(key) if found is None else found)
+
+    def put(self, key: str, value: object) -> object:
         if len(self) >= self.room:
             self.old = dict(self)
             self.clear()
-        self[key] = found
-        return found
+        self[key] = value
+        return value
 
 
 class Encoder:

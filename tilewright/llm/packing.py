@@ -29,32 +29,62 @@ BLOCKS = 512
 
 
 class ChunkTokenizer:
-    """Packed ids of a text. The tokenizer drops white space and never joins across it, so a text's ids are those of
-    its parts between ASCII white space, one after the other; frequent parts are remembered."""
+    """Packed ids of texts. The tokenizer drops white space and never joins across it, so a text's ids are those of its
+    parts between ASCII white space, one after the other; frequent parts are remembered. It lower-cases, and it parts
+    letters from what follows them, so a word shares its ids with its other forms: in capitals, or before a comma."""
 
-    def __init__(self, path: str, room: int = 250_000) -> None:
+    #: Words that are encoded as one text; the ids are parted again at the tokens that end a word.
+    JOINED = 512
+
+    def __init__(self, path: str, room: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.parts = Recent(self._part, room)
-
-    def _part(self, part: bytes) -> bytes:
-        return array("I", self.tokenizer.encode(part.decode(), add_special_tokens=False).ids).tobytes()
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(size)])
+        self.marks = {x: self._alone(x.decode()) for x in (b"", b".", b",")}
+        self.parts = Recent(lambda part: self._alone(part.decode()), room)
+
+    def _alone(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The ids of words of letters alone, many in one text."""
+        groups = [words[k : k + self.JOINED] for k in range(0, len(words), self.JOINED)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            last = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(last) != len(group):  # a letter whose lower case is no letter
+                yield from ((w, self._alone(w)) for w in group)
+                continue
+            raw, first = ids.tobytes(), 0
+            for word, end in zip(group, last.tolist(), strict=True):
+                yield word, raw[first:end]
+                first = end
 
     def remember(self, parts: set[bytes]) -> None:
-        """Tokenizes the parts not known yet in one call."""
-        new = [p for p in parts if p not in self.parts and p not in self.parts.old]
-        for part, found in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
-            if len(self.parts) >= self.parts.room:
-                self.parts.old = dict(self.parts)
-                self.parts.clear()
-            self.parts[part] = array("I", found.ids).tobytes()
-
-    def packed(self, text: str) -> bytes:
-        parts = text.encode("utf-8", "replace").split()
-        return b"".join([self.parts[p] for p in parts])
+        """Encodes the parts that aren't known yet."""
+        known, old = self.parts, self.parts.old
+        bases, new = {}, []
+        for part in parts:
+            if part in known or part in old:
+                continue
+            mark = part[-1:] if part[-1:] in (b".", b",") else b""
+            word = part[: len(part) - len(mark)].decode()
+            low = word if "\u03a3" in word else word.lower()  # which of its two small forms Python gives a sigma depends on its place
+            if word.isalpha() and word.lower().isalpha():
+                new.append((part, low, mark))
+                bases[low] = known.get(low.encode()) or old.get(low.encode())
+        bases |= self._words([w for w, ids in bases.items() if ids is None])
+        for part, low, mark in new:
+            if part not in known:
+                self.parts.put(part, bases[low] + self.marks[mark])
+
+    def packed(self, parts: list[bytes]) -> bytes:
+        known = self.parts
+        return b"".join([known[p] for p in parts])
 
 
 @functools.lru_cache(2)
@@ -74,14 +104,15 @@ def cut_pieces(text: Column, path: str, end_id: int, max_len: int, keep_ids: boo
     def cut(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tokenizer = chunk_tokenizer(path)
         for batch in texts:
-            tokenizer.remember({p for x in batch if x for p in x.encode("utf-8", "replace").split()})
+            parts = [x.encode("utf-8", "replace").split() if x else [] for x in batch]
+            tokenizer.remember(set().union(*parts))
             out = []
-            for x in batch:
-                ids = (tokenizer.packed(x) if x else b"") + end
+            for own in parts:
+                ids = tokenizer.packed(own) + end
                 pieces = []
                 for k in range(0, len(ids), 4 * max_len):
-                    own = ids[k : k + 4 * max_len]
-                    pieces.append({"start": k // 4, "length": len(own) // 4, "ids": own if keep_ids else zlib.crc32(own).to_bytes(4, "big")})
+                    piece = ids[k : k + 4 * max_len]
+                    pieces.append({"start": k // 4, "length": len(piece) // 4, "ids": piece if keep_ids else zlib.crc32(piece).to_bytes(4, "big")})
                 out.append((len(ids) // 4, pieces))
             yield pd.DataFrame(out, columns=["doc_tokens", "pieces"])
 
