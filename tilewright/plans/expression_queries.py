@@ -36,7 +36,7 @@ VALUES: dict[str, tuple[object, str, int | None]] = {
     "expr_in": (["in", ["get", "event_type"], "click", "error"], "event_type IN ('click','error')", None),
     "expr_not_in": (["!in", ["get", "k"], 1, 2, 3], "coalesce(k NOT IN (1,2,3), true)", None),
     "expr_math": (["+", ["*", ["get", "value"], 2], ["-", ["get", "k"], 3], ["-", 1], ["abs", ["-", 5]]], "value * 2 + (k - 3) - 1 + 5", 6),
-    "expr_divide": (["/", ["*", ["get", "value"], 1.37], ["-", ["get", "k"], 50]], "CASE WHEN k <> 50 THEN value * 1.37e0 / (k - 50) END", 6),
+    "expr_divide": (["/", ["sqrt", ["get", "value"]], ["-", ["get", "k"], 50]], "CASE WHEN k <> 50 THEN sqrt(value) / (k - 50) END", 6),
     "expr_modulo": (["%", ["-", ["get", "k"], 50], 7], "(k - 50) - 7 * trunc((k - 50) / 7)", 6),
     "expr_power": (["^", ["get", "k"], 0.5], "pow(k, 0.5)", 6),
     "expr_min_max": (["-", ["max", ["get", "value"], ["get", "k"]], ["min", ["get", "value"], ["get", "k"], 30]], "greatest(value, k) - least(value, k, 30)", 6),
