@@ -135,23 +135,21 @@ def affine(p: Column, a: float, b: float, c: float, d: float, scale: Column | fl
 def clip_ring(ring: Column, minx: float, miny: float, maxx: float, maxy: float) -> Column:
     """A ring cut to a box, edge by edge: left, top, right, bottom."""
 
-    def cut(points: Column, axis: str, at: float, keep_above: bool) -> Column:
-        inside = lambda p: p[axis] >= at if keep_above else p[axis] <= at
-
-        def met(a: Column, b: Column) -> Column:
-            t = (F.lit(at) - a[axis]) / (b[axis] - a[axis])
-            return F.struct((a.x + (b.x - a.x) * t).alias("x"), (a.y + (b.y - a.y) * t).alias("y"))
+    def cut(points: Column, edge: Column) -> Column:
+        of = lambda p: F.when(edge.across, p.x).otherwise(p.y)
+        inside = lambda p: F.when(edge.above, of(p) >= edge.at).otherwise(of(p) <= edge.at)
 
         def step(e: Column) -> Column:
-            nothing = F.array().cast(POINTS)
-            crossing = F.when(inside(e.a) != inside(e.b), F.array(met(e.a, e.b))).otherwise(nothing)
-            return F.concat(crossing, F.when(inside(e.b), F.array(e.b)).otherwise(nothing))
+            a, b = e.a, e.b
+            t = F.try_divide(edge.at - of(a), of(b) - of(a))
+            met = F.struct((a.x + (b.x - a.x) * t).alias("x"), (a.y + (b.y - a.y) * t).alias("y"))
+            return F.filter(F.array(F.when(inside(a) != inside(b), met), F.when(inside(b), b)), lambda p: p.isNotNull())
 
-        return F.when(F.size(points) > 0, F.flatten(F.transform(sides(points), step))).otherwise(F.array().cast(POINTS))
+        return F.flatten(F.transform(F.filter(sides(points), lambda e: e.b.isNotNull()), step))
 
-    for axis, at, above in (("x", minx, True), ("y", miny, True), ("x", maxx, False), ("y", maxy, False)):
-        ring = cut(ring, axis, at, above)
-    return ring
+    of_box = [(True, minx, True), (False, miny, True), (True, maxx, False), (False, maxy, False)]
+    each = [F.struct(F.lit(x).alias("across"), F.lit(float(v)).alias("at"), F.lit(up).alias("above")) for x, v, up in of_box]
+    return F.aggregate(F.array(*each), ring.cast(POINTS), lambda points, edge: F.when(F.size(points) > 0, cut(points, edge)).otherwise(points))
 
 
 def clip_segment(a: Column, b: Column, minx: float, miny: float, maxx: float, maxy: float) -> Column:
