@@ -6,8 +6,9 @@ n-grams, d known from their size band: of d + 1 words of the sketch, one at leas
 equal words, and what meets is verified on the sets themselves.
 
 Sets that are identical are one class with one representative. Where many representatives meet on a word, each is
-verified against the smallest of them; only pairs that are still in different components after that are verified one
-by one, so a large group of near copies never becomes all of its pairs, and no link between components is lost.
+verified against the smallest of them; after that only pairs in different components are looked at, their sketches
+compared within tasks, and verified where the Hamming distance allows a link. So neither a large group of near copies
+nor one of documents that are only alike becomes all of its pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ from tilewright.llm.scratch import small_batches, stored
 WORD = 64
 #: The filters of repeated sketch words and of verified documents never exceed 2**FILTER_BITS bits (32 MiB).
 FILTER_BITS = 28
-KEYS = "n long, k1 long, k2 long, keys array<long>"
+KEYS = "n long, k1 long, k2 long, keys array<long>, below binary, own binary"
+#: Documents of one block of a sketch word: two blocks are compared by one task.
+BLOCK = 512
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -90,7 +93,7 @@ class Bands:
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         """The words of a set's sketches, each hashed with its band and its place."""
-        band = bisect_right(self.starts, len(hashes)) - 1
+        band = self.band(len(hashes))
         out = []
         for low in (band - 1, band):
             if low >= 0 and (most := self.differ(low)):
@@ -98,6 +101,14 @@ class Bands:
                 out.append(mixed(mixed(place) ^ self.sketch(hashes, most + 1)))
         return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
+    def band(self, n: int) -> int:
+        return bisect_right(self.starts, n) - 1
+
+    def filters(self, hashes: np.ndarray) -> list[bytes]:
+        """Smaller parity sketches for the bands that a set is joined in, to compare by Hamming distance."""
+        band = self.band(len(hashes))
+        return [self.sketch(hashes, self.differ(low) // 4 + 1).tobytes() if low >= 0 else b"" for low in (band - 1, band)]
+
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         if min(len(a), len(b)) * self.den < max(len(a), len(b)) * self.num:
             return False
@@ -116,8 +127,9 @@ def signatures(text: Column, width: int, bands: Bands) -> Column:
             for x in batch:
                 own = shingles.of(x)
                 digest = xxhash.xxh3_128_digest(own)
-                out.append((len(own), *np.frombuffer(digest, np.int64), bands.keys(own) if len(own) else []))
-            yield pd.DataFrame(out, columns=["n", "k1", "k2", "keys"])
+                sketches = (bands.keys(own), *bands.filters(own)) if len(own) else ([], b"", b"")
+                out.append((len(own), *np.frombuffer(digest, np.int64), *sketches))
+            yield pd.DataFrame(out, columns=["n", "k1", "k2", "keys", "below", "own"])
 
     return made(text)
 
@@ -177,6 +189,38 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, bands: Bands) -> Da
     return stored(both.select("a", "b", "text_a", "text_b").mapInPandas(verify, f"a {kind}, b {kind}"), "links")
 
 
+def _near_apart(labelled: DataFrame, keys: DataFrame, rows: DataFrame, bands: Bands) -> DataFrame:
+    """Pairs (a, b) that meet on one of the keys, are in different components, and are near enough by size and by the
+    Hamming distance of their sketches. The documents of a key are cut into blocks; a task compares two blocks, and only
+    near pairs leave it."""
+    kind = labelled.schema["id"].dataType.simpleString()
+
+    def near(group: pd.DataFrame) -> pd.DataFrame:
+        band = np.array([bands.band(n) for n in group["n"]])
+        low = int(band.min())
+        sketches = [np.frombuffer(o if k == low else u, np.uint64) for o, u, k in zip(group["own"], group["below"], band.tolist(), strict=True)]
+        ids, part, n, side = group["id"].to_numpy(), group["component"].to_numpy(), group["n"].to_numpy(), group["side"].to_numpy()
+        words, most = np.stack(sketches), bands.differ(low)
+        alone, found = not side.any(), []
+        for k in np.flatnonzero(side == 0):
+            others = np.flatnonzero(ids > ids[k]) if alone else np.flatnonzero(side == 1)
+            others = others[part[others] != part[k]]
+            if len(others):
+                close = np.bitwise_count(words[others] ^ words[k]).sum(axis=1) <= most
+                close &= np.minimum(n[others], n[k]) * bands.den >= np.maximum(n[others], n[k]) * bands.num
+                found += [(min(ids[k], x), max(ids[k], x)) for x in ids[others[close]]]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    at = labelled.join(keys, "key").withColumn("n_blocks", F.ceil(F.col("total") / BLOCK))
+    turns = (
+        at.withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
+        .select("key", "id", "n", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    )
+    full = turns.join(rows.select("id", "below", "own"), "id")
+    return full.groupBy("key", "i", "j").applyInPandas(near, f"a {kind}, b {kind}").distinct()
+
+
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per input row: id_col, n_shingles and component_id, the smallest identifier reachable by links.
 
@@ -196,21 +240,19 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     may_link = f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num}"
     hubs = met.groupBy("key").agg(F.min("id").alias("a"), F.min_by("n", "id").alias("n_a"), F.max("id").alias("top")).where("a < top").drop("top")
+    hubs = stored(hubs, "hubs")  # as a table of its own, so that a join on a very common word can be split
     b = met.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"))
     stars = stored(b.join(hubs, "key").where("b > a").where(may_link).select("a", "b").distinct(), "stars")
     links = _verified(stars, texts, width, bands)
 
     inside = connected_components(links)
     labelled = stored(met.join(inside, met["id"] == inside["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), "labelled")
-    mixed_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    apart = labelled.join(mixed_keys, "key")
-    left, right = (apart.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "component")]) for x in "ab")
-    across = left.join(right, "key").where("id_a < id_b AND component_a <> component_b").where(may_link)
-    rest = across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    apart = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("total")).where("low < high")
+    rest = _near_apart(labelled, stored(apart.select("key", "total"), "apart"), rows, bands).join(stars, ["a", "b"], "left_anti")
     links = links.union(_verified(stored(rest, "rest"), texts, width, bands))
 
     found = connected_components(links)
     of_class = classes.join(found, F.col("rep") == F.col("node"), "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component"))
-    return rows.drop("keys").join(of_class, ["n", "k1", "k2"], "left").select(
+    return rows.select("id", "n", "k1", "k2").join(stored(of_class, "of-class"), ["n", "k1", "k2"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
     )
