@@ -191,25 +191,46 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, bands: Bands) -> Da
 
 def _near_apart(labelled: DataFrame, keys: DataFrame, rows: DataFrame, bands: Bands) -> DataFrame:
     """Pairs (a, b) that meet on one of the keys, are in different components, and are near enough by size and by the
-    Hamming distance of their sketches. The documents of a key are cut into blocks; a task compares two blocks, and only
-    near pairs leave it."""
+    Hamming distance of their sketches. The documents of a key are cut into blocks; a group is two blocks of a key, and
+    only near pairs leave it."""
     kind = labelled.schema["id"].dataType.simpleString()
 
-    def near(group: pd.DataFrame) -> pd.DataFrame:
-        band = np.array([bands.band(n) for n in group["n"]])
+    starts = np.array(bands.starts)
+
+    def close(group: dict[str, np.ndarray], band: np.ndarray) -> Iterator[np.ndarray]:
+        """Pairs of one group, both blocks of one key."""
         low = int(band.min())
-        sketches = [np.frombuffer(o if k == low else u, np.uint64) for o, u, k in zip(group["own"], group["below"], band.tolist(), strict=True)]
-        ids, part, n, side = group["id"].to_numpy(), group["component"].to_numpy(), group["n"].to_numpy(), group["side"].to_numpy()
-        words, most = np.stack(sketches), bands.differ(low)
-        alone, found = not side.any(), []
+        sketches = [o if own else u for o, u, own in zip(group["own"], group["below"], (band == low).tolist(), strict=True)]
+        words, most = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1), bands.differ(low)
+        ids, part, n, side = (group[c] for c in ("id", "component", "n", "side"))
+        alone = not side.any()
         for k in np.flatnonzero(side == 0):
-            others = np.flatnonzero(ids > ids[k]) if alone else np.flatnonzero(side == 1)
-            others = others[part[others] != part[k]]
+            others = np.flatnonzero(((ids > ids[k]) if alone else (side == 1)) & (part != part[k]))
             if len(others):
-                close = np.bitwise_count(words[others] ^ words[k]).sum(axis=1) <= most
-                close &= np.minimum(n[others], n[k]) * bands.den >= np.maximum(n[others], n[k]) * bands.num
-                found += [(min(ids[k], x), max(ids[k], x)) for x in ids[others[close]]]
-        return pd.DataFrame(found, columns=["a", "b"])
+                near = np.bitwise_count(words[others] ^ words[k]).sum(axis=1) <= most
+                near &= np.minimum(n[others], n[k]) * bands.den >= np.maximum(n[others], n[k]) * bands.num
+                hit = ids[others[near]]
+                if len(hit):
+                    yield np.stack([np.minimum(hit, ids[k]), np.maximum(hit, ids[k])])
+
+    def pairs(rows: pd.DataFrame, at: np.ndarray) -> pd.DataFrame:
+        band = np.searchsorted(starts, rows["n"].to_numpy(), "right") - 1
+        columns = {c: rows[c].to_numpy() for c in ("id", "component", "n", "side", "own", "below")}
+        found = [x for a, b in zip(at[:-1], at[1:], strict=True) for x in close({c: v[a:b] for c, v in columns.items()}, band[a:b])]
+        return pd.DataFrame(np.concatenate(found, axis=1).T if found else [], columns=["a", "b"])
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The rows come sorted by group; the last group of a batch waits for the next batch."""
+        waits = None
+        for batch in batches:
+            rows = batch if waits is None else pd.concat([waits, batch], ignore_index=True)
+            group = rows[["key", "i", "j"]].to_numpy()
+            at = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
+            waits = rows.iloc[at[-1] :] if len(at) else rows
+            if len(at):
+                yield pairs(rows, np.concatenate([[0], at]))
+        if waits is not None and len(waits):
+            yield pairs(waits, np.array([0, len(waits)]))
 
     at = labelled.join(keys, "key").withColumn("n_blocks", F.ceil(F.col("total") / BLOCK))
     turns = (
@@ -218,7 +239,8 @@ def _near_apart(labelled: DataFrame, keys: DataFrame, rows: DataFrame, bands: Ba
         .select("key", "id", "n", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
     )
     full = turns.join(rows.select("id", "below", "own"), "id")
-    return full.groupBy("key", "i", "j").applyInPandas(near, f"a {kind}, b {kind}").distinct()
+    group = ("key", "i", "j")
+    return full.repartition(*group).sortWithinPartitions(*group).mapInPandas(near, f"a {kind}, b {kind}").distinct()
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
