@@ -12,24 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm.jaccard_join import jaccard_groups
-from tilewright.llm.language_id import identify, train
+from tilewright.llm.language_id import of_known_language, train
 from tilewright.llm.line_dedup import line_dedup
 from tilewright.llm.packing import pack
 from tilewright.llm.scratch import stored
 
-#: A document whose best language scores lower (its regression's output is under -0.5) is of none of the languages.
-LEAST_SCORE = 0.25
 #: Near duplicates: five-word shingles, similarity of 0.8 or more.
 WIDTH, NUM, DEN = 5, 80, 100
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a known language: those without letters go, and those that are of none of the languages
-    learned from the labelled documents. Where no document is labelled, only those without letters go."""
+    learned from the labelled documents (too few of their n-grams are known). Where no document is labelled, only those without letters go."""
     model = train(docs, "doc_id", "text", "lang")
-    told = identify(docs, model)
-    known = F.col("score") >= LEAST_SCORE if model.languages else F.col("text").rlike(r"\p{L}")
-    return told.where(known).select(*docs.columns)
+    return of_known_language(docs, model) if model.languages else docs.where(F.col("text").rlike(r"\p{L}"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

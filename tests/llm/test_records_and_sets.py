@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -233,3 +234,14 @@ def test_pipeline_against_brute_force(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns, name
         assert stage(spark, docs.where("false"), SF).count() == 0
+
+
+@pytest.mark.parametrize("learned", [["en"], ["en", "fr"], ["de", "en", "es", "fr"]])
+def test_pipeline_rejects_other_languages(spark, learned):
+    rng = np.random.default_rng(11)
+    scripts = {-1: "abcdefghijklmnopqrstuvwxyz", -2: "абвгдежзийклмнопрстуфхцчшщыьэюя", -3: "αβγδεζηθικλμνξοπρστυφχψω", -4: "".join(map(chr, range(0x4E00, 0x5E00)))}
+    rows = [(k, " ".join("".join(rng.choice([*x], rng.integers(2, 10))) for _ in range(60)), None) for k, x in scripts.items()]
+    rows += [(-5, "Все люди рождаются свободными и равными в своем достоинстве и правах.", None), (-6, "12 34 !!!", None), (-7, None, None)]
+    clean = spark.read.parquet(f"{SF}/documents.parquet").where(F.col("lang").isin(learned)).select("doc_id", "text", "lang")
+    docs = clean.union(spark.createDataFrame(rows, clean.schema))
+    assert {r[0] for r in corpus_pipeline.language(spark, docs, SF).select("doc_id").collect()} == {r[0] for r in clean.select("doc_id").collect()}

@@ -28,6 +28,9 @@ ORDERS = 3
 MAX_LANGUAGES = 10_000
 #: Documents of one product of presence by landmarks.
 ROWS = 128
+#: A text is of none of the languages if the share of its n-grams that any landmark holds is under LEAST_SHARE of what
+#: all but this quantile of its best language's labelled sample reach.
+LEAST_SHARE, LOWEST = 0.75, 0.01
 
 
 def ngram_codes(text: str) -> np.ndarray:
@@ -47,6 +50,7 @@ class KernelModel:
     landmarks: np.ndarray  # landmark by n-gram presence
     norms: np.ndarray  # square roots of the landmarks' sizes
     weights: np.ndarray  # landmark by language
+    least: np.ndarray  # by language: the least share of known n-grams of a text of it
 
     def kernel(self, texts: list[np.ndarray]) -> np.ndarray:
         """Kernel values of texts (as their codes) by landmarks: one product."""
@@ -60,6 +64,24 @@ class KernelModel:
     def scores(self, texts: list[str]) -> np.ndarray:
         return self.kernel([ngram_codes(x) for x in texts]) @ self.weights
 
+    def share(self, codes: np.ndarray) -> float:
+        """Share of a text's n-grams that any landmark holds."""
+        return (self.place[codes] >= 0).mean()
+
+    def known(self, texts: list[str | None]) -> list[bool]:
+        """Whether each text is of any of the languages: it holds a letter, and enough of its n-grams are known for the
+        language that it resembles most. The regression can't tell: it has no intercept, so a text unlike all landmarks
+        gets outputs near 0, as one in a mixture of the languages does."""
+        found = [False] * len(texts)
+        told = [k for k, x in enumerate(texts) if x and _LETTER.search(x)] if self.languages else []
+        for k in range(0, len(told), ROWS):
+            own = told[k : k + ROWS]
+            codes = [ngram_codes(texts[i]) for i in own]
+            best = (self.kernel(codes) @ self.weights).argmax(axis=1)
+            for i, c, b in zip(own, codes, best, strict=True):
+                found[i] = bool(self.share(c) >= self.least[b])
+        return found
+
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
         """Language and score from 0 to 1 (the regression's output for it, -1 to 1, moved there). Texts that are null or
         hold no letter are undetermined, with score 0."""
@@ -113,7 +135,7 @@ def fit(sample: pd.DataFrame, landmarks: int, ridge: float) -> KernelModel:
     presence = np.zeros((len(marks), len(known)), np.float32)
     for row, codes in zip(presence, marks, strict=True):
         row[place[codes]] = 1
-    model = KernelModel(languages, place, presence, np.sqrt([max(1, len(x)) for x in marks]), np.zeros((len(marks), len(languages))))
+    model = KernelModel(languages, place, presence, np.sqrt([max(1, len(x)) for x in marks]), np.zeros((len(marks), len(languages))), np.zeros(len(languages)))
     if not marks:
         return model
     among, vectors = np.linalg.eigh(model.kernel(marks).astype(float))
@@ -123,10 +145,21 @@ def fit(sample: pd.DataFrame, landmarks: int, ridge: float) -> KernelModel:
     targets = np.where(sample["lang"].to_numpy()[:, None] == np.array(languages), 1.0, -1.0)
     share = 1 / sample.groupby("lang")["lang"].transform("size").to_numpy()  # every language weighs the same
     gram = features.T @ (features * share[:, None])
+    model.least = least_shares(sample, model, landmarks)
     model.weights = root @ np.linalg.solve(gram + ridge * np.eye(gram.shape[0]) * np.trace(gram) / len(gram), features.T @ (targets * share[:, None]))
     return model
 
 
+def least_shares(sample: pd.DataFrame, model: KernelModel, landmarks: int) -> np.ndarray:
+    """The cut of each language from its sample; a landmark's own n-grams count only if another landmark holds them."""
+    holders = model.landmarks.sum(axis=0)
+    shares = [
+        (holders[at[at >= 0]] > (rank <= landmarks)).sum() / max(1, len(at)) for rank, at in zip(sample["rank"], map(model.place.__getitem__, sample["codes"]), strict=True)
+    ]
+    by_language = pd.Series(shares, sample.index).groupby(sample["lang"])
+    return LEAST_SHARE * by_language.quantile(LOWEST).reindex(model.languages).to_numpy()
+
+
 def identify(docs: DataFrame, model: KernelModel, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score (columns of these names are replaced). Any text that is null or holds no letter is
     `und` with score 0; texts are read whole. With no labelled row to learn from, every text is `und`."""
@@ -143,6 +176,20 @@ def identify(docs: DataFrame, model: KernelModel, text_col: str = "text") -> Dat
     return made.select("*", "__told.lang_pred", "__told.score").drop("__told")
 
 
+def of_known_language(docs: DataFrame, model: KernelModel, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text is of any of the model's languages."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    held = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series(held.value.known([*batch]), dtype=bool)
+
+    return docs.where(known(F.col(text_col)))
+
+
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds: float) -> DataFrame:
     """docs with held_out, lang_pred and score: learns from the labelled documents that are not held out (by the CRC-32
     of the identifier) and predicts for all. A null identifier is never held out."""
