@@ -119,7 +119,7 @@ def tile_id(spark, sf_dir):
 
 
 @query(
-    "WITH b AS (SELECT c_custkey AS id, ((c_custkey*7919)%360000)/1000e0-180 AS lng, ((c_custkey*104729)%170000)/1000e0-85 AS lat FROM customer WHERE c_custkey % 10 = 1), "
+    "WITH b AS (SELECT c_custkey AS id, ((c_custkey*7919)%360000)/1000e0-180 AS lng, ((c_custkey*104729)%170000)/1000e0-85 AS lat FROM customer), "
     "z AS (SELECT *, unnest(range(3, 6)) AS z FROM b), r AS (SELECT id, z, least(greatest(CAST(floor((lng+180)/360*pow(2,z)) AS INT),0),CAST(pow(2,z) AS INT)-1) AS x0, least(greatest(CAST(floor((lng+3+180)/360*pow(2,z)) AS INT),0),CAST(pow(2,z) AS INT)-1) AS x1, "
     + "".join(
         f"least(greatest(CAST(floor((1-ln(tan({v}*pi()/180)+1/cos({v}*pi()/180))/pi())/2*pow(2,z)) AS INT),0),CAST(pow(2,z) AS INT)-1) AS {k}{', ' if k == 'y0' else ' '}"
@@ -130,7 +130,7 @@ def tile_id(spark, sf_dir):
 def tile_cover(spark, sf_dir):
     from tilewright.sources.views import with_points
 
-    boxes = with_points(table(spark, sf_dir, "customer").where("c_custkey % 10 = 1"), "c_custkey")
+    boxes = with_points(table(spark, sf_dir, "customer"), "c_custkey")
     boxes = boxes.select(F.col("c_custkey").alias("id"), at_lng().alias("west"), at_lat().alias("south"), (at_lng() + 3).alias("east"), (at_lat() + 3).alias("north"))
     return geo.tile_cover(boxes, 3, 5).select("id", "z", "x", "y")
 
