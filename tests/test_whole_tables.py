@@ -3,8 +3,13 @@
 from pathlib import Path
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
+from test_features import greedy
 
 from tilewright import catalog
+from tilewright.operators import clusters
+from tilewright.sources.views import event_clumps
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +29,20 @@ def test_tile_cover_takes_all_customers(spark):
     got = rows(spark, "tile_cover")
     assert got == sorted(sql(catalog.ORACLES["tile_cover"]))
     assert {r[0] for r in got} == {r[0] for r in sql("SELECT c_custkey FROM customer")}
+
+
+def test_clusters_take_all_events_at_all_zooms(spark, monkeypatch):
+    real, calls = clusters.cluster, []
+    monkeypatch.setattr(clusters, "cluster", lambda points, *a, **b: calls.append((points, b)) or real(points.limit(0), *a, max_zoom=0))
+    catalog.QUERIES["cluster_conservation"](spark, SF)
+    monkeypatch.undo()
+    assert sql(catalog.ORACLES["cluster_conservation"] + " ORDER BY 1") == [(z, 1000) for z in range(clusters.MAX_ZOOM + 2)]
+    levels = [(r.zoom, r.idx, r.x, r.y, r.n) for r in catalog.QUERIES["cluster_levels"](spark, SF).collect()]
+    [(points, options)] = calls
+    assert points.count() == 1000 and not {"max_zoom", "min_zoom"} & set(options)
+    x, y = clusters.unit_mercator(F.col("lng"), F.col("lat"))
+    points = [tuple(r) for r in event_clumps(spark, SF).select("event_id", x, y).orderBy("event_id").collect()]
+    for z, want in greedy(points, clusters.RADIUS, [*range(16, -1, -1)], 2).items():
+        got = sorted(r[1:] for r in levels if r[0] == z)
+        assert [(g[0], g[3]) for g in got] == [(w[0], w[3]) for w in want]
+        assert [v for g in got for v in g[1:3]] == pytest.approx([v for w in want for v in w[1:3]])

@@ -44,17 +44,16 @@ def geojson_roundtrip(spark, sf_dir):
     return back.select(F.col("id").cast("long").alias("event_id"), F.col("properties")["event_type"].alias("event_type"), spot[0].alias("lng"), spot[1].alias("lat"))
 
 
-@query(f"SELECT CAST(z AS INT) AS zoom, n FROM (SELECT count(*) AS n FROM ({CLUMP}) WHERE event_type = 'error'), range(5) AS r(z)")
+@query(f"SELECT CAST(z AS INT) AS zoom, n FROM (SELECT count(*) AS n FROM ({CLUMP})), range(18) AS r(z)")
 def cluster_conservation(spark, sf_dir):
-    levels = clusters.cluster(event_clumps(spark, sf_dir).where("event_type = 'error'"), "event_id", max_zoom=3)
+    levels = clusters.cluster(event_clumps(spark, sf_dir), "event_id")
     return levels.groupBy("zoom").agg(F.sum("n").alias("n"))
 
 
 @query()
 def cluster_levels(spark, sf_dir):
     """Tested against a greedy pass in order."""
-    ev = event_clumps(spark, sf_dir).where("event_type = 'signup'")
-    return clusters.cluster(ev, "event_id", max_zoom=2, sums={"value": F.col("value")}).withColumn("label", clusters.abbreviated(F.col("n")))
+    return clusters.cluster(event_clumps(spark, sf_dir), "event_id", sums={"value": F.col("value")}).withColumn("label", clusters.abbreviated(F.col("n")))
 
 
 RGB = "event_id % 256 AS r, event_id * 31 % 256 AS g, event_id * 17 % 256 AS b"
