@@ -9,7 +9,7 @@ from test_features import greedy
 
 from tilewright import catalog
 from tilewright.operators import clusters
-from tilewright.sources.views import event_clumps
+from tilewright.sources.views import CLUMP, event_clumps
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,3 +46,16 @@ def test_clusters_take_all_events_at_all_zooms(spark, monkeypatch):
         got = sorted(r[1:] for r in levels if r[0] == z)
         assert [(g[0], g[3]) for g in got] == [(w[0], w[3]) for w in want]
         assert [v for g in got for v in g[1:3]] == pytest.approx([v for w in want for v in w[1:3]])
+
+
+@pytest.mark.parametrize("name", ["dem_pyramid_lookup", "line_gradient", "heat_density", "radius_join"])
+def test_all_events_take_part(spark, name):
+    assert rows(spark, name) == sorted(sql(catalog.ORACLES[name]))
+    if name == "radius_join":
+        spots = sql(f"SELECT event_id, lng, lat FROM ({CLUMP})")
+        assert {r[:2] for r in rows(spark, name)} == {(a, b) for a, x, y in spots for b, u, v in spots if a < b and (x - u) * (x - u) + (y - v) * (y - v) <= 0.0025}
+    elif name == "heat_density":
+        near = {(i, j) for i in range(-4, 5) for j in range(-4, 5) if i * i + j * j < 16}
+        assert {r[:2] for r in rows(spark, name)} == {(k * 37 % 256 + i, k * 53 % 256 + j) for (k,) in sql("SELECT event_id FROM events") for i, j in near}
+    else:
+        assert [r[0] for r in rows(spark, name)] == [r[0] for r in sql("SELECT event_id FROM events ORDER BY 1")]

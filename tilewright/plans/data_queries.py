@@ -81,10 +81,10 @@ def dem_bilinear(spark, sf_dir):
     return e.select("event_id", F.round(elevation.bilinear(grid, 4, F.col("qx"), F.col("qy")), 6).alias("height"))
 
 
-@query(f"SELECT event_id, CASE WHEN floor((lng+180)/360*4) = 1 THEN 2e0 ELSE 0e0 END AS elevation FROM ({EV}) WHERE lat BETWEEN 1 AND 66")
+@query(f"SELECT event_id, CASE WHEN floor((lng+180)/360*4) = 1 AND floor((1-ln(tan(lat*pi()/180)+1/cos(lat*pi()/180))/pi())/2*4) = 1 THEN 2e0 ELSE 0e0 END AS elevation FROM ({EV})")
 def dem_pyramid_lookup(spark, sf_dir):
     flat = lambda z, x, y: spark.range(1).select(F.lit(z).alias("z"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.array_repeat(F.lit(float(z)), 16).alias("grid"))
-    ev = event_points(spark, sf_dir).where("lat BETWEEN 1 AND 66").select("event_id", "lng", "lat")
+    ev = event_points(spark, sf_dir).select("event_id", "lng", "lat")
     return elevation.query_elevation(ev, flat(0, 0, 0).union(flat(2, 1, 1)), 4, 5).select("event_id", "elevation")
 
 
@@ -102,12 +102,12 @@ def hillshade(spark, sf_dir):
 
 
 @query(
-    "WITH p AS (SELECT event_id * 37 % 256 AS px, event_id * 53 % 256 AS py, greatest(0.05e0, least(1e0, value / 400)) AS w FROM events WHERE event_type = 'error'), "
+    "WITH p AS (SELECT event_id * 37 % 256 AS px, event_id * 53 % 256 AS py, greatest(0.05e0, least(1e0, value / 400)) AS w FROM events), "
     "a AS (SELECT px + dx AS px, py + dy AS py, w * (1 - sqrt(dx*dx + dy*dy) / 4e0) AS alpha FROM p, range(-4, 5) AS r(dx), range(-4, 5) AS s(dy) WHERE dx*dx + dy*dy < 16) "
     "SELECT px, py, round(CASE WHEN max(alpha) >= 1 THEN 1 ELSE 1 - exp(sum(CASE WHEN alpha < 1 THEN ln(1 - alpha) END)) END, 5) AS density FROM a GROUP BY px, py"
 )
 def heat_density(spark, sf_dir):
-    p = table(spark, sf_dir, "events").where("event_type = 'error'").select((F.col("event_id") * 37 % 256).alias("px"), (F.col("event_id") * 53 % 256).alias("py"), (F.col("value") / 400).alias("weight"))
+    p = table(spark, sf_dir, "events").select((F.col("event_id") * 37 % 256).alias("px"), (F.col("event_id") * 53 % 256).alias("py"), (F.col("value") / 400).alias("weight"))
     return elevation.heat(p, 4).select("px", "py", F.round("density", 5).alias("density"))
 
 

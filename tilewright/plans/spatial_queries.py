@@ -75,9 +75,9 @@ def style_layer_projection(spark, sf_dir):
     return kept.select("event_id", F.round(made["circle-radius"], 6).alias("radius"), made["circle-color"].alias("color"))
 
 
-@query(f"SELECT event_id, 3 AS n, 'rgba(' || repeat(CAST(CAST(floor(0.5*255+0.5) AS INT) AS VARCHAR) || ',', 3) || '1)' AS middle FROM ({EV}) WHERE event_type = 'error'")
+@query(f"SELECT event_id, 3 AS n, 'rgba(' || repeat(CAST(CAST(floor(0.5*255+0.5) AS INT) AS VARCHAR) || ',', 3) || '1)' AS middle FROM ({EV})")
 def line_gradient(spark, sf_dir):
-    ev = event_points(spark, sf_dir).where("event_type = 'error'")
+    ev = event_points(spark, sf_dir)
     ramp = ["interpolate", ["linear"], ["line-progress"], 0, "black", 1, "white"]
     made = spatial.line_gradient(ramp, ev, lambda df, p: Scope.of(df, ["value"], line_progress=p), "event_id", (0.0, 0.5, 1.0))
     return made.select("event_id", F.size("stops").alias("n"), F.get("stops", F.lit(1)).color.alias("middle"))
@@ -149,9 +149,9 @@ def radius_within(spark, sf_dir):
     return event_clumps(spark, sf_dir).where(F.col("lng").between(-5, 15) & F.col("lat").between(-5, 15)).where(near).select("event_id")
 
 
-@query(f"WITH p AS (SELECT * FROM ({CLUMP}) WHERE event_type = 'error') SELECT a.event_id AS a, b.event_id AS b, round(sqrt((a.lng-b.lng)*(a.lng-b.lng)+(a.lat-b.lat)*(a.lat-b.lat)), 4) AS distance FROM p a, p b WHERE a.event_id < b.event_id AND (a.lng-b.lng)*(a.lng-b.lng)+(a.lat-b.lat)*(a.lat-b.lat) <= 0.0025")
+@query(f"WITH p AS (SELECT * FROM ({CLUMP})) SELECT a.event_id AS a, b.event_id AS b, round(sqrt((a.lng-b.lng)*(a.lng-b.lng)+(a.lat-b.lat)*(a.lat-b.lat)), 4) AS distance FROM p a, p b WHERE a.event_id < b.event_id AND (a.lng-b.lng)*(a.lng-b.lng)+(a.lat-b.lat)*(a.lat-b.lat) <= 0.0025")
 def radius_join(spark, sf_dir):
-    p = planar(event_clumps(spark, sf_dir).where("event_type = 'error'"))
+    p = planar(event_clumps(spark, sf_dir))
     return spatial.radius_join(p, p, "event_id", "event_id", 0.05, self_join=True).withColumn("distance", F.round("distance", 4))
 
 
