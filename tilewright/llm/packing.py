@@ -16,22 +16,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tilewright.llm.byte_bpe import Recent
 from tilewright.llm.scratch import small_batches, stored
+from tilewright.llm.words import gathered, spans, words_of
 
 #: Ranks are dealt within blocks of the documents, so that no length, however common, is ranked in one task.
 BLOCKS = 512
 
 
 class ChunkTokenizer:
-    """Packed ids of texts. The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    parts between ASCII white space, one after the other; frequent parts are remembered. It lower-cases, and it parts
-    letters from what follows them, so a word shares its ids with its other forms: in capitals, or before a comma."""
+    """Ids of words. The tokenizer drops white space and never joins across it, so a text's ids are those of its words,
+    one after the other. It lower-cases, and it parts letters from what follows them, so a word shares its ids with its
+    other forms: in capitals, or before a full stop or comma."""
 
     #: Words that are encoded as one text; the ids are parted again at the tokens that end a word.
     JOINED = 512
@@ -45,46 +45,46 @@ class ChunkTokenizer:
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(size)])
         self.marks = {x: self._alone(x.decode()) for x in (b"", b".", b",")}
-        self.parts = Recent(lambda part: self._alone(part.decode()), room)
+        self.room, self.known, self.older = room, {}, {}
 
     def _alone(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+    def _words(self, words: list[bytes]) -> Iterator[bytes]:
         """The ids of words of letters alone, many in one text."""
         groups = [words[k : k + self.JOINED] for k in range(0, len(words), self.JOINED)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
-            last = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            last = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(last) != len(group):  # a letter whose lower case is no letter
-                yield from ((w, self._alone(w)) for w in group)
+                yield from (self._alone(w.decode()) for w in group)
                 continue
-            raw, first = ids.tobytes(), 0
-            for word, end in zip(group, last.tolist(), strict=True):
-                yield word, raw[first:end]
-                first = end
-
-    def remember(self, parts: set[bytes]) -> None:
-        """Encodes the parts that aren't known yet."""
-        known, old = self.parts, self.parts.old
-        bases, new = {}, []
-        for part in parts:
-            if part in known or part in old:
+            raw = ids.tobytes()
+            yield from map(raw.__getitem__, map(slice, [0, *last], last))
+
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of distinct words in lower case (A-Z); frequent ones are remembered, in two generations."""
+        if len(self.known) > self.room:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        found = [known.get(w) or older.get(w) for w in words]
+        new, bases = [], {}
+        for k, ids in enumerate(found):
+            if ids is not None:
                 continue
-            mark = part[-1:] if part[-1:] in (b".", b",") else b""
-            word = part[: len(part) - len(mark)].decode()
-            low = word if "\u03a3" in word else word.lower()  # which of its two small forms Python gives a sigma depends on its place
-            if word.isalpha() and word.lower().isalpha():
-                new.append((part, low, mark))
-                bases[low] = known.get(low.encode()) or old.get(low.encode())
-        bases |= self._words([w for w, ids in bases.items() if ids is None])
-        for part, low, mark in new:
-            if part not in known:
-                self.parts.put(part, bases[low] + self.marks[mark])
-
-    def packed(self, parts: list[bytes]) -> bytes:
-        known = self.parts
-        return b"".join([known[p] for p in parts])
+            word = words[k]
+            mark = word[-1:] if word.endswith((b".", b",")) else b""
+            base = word[: len(word) - len(mark)]
+            if base.isalpha() or not base.isascii() and (text := base.decode()).isalpha() and text.lower().isalpha():
+                new.append((k, base, mark))
+                bases[base] = known.get(base) or older.get(base)
+            else:
+                found[k] = known[word] = self._alone(word.decode())
+        lacking = [w for w, ids in bases.items() if ids is None]
+        bases.update(zip(lacking, self._words(lacking), strict=True))
+        for k, base, mark in new:
+            found[k] = known[words[k]] = bases[base] + self.marks[mark]
+        return found
 
 
 @functools.lru_cache(2)
@@ -92,31 +92,38 @@ def chunk_tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
-PIECES = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())]))
+def text_ids(texts: pa.Array, tokenizer: ChunkTokenizer, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, each with end_id after it, and how many each has."""
+    words = words_of(texts)
+    packed = tokenizer.ids_of(words.distinct.to_pylist())
+    flat = np.frombuffer(b"".join([*packed, array("I", [end_id]).tobytes()]), "<u4")
+    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+    begins = np.append(np.cumsum(sizes) - sizes, len(flat) - 1)
+    sizes = np.append(sizes, 1)
+    at = np.insert(words.index.astype(np.int64), np.cumsum(words.counts), len(sizes) - 1)  # an end after each text
+    totals = np.add.reduceat(sizes[at], words.starts + np.arange(len(texts)))
+    return flat[spans(begins[at], sizes[at])], totals
 
 
-def cut_pieces(text: Column, path: str, end_id: int, max_len: int, keep_ids: bool) -> Column:
-    """struct(doc_tokens, pieces): the ids of each text and end_id after them, cut every max_len ids. A null text is
-    empty and has end_id alone. Without keep_ids a piece holds the CRC-32 of its ids in four bytes instead of them."""
-    end = array("I", [end_id]).tobytes()
+def cut_pieces(docs: DataFrame, path: str, end_id: int, max_len: int, keep_ids: bool) -> DataFrame:
+    """docs(id, text) -> (id, doc_tokens, start, length, ids), a row for each piece: the ids of each text and end_id
+    after them, cut every max_len ids. A null text is empty and has end_id alone. Without keep_ids a piece holds the
+    CRC-32 of its ids in four bytes instead of them."""
 
-    @F.pandas_udf(T.StructType([T.StructField("doc_tokens", T.LongType()), T.StructField("pieces", PIECES)]))
-    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = chunk_tokenizer(path)
-        for batch in texts:
-            parts = [x.encode("utf-8", "replace").split() if x else [] for x in batch]
-            tokenizer.remember(set().union(*parts))
-            out = []
-            for own in parts:
-                ids = tokenizer.packed(own) + end
-                pieces = []
-                for k in range(0, len(ids), 4 * max_len):
-                    piece = ids[k : k + 4 * max_len]
-                    pieces.append({"start": k // 4, "length": len(piece) // 4, "ids": piece if keep_ids else zlib.crc32(piece).to_bytes(4, "big")})
-                out.append((len(ids) // 4, pieces))
-            yield pd.DataFrame(out, columns=["doc_tokens", "pieces"])
-
-    return cut(text)
+        for batch in gathered(batches, "text"):
+            ids, totals = text_ids(batch["text"], tokenizer, end_id)
+            n = -(-totals // max_len)
+            of_text = np.repeat(np.arange(len(n)), n)
+            start = spans(np.zeros(len(n), np.int64), n) * max_len
+            length = np.minimum(max_len, totals[of_text] - start)
+            raw, at = memoryview(ids.tobytes()), (np.cumsum(totals) - totals)[of_text] + start
+            pieces = [raw[a:b] for a, b in zip((4 * at).tolist(), (4 * (at + length)).tolist(), strict=True)]
+            told = pa.array([bytes(x) if keep_ids else zlib.crc32(x).to_bytes(4, "big") for x in pieces], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(of_text)), pa.array(totals[of_text]), pa.array(start), pa.array(length), told], ["id", "doc_tokens", "start", "length", "ids"])
+
+    return docs.mapInArrow(cut, f"id {docs.schema['id'].dataType.simpleString()}, doc_tokens long, start long, length long, ids binary")
 
 
 def pack_histogram(counts: dict[int, int], max_len: int) -> list[tuple[tuple[int, ...], int]]:
@@ -186,10 +193,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     small_batches(spark)
-    cut = docs.select(F.col(id_col).alias("id"), cut_pieces(F.col(text_col), path, end_id, max_len, keep_ids).alias("cut"))
-    pieces = stored(
-        cut.select("id", "cut.doc_tokens", F.inline("cut.pieces")).withColumn("block", F.pmod(F.xxhash64("id", "start"), F.lit(BLOCKS)).cast("int")), "pieces"
-    )
+    cut = cut_pieces(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), path, end_id, max_len, keep_ids)
+    pieces = stored(cut.withColumn("block", F.pmod(F.xxhash64("id", "start"), F.lit(BLOCKS)).cast("int")), "pieces")
     block_counts = pieces.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["length"]: r["n"] for r in block_counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     ranges = places(pack_histogram(counts, max_len))
