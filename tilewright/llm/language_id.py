@@ -8,6 +8,7 @@ is scored by two matrix products: presence by landmarks, then kernel values by w
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,8 +25,12 @@ UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 #: Bytes of a text after lower-casing: ASCII letters and bytes of longer UTF-8 sequences stay, all else is a space.
 _KEPT = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
+_ALPHABET = sorted({*_KEPT.lower()})
+_SYMBOL = np.zeros(256, np.int32)
+_SYMBOL[_ALPHABET] = np.arange(len(_ALPHABET))
 ORDERS = 3
-MAX_LANGUAGES = 10_000
+#: Landmarks of all languages together; with many languages each has fewer, and one at least.
+MOST_LANDMARKS = 4096
 #: Documents of one product of presence by landmarks.
 ROWS = 128
 #: A text is of none of the languages if the share of its n-grams that any landmark holds is under LEAST_SHARE of what
@@ -34,24 +39,43 @@ LEAST_SHARE, LOWEST = 0.75, 0.01
 
 
 def ngram_codes(text: str) -> np.ndarray:
-    """The distinct byte n-grams of a whole text: each order's bytes as an integer with a leading one."""
-    raw = np.frombuffer(b" " + text.lower().encode("utf-8", "replace").translate(_KEPT) + b" ", np.uint8).astype(np.int32)
-    codes, code = [], np.ones(len(raw) + 1, np.int32)
-    for n in range(1, ORDERS + 1):
-        code = code[:-1] << 8 | raw[n - 1 :] if n > 1 else 1 << 8 | raw
-        codes.append(code)
+    """The distinct byte n-grams of a whole text: numbers in the alphabet's base, shorter n-grams first."""
+    raw = _SYMBOL[np.frombuffer(b" " + text.lower().encode("utf-8", "replace").translate(_KEPT) + b" ", np.uint8)]
+    size, first, code, codes = len(_ALPHABET), 0, raw, [raw]
+    for n in range(2, ORDERS + 1):
+        first += size ** (n - 1)
+        code = code[:-1] * size + raw[n - 1 :]
+        codes.append(code + first)
     return np.unique(np.concatenate(codes))
 
 
+def _n_codes() -> int:
+    return sum(len(_ALPHABET) ** n for n in range(1, ORDERS + 1))
+
+
 @dataclass
 class KernelModel:
     languages: list[str]
-    place: np.ndarray  # code -> column of `landmarks`, -1 for n-grams of no landmark
+    codes: np.ndarray  # sorted, of the n-grams that any landmark holds: the columns of `landmarks`
     landmarks: np.ndarray  # landmark by n-gram presence
     norms: np.ndarray  # square roots of the landmarks' sizes
     weights: np.ndarray  # landmark by language
     least: np.ndarray  # by language: the least share of known n-grams of a text of it
 
+    def __getstate__(self) -> dict:
+        """Travels without the table of places and with a bit for each presence."""
+        return {k: v for k, v in self.__dict__.items() if k != "place"} | {"landmarks": np.packbits(self.landmarks > 0, axis=1)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state | {"landmarks": np.unpackbits(state["landmarks"], axis=1, count=len(state["codes"])).astype(np.float32)}
+
+    @functools.cached_property
+    def place(self) -> np.ndarray:
+        """code -> column of `landmarks`, -1 for n-grams of no landmark; made once in each process."""
+        place = np.full(_n_codes(), -1, np.int32)
+        place[self.codes] = np.arange(len(self.codes))
+        return place
+
     def kernel(self, texts: list[np.ndarray]) -> np.ndarray:
         """Kernel values of texts (as their codes) by landmarks: one product."""
         presence = np.zeros((len(texts), self.landmarks.shape[1]), np.float32)
@@ -102,16 +126,17 @@ def held_out_column(id_column: Column, folds: int = 4, fold: int = 2) -> Column:
 
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = 192, landmarks: int = 48, ridge: float = 0.05) -> KernelModel:
     """Fits on a bounded sample of labelled rows: of each language the per_language documents whose hashed identifiers
-    are smallest; the first `landmarks` of them are landmarks. Texts are used whole. Only the samples' distinct n-gram
-    codes reach the driver."""
+    are smallest; the first `landmarks` of them are landmarks (fewer where there are so many languages that they would be
+    over MOST_LANDMARKS). Texts are used whole. Only the samples' distinct n-gram codes reach the driver."""
     small_batches(docs.sparkSession)
     rows = docs.select(
         F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(7)).alias("order"), F.col(id_col).alias("id"), F.col(text_col).alias("text")
     ).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     # the hash below which a language has about twice its sample: no task ranks a whole language
     counts = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-counts")
-    if counts.count() > MAX_LANGUAGES:
-        raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} values")
+    if (n_languages := counts.count()) > MOST_LANDMARKS:
+        raise ValueError(f"{lang_col} has more than {MOST_LANDMARKS} values")
+    landmarks = min(landmarks, MOST_LANDMARKS // max(1, n_languages))
     below = F.when(F.col("n") <= 4 * per_language, F.lit(2**63 - 1)).otherwise((F.lit(-(2.0**63)) + F.lit(2.0**64) * 2 * per_language / F.col("n")).cast("long"))
     near = rows.join(F.broadcast(counts.select("lang", below.alias("below"))), "lang").where(F.col("order") <= F.col("below")).drop("below")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "id"))).where(F.col("rank") <= per_language)
@@ -130,12 +155,10 @@ def fit(sample: pd.DataFrame, landmarks: int, ridge: float) -> KernelModel:
     languages = sorted(sample["lang"].unique())
     marks = [np.asarray(x) for x in sample.loc[sample["rank"] <= landmarks, "codes"]]
     known = np.unique(np.concatenate([np.zeros(0, np.int32), *marks]))
-    place = np.full(1 << 8 * ORDERS + 1, -1, np.int32)
-    place[known] = np.arange(len(known))
     presence = np.zeros((len(marks), len(known)), np.float32)
     for row, codes in zip(presence, marks, strict=True):
-        row[place[codes]] = 1
-    model = KernelModel(languages, place, presence, np.sqrt([max(1, len(x)) for x in marks]), np.zeros((len(marks), len(languages))), np.zeros(len(languages)))
+        row[np.searchsorted(known, codes)] = 1
+    model = KernelModel(languages, known, presence, np.sqrt([max(1, len(x)) for x in marks]), np.zeros((len(marks), len(languages))), np.zeros(len(languages)))
     if not marks:
         return model
     among, vectors = np.linalg.eigh(model.kernel(marks).astype(float))
