@@ -1,18 +1,18 @@
 import hashlib
 import math
-import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tilewright.llm import byte_bpe, language_id, maxent_lm, registry
+from tilewright.llm import byte_bpe, language_id, maxent_lm, registry, words
 
 BPE = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -116,15 +116,15 @@ def test_lm_counts_are_exact_and_held_out_texts_gain(spark, monkeypatch, frequen
     monkeypatch.setattr(maxent_lm, "FREQUENT", frequent)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     got = {r["doc_id"]: r for r in maxent_lm.lm_scores(docs).collect()}
-    words = {k: (x or "").encode().lower().split() + [b"\n"] for k, x in docs.collect()}
-    held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in words}
-    counts = Counter(w for k, own in words.items() if not held[k] for w in own)
+    texts = {k: (x or "").encode().lower().split() + [b"\n"] for k, x in docs.collect()}
+    held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in texts}
+    counts = Counter(w for k, own in texts.items() if not held[k] for w in own)
     n, v = sum(counts.values()), len(counts)
-    for k, own in words.items():
+    for k, own in texts.items():
         r = got[k]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[k], len(own), sum(counts[w] > 0 for w in own), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own), rel=1e-9)
-    gain = [(got[k]["score"] - got[k]["base_score"]) / len(own) for k, own in words.items() if held[k]]
+    gain = [(got[k]["score"] - got[k]["base_score"]) / len(own) for k, own in texts.items() if held[k]]
     assert np.mean(gain) > 0.1
 
 
@@ -136,10 +136,29 @@ def test_lm_of_odd_documents(docs, texts, empty):
     assert maxent_lm.lm_scores(empty).count() == 0
 
 
-def test_class_probabilities_sum_to_one():
+def test_probabilities_sum_to_one():
     rng = np.random.default_rng(3)
-    weights = rng.standard_normal((maxent_lm.ROWS, maxent_lm.CLASSES)).astype(np.float32)
-    rows = rng.integers(0, maxent_lm.ROWS, (5, maxent_lm.FEATURES)).astype(np.int32)
-    total = sum(10 ** maxent_lm.class_log10(weights, rows, np.full(5, c)) for c in range(maxent_lm.CLASSES))
+    weights = rng.standard_normal((1 << 10, maxent_lm.CLASSES)).astype(np.float32)
+    rows = rng.integers(0, 1 << 10, (5, maxent_lm.FEATURES)).astype(np.int32)
+    total = sum(10 ** maxent_lm.log10_of(weights, rows, np.full(5, c)) for c in range(maxent_lm.CLASSES))
     assert np.allclose(total, 1, atol=1e-5)
-    random.seed(0)
+
+
+def test_groups_of_a_class_hold_like_shares():
+    counts = np.array([50, 1, 25, 2, 9, 7, 5, 1])
+    of_class = np.array([0, 0, 0, 0, 1, 1, 1, 1])
+    groups = maxent_lm.deal_groups(of_class, counts, np.array([78, 22] + [0] * (maxent_lm.CLASSES - 2)))
+    share = [0, 77 / 78, 50 / 78, 75 / 78, 0, 9 / 22, 16 / 22, 21 / 22]
+    assert groups.tolist() == [int(x * maxent_lm.GROUPS) for x in share]
+
+
+def test_tokens_are_those_of_plain_python(texts):
+    rows = [x for _, x in texts] + [" a  B\tc\x0b\x1cd ", "\n", "É é\x85x\u3000y"]
+    for most in (1 << 23, 10):
+        got = []
+        for part in words.parts_of(pa.array(rows), most):
+            own = words.words_of(part)
+            distinct = [bytes(x) for x in words.each_bytes(own.distinct)]
+            told = [distinct[k] for k in own.index]
+            got += [told[a : a + n] for a, n in zip(own.starts, own.counts)]
+        assert got == [(x or "").encode().lower().split() for x in rows]

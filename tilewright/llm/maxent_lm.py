@@ -1,97 +1,139 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-The probability of a word is that of its class, given the words before it, times that of the word within its class.
-The class factor is a softmax over hashed features: a bias, the word before (bigram), the words two and three before
-(skips), the classes of the two words before (trigram) and of the first and third before (skip). The word factor has
-the unigram feature alone, whose maximum-entropy solution is the word's share of its class, smoothed by one count with
-one count left for unknown words. Classes group word endings by the endings that stand next to them in training text.
+The probability of a word is that of its class given the words before it, times that of its group within the class given
+the same words, times its share of the group. Both factors are softmaxes over hashed features: a bias, the word before
+(bigram), the words two and three before (skips), the classes of the two words before (trigram) and of the first and
+third before (skip); in the second factor each is joined with the class. Classes put together word endings that stand
+next to the same endings in training text. The words of a class are dealt to its groups from the most frequent one on,
+each group with a like share of the class's tokens: the groups of frequent words hold one or a few words. The share is
+smoothed by one count for each word, and one is left for unknown words, which are in the last group.
 
 Counts and neighbours come from all training documents in one pass. Weights come from rounds of gradient updates: in
-each, tasks step through their share of the training documents from the common weights, and what they moved is
-averaged row by row. Every training document takes part in one round.
+each, tasks step through their documents from the common weights, and what they moved is averaged row by row. Every
+training document takes part in every round, with other stretches of its tokens. Rows of weights are in proportion to
+the words that training text holds often enough to be a context of their own, within LEAST_ROWS and MOST_ROWS.
+
+Words are known by 55 bits of their hash and 9 bits of their ending's hash: two of 10 million distinct words fall
+together with probability 0.001.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.byte_bpe import Recent
-from tilewright.llm.scratch import small_batches, stored
+from tilewright.llm.scratch import stored
+from tilewright.llm.words import each_bytes, gathered, words_of
 
-CLASSES, ENDINGS, ROWS = 32, 512, 1 << 15
-END = b"\n"  # no word holds white space
+CLASSES, GROUPS, ENDINGS = 32, 32, 512
 FEATURES = 6
-ROUNDS, STEP, BATCH = 3, 0.5, 4096
+ROUNDS, STEP, BATCH = 2, 0.5, 4096
+#: Tokens of a document that go to one round together.
+STRETCH = 64
+#: A word met so often is a context of its own; others count as one with the words of their ending.
+CONTEXT = 24
+LEAST_ROWS, MOST_ROWS = 1 << 14, 1 << 17
 SEGMENT = 1 << 10  # rows of the weights that move as one
 #: Words whose counts every task holds: at most so many, the most frequent ones. All others are joined.
 FREQUENT = 1 << 18
-#: Distinct words that a counting task holds before it gives them out.
-HELD = 400_000
-
+END = np.uint64(xxhash.xxh3_64_intdigest(b"\n") | ENDINGS - 1)  # no word holds white space
 
-def words_of(text: str | None) -> list[bytes]:
-    return [*(text or "").encode("utf-8", "replace").lower().split(), END]
 
+@dataclass
+class Tokens:
+    """The tokens of a batch of texts: words, and an end after each text."""
 
-def ending(word: bytes) -> int:
-    """The hash of a word's last two letters; the end has an ending of its own."""
-    if word == END:
-        return ENDINGS - 1
-    return xxhash.xxh3_64_intdigest(word.decode("utf-8", "replace").rstrip(".,;:!?|\"')")[-2:].encode()) % (ENDINGS - 1)
+    codes: np.ndarray  # of the distinct tokens; the end is the last
+    index: np.ndarray  # of each token in `codes`
+    counts: np.ndarray  # tokens of each text
 
+    @property
+    def begins(self) -> np.ndarray:
+        """Where each token's text begins."""
+        return np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
 
-def _code(word: bytes) -> int:
-    """A word's 40-bit hash above its ending."""
-    return (xxhash.xxh3_64_intdigest(word) >> 24) << 9 | ending(word)
 
+def endings(words: pa.StringArray) -> np.ndarray:
+    """The hash of each word's last two letters; the end alone has the last number."""
+    last = pc.utf8_slice_codeunits(pc.utf8_rtrim(words, ".,;:!?|\"')"), -2).dictionary_encode()
+    hashes = np.array([xxhash.xxh3_64_intdigest(x) % (ENDINGS - 1) for x in each_bytes(last.dictionary)], np.uint64)
+    return hashes[last.indices.to_numpy()]
 
-class Coder:
-    def __init__(self) -> None:
-        self.known = Recent(_code, 250_000)
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        return np.array([known[w] for w in words], np.int64)
+def tokens_of(texts: pa.Array) -> Tokens:
+    words = words_of(texts)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, each_bytes(words.distinct)), np.uint64, len(words.distinct))
+    codes = hashes & ~np.uint64(ENDINGS - 1) | endings(words.distinct) if len(hashes) else hashes
+    index = np.insert(words.index.astype(np.int64), np.cumsum(words.counts), len(codes))
+    return Tokens(np.append(codes, END), index, words.counts + 1)
 
 
-def history(values: np.ndarray, starts: np.ndarray, back: int) -> np.ndarray:
+def history(values: np.ndarray, begins: np.ndarray, back: int) -> np.ndarray:
     """values `back` places before, 0 where that is before the document's start."""
     out = np.zeros_like(values)
     out[back:] = values[:-back] if len(values) > back else values[:0]
-    out[np.arange(len(values)) - starts < back] = 0
+    out[np.arange(len(values)) - begins < back] = 0
     return out
 
 
-def features(codes: np.ndarray, starts: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of each token's features and its class. starts: where the token's document starts."""
-    own = classes[codes & (ENDINGS - 1)]
-    w = [history((codes >> 9) + 1, starts, k) for k in (1, 2, 3)]
-    c = [history(own + 1, starts, k) for k in (1, 2, 3)]
-    keys = [np.zeros_like(codes), w[0], w[1], w[2], c[0] * 64 + c[1], c[0] * 64 + c[2]]
-    rows = np.empty((len(codes), FEATURES), np.int32)
-    for k, key in enumerate(keys):
-        x = key.astype(np.uint64) * np.uint64(8) + np.uint64(k + 1)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        rows[:, k] = (x >> np.uint64(40)).astype(np.int64) % ROWS
-    return rows, own
+@dataclass
+class Words:
+    """What is known of the frequent words, sorted by code, and of the classes."""
+
+    classes: np.ndarray  # of each ending
+    codes: np.ndarray
+    counts: np.ndarray
+    groups: np.ndarray
+    contexts: np.ndarray  # a number of its own, or -1
+    room: np.ndarray  # by class and group: training tokens, distinct ones and in the last group one for what is unknown
+    rows: int  # of the weights
+
+    def of(self, tokens: Tokens) -> tuple[np.ndarray, ...]:
+        """Class, group, context and count of each distinct token; -1 is the count of those that aren't frequent."""
+        ending = (tokens.codes & np.uint64(ENDINGS - 1)).astype(np.int64)
+        group, context, count = np.full(len(ending), GROUPS - 1), np.full(len(ending), -1), np.full(len(ending), -1)
+        if len(self.codes):
+            at = np.minimum(np.searchsorted(self.codes, tokens.codes), len(self.codes) - 1)
+            known = self.codes[at] == tokens.codes
+            at = at[known]
+            group[known], context[known], count[known] = self.groups[at], self.contexts[at], self.counts[at]
+        return self.classes[ending], group, np.where(context < 0, ending, context + ENDINGS), count
+
+
+def features(words: Words, tokens: Tokens) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For the class and for the group: the rows of each token's features and which of its logits is the token's."""
+    of_class, of_group, of_context, _ = words.of(tokens)
+    own, group, begins = of_class[tokens.index], of_group[tokens.index], tokens.begins
+    context, before = of_context[tokens.index] + 1, own + 1
+    w = [history(context, begins, k) for k in (1, 2, 3)]
+    c = [history(before, begins, k) for k in (1, 2, 3)]
+    keys = [np.zeros_like(own), *w, c[0] * 64 + c[1], c[0] * 64 + c[2]]
+    out = []
+    for level, label in enumerate((own, group)):
+        rows = np.empty((len(own), FEATURES), np.int32)
+        for k, key in enumerate(keys):
+            x = (key * (CLASSES + 1) + (own + 1 if level else 0)).astype(np.uint64) * np.uint64(16) + np.uint64(k + 8 * level)
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            rows[:, k] = (x >> np.uint64(40)).astype(np.int32) & (words.rows - 1)
+        out.append((rows, label))
+    return out
 
 
-def class_log10(weights: np.ndarray, rows: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """log10 of each token's class probability, in batches."""
+def log10_of(weights: np.ndarray, rows: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """log10 of the softmax at each token's own logit, in batches."""
     out = np.empty(len(own))
     for k in range(0, len(own), BATCH):
         z = _logits(weights, rows[k : k + BATCH])
         z -= z.max(axis=1, keepdims=True)
-        y = own[k : k + BATCH]
-        out[k : k + BATCH] = (z[np.arange(len(y)), y] - np.log(np.exp(z).sum(axis=1))) / np.log(10)
+        mine = z[np.arange(len(z)), own[k : k + BATCH]].astype(float)
+        out[k : k + BATCH] = (mine - np.log(np.exp(z, out=z).sum(axis=1))) / np.log(10)
     return out
 
 
@@ -106,8 +148,8 @@ class Learner:
     """Gradient steps from the common weights; rows slow down as they gather gradients."""
 
     def __init__(self, weights: np.ndarray, step: float) -> None:
-        self.weights, self.step = weights.copy(), step
-        self.seen, self.square = np.zeros(ROWS, np.float32), np.full(ROWS, 1.0, np.float32)
+        self.weights, self.step = weights, step
+        self.seen, self.square = np.zeros(len(weights), np.float32), np.full(len(weights), 1.0, np.float32)
 
     def learn(self, rows: np.ndarray, own: np.ndarray) -> None:
         for k in range(0, len(own), BATCH):
@@ -123,7 +165,7 @@ class Learner:
             first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
             gradient = np.add.reduceat(z[order // FEATURES], first, axis=0)
             at = flat[first]
-            self.square[at] += (gradient * gradient).mean(axis=1) * 4
+            self.square[at] += np.einsum("ij,ij->i", gradient, gradient) * (4 / gradient.shape[1])
             self.weights[at] -= (self.step / np.sqrt(self.square[at]))[:, None] * gradient
             self.seen[at] += np.diff(np.r_[first, len(flat)])
 
@@ -149,120 +191,116 @@ def cluster_endings(near: np.ndarray) -> np.ndarray:
     return np.r_[near_to + 1, 0].astype(np.int64)
 
 
-@dataclass
-class ClassModel:
-    classes: np.ndarray  # of each ending
-    weights: np.ndarray
-    total: np.ndarray  # of each class: training tokens, distinct ones and one for what is unknown
-    tokens: int
-    distinct: int
-    frequent: dict[bytes, int]
-
-
-def batch_tokens(texts: Iterator[str | None], coder: Coder) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each text, then codes, document numbers and document starts of all tokens."""
-    words = [words_of(x) for x in texts]
-    lengths = np.array([len(w) for w in words], np.int64)
-    first = np.cumsum(lengths) - lengths
-    codes = coder([w for own in words for w in own])
-    return words, codes, np.repeat(np.arange(len(words)), lengths), np.repeat(first, lengths)
-
-
-def count_words(train: DataFrame) -> DataFrame:
-    """(word, code, n): tokens of the training texts with their endings, and, where word is null, neighbouring endings."""
+def count_words(texts: DataFrame) -> DataFrame:
+    """(kind, code, n): of kind 0 the tokens of the texts, of kind 1 neighbouring endings."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, near, endings = Counter(), np.zeros(ENDINGS * ENDINGS, np.int64), Recent(ending, 250_000)
-
-        def given() -> pd.DataFrame:
-            out = pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in words], "code": [endings[w] for w in words], "n": [*words.values()]})
-            words.clear()
-            return out
-
-        for batch in batches:
-            for text in batch["text"]:
-                own = words_of(text)
-                words.update(own)
-                e = np.array([endings[w] for w in own], np.int64)
-                near += np.bincount(e[:-1] * ENDINGS + e[1:], minlength=len(near)) if len(e) > 512 else 0
-                if len(e) <= 512:
-                    np.add.at(near, e[:-1] * ENDINGS + e[1:], 1)
-            if len(words) > HELD:
-                yield given()
-        yield given()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = np.zeros(ENDINGS * ENDINGS, np.int64)
+        for batch in gathered(batches, "text"):
+            tokens = tokens_of(batch["text"])
+            ending = (tokens.codes & np.uint64(ENDINGS - 1)).astype(np.int64)[tokens.index]
+            inside = tokens.index[:-1] < len(tokens.codes) - 1  # what follows an end is of the next text
+            near += np.bincount((ending[:-1] * ENDINGS + ending[1:])[inside], minlength=len(near))
+            yield told(0, tokens.codes.view(np.int64), np.bincount(tokens.index, minlength=len(tokens.codes)))
         at = np.flatnonzero(near)
-        yield pd.DataFrame({"word": pd.Series([None] * len(at), dtype=object), "code": at, "n": near[at]})
+        yield told(1, at, near[at])
 
-    return train.select("text").mapInPandas(count, "word string, code long, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
+    def told(kind: int, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(code), kind, np.int8)), pa.array(code), pa.array(n)], ["kind", "code", "n"])
 
+    return texts.mapInArrow(count, "kind byte, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
 
-def gradient_round(texts: DataFrame, weights: np.ndarray, classes: np.ndarray, step: float) -> np.ndarray:
+
+def gradient_round(texts: DataFrame, words: Words, weights: np.ndarray, turn: int) -> np.ndarray:
     """One round: tasks learn from their texts; each row of the weights moves by the mean of the tasks' moves, weighed
     by how often each met the row."""
-    held = texts.sparkSession.sparkContext.broadcast((weights, classes))  # of fixed size
-
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common, own_classes = held.value
-        learner, coder = Learner(common, step), Coder()
-        for batch in batches:
-            _, codes, _, starts = batch_tokens(batch["text"], coder)
-            learner.learn(*features(codes, starts, own_classes))
-        moved = (learner.weights - common) * learner.seen[:, None]
-        for k in range(0, ROWS, SEGMENT):
-            seen = learner.seen[k : k + SEGMENT]
-            if seen.any():
-                yield pd.DataFrame([(k // SEGMENT, seen.tobytes(), moved[k : k + SEGMENT].tobytes())], columns=["segment", "seen", "moved"])
-
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = texts.sparkSession.sparkContext.broadcast((words, weights.astype(np.float16)))  # of bounded size
+    step = STEP / (turn + 1)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, common = held.value
+        learner = Learner(common.astype(np.float32), step)
+        for batch in gathered(batches, "text"):
+            tokens = tokens_of(batch["text"])
+            mine = (np.arange(len(tokens.index)) - tokens.begins) // STRETCH % ROUNDS == turn
+            for rows, own in features(words, tokens):
+                learner.learn(rows[mine], own[mine])
+        for k in range(0, words.rows, SEGMENT):
+            at = np.flatnonzero(learner.seen[k : k + SEGMENT])
+            if len(at):
+                moved = learner.weights[k + at] - common[k + at]
+                parts = at.astype(np.uint16), learner.seen[k + at], moved.astype(np.float16)
+                yield pa.RecordBatch.from_arrays([pa.array([k // SEGMENT]), *[pa.array([x.tobytes()], pa.binary()) for x in parts]], ["segment", "at", "seen", "moved"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for segment, seen, moved in batch.itertuples(index=False):
-                both = np.frombuffer(seen, np.float32).astype(float), np.frombuffer(moved, np.float32).astype(float)
-                mine = sums.setdefault(segment, [np.zeros(SEGMENT), np.zeros(SEGMENT * CLASSES)])
-                mine[0] += both[0]
-                mine[1] += both[1]
-        rows = [(k, (m.reshape(SEGMENT, CLASSES) / np.maximum(s, 1)[:, None]).astype(np.float32).tobytes()) for k, (s, m) in sums.items()]
-        yield pd.DataFrame(rows, columns=["segment", "moved"])
-
-    parts = texts.mapInPandas(learn, "segment long, seen binary, moved binary").repartition(ROWS // SEGMENT, F.col("segment"))
+            for segment, at, seen, moved in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                times, total = sums.setdefault(segment, [np.zeros(SEGMENT), np.zeros((SEGMENT, CLASSES))])
+                at, seen = np.frombuffer(at, np.uint16), np.frombuffer(seen, np.float32)
+                times[at] += seen
+                total[at] += np.frombuffer(moved, np.float16).reshape(-1, CLASSES).astype(float) * seen[:, None]
+        moved = [(total / np.maximum(times, 1)[:, None]).astype(np.float16).tobytes() for times, total in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int64()), pa.array(moved, pa.binary())], ["segment", "moved"])
+
+    parts = texts.mapInArrow(learn, "segment long, at binary, seen binary, moved binary").repartition(words.rows // SEGMENT, F.col("segment"))
     weights = weights.copy()
-    for segment, moved in parts.mapInPandas(merge, "segment long, moved binary").collect():
-        weights[segment * SEGMENT : (segment + 1) * SEGMENT] += np.frombuffer(bytes(moved), np.float32).reshape(SEGMENT, CLASSES)
+    for segment, moved in parts.mapInArrow(merge, "segment long, moved binary").collect():  # as large as the weights
+        weights[segment * SEGMENT : (segment + 1) * SEGMENT] += np.frombuffer(bytes(moved), np.float16).reshape(SEGMENT, CLASSES).astype(np.float32)
+    held.destroy()
     return weights
 
 
-def train(docs: DataFrame, id_col: str, text_col: str) -> tuple[ClassModel, DataFrame]:
-    """The model and the table (word, n) of all training tokens."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(ROUNDS)).alias("round"))
+def deal_groups(of_class: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """The group of each frequent word: by how much of its class's tokens more frequent words hold."""
+    order = np.lexsort((-counts, of_class))
+    ends = np.cumsum(counts[order])
+    first = np.searchsorted(of_class[order], np.arange(CLASSES))
+    before = np.append(0, ends)[first]
+    share = (ends - counts[order] - before[of_class[order]]) / np.maximum(totals[of_class[order]], 1)
+    groups = np.empty(len(counts), np.int64)
+    groups[order] = np.minimum((share * GROUPS).astype(np.int64), GROUPS - 1)
+    return groups
+
+
+def train(texts: DataFrame) -> tuple[Words, np.ndarray, DataFrame, int, int]:
+    """From texts(text): what is known of words, the weights, the table (code, n) of words that aren't frequent, and how
+    many tokens and distinct tokens there are."""
     counts = stored(count_words(texts), "counts")
     near = np.zeros((ENDINGS, ENDINGS))
-    for code, n in counts.where("word IS NULL").select("code", "n").collect():  # at most ENDINGS ** 2 rows
+    for code, n in counts.where("kind = 1").select("code", "n").collect():  # at most ENDINGS ** 2 rows
         near[divmod(code, ENDINGS)] = n
-    words = counts.where("word IS NOT NULL")
     classes = cluster_endings(near)
+    words = counts.where("kind = 0").select("code", "n")
     of_endings = np.zeros((ENDINGS, 2), np.int64)
-    for code, n, v in words.groupBy("code").agg(F.sum("n"), F.count(F.lit(1))).collect():  # at most ENDINGS rows
-        of_endings[code] = n, v
-    total = np.bincount(classes, of_endings.sum(axis=1), CLASSES) + 1
+    for ending, n, v in words.groupBy((F.col("code").bitwiseAND(ENDINGS - 1)).alias("ending")).agg(F.sum("n"), F.count(F.lit(1))).collect():  # at most ENDINGS rows
+        of_endings[ending] = n, v
     powers = range(41)
     above = words.agg(*[F.count_if(F.col("n") >= 1 << k) for k in powers]).first()
     least = next(1 << k for k in powers if above[k] <= FREQUENT or k == 40)
-    frequent = {w.encode(): n for w, n in words.where(F.col("n") >= least).select("word", "n").toLocalIterator()}
-    weights = np.zeros((ROWS, CLASSES), np.float32)
-    for k in range(ROUNDS):
-        weights = gradient_round(texts.where(F.col("round") == k).select("text"), weights, classes, STEP / (k + 1))
+    found = words.where(F.col("n") >= least).toPandas()  # at most FREQUENT rows
+    codes = found["code"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(codes)
+    codes, n = codes[order], found["n"].to_numpy(np.int64)[order]
+    of_class = classes[(codes & np.uint64(ENDINGS - 1)).astype(np.int64)]
+    totals = np.bincount(classes, of_endings[:, 0], CLASSES)
+    groups = deal_groups(of_class, n, totals)
+    room = np.bincount(of_class * GROUPS + groups, n + 1, CLASSES * GROUPS).reshape(CLASSES, GROUPS).astype(float)
+    room[:, -1] += np.bincount(classes, of_endings.sum(axis=1), CLASSES) - room.sum(axis=1) + 1  # words that aren't frequent, and what is unknown
+    contexts = np.where(n >= CONTEXT, np.cumsum(n >= CONTEXT) - 1, -1)
+    rows = int(np.clip(1 << int(np.ceil(np.log2(1 + 8 * (contexts.max(initial=0) + 1)))), LEAST_ROWS, MOST_ROWS))
+    known = Words(classes, codes, n, groups, contexts, np.maximum(room, 1), rows)
+    weights = np.zeros((rows, CLASSES), np.float32)
+    for turn in range(ROUNDS):
+        weights = gradient_round(texts, known, weights, turn)
     tokens, distinct = of_endings.sum(axis=0).tolist()
-    return ClassModel(classes, weights, total, tokens, distinct, frequent), words.where(F.col("n") < least).select("word", "n")
+    return known, weights, words.where(F.col("n") < least), tokens, distinct
 
 
 def held_out_column(id_column: Column, folds: int = 7, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string")) % folds == fold, F.lit(False))
 
 
-SCORED = "n_tokens long, n_known long, counts double, class_part double, rare array<struct<word:string,n:long>>"
-
-
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
@@ -273,45 +311,44 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     each by itself. Other columns play no part. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark, 256)
     held_out = held_out_column(F.col(id_col))
-    model, rare_words = train(docs.where(~held_out), id_col, text_col)
-    held = spark.sparkContext.broadcast(model)  # at most FREQUENT words and the weights
-
-    @F.pandas_udf(SCORED)
-    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own, coder = held.value, Coder()
-        logs = {w: np.log10(n + 1) for w, n in own.frequent.items()}
-        room = np.log10(own.total)
-        for batch in texts:
-            words, codes, doc, starts = batch_tokens(batch, coder)
-            rows, classes = features(codes, starts, own.classes)
-            part = np.bincount(doc, class_log10(own.weights, rows, classes) - room[classes], len(words))
-            out = []
-            for w, x in zip(words, part.tolist(), strict=True):
-                found = [logs[y] for y in w if y in logs]
-                rest = Counter([y for y in w if y not in logs]) if len(found) < len(w) else {}
-                out.append((len(w), len(found), float(np.sum(found)), x, [{"word": y.decode("utf-8", "replace"), "n": n} for y, n in rest.items()]))
-            yield pd.DataFrame(out, columns=["n_tokens", "n_known", "counts", "class_part", "rare"])
-
-    made = stored(
-        docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.monotonically_increasing_id().alias("row"), scored(F.col(text_col)).alias("s")).select("id", "held_out", "row", "s.*"),
-        "scored",
-    )
-    rare = (
+    words, weights, rare_words, n_tokens, n_distinct = train(docs.where(~held_out).select(F.col(text_col).alias("text")))
+    held = spark.sparkContext.broadcast((words, weights.astype(np.float16)))  # at most FREQUENT words and the weights
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, weights = held.value
+        weights, room = weights.astype(np.float32), np.log10(words.room)
+        for batch in gathered(batches, "text"):
+            tokens = tokens_of(batch["text"])
+            of_class, of_group, _, count = words.of(tokens)
+            level = sum(log10_of(weights, rows, own) for rows, own in features(words, tokens)) - room[of_class, of_group][tokens.index]
+            known = count[tokens.index] >= 0
+            doc = np.repeat(np.arange(len(batch)), tokens.counts)
+            logs = np.where(count < 0, 0.0, np.log10(np.maximum(count, 0) + 1))
+            sums = [np.bincount(doc, x, len(batch)) for x in (known, logs[tokens.index], level)]
+            pairs, times = np.unique(doc[~known] * len(tokens.codes) + tokens.index[~known], return_counts=True)
+            ends = np.searchsorted(pairs, np.arange(len(batch) + 1) * len(tokens.codes))
+            rare = pa.StructArray.from_arrays([pa.array(tokens.codes[pairs % len(tokens.codes)].view(np.int64)), pa.array(times)], ["code", "times"])
+            columns = [batch["id"], batch["held_out"], pa.array(tokens.counts), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)], ["id", "held_out", "n_tokens", "n_known", "counts", "level", "rare"])
+
+    rows = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
+    made = rows.mapInArrow(score, f"id {kind}, held_out boolean, n_tokens long, n_known long, counts double, level double, rare array<struct<code:long,times:long>>")
+    made = stored(made.withColumn("row", F.monotonically_increasing_id()), "scored")
+    more = (
         made.select("row", F.inline("rare"))
-        .withColumnRenamed("n", "times")
-        .join(rare_words, "word")
+        .join(rare_words, "code")
         .groupBy("row")
         .agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_counts"))
     )
     counts = F.col("counts") + F.coalesce("more_counts", F.lit(0.0))
-    return made.drop("rare").join(rare, "row", "left").select(
+    return made.drop("rare").join(more, "row", "left").select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (counts - F.col("n_tokens") * F.lit(float(np.log10(model.tokens + model.distinct + 1)))).alias("base_score"),
-        (counts + F.col("class_part")).alias("score"),
+        F.lit(n_tokens).cast("long").alias("train_tokens"),
+        (counts - F.col("n_tokens") * F.lit(float(np.log10(n_tokens + n_distinct + 1)))).alias("base_score"),
+        (counts + F.col("level")).alias("score"),
     )

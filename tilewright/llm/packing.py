@@ -95,7 +95,7 @@ def chunk_tokenizer(path: str) -> ChunkTokenizer:
 def text_ids(texts: pa.Array, tokenizer: ChunkTokenizer, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, each with end_id after it, and how many each has."""
     words = words_of(texts)
-    packed = tokenizer.ids_of(words.distinct.to_pylist())
+    packed = tokenizer.ids_of(words.distinct.cast(pa.binary()).to_pylist())
     flat = np.frombuffer(b"".join([*packed, array("I", [end_id]).tobytes()]), "<u4")
     sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
     begins = np.append(np.cumsum(sizes) - sizes, len(flat) - 1)

@@ -19,7 +19,7 @@ class Words:
 
     index: np.ndarray  # of each word in `distinct`
     counts: np.ndarray  # words of each text
-    distinct: pa.Array  # binary
+    distinct: pa.StringArray
 
     @property
     def starts(self) -> np.ndarray:
@@ -68,8 +68,8 @@ def words_of(texts: pa.Array, lower: bool = True) -> Words:
     coded = lists.flatten().dictionary_encode()
     index = coded.indices.to_numpy(zero_copy_only=False)
     counts = np.diff(lists.offsets.to_numpy(zero_copy_only=False))
-    distinct = coded.dictionary.cast(pa.binary())
-    empty = pc.index(distinct, pa.scalar(b"", distinct.type)).as_py()  # at the ends of texts
+    distinct = coded.dictionary
+    empty = pc.index(distinct, pa.scalar("", distinct.type)).as_py()  # at the ends of texts
     if empty >= 0:
         kept = index != empty
         texts_of = np.repeat(np.arange(len(counts)), counts)
@@ -78,7 +78,7 @@ def words_of(texts: pa.Array, lower: bool = True) -> Words:
 
 
 def each_bytes(values: pa.Array) -> Iterator[memoryview]:
-    """The values of a binary array without copies."""
+    """The bytes of the values of a string or binary array, without copies."""
     ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].tolist()
     data = memoryview(values.buffers()[2] or b"")
     return (data[a:b] for a, b in zip(ends, ends[1:], strict=False))
