@@ -180,6 +180,38 @@ def test_op8_over_pages(spark):
     assert all(got[p["page_id"]]["refers_to"] == (None if least[p["html"] or ""] == p["page_id"] else least[p["html"] or ""]) for p in pages)
 
 
+def test_op8_over_odd_pages(spark, tmp_path):
+    """Nulls, repeated identifiers and an empty table, through the query."""
+    kind = "page_id long, url string, html string, record_type string"
+    rows = [(None, "u", "a", "x"), (None, None, None, "x"), (4, "u", "a", "x"), (4, "v", "a", "x"), (7, "u", "a", "x"), (4, "u", "b", "x"), (9, "u", "", "x")]
+    spark.createDataFrame(rows, kind).repartition(3).write.parquet(f"{tmp_path}/some/pages.parquet")
+    got = sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"] or 0) for r in registry.op8_warc(spark, f"{tmp_path}/some").collect())
+    assert got == [(0, 0, "response", 0), (0, 1, "response", 0), (4, 1, "response", 0), (4, 1, "response", 0), (4, 1, "response", 0), (7, 1, "revisit", 4), (9, 0, "response", 0)]
+    spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/none/pages.parquet")
+    assert registry.op8_warc(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_reader_takes_foreign_records(monkeypatch):
+    """Records of other kinds and makers, read in small steps."""
+    monkeypatch.setattr(warc, "STEP_BYTES", 7)
+    monkeypatch.setattr(warc, "READ_BYTES", 11)
+
+    def record(fields, block):
+        return gzip.compress("\r\n".join(["WARC/1.0", *fields, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n0\r\n\r\n"
+    raw = record(["WARC-Type: warcinfo", "Content-Type: application/warc-fields"], b"software: x\r\n")
+    raw += record(["WARC-Type: response", "WARC-Record-ID: <urn:a>", "Content-Type: application/http;msgtype=response", "WARC-Payload-Digest: sha1:" + "A" * 32], http)
+    raw += record(["WARC-Type: metadata", "WARC-Record-ID: <urn:b>", "WARC-Block-Digest: md5:00"], b"z" * 100_000)
+    raw += record(["WARC-Type: revisit", "WARC-Refers-To: <urn:a>", "Content-Type: application/http"], b"HTTP/1.1 200 OK\r\n\r\n")
+    got = [*warc.read_records(io.BytesIO(raw))]
+    assert [r[1] for r in got] == ["warcinfo", "response", "metadata", "revisit"]
+    assert [r[5] for r in got] == [13, 13, 100_000, None]
+    assert [r[4] for r in got] == [None, None, None, "urn:a"]
+    assert got[2][6] == warc.base32_sha1(b"z" * 100_000)
+    assert [r[0] for r in got] == [0, *[k for k in range(1, len(raw)) if raw[k : k + 3] == b"\x1f\x8b\x08"]]
+
+
 def test_reader_refuses_damage():
     record = warc.record_bytes("response", "urn:page:1", "u", b"payload", warc.base32_sha1(b"payload"), None)
     assert [r[-1] for r in warc.read_records(io.BytesIO(record * 2))] == [b"payload"] * 2

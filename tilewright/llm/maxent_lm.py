@@ -40,7 +40,7 @@ STRETCH = 64
 #: A word met so often is a context of its own; others count as one with the words of their ending.
 CONTEXT = 24
 LEAST_ROWS, MOST_ROWS = 1 << 14, 1 << 17
-SEGMENT = 1 << 10  # rows of the weights that move as one
+SEGMENT = 1 << 12  # rows of the weights that move as one
 #: Words whose counts every task holds: at most so many, the most frequent ones. All others are joined.
 FREQUENT = 1 << 18
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n") | ENDINGS - 1)  # no word holds white space

@@ -117,7 +117,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.llm.warc import read_archives, write_archives
 
     records = read_archives(write_archives(table(spark, sf_dir, "pages"), min_bytes=0))
-    page = lambda urn: F.replace(urn, F.lit("urn:page:")).cast("long")
+    page = lambda urn: F.replace(urn, F.lit("urn:page:")).try_cast("long")  # noqa: E731  null for a page without identifier
     return records.select(
         page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to")
     )

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tilewright.llm.scratch import new_folder, small_batches, stored
 
 ARCHIVE_BYTES = 64 << 20
-READ_BYTES = 1 << 20
+READ_BYTES = STEP_BYTES = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 ENTRY = "archive string, offset long, stored_bytes long, page_id string, record_type string"
 RECORD = "archive string, offset long, record_type string, record_id string, target_uri string, refers_to string, payload_bytes long, payload_digest string, payload binary"
@@ -62,17 +62,19 @@ class Members:
 
 class Member:
     def __init__(self, members: Members) -> None:
-        self.members, self.inflate, self.held, self.taken = members, zlib.decompressobj(31), bytearray(), 0
+        self.members, self.inflate, self.held, self.taken, self.more = members, zlib.decompressobj(31), bytearray(), 0, False
 
     def _fill(self) -> bool:
-        """Decompresses a step more; False at the member's end."""
+        """Decompresses at most STEP_BYTES more; False at the member's end."""
         if self.inflate.eof:
             return False
-        if not self.members.left and not self.members._more():
+        if not self.more and not self.members.left and not self.members._more():
             raise ValueError("the archive ends within a record")
         before = len(self.members.left)
-        self.held += self.inflate.decompress(self.members.left)
-        self.members.left = self.inflate.unused_data
+        out = self.inflate.decompress(self.members.left, STEP_BYTES)
+        self.more = len(out) == STEP_BYTES  # zlib may hold back what is beyond, even with nothing left to read
+        self.members.left = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+        self.held += out
         self.taken += before - len(self.members.left)
         return True
 
@@ -90,7 +92,7 @@ class Member:
 
     def skip(self) -> None:
         while self._fill():
-            pass
+            self.held.clear()
 
     def _take(self, n: int) -> bytes:
         out = bytes(self.held[:n])
@@ -103,25 +105,43 @@ def headers(raw: bytes) -> tuple[str, dict[str, str]]:
     return first, {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in rest)}
 
 
+def _checked(data: bytes, stated: str | None, what: str, offset: int) -> str:
+    """The base32 SHA-1 of data, which must be the stated one; digests of other kinds are not compared."""
+    digest = base32_sha1(data)
+    kind, _, value = (stated or "").partition(":")
+    if kind.lower() == "sha1" and len(value) == len(digest) and value.upper() != digest:
+        raise ValueError(f"{what} doesn't match its digest at {offset}")
+    return digest
+
+
 def read_records(stream: io.RawIOBase) -> Iterator[tuple]:
-    """Records in order, as RECORD without its archive: framed by Content-Length, with both digests verified (a
-    revisit's payload digest is that of the full payload, which it doesn't hold)."""
+    """Records of any kind in order, as RECORD without its archive: framed by Content-Length, with the digests verified
+    that they state (a revisit's payload digest is that of the full payload, which it doesn't hold). Records of HTTP
+    messages have as payload what stands after the HTTP header, others their whole block. A revisit without a stated
+    digest or length has null there; so have records without identifier or address."""
     for offset, member in Members(stream):
         version, head = headers(member.until(b"\r\n\r\n"))
-        if not version.startswith("WARC/"):
+        if not version.startswith("WARC/") or "content-length" not in head:
             raise ValueError(f"no WARC record at {offset}")
         block = member.exactly(int(head["content-length"]))
         if member.exactly(4) != b"\r\n\r\n":
             raise ValueError(f"a record's end is missing at {offset}")
-        if head["warc-block-digest"] != f"sha1:{base32_sha1(block)}":
-            raise ValueError(f"a block doesn't match its digest at {offset}")
-        http, _, payload = block.partition(b"\r\n\r\n")
-        digest, revisit = head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"] == "revisit"
-        size = int(headers(http)[1]["content-length"])
-        if not revisit and (base32_sha1(payload) != digest or len(payload) != size):
-            raise ValueError(f"a payload doesn't match its digest at {offset}")
-        refers = head.get("warc-refers-to")
-        yield offset, head["warc-type"], head["warc-record-id"].strip("<>"), head["warc-target-uri"], refers and refers.strip("<>"), size, digest, None if revisit else payload
+        if "warc-block-digest" in head:
+            _checked(block, head["warc-block-digest"], "a block", offset)
+        kind, stated = head.get("warc-type"), head.get("warc-payload-digest")
+        fields, payload = {}, block
+        if head.get("content-type", "").startswith("application/http"):
+            start, _, payload = block.partition(b"\r\n\r\n")
+            fields = headers(start)[1]
+        length = int(fields["content-length"]) if fields.get("content-length", "").isdigit() else None
+        refers, record_id = head.get("warc-refers-to"), head.get("warc-record-id")
+        if kind == "revisit":
+            size, digest, payload = length, stated and stated.partition(":")[2], None
+        else:
+            if length is not None and kind == "response" and length != len(payload):
+                raise ValueError(f"a payload doesn't match its length at {offset}")
+            size, digest = len(payload), _checked(payload, None if "transfer-encoding" in fields else stated, "a payload", offset)
+        yield offset, kind, record_id and record_id.strip("<>"), head.get("warc-target-uri"), refers and refers.strip("<>"), size, digest, payload
 
 
 def record_urn(page_id: object) -> str:
@@ -203,4 +223,4 @@ def read_archives(index: DataFrame) -> DataFrame:
     small_batches(index.sparkSession)
     archives = index.select("archive").distinct()
     tasks = max(1, archives.count())  # a number of its own: their names are so few bytes that all would become one task
-    return archives.repartition(tasks, "archive").mapInPandas(read, RECORD)
+    return archives.repartitionByRange(tasks, "archive").mapInPandas(read, RECORD)
