@@ -2,10 +2,11 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tilewright.llm import bloom
 from tilewright.llm.components import connected_components
-from tilewright.llm.exact_dedup import exact_dedup
+from tilewright.llm.exact_dedup import exact_dedup, merge_round
 from tilewright.llm.line_dedup import line_dedup
 
 
@@ -36,6 +37,17 @@ def test_exact_dedup_over_many_runs(spark):
     assert got == 1 + len({k % 700 for k in range(4000) if k % 3})
 
 
+def test_exact_dedup_merges_sorted_runs(spark):
+    """A round sorts once and merges by a window; the optimizer puts no aggregate in its place."""
+    runs = spark.range(100).selectExpr("CAST(id % 4 AS INT) AS node", "unhex(sha2(CAST(id % 30 AS STRING), 256)) AS digest", "3 AS n_bytes", "id % 30 AS second", "id AS keep_id", "1L AS group_size")
+    runs = runs.groupBy("node", "digest", "n_bytes", "second").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    level = merge_round(merge_round(runs, "largest"), "largest")
+    assert {(r["second"], r["keep_id"], r["group_size"]) for r in level.collect()} == {(k, k + 90 if k < 10 else k + 60, 4 if k < 10 else 3) for k in range(30)}
+    plan = level._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("HashAggregate")]  # of the runs themselves
+    assert above.count("Window ") == above.count("Sort ") == 2
+
+
 def brute_lines(texts, least=10):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
     held = defaultdict(set)

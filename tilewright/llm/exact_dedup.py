@@ -1,21 +1,22 @@
 """Exact dedup by a tree-merge of sorted digest runs, in DataFrame functions only.
 
-Every input partition is a run of digests. In each round a node of the tree takes the runs of FAN_IN nodes below it,
-merges them by digest and keeps, for each verified text, the identifier that stays and the number of rows. The root
-round holds every text once, dealt over tasks by digest, so no task ever holds the whole tree. The winners then go
-back to the runs, so that a text that makes up a third of all rows is met once a run and never in one task.
+Every input partition is a run of digests: each of its texts once, with the identifier that stays and the number of its
+rows. Runs meet in binomial rounds: in round r the nodes whose number has bit r set hand their runs to the nodes without
+it. Both runs are put in order by the texts' verified identity and merged side by side in one pass over the sorted rows;
+of a text that both hold, the identifier that stays is retained and the numbers of rows are added up. The root holds
+every text once. A node's run is dealt over tasks by digest, so no task ever holds a whole run, and a merge meets two
+rows of a text at most. The winners then go back to the runs, so that a text that makes up a third of all rows is met
+once a run and never in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tilewright.llm.scratch import stored
 
-FAN_IN = 8
 #: A text is known by its SHA-256 and verified by its length and a second, unrelated hash.
 IDENTITY = ["digest", "n_bytes", "second"]
 
@@ -31,15 +32,15 @@ def digest_runs(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     )
 
 
-def merge_round(runs: DataFrame, keep: Callable) -> DataFrame:
-    """One round: nodes 8k..8k+7 hand their sorted runs to node k, which merges them."""
-    return (
-        runs.withColumn("node", F.shiftright("node", FAN_IN.bit_length() - 1))
-        .repartition("node", "digest")
-        .sortWithinPartitions("node", *IDENTITY)
-        .groupBy("node", *IDENTITY)
-        .agg(keep("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    )
+def merge_round(runs: DataFrame, keep: str) -> DataFrame:
+    """One round: nodes 2k and 2k + 1 bring their runs (node, identity, keep_id, group_size) together at node k. Rows of
+    a text stand next to each other in the sorted order, that with the identifier that stays first."""
+    best = F.col("keep_id").asc_nulls_last() if keep == "smallest" else F.col("keep_id").desc_nulls_last()
+    met = runs.withColumn("node", F.shiftright("node", 1)).repartition("node", "digest").sortWithinPartitions("node", *IDENTITY, best)
+    text = Window.partitionBy("node", *IDENTITY).orderBy(best)
+    both = text.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    merged = met.withColumns({"place": F.row_number().over(text), "group_size": F.sum("group_size").over(both)})
+    return merged.where("place = 1").drop("place")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
@@ -56,7 +57,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = (rows.agg(F.max("run")).first()[0] or 0) + 1
     level = leaves
     while nodes > 1:
-        level, nodes = merge_round(level, best), -(-nodes // FAN_IN)
+        level, nodes = merge_round(level, keep), (nodes + 1) // 2
     winners = level.drop("node")
     by_run = leaves.select("node", *IDENTITY).join(winners, IDENTITY).withColumnRenamed("node", "run")
     return rows.join(by_run, ["run", *IDENTITY]).select(
