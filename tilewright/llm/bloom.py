@@ -13,16 +13,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PROBES = 3
 SEGMENT = 1 << 16  # bytes
-#: The filter that each task reads never exceeds 2**MAX_BITS bits (64 MiB); beyond, only more suspects are confirmed.
+#: One filter never exceeds 2**MAX_BITS bits (64 MiB): beyond, hashes are parted by range and each range has its own.
 MIN_BITS, MAX_BITS = 20, 29
 BITS_A_HASH = 24
 
 
+def ranges_for(n_hashes: int, most: int = MAX_BITS) -> int:
+    """Ranges of hashes, so that a filter of at most 2**most bits has BITS_A_HASH for each hash of its range."""
+    return max(1, -(-n_hashes * BITS_A_HASH >> most))
+
+
+def range_of(hashes: Column, ranges: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(hashes, 40), F.lit(ranges)).cast("int")
+
+
 def bits_for(n_hashes: int, most: int = MAX_BITS) -> int:
     return int(np.clip(np.ceil(np.log2(max(1, n_hashes) * BITS_A_HASH)), MIN_BITS, most))
 
@@ -93,3 +102,25 @@ def filter_of(hashes: DataFrame, bits: int) -> np.ndarray:
         yield pd.DataFrame(seen.segments(), columns=["segment", "once", "twice"])
 
     return twice_seen(hashes.mapInPandas(fill_all, "segment long, once binary, twice binary"), bits)
+
+
+def maybe_among(ids: DataFrame, hashed: Column) -> Column:
+    """A filter that lets through every row whose `hashed` is the hash of one of `ids` (one column of identifiers), and
+    few others, so that only those rows of a large table shuffle. The filters of ranges are kept apart, each bounded."""
+    n = ids.count()
+    ranges = ranges_for(n)
+    bits = bits_for(-(-n // ranges))
+    hashes = ids.select(F.xxhash64(ids.columns[0]).alias("h"))
+    held = [ids.sparkSession.sparkContext.broadcast(filter_of(hashes.where(range_of(F.col("h"), ranges) == k), bits)) for k in range(ranges)]
+
+    def among(k: int) -> Column:
+        @F.pandas_udf("boolean")
+        def one(hashes: pd.Series) -> pd.Series:
+            return pd.Series(holds(held[k].value, probes(hashes.to_numpy().view(np.uint64), bits)))
+
+        return one(hashed)
+
+    found = among(0)
+    for k in range(1, ranges):
+        found = F.when(range_of(hashed, ranges) == k, among(k)).otherwise(found)
+    return found

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.scratch import stored
+from tilewright.llm.scratch import drop_stored, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,4 +37,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
             roots = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
             return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
         mark = now
-        edges = stored(_tidy(_small_star(_tidy(_large_star(edges)))), "edges")
+        before, edges = edges, stored(_tidy(_small_star(_tidy(_large_star(edges)))), "edges")
+        drop_stored(before)

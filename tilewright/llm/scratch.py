@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of this process that are deleted when its JVM ends.
+_MADE: set[str] = set()
+
+
 @functools.cache
 def _local_root() -> str:
     return "file://" + tempfile.mkdtemp(prefix="tilewright-")
@@ -25,17 +29,39 @@ def shared_root(spark: SparkSession) -> str:
     return _local_root()
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/tilewright/{label}-{uuid.uuid4().hex}"
+    """A folder for intermediate tables, under one of the application's own that goes when the JVM ends."""
+    home = f"{shared_root(spark)}/tilewright/{spark.sparkContext.applicationId}"
+    if home not in _MADE:
+        files, at = _files(spark, home)
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        _MADE.add(home)
+    return f"{home}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: later steps never recompute what is before it."""
+def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: later steps never recompute what is before it.
+    by: a last column that parts the files, so that reading one of its values reads its files alone."""
     path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(df: DataFrame) -> None:
+    """Deletes a table that stored() returned and nothing reads any more."""
+    for path in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        files, at = _files(df.sparkSession, path)
+        if any(path.startswith(home) for home in _MADE):
+            files.delete(at, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Keeps the Arrow batches of whole texts small; a smaller setting of the session stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
