@@ -2,8 +2,8 @@
 
 The probability of a word is that of its class given the words before it, times that of its group within the class given
 the same words, times its share of the group. Both factors are softmaxes over hashed features: a bias, the word before
-(bigram), the words two and three before (skips), the classes of the two words before (trigram) and of the first and
-third before (skip); in the second factor each is joined with the class. Classes put together word endings that stand
+(bigram), the classes of the two words before (trigram), the words two and three before (skips) and the classes of the
+first and third before (skip); in the second factor the first four of them, each joined with the class. Classes put together word endings that stand
 next to the same endings in training text. The words of a class are dealt to its groups from the most frequent one on,
 each group with a like share of the class's tokens: the groups of frequent words hold one or a few words. The share is
 smoothed by one count for each word, and one is left for unknown words, which are in the last group.
@@ -30,17 +30,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm.scratch import stored
-from tilewright.llm.words import each_bytes, gathered, words_of
+from tilewright.llm.words import each_bytes, gathered, spans, words_of
 
 CLASSES, GROUPS, ENDINGS = 32, 32, 512
-FEATURES = 6
-ROUNDS, STEP, BATCH = 2, 0.5, 4096
+FEATURES = (6, 4)  # of the class and of the group: the first ones of the list
+ROUNDS, STEP, BATCH = 2, 0.5, 8192
 #: Tokens of a document that go to one round together.
 STRETCH = 64
+#: Runs of equal features in a batch that are added up row by row.
+SHORT = 6
 #: A word met so often is a context of its own; others count as one with the words of their ending.
 CONTEXT = 24
-LEAST_ROWS, MOST_ROWS = 1 << 14, 1 << 17
-SEGMENT = 1 << 12  # rows of the weights that move as one
+LEAST_ROWS, MOST_ROWS = 1 << 12, 1 << 16  # numbers of 16 bits sort fastest
+SEGMENT = 1 << 11  # rows of the weights that move as one
 #: Words whose counts every task holds: at most so many, the most frequent ones. All others are joined.
 FREQUENT = 1 << 18
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n") | ENDINGS - 1)  # no word holds white space
@@ -55,9 +57,9 @@ class Tokens:
     counts: np.ndarray  # tokens of each text
 
     @property
-    def begins(self) -> np.ndarray:
-        """Where each token's text begins."""
-        return np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
+    def places(self) -> np.ndarray:
+        """The place of each token in its text."""
+        return np.arange(len(self.index)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
 
 
 def endings(words: pa.StringArray) -> np.ndarray:
@@ -79,7 +81,8 @@ def history(values: np.ndarray, begins: np.ndarray, back: int) -> np.ndarray:
     """values `back` places before, 0 where that is before the document's start."""
     out = np.zeros_like(values)
     out[back:] = values[:-back] if len(values) > back else values[:0]
-    out[np.arange(len(values)) - begins < back] = 0
+    begins = begins[:, None] + np.arange(back)
+    out[begins[begins < len(values)]] = 0
     return out
 
 
@@ -107,21 +110,27 @@ class Words:
         return self.classes[ending], group, np.where(context < 0, ending, context + ENDINGS), count
 
 
-def features(words: Words, tokens: Tokens) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For the class and for the group: the rows of each token's features and which of its logits is the token's."""
+def features(words: Words, tokens: Tokens, mine: np.ndarray | slice = slice(None)) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For the class and for the group: the rows of the features of the tokens `mine` and which of the logits is each
+    token's."""
     of_class, of_group, of_context, _ = words.of(tokens)
-    own, group, begins = of_class[tokens.index], of_group[tokens.index], tokens.begins
-    context, before = of_context[tokens.index] + 1, own + 1
-    w = [history(context, begins, k) for k in (1, 2, 3)]
-    c = [history(before, begins, k) for k in (1, 2, 3)]
-    keys = [np.zeros_like(own), *w, c[0] * 64 + c[1], c[0] * 64 + c[2]]
-    out = []
-    for level, label in enumerate((own, group)):
-        rows = np.empty((len(own), FEATURES), np.int32)
-        for k, key in enumerate(keys):
-            x = (key * (CLASSES + 1) + (own + 1 if level else 0)).astype(np.uint64) * np.uint64(16) + np.uint64(k + 8 * level)
-            x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-            rows[:, k] = (x >> np.uint64(40)).astype(np.int32) & (words.rows - 1)
+    own, begins = of_class.astype(np.uint32)[tokens.index], np.cumsum(tokens.counts) - tokens.counts
+    context, before = (of_context + 1).astype(np.uint32)[tokens.index], own + np.uint32(1)
+    w = [history(context, begins, k)[mine] for k in (1, 2, 3)]
+    c = [history(before, begins, k)[mine] for k in (1, 2, 3)]
+    own, group = own[mine], of_group[tokens.index[mine]]
+    keys = [np.zeros_like(own), w[0], c[0] * np.uint32(64) + c[1], w[1], w[2], c[0] * np.uint32(64) + c[2]]
+    out, top = [], np.uint32(33 - words.rows.bit_length())
+    for level, label in enumerate((own.astype(np.int64), group)):
+        rows = np.empty((len(own), FEATURES[level]), np.uint16)
+        for k, key in enumerate(keys[: FEATURES[level]]):
+            x = key * np.uint32(0x9E3779B1)
+            if level:
+                x += (own + np.uint32(1)) * np.uint32(0x85EBCA77)
+            x += np.uint32(0x27D4EB2F * (k + 8 * level + 1) & 0xFFFFFFFF)
+            x ^= x >> np.uint32(15)
+            x *= np.uint32(0x2C1B3C6D)
+            rows[:, k] = x >> top
         out.append((rows, label))
     return out
 
@@ -139,11 +148,25 @@ def log10_of(weights: np.ndarray, rows: np.ndarray, own: np.ndarray) -> np.ndarr
 
 def _logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     z = weights[rows[:, 0]]
-    for k in range(1, FEATURES):
+    for k in range(1, rows.shape[1]):
         z += weights[rows[:, k]]
     return z
 
 
+def summed(z: np.ndarray, of: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows z[of], from each of `first` to before the next. Most runs are short: these are added up for all
+    runs at once, first rows, second rows and so on."""
+    length = np.diff(np.r_[first, len(of)])
+    out = z[of[first]]
+    for k in range(1, SHORT):
+        at = np.flatnonzero((length > k) & (length <= SHORT))
+        out[at] += z[of[first[at] + k]]
+    long = np.flatnonzero(length > SHORT)
+    if len(long):
+        out[long] = np.add.reduceat(z[of[spans(first[long], length[long])]], np.cumsum(length[long]) - length[long], axis=0)
+    return out
+
+
 class Learner:
     """Gradient steps from the common weights; rows slow down as they gather gradients."""
 
@@ -163,11 +186,12 @@ class Learner:
             order = np.argsort(flat, kind="stable")
             flat = flat[order]
             first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-            gradient = np.add.reduceat(z[order // FEATURES], first, axis=0)
+            gradient, times = summed(z, order // r.shape[1], first), np.diff(np.r_[first, len(flat)])
             at = flat[first]
             self.square[at] += np.einsum("ij,ij->i", gradient, gradient) * (4 / gradient.shape[1])
-            self.weights[at] -= (self.step / np.sqrt(self.square[at]))[:, None] * gradient
-            self.seen[at] += np.diff(np.r_[first, len(flat)])
+            gradient *= (self.step / np.sqrt(self.square[at]))[:, None]
+            self.weights[at] -= gradient
+            self.seen[at] += times
 
 
 def cluster_endings(near: np.ndarray) -> np.ndarray:
@@ -222,9 +246,9 @@ def gradient_round(texts: DataFrame, words: Words, weights: np.ndarray, turn: in
         learner = Learner(common.astype(np.float32), step)
         for batch in gathered(batches, "text"):
             tokens = tokens_of(batch["text"])
-            mine = (np.arange(len(tokens.index)) - tokens.begins) // STRETCH % ROUNDS == turn
-            for rows, own in features(words, tokens):
-                learner.learn(rows[mine], own[mine])
+            mine = np.flatnonzero(tokens.places // STRETCH % ROUNDS == turn)
+            for rows, own in features(words, tokens, mine):
+                learner.learn(rows, own)
         for k in range(0, words.rows, SEGMENT):
             at = np.flatnonzero(learner.seen[k : k + SEGMENT])
             if len(at):
