@@ -23,17 +23,22 @@ MIN_BITS, MAX_BITS = 20, 29
 BITS_A_HASH = 24
 
 
-def ranges_for(n_hashes: int, most: int = MAX_BITS) -> int:
-    """Ranges of hashes, so that a filter of at most 2**most bits has BITS_A_HASH for each hash of its range."""
-    return max(1, -(-n_hashes * BITS_A_HASH >> most))
+def ranges_for(n_hashes: int, each: int = BITS_A_HASH) -> int:
+    """Ranges of hashes, so that a filter of at most 2**MAX_BITS bits has `each` for each hash of its range."""
+    return max(1, -(-n_hashes * each >> MAX_BITS))
 
 
 def range_of(hashes: Column, ranges: int) -> Column:
     return F.pmod(F.shiftrightunsigned(hashes, 40), F.lit(ranges)).cast("int")
 
 
-def bits_for(n_hashes: int, most: int = MAX_BITS) -> int:
-    return int(np.clip(np.ceil(np.log2(max(1, n_hashes) * BITS_A_HASH)), MIN_BITS, most))
+def in_range(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """range_of() of an array."""
+    return (hashes >> np.uint64(40)) % np.uint64(ranges)
+
+
+def bits_for(n_hashes: int, each: int = BITS_A_HASH) -> int:
+    return int(np.clip(np.ceil(np.log2(max(1, n_hashes) * each)), MIN_BITS, MAX_BITS))
 
 
 def probes(hashes: np.ndarray, bits: int) -> np.ndarray:

@@ -13,6 +13,7 @@ nor one of documents that are only alike becomes all of its pairs, and no link b
 
 from __future__ import annotations
 
+import functools
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,8 +30,8 @@ from tilewright.llm.components import connected_components
 from tilewright.llm.scratch import small_batches, stored
 
 WORD = 64
-#: The filters of repeated sketch words and of verified documents never exceed 2**FILTER_BITS bits (32 MiB).
-FILTER_BITS = 28
+#: Bits of the filters of repeated sketch words for each word: what a false positive costs is a row that shuffles.
+KEY_BITS = 8
 KEYS = "n long, k1 long, k2 long, keys array<long>, below binary, own binary"
 #: Documents of one block of a sketch word: two blocks are compared by one task.
 BLOCK = 512
@@ -135,43 +136,38 @@ def signatures(text: Column, width: int, bands: Bands) -> Column:
 
 
 def _repeated_keys(rows: DataFrame) -> DataFrame:
-    """(key, id, n) for the keys that the twice-seen filter holds."""
+    """(key, id, n) for the keys that the twice-seen filters hold: one filter for each range of keys."""
     total = rows.agg(F.sum(F.size("keys"))).first()[0] or 0
-    bits = bloom.bits_for(total, FILTER_BITS)
+    ranges = bloom.ranges_for(total, KEY_BITS)
+    bits = bloom.bits_for(-(-total // ranges), KEY_BITS)
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = bloom.SeenTwice(bits)
-        for batch in batches:
-            found = [x for x in batch["keys"] if len(x)]
-            if found:
-                seen.add(np.concatenate(found).view(np.uint64))
-        yield pd.DataFrame(seen.segments(), columns=["segment", "once", "twice"])
-
-    twice = rows.sparkSession.sparkContext.broadcast(bloom.twice_seen(rows.select("keys").mapInPandas(fill, "segment long, once binary, twice binary"), bits))
-
-    @F.pandas_udf("array<long>")
-    def suspects(keys: pd.Series) -> pd.Series:
-        return keys.map(lambda x: x[bloom.holds(twice.value, bloom.probes(x.view(np.uint64), bits))] if len(x) else x)
+    def of(turn: int) -> DataFrame:
+        def own(keys: np.ndarray) -> np.ndarray:
+            return keys.view(np.uint64) if ranges == 1 else (x := keys.view(np.uint64))[bloom.in_range(x, ranges) == turn]
 
-    return rows.select(F.explode(suspects("keys")).alias("key"), "id", "n")
+        def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            seen = bloom.SeenTwice(bits)
+            for batch in batches:
+                found = [x for x in batch["keys"] if len(x)]
+                if found:
+                    seen.add(own(np.concatenate(found)))
+            yield pd.DataFrame(seen.segments(), columns=["segment", "once", "twice"])
 
+        twice = rows.sparkSession.sparkContext.broadcast(bloom.twice_seen(rows.select("keys").mapInPandas(fill, "segment long, once binary, twice binary"), bits))
 
-def _maybe_among(ids: DataFrame, column: Column) -> Column:
-    """A filter that lets through every id of `ids` and few others, so that only those rows of a large table shuffle."""
-    bits = bloom.bits_for(ids.count(), FILTER_BITS)
-    held = ids.sparkSession.sparkContext.broadcast(bloom.filter_of(ids.select(F.xxhash64("id")), bits))
+        @F.pandas_udf("array<long>")
+        def suspects(keys: pd.Series) -> pd.Series:
+            return keys.map(lambda x: (y := own(x))[bloom.holds(twice.value, bloom.probes(y, bits))].view(np.int64) if len(x) else x)
 
-    @F.pandas_udf("boolean")
-    def among(hashes: pd.Series) -> pd.Series:
-        return pd.Series(bloom.holds(held.value, bloom.probes(hashes.to_numpy().view(np.uint64), bits)))
+        return rows.select(F.explode(suspects("keys")).alias("key"), "id", "n")
 
-    return among(F.xxhash64(column))
+    return functools.reduce(DataFrame.union, map(of, range(ranges)))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, bands: Bands) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity. docs: id, text."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = stored(docs.where(_maybe_among(ids, F.col("id"))), "candidates")
+    texts = stored(docs.where(bloom.maybe_among(ids, F.xxhash64("id"))), "candidates")
     kind = docs.schema["id"].dataType.simpleString()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,12 +5,15 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 #: Folders of this process that are deleted when its JVM ends.
 _MADE: set[str] = set()
+#: Folders given out, in order.
+_GIVEN: list[str] = []
 
 
 @functools.cache
@@ -43,7 +46,8 @@ def new_folder(spark: SparkSession, label: str) -> str:
         files.mkdirs(at)
         files.deleteOnExit(at)
         _MADE.add(home)
-    return f"{home}/{label}-{uuid.uuid4().hex}"
+    _GIVEN.append(f"{home}/{label}-{uuid.uuid4().hex}")
+    return _GIVEN[-1]
 
 
 def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
@@ -54,6 +58,17 @@ def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def finished(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """make() as a stored table; the tables that it stored on the way are deleted."""
+    first = len(_GIVEN)
+    done = stored(make(), label)
+    for path in _GIVEN[first:-1]:
+        files, at = _files(done.sparkSession, path)
+        files.delete(at, True)
+    del _GIVEN[first:-1]
+    return done
+
+
 def drop_stored(df: DataFrame) -> None:
     """Deletes a table that stored() returned and nothing reads any more."""
     for path in {x.rpartition("/")[0] for x in df.inputFiles()}:
