@@ -1,22 +1,30 @@
 """Hierarchical clustering of points, level by level, in joins and aggregates.
 
 At each zoom points are taken in the order of their index; one that is still free becomes an origin and takes all free
-points within the radius. That greedy rule is settled in parallel: a point none of whose smaller neighbours is
-undecided is an origin, its neighbours are taken, and the rest goes into the next round. A taken point belongs to its
-smallest origin. The indexes stay those of the origins, so no global numbering is needed between levels.
+points within the radius. Whether a point is free depends on its smaller neighbours alone. Pairs of neighbours are dealt
+over tasks by place, and a task settles every point whose smaller neighbours are its own or already settled; what hangs
+on points of other tasks waits for the next round. A track of points costs a round for each task that it passes, and
+pairs that one task holds cost a single round. A taken point belongs to its smallest origin. The indexes stay those of
+the origins, so no global numbering is needed between levels.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions import geo
-from tilewright.operators.shared import written
+from tilewright.operators.shared import done_with, written
 from tilewright.operators.spatial import radius_join
 
 RADIUS, EXTENT, MIN_POINTS, MIN_ZOOM, MAX_ZOOM = 40, 512, 2, 0, 16
 LEVEL = ["idx", "x", "y", "n", "cluster_id"]
+#: Pairs of neighbours that one task settles.
+TASK_PAIRS = 400_000
+FREE, ORIGIN, TAKEN = 0, 1, 2
 
 
 def unit_mercator(lng: Column, lat: Column) -> tuple[Column, Column]:
@@ -26,55 +34,111 @@ def unit_mercator(lng: Column, lat: Column) -> tuple[Column, Column]:
     return lng / 360 + 0.5, F.when(lat >= 90, 0.0).when(lat <= -90, 1.0).otherwise(geo.clamp(y, F.lit(0.0), F.lit(1.0)))
 
 
-def greedy_owners(pairs: DataFrame) -> DataFrame:
-    """pairs (a, b), a < b -> (idx, owner): every point that is taken, with the origin that takes it."""
-    left, taken = written(pairs.select("a", "b"), "pairs"), None
-    every = left
-    while not left.isEmpty():
-        origins = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        now = written(left.join(origins, "a", "left_semi").select(F.col("b").alias("idx")).distinct(), "taken")
-        taken = now if taken is None else taken.union(now)
-        gone = lambda side, ids=now: ids.withColumnRenamed("idx", side)
-        left = written(left.join(gone("a"), "a", "left_anti").join(gone("b"), "b", "left_anti").select("a", "b"), "pairs")
-    if taken is None:
-        return every.select(F.col("b").alias("idx"), F.col("a").alias("owner"))
-    free = every.join(taken.withColumnRenamed("idx", "a"), "a", "left_anti")
-    return free.groupBy(F.col("b").alias("idx")).agg(F.min("a").alias("owner"))
-
-
-def cluster_level(level: DataFrame, zoom: int, radius: float, extent: float, min_points: int, sums: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The level of `zoom` made of the one below it, and (idx, cluster_id) of the members of each new cluster."""
-    owners = greedy_owners(radius_join(level, level, "idx", "idx", radius / (extent * 2**zoom), self_join=True))
-    owned = level.join(owners, "idx", "left").withColumn("owner", F.coalesce("owner", "idx"))
+def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, told) in the order of b, then a: b's smaller neighbours with what is told of them, and one row without
+    a for each b. Gives idx, status and, where no smaller neighbour is unsettled, the owner."""
+    status: dict[int, int] = {}
+    b, taken, waits, owner = None, False, False, None
+    kinds = [pa.int64(), pa.int8(), pa.int64()]
+
+    def settled() -> tuple[int, int, int | None]:
+        found = TAKEN if taken else FREE if waits else ORIGIN
+        if found:
+            status[b] = found
+        return b, found, b if found == ORIGIN else owner
+
+    for batch in batches:
+        out = []
+        for a, point, told in zip(*[batch[c].to_pylist() for c in ("a", "b", "told")], strict=True):
+            if point != b:
+                if b is not None:
+                    out.append(settled())
+                b, taken, waits, owner = point, False, False, None
+            if a is None or taken:
+                continue
+            before = status.get(a, told)
+            taken, waits = before == ORIGIN, waits or before == FREE
+            if taken and not waits:
+                owner = a
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True) if out else [()] * 3, kinds, strict=True)], ["idx", "status", "owner"])
+    if b is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(settled(), kinds, strict=True)], ["idx", "status", "owner"])
+
+
+def greedy_owners(points: DataFrame, pairs: DataFrame) -> DataFrame:
+    """points (idx, x), pairs (a, b, bx) with a < b -> (idx, owner): the origin that takes each point, its own for origins."""
+    pairs = written(pairs.select("a", "b", F.col("bx").alias("x")), "pairs")
+    alone = points.select(F.lit(None).cast("long").alias("a"), F.col("idx").alias("b"), "x")
+    left = pairs.union(alone).withColumn("told", F.lit(FREE).cast("byte"))
+    tasks = -(-pairs.count() // TASK_PAIRS) or 1
+    rounds, spent = [], []
+    while True:
+        dealt = left.repartitionByRange(tasks, "x", "b").sortWithinPartitions("b", F.col("a").asc_nulls_first())
+        now = written(dealt.mapInArrow(settle, "idx long, status byte, owner long"), "settled")
+        rounds.append(now.where(F.col("status") != FREE))
+        if tasks == 1 or now.where(F.col("status") == FREE).isEmpty():
+            break
+        known = rounds[-1].select("idx", "status")
+        waiting = left.join(known.select(F.col("idx").alias("b")), "b", "left_anti")
+        told = waiting.join(known.withColumnRenamed("idx", "a"), "a", "left").withColumn("told", F.coalesce("status", "told"))
+        left = written(told.select("a", "b", "x", "told"), "pairs")
+        spent.append(left)
+    every = rounds[0]
+    for one in rounds[1:]:
+        every = every.union(one)
+    if len(rounds) == 1:
+        return every.select("idx", "owner")
+    origins = every.where(F.col("status") == ORIGIN).select(F.col("idx").alias("a"))
+    late = every.where("owner IS NULL").select(F.col("idx").alias("b"))
+    owners = pairs.join(late, "b", "left_semi").join(origins, "a").groupBy(F.col("b").alias("idx")).agg(F.min("a").alias("owner"))
+    found = written(every.where("owner IS NOT NULL").select("idx", "owner").union(owners), "owners")
+    done_with(pairs, *spent)
+    return found
+
+
+Reduced = dict[str, tuple[Column, Callable[[str], Column]]]
+
+
+def cluster_level(level: DataFrame, zoom: int, radius: float, extent: float, min_points: int, reduced: Reduced) -> DataFrame:
+    """The points of `level` (that of zoom + 1), each with what is made of it at `zoom`: `made`, `owner`, and the new
+    cluster's columns as struct `c`, null where the point goes on alone."""
+    pairs = radius_join(level, level, "idx", "idx", radius / (extent * 2**zoom), self_join=True, keep=["bx"])
+    owned = level.join(greedy_owners(level, pairs), "idx")
     merged = owned.groupBy("owner").agg(
-        F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows"), F.sum(F.col("x") * F.col("n")).alias("wx"), F.sum(F.col("y") * F.col("n")).alias("wy"), *[F.sum(c).alias(c) for c in sums]
+        F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows"), F.sum(F.col("x") * F.col("n")).alias("wx"), F.sum(F.col("y") * F.col("n")).alias("wy"), *[put(k).alias(k) for k, (_, put) in reduced.items()]
     )
-    merged = written(merged.withColumn("made", (F.col("rows") > 1) & (F.col("total") >= min_points)), "merged")
     cluster_id = (F.col("owner") * 32 + zoom + 1).cast("long")
-    new = merged.where("made").select(F.col("owner").alias("idx"), (F.col("wx") / F.col("total")).alias("x"), (F.col("wy") / F.col("total")).alias("y"), F.col("total").alias("n"), cluster_id.alias("cluster_id"), *sums)
-    same = owned.join(merged.where("NOT made").select("owner"), "owner", "left_semi").select(*LEVEL, *sums)
-    members = owned.join(merged.where("made").select("owner"), "owner", "left_semi").select("idx", cluster_id.alias("parent"))
-    return written(new.union(same), "level"), members
+    values = [(F.col("wx") / F.col("total")).alias("x"), (F.col("wy") / F.col("total")).alias("y"), F.col("total").alias("n"), cluster_id.alias("cluster_id"), *reduced]
+    made = merged.where((F.col("rows") > 1) & (F.col("total") >= min_points)).select("owner", F.struct(*values).alias("c"))
+    return written(owned.join(made, "owner", "left"), "level")
 
 
-def cluster(points: DataFrame, key: str, lng: str = "lng", lat: str = "lat", radius: float = RADIUS, extent: float = EXTENT, min_points: int = MIN_POINTS, min_zoom: int = MIN_ZOOM, max_zoom: int = MAX_ZOOM, sums: dict[str, Column] | None = None) -> DataFrame:
+def cluster(
+    points: DataFrame, key: str, lng: str = "lng", lat: str = "lat", radius: float = RADIUS, extent: float = EXTENT, min_points: int = MIN_POINTS, min_zoom: int = MIN_ZOOM, max_zoom: int = MAX_ZOOM,
+    sums: dict[str, Column] | None = None, reduced: Reduced | None = None,
+) -> DataFrame:
     """All levels: zoom, idx, x, y, n (points in it), cluster_id (null for a lone point), parent (null at the top), and one
-    column for each of `sums` (added up over the members). key: an integer that gives the order of the points. Level
-    max_zoom + 1 holds the points. Points without key or place are left out; an empty table gives an empty result."""
-    sums = sums or {}
+    column for each of `sums` (added up over the members) and of `reduced` (a column of the points and the aggregate, by
+    the column's name, that puts members together; it must not mind in which groups and order they come). key: an
+    integer that gives the order of the points. Level max_zoom + 1 holds the points. Points without key or place are
+    left out; an empty table gives an empty result."""
+    reduced = {k: (v, F.sum) for k, v in (sums or {}).items()} | (reduced or {})
     x, y = unit_mercator(F.col(lng), F.col(lat))
     start = points.where(F.col(key).isNotNull() & F.col(lng).isNotNull() & F.col(lat).isNotNull())
-    level = written(start.select(F.col(key).cast("long").alias("idx"), x.alias("x"), y.alias("y"), F.lit(1).cast("long").alias("n"), F.lit(None).cast("long").alias("cluster_id"), *[v.alias(k) for k, v in sums.items()]), "level")
-    levels = []
+    none = F.lit(None).cast("long")
+    level = written(start.select(F.col(key).cast("long").alias("idx"), x.alias("x"), y.alias("y"), F.lit(1).cast("long").alias("n"), none.alias("cluster_id"), *[v.alias(k) for k, (v, _) in reduced.items()]), "level")
+    columns = [*LEVEL, *reduced]
+    whole = []
     for zoom in range(max_zoom, min_zoom - 1, -1):
-        above, members = cluster_level(level, zoom, radius, extent, min_points, [*sums])
-        levels.append(level.join(members, "idx", "left").withColumn("zoom", F.lit(zoom + 1)))
-        level = above
-    levels.append(level.withColumn("parent", F.lit(None).cast("long")).withColumn("zoom", F.lit(min_zoom)))
-    whole = levels[0]
-    for one in levels[1:]:
-        whole = whole.unionByName(one)
-    return whole.select("zoom", *LEVEL, "parent", *sums)
+        told = cluster_level(level, zoom, radius, extent, min_points, reduced)
+        whole.append(told.select(F.lit(zoom + 1).alias("zoom"), *columns, F.col("c.cluster_id").alias("parent")))
+        new = told.where("c IS NOT NULL AND idx = owner").select("idx", *[F.col("c")[k].alias(k) for k in columns[1:]])
+        level = new.unionByName(told.where("c IS NULL").select(*columns))
+    whole.append(level.select(F.lit(min_zoom).alias("zoom"), *columns, none.alias("parent")))
+    levels = whole[0]
+    for one in whole[1:]:
+        levels = levels.unionByName(one)
+    return levels.select("zoom", *LEVEL, "parent", *reduced)
 
 
 def abbreviated(n: Column) -> Column:
@@ -95,3 +159,49 @@ def in_box(levels: DataFrame, zoom: int, west: float, south: float, east: float,
 
 def children(levels: DataFrame, cluster_id: int) -> DataFrame:
     return levels.where((F.col("parent") == cluster_id) & (F.col("zoom") == cluster_id % 32))
+
+
+def leaves(levels: DataFrame, cluster_id: int, limit: int | None = 10, offset: int = 0) -> DataFrame:
+    """The points of a cluster in the order of their index; no limit where that is None."""
+    members = levels.where(F.col("parent").isNotNull() & (F.col("zoom") == F.col("parent") % 32))
+    found, at = [], members.where(F.col("parent") == cluster_id)
+    deepest = levels.agg(F.max("zoom")).first()[0] or 0
+    for _ in range(cluster_id % 32, deepest + 1):  # members of members are of a deeper zoom each time
+        found.append(at.where("cluster_id IS NULL"))
+        at = members.join(at.where("cluster_id IS NOT NULL").select(F.col("cluster_id").alias("parent")), "parent").select(*levels.columns)
+    every = levels.where("false")
+    for one in found:
+        every = every.unionByName(one)
+    ordered = every.orderBy("idx").offset(offset)
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def expansion_zoom(cluster_id: Column) -> Column:
+    """The first zoom at which a cluster falls apart: that of its members, for a cluster is only made of two or more."""
+    return (cluster_id % 32).cast("int")
+
+
+def tile(levels: DataFrame, z: int, x: int, y: int, radius: float = RADIUS, extent: float = EXTENT) -> DataFrame:
+    """The clusters and points of a tile and of a margin around it, with px and py in the tile's units. At the world's
+    edges the margin is that of the other side."""
+    n, pad = 2**z, radius / extent
+    level = levels.where((F.col("zoom") == z) & F.col("y").between((y - pad) / n, (y + 1 + pad) / n))
+
+    def part(low: float, high: float, column: int) -> DataFrame:
+        inside = level.where(F.col("x").between(low, high))
+        return inside.withColumns({"px": (F.col("x") * n - column) * extent, "py": (F.col("y") * n - y) * extent})
+
+    parts = [part((x - pad) / n, (x + 1 + pad) / n, x)]
+    parts += [part(1 - pad / n, 1, n)] if x == 0 else []
+    parts += [part(0, pad / n, -1)] if x == n - 1 else []
+    whole = parts[0]
+    for one in parts[1:]:
+        whole = whole.unionByName(one)
+    return whole
+
+
+def described(levels: DataFrame, *reduced: str) -> DataFrame:
+    """levels with the properties that a client sees: cluster, cluster_id, point_count and its short form, and those that
+    were reduced; all null for a lone point."""
+    of_cluster = [F.lit(True).alias("cluster"), F.col("cluster_id"), F.col("n").alias("point_count"), abbreviated(F.col("n")).alias("point_count_abbreviated"), *reduced]
+    return levels.withColumn("cluster_properties", F.when(F.col("cluster_id").isNotNull(), F.struct(*of_cluster)))

@@ -6,7 +6,9 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_HOMES: set[str] = set()
 
 
 @functools.cache
@@ -14,14 +16,40 @@ def _own_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="tilewright-")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in spark.checkpoint.dir; only a local master may leave that unset."""
-    conf = df.sparkSession.sparkContext.getConf()
+def _files(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _home(spark: SparkSession) -> str:
+    """A folder of this application in spark.checkpoint.dir, which goes when its JVM ends; only a local master may
+    leave that setting unset."""
+    conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir")
     if not root:
-        if not conf.get("spark.master", "local").startswith(("local[", "local")) or conf.get("spark.master", "local").startswith("local-cluster"):
+        if conf.get("spark.master", "local").split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = _own_folder()
-    path = f"{root.rstrip('/')}/tilewright/{label}-{uuid.uuid4().hex}"
+    home = f"{root.rstrip('/')}/tilewright/{spark.sparkContext.applicationId}"
+    if home not in _HOMES:
+        files, at = _files(spark, home)
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        _HOMES.add(home)
+    return home
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder."""
+    path = f"{_home(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.written_at = path
+    return made
+
+
+def done_with(*tables: DataFrame) -> None:
+    """Deletes tables that written() returned and nothing reads any more."""
+    for df in tables:
+        files, at = _files(df.sparkSession, df.written_at)
+        files.delete(at, True)

@@ -16,9 +16,9 @@ from tilewright.functions import geo, geometry
 from tilewright.functions.expressions import Scope, evaluate, where
 
 
-def radius_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius: float, self_join: bool = False) -> DataFrame:
+def radius_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius: float, self_join: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Pairs (left_id, right_id, distance) of points (x, y) no farther apart than the radius. self_join: each pair
-    once, the smaller identifier first."""
+    once, the smaller identifier first. keep: of ax, ay, bx and by, those to keep too."""
     cell = lambda v, r=radius: F.floor(F.col(v) / r).cast("long")
     near = [F.array(*[cell(v) + k for k in (-1, 0, 1)]) for v in ("x", "y")]
     a = left.select(F.col(left_id).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("i"), cell("y").alias("j"))
@@ -27,7 +27,7 @@ def radius_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     square = (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by"))
     met = a.join(b, ["i", "j"]).where(square <= radius * radius)
     met = met.where("a < b") if self_join else met
-    return met.select("a", "b", F.sqrt(square).alias("distance"))
+    return met.select("a", "b", F.sqrt(square).alias("distance"), *keep or [])
 
 
 def box_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
