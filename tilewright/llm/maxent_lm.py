@@ -2,11 +2,11 @@
 
 The probability of a word is that of its class given the words before it, times that of its group within the class given
 the same words, times its share of the group. Both factors are softmaxes over hashed features: a bias, the word before
-(bigram), the classes of the two words before (trigram), the words two and three before (skips) and the classes of the
-first and third before (skip); in the second factor the first four of them, each joined with the class. Classes put together word endings that stand
-next to the same endings in training text. The words of a class are dealt to its groups from the most frequent one on,
-each group with a like share of the class's tokens: the groups of frequent words hold one or a few words. The share is
-smoothed by one count for each word, and one is left for unknown words, which are in the last group.
+(bigram), the classes of the two words before (trigram) and the word two before (skip); in the second factor each of
+them is joined with the class. Classes put together word endings that stand next to the same endings in training text.
+The words of a class are dealt to its groups from the most frequent one on, each group with a like share of the class's
+tokens: the groups of frequent words hold one or a few words. The share is smoothed by one count for each word, and one
+is left for unknown words, which are in the last group.
 
 Counts and neighbours come from all training documents in one pass. Weights come from rounds of gradient updates: in
 each, tasks step through their documents from the common weights, and what they moved is averaged row by row. Every
@@ -33,7 +33,9 @@ from tilewright.llm.scratch import stored
 from tilewright.llm.words import each_bytes, gathered, spans, words_of
 
 CLASSES, GROUPS, ENDINGS = 32, 32, 512
-FEATURES = (6, 4)  # of the class and of the group: the first ones of the list
+FEATURES = 4
+#: Bytes of text that a task holds as arrays of tokens at once.
+HELD_BYTES = 1 << 22
 ROUNDS, STEP, BATCH = 2, 0.5, 8192
 #: Tokens of a document that go to one round together.
 STRETCH = 64
@@ -116,14 +118,14 @@ def features(words: Words, tokens: Tokens, mine: np.ndarray | slice = slice(None
     of_class, of_group, of_context, _ = words.of(tokens)
     own, begins = of_class.astype(np.uint32)[tokens.index], np.cumsum(tokens.counts) - tokens.counts
     context, before = (of_context + 1).astype(np.uint32)[tokens.index], own + np.uint32(1)
-    w = [history(context, begins, k)[mine] for k in (1, 2, 3)]
-    c = [history(before, begins, k)[mine] for k in (1, 2, 3)]
+    w = [history(context, begins, k)[mine] for k in (1, 2)]
+    c = [history(before, begins, k)[mine] for k in (1, 2)]
     own, group = own[mine], of_group[tokens.index[mine]]
-    keys = [np.zeros_like(own), w[0], c[0] * np.uint32(64) + c[1], w[1], w[2], c[0] * np.uint32(64) + c[2]]
+    keys = [np.zeros_like(own), w[0], c[0] * np.uint32(64) + c[1], w[1]]
     out, top = [], np.uint32(33 - words.rows.bit_length())
     for level, label in enumerate((own.astype(np.int64), group)):
-        rows = np.empty((len(own), FEATURES[level]), np.uint16)
-        for k, key in enumerate(keys[: FEATURES[level]]):
+        rows = np.empty((len(own), FEATURES), np.uint16)
+        for k, key in enumerate(keys):
             x = key * np.uint32(0x9E3779B1)
             if level:
                 x += (own + np.uint32(1)) * np.uint32(0x85EBCA77)
@@ -220,7 +222,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = np.zeros(ENDINGS * ENDINGS, np.int64)
-        for batch in gathered(batches, "text"):
+        for batch in gathered(batches, "text", HELD_BYTES):
             tokens = tokens_of(batch["text"])
             ending = (tokens.codes & np.uint64(ENDINGS - 1)).astype(np.int64)[tokens.index]
             inside = tokens.index[:-1] < len(tokens.codes) - 1  # what follows an end is of the next text
@@ -244,7 +246,7 @@ def gradient_round(texts: DataFrame, words: Words, weights: np.ndarray, turn: in
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, common = held.value
         learner = Learner(common.astype(np.float32), step)
-        for batch in gathered(batches, "text"):
+        for batch in gathered(batches, "text", HELD_BYTES):
             tokens = tokens_of(batch["text"])
             mine = np.flatnonzero(tokens.places // STRETCH % ROUNDS == turn)
             for rows, own in features(words, tokens, mine):
@@ -343,7 +345,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, weights = held.value
         weights, room = weights.astype(np.float32), np.log10(words.room)
-        for batch in gathered(batches, "text"):
+        for batch in gathered(batches, "text", HELD_BYTES):
             tokens = tokens_of(batch["text"])
             of_class, of_group, _, count = words.of(tokens)
             level = sum(log10_of(weights, rows, own) for rows, own in features(words, tokens)) - room[of_class, of_group][tokens.index]
