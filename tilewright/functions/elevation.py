@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import geo
@@ -76,3 +78,72 @@ def heat(points: DataFrame, radius: int, least: float = 0.05) -> DataFrame:
     each = spread.where(d < radius).select((F.col("px") + F.col("dx")).alias("px"), (F.col("py") + F.col("dy")).alias("py"), alpha.alias("alpha"))
     full = F.max(F.when(F.col("alpha") >= 1, 1).otherwise(0)) == 1
     return each.groupBy("px", "py").agg(F.when(full, 1.0).otherwise(1 - F.exp(F.sum(F.ln(F.when(F.col("alpha") < 1, 1 - F.col("alpha")))))).alias("density"))
+
+
+def decode_grid(pixels: Column, encoding: str = "tenths") -> Column:
+    """The heights of a picture's pixels (bytes red, green, blue, alpha of each) by rows. encoding: tenths or fractions."""
+    if encoding not in ("tenths", "fractions"):
+        raise ValueError(f"no encoding {encoding}")
+
+    @F.pandas_udf("array<double>")
+    def decoded(pixels: pd.Series) -> pd.Series:
+        def heights(raw: bytes | None) -> np.ndarray | None:
+            if raw is None:
+                return None
+            r, g, b = np.frombuffer(raw, np.uint8)[: len(raw) // 4 * 4].reshape(-1, 4)[:, :3].astype(float).T
+            return (r * 65536 + g * 256 + b) * 0.1 - 10000 if encoding == "tenths" else r * 256 + g + b / 256 - 32768
+
+        return pixels.map(heights)
+
+    return decoded(pixels)
+
+
+def mesh_vertices(tiles: DataFrame, size: int, tile_size: float | None = None, resolution: int = 32, exaggeration: float = 1.0, units: float = 1.0) -> DataFrame:
+    """tiles (..., grid) -> one row per vertex of a mesh of resolution * resolution cells: vertex (by rows), x, y, z and the
+    normal nx, ny, nz from the heights on both sides (of one side at the border)."""
+    if size < 2 or resolution < 1:
+        raise ValueError("a mesh needs two samples a side and one cell")
+    side, step, dem = resolution + 1, (tile_size or size) / resolution, (size - 1) / resolution
+    rows = tiles.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(resolution)))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(resolution))))
+    height = lambda i, j: bilinear(F.col("grid"), size, i * dem, j * dem) * (exaggeration * units)
+    i, j = F.col("i"), F.col("j")
+    low, high = lambda v: F.greatest(v - 1, F.lit(0)), lambda v: F.least(v + 1, F.lit(resolution))
+    nx = -(height(high(i), j) - height(low(i), j)) / ((high(i) - low(i)) * step)
+    ny = -(height(i, high(j)) - height(i, low(j))) / ((high(j) - low(j)) * step)
+    made = rows.select(*[c for c in tiles.columns if c != "grid"], (j * side + i).alias("vertex"), (i * step).alias("x"), (j * step).alias("y"), height(i, j).alias("z"), nx.alias("__nx"), ny.alias("__ny"))
+    size_of = F.sqrt(F.col("__nx") * F.col("__nx") + F.col("__ny") * F.col("__ny") + 1)
+    return made.withColumns({"nx": F.col("__nx") / size_of, "ny": F.col("__ny") / size_of, "nz": 1 / size_of}).drop("__nx", "__ny")
+
+
+def mesh_triangles(spark: SparkSession, resolution: int) -> DataFrame:
+    """triangle, a, b, c: two triangles for each cell of a mesh, the same for every tile."""
+    cell = F.col("triangle") / 2
+    j, i = F.floor(cell / resolution), F.floor(F.pmod(F.floor(cell), F.lit(resolution)))
+    a = j * (resolution + 1) + i
+    even = F.col("triangle") % 2 == 0
+    corner = lambda first, second: F.when(even, first).otherwise(second).cast("long")
+    return spark.range(2 * resolution * resolution).select(F.col("id").alias("triangle")).select("triangle", corner(a, a + 1).alias("a"), corner(a + resolution + 1, a + resolution + 1).alias("b"), corner(a + 1, a + resolution + 2).alias("c"))
+
+
+# The stops of the usual ramp of a heat map.
+HEAT_STOPS = ((0.4, (0, 0, 255)), (0.6, (0, 255, 255)), (0.7, (0, 255, 0)), (0.8, (255, 255, 0)), (1.0, (255, 0, 0)))
+
+
+def heat_color(density: Column, stops: tuple = HEAT_STOPS) -> Column:
+    """r, g, b and a of a density: one of 256 steps of a ramp between the stops; the density is the alpha."""
+    step = F.floor(geo.clamp(density, F.lit(0.0), F.lit(1.0)) * 255 + 0.5)
+    at = step / 255.0
+
+    def channel(k: int) -> Column:
+        value = F.lit(float(stops[-1][1][k]))
+        for (low, a), (high, b) in reversed([*zip(stops, stops[1:], strict=False)]):
+            value = F.when(at < high, a[k] + (b[k] - a[k]) * (at - low) / (high - low)).otherwise(value)
+        return F.floor(F.when(at <= stops[0][0], float(stops[0][1][k])).otherwise(value) + 0.5).cast("int")
+
+    return F.struct(*[channel(k).alias(c) for k, c in enumerate("rgb")], step.cast("int").alias("a"))
+
+
+def shaded(light: Column, accent: tuple[int, int, int] = (255, 255, 255), shadow: tuple[int, int, int] = (0, 0, 0), opacity: float = 1.0) -> Column:
+    """r, g, b and a of a light: the accent's colour where it is 1, the shadow's where it is 0."""
+    mixed = [F.round(light * a + (1 - light) * s).cast("int").alias(c) for c, a, s in zip("rgb", accent, shadow, strict=True)]
+    return F.struct(*mixed, F.lit(int(255 * opacity + 0.5)).alias("a"))

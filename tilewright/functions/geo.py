@@ -255,3 +255,203 @@ def bounds_zoom(width: Column, height: Column, view_width: float, view_height: f
     at = F.log2(scale) + zoom
     at = F.floor((at + 1e-9) / snap) * snap if snap else at
     return clamp(at, low, high)
+
+
+# boxes as values: planar ones, and through planar() those of west, south, east, north
+
+
+def planar(b: Column) -> Column:
+    """A box of west, south, east, north with the planar names."""
+    return box(b.west, b.south, b.east, b.north)
+
+
+def geographic(b: Column) -> Column:
+    return F.struct(b.minx.alias("west"), b.miny.alias("south"), b.maxx.alias("east"), b.maxy.alias("north"))
+
+
+def box_margin(a: Column) -> Column:
+    return (a.maxx - a.minx) + (a.maxy - a.miny)
+
+
+def box_union(a: Column, b: Column) -> Column:
+    """The smallest box around two; one that is null adds nothing."""
+    each = [(F.least, "minx"), (F.least, "miny"), (F.greatest, "maxx"), (F.greatest, "maxy")]
+    return F.when(a.isNotNull() | b.isNotNull(), F.struct(*[pick(a[k], b[k]).alias(k) for pick, k in each]))
+
+
+def box_enlarged_area(a: Column, b: Column) -> Column:
+    return box_area(box_union(a, b))
+
+
+def box_centre(a: Column) -> Column:
+    return F.struct(((a.minx + a.maxx) / 2).alias("x"), ((a.miny + a.maxy) / 2).alias("y"))
+
+
+def box_size(a: Column) -> Column:
+    return F.struct((a.maxx - a.minx).alias("x"), (a.maxy - a.miny).alias("y"))
+
+
+def box_corners(a: Column) -> Column:
+    """Top left, top right, bottom left and bottom right, y downwards."""
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return F.array(at(a.minx, a.miny), at(a.maxx, a.miny), at(a.minx, a.maxy), at(a.maxx, a.maxy))
+
+
+def box_equals(a: Column, b: Column, margin: float = 0.0) -> Column:
+    """Whether no side is farther apart than the margin (1e-9 is usual for degrees)."""
+    return F.greatest(*[F.abs(a[k] - b[k]) for k in ("minx", "miny", "maxx", "maxy")]) <= margin
+
+
+def box_valid(a: Column) -> Column:
+    return a.isNotNull() & a.minx.isNotNull() & a.miny.isNotNull() & a.maxx.isNotNull() & a.maxy.isNotNull()
+
+
+def box_ring(a: Column) -> Column:
+    """South-west, north-west, north-east and south-east corners, y upwards."""
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return F.array(at(a.minx, a.miny), at(a.minx, a.maxy), at(a.maxx, a.maxy), at(a.maxx, a.miny))
+
+
+def latlng_equals(lat1: Column, lng1: Column, lat2: Column, lng2: Column, margin: float = 1e-9) -> Column:
+    return F.greatest(F.abs(lat1 - lat2), F.abs(lng1 - lng2)) <= margin
+
+
+def bounds_shifted(b: Column) -> Column:
+    """A box of west, south, east, north moved by whole turns, so that its centre's longitude is in [-180, 180)."""
+    centre = (b.west + b.east) / 2
+    shift = wrap(centre) - centre
+    return F.struct((b.west + shift).alias("west"), b.south.alias("south"), (b.east + shift).alias("east"), b.north.alias("north"))
+
+
+# points as values
+
+
+def _xy(x: Column, y: Column) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def point_add(a: Column, b: Column) -> Column:
+    return _xy(a.x + b.x, a.y + b.y)
+
+
+def point_subtract(a: Column, b: Column) -> Column:
+    return _xy(a.x - b.x, a.y - b.y)
+
+
+def point_times(a: Column, n: Column | float) -> Column:
+    return _xy(a.x * n, a.y * n)
+
+
+def point_over(a: Column, n: Column | float) -> Column:
+    return _xy(a.x / n, a.y / n)
+
+
+def point_scaled(a: Column, b: Column) -> Column:
+    """Each coordinate times its own factor."""
+    return _xy(a.x * b.x, a.y * b.y)
+
+
+def point_unscaled(a: Column, b: Column) -> Column:
+    return _xy(a.x / b.x, a.y / b.y)
+
+
+def point_rounded(a: Column) -> Column:
+    """To whole numbers, halves upwards."""
+    return _xy(F.floor(a.x + 0.5), F.floor(a.y + 0.5))
+
+
+def point_floor(a: Column) -> Column:
+    return _xy(F.floor(a.x), F.floor(a.y))
+
+
+def point_ceil(a: Column) -> Column:
+    return _xy(F.ceil(a.x), F.ceil(a.y))
+
+
+def point_cut(a: Column) -> Column:
+    """Without the places after the point."""
+    return _xy(*[F.when(v >= 0, F.floor(v)).otherwise(F.ceil(v)) for v in (a.x, a.y)])
+
+
+def point_distance(a: Column, b: Column) -> Column:
+    return F.hypot(b.x - a.x, b.y - a.y)
+
+
+def point_equals(a: Column, b: Column) -> Column:
+    return (a.x == b.x) & (a.y == b.y)
+
+
+def point_covers(a: Column, b: Column) -> Column:
+    """Whether b is no farther from the origin on either axis."""
+    return (F.abs(b.x) <= F.abs(a.x)) & (F.abs(b.y) <= F.abs(a.y))
+
+
+# tiles in view
+
+
+def tile_range(minx: Column, miny: Column, maxx: Column, maxy: Column, size: int = TILE) -> Column:
+    """The first and last tiles that a box of pixels meets."""
+    first = lambda v: F.floor(v / size).cast("int")
+    last = lambda v: (F.ceil(v / size) - 1).cast("int")
+    return F.struct(first(minx).alias("x0"), first(miny).alias("y0"), last(maxx).alias("x1"), last(maxy).alias("y1"))
+
+
+def visible_tiles(views: DataFrame) -> DataFrame:
+    """views with x0, y0, x1, y1 -> one row per tile x, y with its distance from the centre of the range; order by it
+    (then y, x) to load the centre first."""
+    rows = views.withColumn("y", F.explode(F.sequence("y0", "y1"))).withColumn("x", F.explode(F.sequence("x0", "x1")))
+    return rows.withColumn("from_centre", F.hypot(F.col("x") - (F.col("x0") + F.col("x1")) / 2, F.col("y") - (F.col("y0") + F.col("y1")) / 2))
+
+
+def tile_bounds(x: Column, y: Column, z: Column | int) -> Column:
+    """west, south, east, north of a tile."""
+    return F.struct(tile_west(x, z).alias("west"), tile_north(y + 1, z).alias("south"), tile_west(x + 1, z).alias("east"), tile_north(y, z).alias("north"))
+
+
+def tile_key(x: Column, y: Column, z: Column | int) -> Column:
+    return F.concat_ws(":", x, y, F.lit(z))
+
+
+def key_tile(key: Column) -> Column:
+    parts = F.split(key, ":")
+    return F.struct(*[parts[k].cast("int").alias(c) for k, c in enumerate("xyz")])
+
+
+def wrap_tile(v: Column, z: Column | int) -> Column:
+    """A column or row of tiles beyond the world is that of another turn."""
+    return F.pmod(v, F.pow(F.lit(2.0), F.lit(z)).cast("int"))
+
+
+def is_valid_tile(x: Column, y: Column, z: Column | int, wraps_x: bool = True, wraps_y: bool = False, within: Column | None = None) -> Column:
+    """Whether a tile is of the world (on the axes that don't wrap) and, with `within`, has more than an edge in common
+    with that box of west, south, east, north."""
+    n = F.pow(F.lit(2.0), F.lit(z))
+    good = F.lit(True)
+    for v, wraps in ((x, wraps_x), (y, wraps_y)):
+        good = good if wraps else good & (v >= 0) & (v < n)
+    return good if within is None else good & box_overlaps(planar(within), planar(tile_bounds(wrap_tile(x, z) if wraps_x else x, y, z)))
+
+
+def native_zoom(z: Column, low: int | None = None, high: int | None = None) -> Column:
+    """The zoom whose tiles stand in for those of z."""
+    z = z if low is None else F.greatest(z, F.lit(low))
+    return z if high is None else F.least(z, F.lit(high))
+
+
+def retained(wanted: DataFrame, loaded: DataFrame, up: int = 5, down: int = 2) -> DataFrame:
+    """The loaded tiles (z, x, y, active, loaded) that stand in for wanted tiles (z, x, y) that aren't there yet: ancestors
+    up to the nearest active one; where none is active, descendants, none below an active one."""
+    have = loaded.where("active OR loaded").select("z", "x", "y", "active")
+    of = lambda c: have.select(*[F.col(k).alias(f"{c}{k}") for k in ("z", "x", "y")], "active")
+    above = ancestors(wanted.select("z", "x", "y").distinct(), up, 1).join(of("a"), ["az", "ax", "ay"])
+    nearest = above.groupBy("z", "x", "y").agg(F.min(F.when(F.col("active"), F.col("up"))).alias("nearest"))
+    kept = above.join(nearest, ["z", "x", "y"]).where(F.col("nearest").isNull() | (F.col("up") <= F.col("nearest")))
+    out = kept.select(F.col("az").alias("z"), F.col("ax").alias("x"), F.col("ay").alias("y"))
+    alone = wanted.select("z", "x", "y").distinct().join(nearest.where("nearest IS NOT NULL"), ["z", "x", "y"], "left_anti")
+    step = alone
+    for _ in range(down):
+        below = children(step).select(F.col("cz").alias("z"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+        met = below.join(have, ["z", "x", "y"], "left")
+        out = out.union(met.where("active IS NOT NULL").select("z", "x", "y"))
+        step = met.where("active IS NULL OR NOT active").select("z", "x", "y")
+    return out.distinct()

@@ -203,3 +203,89 @@ def simplify(line: Column, tolerance: float) -> Column:
             yield batch.map(lambda v: [{"x": x, "y": y} for x, y in _simplified(np.array([(p["x"], p["y"]) for p in v]), tolerance).tolist()] if v is not None and len(v) else v)
 
     return simplified(line)
+
+
+def clipped_line(line: Column, minx: float, miny: float, maxx: float, maxy: float) -> Column:
+    """The parts of a line in a box: segments are cut one by one, and a new part begins where the line left the box."""
+    pieces = F.transform(edges(line), lambda e: F.struct(e.b.alias("end"), clip_segment(e.a, e.b, minx, miny, maxx, maxy).alias("cut")))
+    start = F.struct(F.array().cast(f"array<{POINTS}>").alias("parts"), F.array().cast(POINTS).alias("open"))
+
+    def walk(s: Column, p: Column) -> Column:
+        a, b = p.cut.a, p.cut.b
+        held = F.when(F.size(s.open) > 0, F.concat(s.open, F.array(b))).otherwise(F.array(a, b))
+        leaves = (b.x != p.end.x) | (b.y != p.end.y)
+        missed = F.struct(F.when(F.size(s.open) > 0, F.concat(s.parts, F.array(s.open))).otherwise(s.parts).alias("parts"), F.array().cast(POINTS).alias("open"))
+        met = F.struct(F.when(leaves, F.concat(s.parts, F.array(held))).otherwise(s.parts).alias("parts"), F.when(leaves, F.array().cast(POINTS)).otherwise(held).alias("open"))
+        return F.when(p.cut.isNull(), missed).otherwise(met)
+
+    done = F.aggregate(pieces, start, walk, lambda s: F.when(F.size(s.open) > 0, F.concat(s.parts, F.array(s.open))).otherwise(s.parts))
+    return F.when(F.size(line) > 1, done).otherwise(F.array().cast(f"array<{POINTS}>"))
+
+
+def drawn_line(line: Column, minx: float, miny: float, maxx: float, maxy: float, tolerance: float = 0.5, clip: bool = True) -> Column:
+    """What is drawn of a line in a view: its parts in the box, each simplified; nothing where their boxes don't meet."""
+    own = bounds(line)
+    meets = (own.minx <= maxx) & (own.maxx >= minx) & (own.miny <= maxy) & (own.maxy >= miny)
+    nothing = F.array().cast(f"array<{POINTS}>")
+    parts = clipped_line(line, minx, miny, maxx, maxy) if clip else F.array(line.cast(POINTS))
+    return F.when(meets, simplify_parts(parts, tolerance)).otherwise(nothing)
+
+
+def drawn_rings(rings: Column, minx: float, miny: float, maxx: float, maxy: float, weight: float = 0.0) -> Column:
+    """What is drawn of a polygon's rings in a view that is grown by the stroke's weight; rings outside are left out."""
+    box = (minx - weight, miny - weight, maxx + weight, maxy + weight)
+    return F.filter(F.transform(rings, lambda r: clip_ring(r, *box)), lambda r: F.size(r) > 0)
+
+
+def simplify_parts(parts: Column, tolerance: float) -> Column:
+    """Each part of a line simplified."""
+
+    @F.pandas_udf(f"array<{POINTS}>")
+    def fewer(lines: pd.Series) -> pd.Series:
+        def one(parts: np.ndarray | None) -> list | None:
+            if parts is None:
+                return None
+            out = []
+            for part in parts:
+                xy = np.array([(p["x"], p["y"]) for p in part]).reshape(-1, 2)
+                out.append([{"x": x, "y": y} for x, y in (_simplified(xy, tolerance) if tolerance and len(xy) > 2 else xy).tolist()])
+            return out
+
+        return lines.map(one)
+
+    return fewer(parts)
+
+
+def tessellated(line: Column) -> Column:
+    """Two vertices for each point of a line, on either side: x, y, the normal nx, ny (of the mean direction of the
+    segments that meet there) and side 1 or -1. A line of less than two points has none."""
+    n = F.size(line)
+
+    def unit(x: Column, y: Column) -> Column:
+        size = F.hypot(x, y)
+        size = F.when(size == 0, 1.0).otherwise(size)
+        return F.struct((x / size).alias("x"), (y / size).alias("y"))
+
+    def at(k: Column) -> Column:
+        p, before, after = F.get(line, k), F.get(line, k - 1), F.get(line, k + 1)
+        zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+        come = F.when(k > 0, unit(p.x - before.x, p.y - before.y)).otherwise(zero)
+        go = F.when(k < n - 1, unit(after.x - p.x, after.y - p.y)).otherwise(zero)
+        along = unit(come.x + go.x, come.y + go.y)
+        side = lambda s: F.struct(p.x.alias("x"), p.y.alias("y"), (along.y * -s).alias("nx"), (along.x * s).alias("ny"), F.lit(s).alias("side"))
+        return F.array(side(1), side(-1))
+
+    return F.when(n > 1, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), at))).otherwise(F.array().cast("array<struct<x:double,y:double,nx:double,ny:double,side:int>>"))
+
+
+def projected_rings(rings: Column, crs: object, zoom: float, reach: float = 0.0) -> Column:
+    """Rings of x (longitude) and y (latitude) in whole pixels, and the box of all of them grown by `reach`."""
+
+    def pixel(p: Column) -> Column:
+        x, y = crs.to_pixel(p.y, p.x, zoom)
+        return F.struct(F.floor(x + 0.5).cast("double").alias("x"), F.floor(y + 0.5).cast("double").alias("y"))
+
+    made = F.transform(rings, lambda r: F.transform(r, pixel))
+    b = bounds(F.flatten(made))
+    box = F.struct((b.minx - reach).alias("minx"), (b.miny - reach).alias("miny"), (b.maxx + reach).alias("maxx"), (b.maxy + reach).alias("maxy"))
+    return F.struct(made.alias("rings"), box.alias("box"))

@@ -6,6 +6,7 @@ distances or boxes compared. No step compares all rows with all rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -75,14 +76,16 @@ def query_layers(features: DataFrame, scope: Scope, layer_column: str, layers: l
 
 def style_columns(layer: dict, scope: Scope, defaults: dict[str, object]) -> dict[str, Column]:
     """A column for each paint property: the layer's expression, the default where it fails or is undefined."""
-    paint = layer.get("paint", {})
+    paint = layer.get("layout", {}) | layer.get("paint", {})
     return {k: evaluate(paint[k], scope, F.lit(v)) if k in paint else F.lit(v) for k, v in defaults.items()}
 
 
 # What a layer draws with where its style says nothing.
 PAINT_DEFAULTS = {
     "fill": {"fill-color": "#000", "fill-opacity": 1.0},
-    "line": {"line-color": "#000", "line-width": 1.0, "line-opacity": 1.0},
+    "line": {"line-color": "#000", "line-width": 1.0, "line-opacity": 1.0, "line-cap": "butt", "line-join": "miter"},
+    "fill-extrusion": {"fill-extrusion-color": "#000", "fill-extrusion-opacity": 1.0, "fill-extrusion-height": 0.0, "fill-extrusion-base": 0.0},
+    "symbol": {"text-field": "", "text-size": 16.0, "text-color": "#000", "icon-image": ""},
     "circle": {"circle-color": "#000", "circle-radius": 4.0, "circle-opacity": 1.0},
 }
 
@@ -111,3 +114,80 @@ def bounds_of(points: DataFrame, *keys: str) -> DataFrame:
 def collect(parts: list[DataFrame]) -> DataFrame:
     """The features of several sources together."""
     return reduce(DataFrame.unionByName, parts)
+
+
+def extruded(features: DataFrame, layer: dict, scope: Scope, scale: Column | float = 1.0) -> DataFrame:
+    """features with color, opacity, height and base, those that rise above their base alone."""
+    made = style_columns(layer, scope, PAINT_DEFAULTS["fill-extrusion"])
+    columns = {k: made[f"fill-extrusion-{k}"] for k in ("color", "opacity")} | {k: made[f"fill-extrusion-{k}"] * scale for k in ("height", "base")}
+    return features.withColumns(columns).where(F.col("height") > F.col("base"))
+
+
+#: What a query's place has around it, in pixels, and the units of a tile where no layer says.
+REACH, EXTENT = 8.0, 4096
+
+
+def local_point(px: Column, py: Column, x: Column, y: Column, tile_size: float = 512.0) -> Column:
+    """A point of the view (pixels of the layer) in the units of tile x, y: px, py, the box to look for candidates, and
+    the units of a pixel; null outside the tile."""
+    scale = EXTENT / tile_size
+    lx, ly = px - x * tile_size, py - y * tile_size
+    inside = lx.between(0, tile_size) & ly.between(0, tile_size)
+    box = geo.box(lx * scale - REACH * scale, ly * scale - REACH * scale, lx * scale + REACH * scale, ly * scale + REACH * scale)
+    return F.when(inside, F.struct((lx * scale).alias("px"), (ly * scale).alias("py"), box.alias("box"), F.lit(scale).alias("scale")))
+
+
+def local_box(x0: Column, y0: Column, x1: Column, y1: Column, x: Column, y: Column, tile_size: float = 512.0) -> Column:
+    """A box of the view in the units of tile x, y, with its centre as px, py; null where it doesn't meet the tile."""
+    scale = EXTENT / tile_size
+    west, east = F.least(x0, x1) - x * tile_size, F.greatest(x0, x1) - x * tile_size
+    north, south = F.least(y0, y1) - y * tile_size, F.greatest(y0, y1) - y * tile_size
+    meets = (east >= 0) & (south >= 0) & (west <= tile_size) & (north <= tile_size)
+    box = geo.box(west * scale, north * scale, east * scale, south * scale)
+    return F.when(meets, F.struct(((west + east) / 2 * scale).alias("px"), ((north + south) / 2 * scale).alias("py"), box.alias("box"), F.lit(scale).alias("scale")))
+
+
+def hit(kind: Column, parts: Column, query: Column, extent: Column, by_box: bool, width: Column | float = 1.0, radius: Column | float = 4.0, tile_size: float = 512.0) -> Column:
+    """Whether a feature (1 point, 2 line, 3 polygon; parts of points) is met by a query of local_point or local_box, in
+    its layer's own extent. A place meets a polygon that it is in, a line within half its width and 4 pixels, a point
+    within its radius and 2 pixels. A box meets what has a point in it, and polygons that its centre is in."""
+    own = extent / tile_size
+    times = own / query["scale"]
+    x, y = query.px * times, query.py * times
+    inside = geometry.in_polygon(x, y, parts)
+    if by_box:
+        b = query.box
+        vertex = F.exists(F.flatten(parts), lambda p: p.x.between(b.minx * times, b.maxx * times) & p.y.between(b.miny * times, b.maxy * times))
+        return vertex | ((kind == 3) & inside)
+    line = F.array_min(F.transform(parts, lambda part: geometry.distance_to_line(x, y, part))) <= (F.lit(width) / 2 + 4) * own
+    point = F.exists(F.flatten(parts), lambda p: F.hypot(p.x - x, p.y - y) <= (F.lit(radius) + 2) * own)
+    return F.when(kind == 1, point).when(kind == 2, line).when(kind == 3, inside).otherwise(False)
+
+
+def query_region(
+    features: DataFrame, scope_of: Callable[[DataFrame], Scope], layer_column: str, layers: list[dict], point: tuple[float, float] | None = None, box: tuple[float, float, float, float] | None = None,
+    only: list[str] | None = None, tile_size: float = 512.0,
+) -> DataFrame:
+    """Features (z, x, y, extent, kind, parts, box: minx.. in the tile's units, and the columns of layers' filters) of a
+    view's tiles, each with each style layer that draws it at a place or in a box (which wins) of the view; without either,
+    as query_layers. Candidates are those whose own box meets the query's: comparisons that files can prune by."""
+    if point is None and box is None:
+        return query_layers(features, scope_of(features), layer_column, layers, only)
+    x, y = F.col("x"), F.col("y")
+    q = local_box(*map(F.lit, map(float, box)), x, y, tile_size) if box is not None else local_point(F.lit(float(point[0])), F.lit(float(point[1])), x, y, tile_size)
+    times = F.col("extent") / EXTENT
+    asked = features.withColumn("__q", q)
+    b = F.col("__q.box")
+    near = asked.where((F.col("box.minx") <= b.maxx * times) & (F.col("box.maxx") >= b.minx * times) & (F.col("box.miny") <= b.maxy * times) & (F.col("box.maxy") >= b.miny * times))
+    drawn = query_layers(near, scope_of(near), layer_column, layers, only)
+    paint = {x["id"]: x.get("paint", {}) for x in layers}
+
+    def of(name: str, default: float) -> Column:
+        value = F.lit(default)
+        for layer_id, own in paint.items():
+            if isinstance(own.get(name), int | float):
+                value = F.when(F.col("layer") == layer_id, float(own[name])).otherwise(value)
+        return value
+
+    met = hit(F.col("kind"), F.col("parts"), F.col("__q"), F.col("extent"), box is not None, of("line-width", 1.0), of("circle-radius", 4.0), tile_size)
+    return drawn.where(met).drop("__q")

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import math
 import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions import geometry
+
 POINT, LINE, POLYGON = 1, 2, 3
 MOVE, DRAW, CLOSE = 1, 2, 7
 #: Features of one encoded part; a tile with more is several parts, each a tile by itself (readers may join their bytes).
 PART = 20_000
-FEATURE = "layer string, extent int, id long, kind int, properties map<string,string>, parts array<array<struct<x:int,y:int>>>, error string"
+FEATURE = "layer string, extent int, id long, kind int, properties map<string,string>, typed string, parts array<array<struct<x:int,y:int>>>, error string"
 
 
 def varint(n: int) -> bytes:
@@ -139,25 +143,30 @@ def encode_layer(name: str, extent: int, features: list[tuple[int | None, int, d
     return block(3, number(15, 2) + block(1, name.encode()) + b"".join(body) + b"".join(block(3, k.encode()) for k in keys) + b"".join(block(4, block(1, v.encode())) for v in values) + number(5, extent))
 
 
-def value_text(data: bytes) -> str | None:
-    """A property value as text: numbers as Python writes them, booleans as true and false, nothing as null."""
+def value(data: bytes) -> str | float | int | bool | None:
+    """A property's value."""
     for tag, v in fields(data):
         match tag:
             case 1:
                 return v.decode("utf-8", "replace")
             case 2:
-                return str(struct.unpack("<f", v)[0])
+                return struct.unpack("<f", v)[0]
             case 3:
-                return str(struct.unpack("<d", v)[0])
+                return struct.unpack("<d", v)[0]
             case 4 | 5:
-                return str(v - (1 << 64) if tag == 4 and v >> 63 else v)
+                return v - (1 << 64) if tag == 4 and v >> 63 else v
             case 6:
-                return str(v >> 1 ^ -(v & 1))
+                return v >> 1 ^ -(v & 1)
             case 7:
-                return "true" if v else "false"
+                return bool(v)
     return None
 
 
+def value_text(v: object) -> str | None:
+    """A value as text: numbers as Python writes them, booleans as true and false, nothing as null."""
+    return str(v).lower() if isinstance(v, bool) else v if v is None else str(v)
+
+
 def decode_layer(data: bytes) -> Iterator[tuple]:
     name, extent, keys, values, raw = None, 4096, [], [], []
     for tag, v in fields(data):
@@ -169,7 +178,7 @@ def decode_layer(data: bytes) -> Iterator[tuple]:
             case 3:
                 keys.append(v.decode("utf-8", "replace"))
             case 4:
-                values.append(value_text(v))
+                values.append(value(v))
             case 5:
                 extent = v
     if name is None:
@@ -190,11 +199,14 @@ def decode_layer(data: bytes) -> Iterator[tuple]:
             properties = {keys[k]: values[w] for k, w in zip(tags[::2], tags[1::2], strict=False)}
         except (ValueError, IndexError) as bad:
             properties, error = {}, str(bad)
-        yield name, extent, key, kind, properties, [[{"x": x, "y": y} for x, y in part] for part in parts], error
+        typed = json.dumps({k: None if v != v or v in (float("inf"), -float("inf")) else v for k, v in properties.items()}, ensure_ascii=False)
+        properties = {k: value_text(v) for k, v in properties.items()}
+        yield name, extent, key, kind, properties, typed, [[{"x": x, "y": y} for x, y in part] for part in parts], error
 
 
 def read_tiles(tiles: DataFrame) -> DataFrame:
-    """tiles (z, x, y, data) -> one row per feature: z, x, y, layer, extent, id, kind, properties, parts, error.
+    """tiles (z, x, y, data) -> one row per feature: z, x, y, layer, extent, id, kind, properties (as
+    text), typed (properties as a JSON object, with numbers, booleans and null), parts, error.
 
     Layers without a name are left out; of layers that share a name in one tile all features come. Bytes that don't
     parse give one row with `error`, or one for the feature they belong to. Null and empty data give no rows."""
@@ -208,7 +220,7 @@ def read_tiles(tiles: DataFrame) -> DataFrame:
                         if tag == 3:
                             out += [(z, x, y, *feature) for feature in decode_layer(v)]
                 except ValueError as bad:
-                    out.append((z, x, y, None, None, None, None, None, None, str(bad)))
+                    out.append((z, x, y, *[None] * 7, str(bad)))
             made = pd.DataFrame(out, columns=["z", "x", "y", *[c.split()[0] for c in FEATURE.split(", ")]])
             yield made.astype({"extent": "Int32", "id": "Int64", "kind": "Int32"})
 
@@ -219,7 +231,7 @@ def write_tiles(features: DataFrame, extent: int = 4096) -> DataFrame:
     """features (z, x, y, layer, id, kind, properties, parts) -> z, x, y, part, data. Parts have about PART features, so
     that no tile, however full, is one task's work; polygons' rings come without their repeated first point."""
     size = features.groupBy("z", "x", "y").agg(F.ceil(F.count(F.lit(1)) / PART).alias("__parts"))
-    dealt = features.join(size, ["z", "x", "y"]).withColumn("part", F.pmod(F.xxhash64("id"), "__parts").cast("int"))
+    dealt = features.join(size, ["z", "x", "y"]).withColumn("part", F.pmod(F.xxhash64("id", "parts"), "__parts").cast("int"))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tile, layer, held, data = None, None, [], b""
@@ -242,3 +254,50 @@ def write_tiles(features: DataFrame, extent: int = 4096) -> DataFrame:
     place = ["z", "x", "y", "part"]
     columns = dealt.select(*place, "layer", F.col("id").cast("string").alias("id"), "kind", "properties", "parts")
     return columns.repartition(*place).sortWithinPartitions(*place, "layer", "id").mapInPandas(encode, "z int, x int, y int, part int, data binary")
+
+
+def feature_box(parts: Column) -> Column:
+    """The box of a feature's parts in the tile's units; null without points."""
+    return geometry.bounds(F.flatten(parts))
+
+
+def polygons(parts: Column) -> Column:
+    """Rings as polygons, each an outer ring (positive area, y downwards) and the holes after it; rings without area and
+    holes before any outer ring are left out."""
+    kind = "array<array<array<struct<x:{0},y:{0}>>>>"
+    none = F.array().cast(kind.format("int"))
+
+    def add(found: Column, ring: Column) -> Column:
+        area = geometry.signed_area(ring)
+        last = F.element_at(found, -1)
+        grown = F.concat(F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0))), F.array(F.concat(last, F.array(ring))))
+        return F.when(area > 0, F.concat(found, F.array(F.array(ring)))).when((area < 0) & (F.size(found) > 0), grown).otherwise(found)
+
+    return F.aggregate(parts, none, add)
+
+
+def to_geojson(features: DataFrame) -> DataFrame:
+    """read_tiles() rows with `geojson`, the feature as GeoJSON text in degrees. Unknown kinds are points at 0, 0."""
+    size = F.col("extent") * F.pow(F.lit(2.0), F.col("z"))
+
+    def spot(p: Column) -> Column:
+        up = 180 - (p.y + F.col("y") * F.col("extent")) * 360 / size
+        return F.array((p.x + F.col("x") * F.col("extent")) * 360 / size - 180, F.atan(F.exp(up * math.pi / 180)) * (360 / math.pi) - 90)
+
+    line = lambda part: F.transform(part, spot)
+    parts, kind = F.col("parts"), F.col("kind")
+    points, shapes = F.flatten(parts), polygons(parts)
+    text = lambda name, c: F.concat(F.lit(f'{{"type":"{name}","coordinates":'), F.to_json(c), F.lit("}"))
+    one = lambda c: F.get(c, F.lit(0))
+    geometry_text = (
+        F.when((kind == POINT) & (F.size(points) == 1), text("Point", spot(one(points))))
+        .when(kind == POINT, text("MultiPoint", line(points)))
+        .when((kind == LINE) & (F.size(parts) == 1), text("LineString", line(one(parts))))
+        .when(kind == LINE, text("MultiLineString", F.transform(parts, line)))
+        .when((kind == POLYGON) & (F.size(shapes) == 1), text("Polygon", F.transform(one(shapes), line)))
+        .when(kind == POLYGON, text("MultiPolygon", F.transform(shapes, lambda p: F.transform(p, line))))
+        .otherwise(F.lit('{"type":"Point","coordinates":[0,0]}'))
+    )
+    key = F.when(F.col("id").isNotNull(), F.concat(F.lit(',"id":'), F.col("id").cast("string"))).otherwise("")
+    values = F.coalesce("typed", F.lit("{}"))
+    return features.withColumn("geojson", F.concat(F.lit('{"type":"Feature"'), key, F.lit(',"geometry":'), geometry_text, F.lit(',"properties":'), values, F.lit("}")))
