@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -163,7 +164,9 @@ def clip_segment(a: Column, b: Column, minx: float, miny: float, maxx: float, ma
         out = out | ((d == 0) & ((start < low) | (start > high)))
     t0, t1 = F.greatest(*enter), F.least(*leave)
     at = lambda t: F.struct((a.x + dx * t).alias("x"), (a.y + dy * t).alias("y"))
-    return F.when(~out & (t0 <= t1), F.struct(at(t0).alias("a"), at(t1).alias("b")))
+    own = lambda p: F.struct(p.x.alias("x"), p.y.alias("y"))
+    ends = F.when(t0 == 0, own(a)).otherwise(at(t0)), F.when(t1 == 1, own(b)).otherwise(at(t1))  # an end inside stays exactly
+    return F.when(~out & (t0 <= t1), F.struct(ends[0].alias("a"), ends[1].alias("b")))
 
 
 def _simplified(xy: np.ndarray, tolerance: float) -> np.ndarray:
@@ -240,18 +243,14 @@ def drawn_rings(rings: Column, minx: float, miny: float, maxx: float, maxy: floa
 def simplify_parts(parts: Column, tolerance: float) -> Column:
     """Each part of a line simplified."""
 
-    @F.pandas_udf(f"array<{POINTS}>")
-    def fewer(lines: pd.Series) -> pd.Series:
-        def one(parts: np.ndarray | None) -> list | None:
-            if parts is None:
-                return None
-            out = []
-            for part in parts:
-                xy = np.array([(p["x"], p["y"]) for p in part]).reshape(-1, 2)
-                out.append([{"x": x, "y": y} for x, y in (_simplified(xy, tolerance) if tolerance and len(xy) > 2 else xy).tolist()])
-            return out
-
-        return lines.map(one)
+    @F.arrow_udf(f"array<{POINTS}>")
+    def fewer(lines: pa.Array) -> pa.Array:
+        def one(part: list[dict]) -> list[dict]:
+            xy = np.array([(p["x"], p["y"]) for p in part]).reshape(-1, 2)
+            return [{"x": x, "y": y} for x, y in (_simplified(xy, tolerance) if tolerance and len(xy) > 2 else xy).tolist()]
+
+        kind = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+        return pa.array([None if parts is None else [one(part) for part in parts] for parts in lines.to_pylist()], kind)
 
     return fewer(parts)
 

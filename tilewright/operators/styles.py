@@ -136,7 +136,7 @@ def style_issues(docs: DataFrame, key: str, column: str) -> DataFrame:
     """key, path and message of all that is wrong with each document. An array that begins with the name of an operator is
     an expression, which functions.expressions.validate checks; null documents and those that are no objects have one
     issue."""
-    parsed = docs.select(key, F.try_parse_json(column).alias("s"))
+    parsed, name, key = docs.select(F.col(key).alias("__key"), F.try_parse_json(column).alias("s")), key, "__key"
     s, whole = F.col("s"), _is(F.col("s")).eqNullSafe("object")
     version, sources, layers, centre, sprite = (_get(s, k) for k in ("version", "sources", "layers", "center", "sprite"))
     pair = F.try_variant_get(centre, "$", "array<variant>")
@@ -158,7 +158,7 @@ def style_issues(docs: DataFrame, key: str, column: str) -> DataFrame:
     every = found[0]
     for one in found[1:]:
         every = every.union(one)
-    return every
+    return every.withColumnRenamed(key, name)
 
 
 def _source_issues(parsed: DataFrame, key: str) -> DataFrame:
@@ -243,7 +243,7 @@ def style_changes(pairs: DataFrame, key: str, before: str, after: str) -> DataFr
     setTransition, setLight, addSource, removeSource, setSourceData, addLayer (below the layer `anchor`, on top without),
     removeLayer, setLayerZoomRange, setFilter, setPaintProperty, setLayoutProperty. Values equal but for the order of
     keys are equal. Of layers that repeat an id the last one counts."""
-    docs = pairs.select(key, F.try_parse_json(before).alias("p"), F.try_parse_json(after).alias("n"))
+    docs, given, key = pairs.select(F.col(key).alias("__key"), F.try_parse_json(before).alias("p"), F.try_parse_json(after).alias("n")), key, "__key"
     p, n = F.col("p"), F.col("n")
     layers = _layers(docs, key, "p").join(_layers(docs, key, "n"), [key, "id"], "full")
     there = F.col("p_k").isNotNull() & F.col("n_k").isNotNull()
@@ -299,7 +299,7 @@ def style_changes(pairs: DataFrame, key: str, before: str, after: str) -> DataFr
     for one in out[1:]:
         every = every.union(one)
     step = F.row_number().over(Window.partitionBy(key).orderBy("order"))
-    return every.select(key, step.alias("step"), "command", "target", "name", "value", "anchor")
+    return every.select(F.col(key).alias(given), step.alias("step"), "command", "target", "name", "value", "anchor")
 
 
 def _layers(docs: DataFrame, key: str, side: str) -> DataFrame:
@@ -311,8 +311,8 @@ def _layers(docs: DataFrame, key: str, side: str) -> DataFrame:
 
 def layers_of(docs: DataFrame, key: str, column: str) -> DataFrame:
     """key, position, id and layer (JSON): a table of layers for the edits below."""
-    rows = docs.select(key, F.posexplode(_get(F.try_parse_json(column), "layers", kind="array<variant>")).alias("position", "v"))
-    return rows.select(key, "position", _text(_get(F.col("v"), "id")).alias("id"), F.to_json("v").alias("layer"))
+    rows = docs.select(key, F.posexplode(_get(F.try_parse_json(column), "layers", kind="array<variant>")).alias("__position", "__v"))
+    return rows.select(key, F.col("__position").alias("position"), _text(_get(F.col("__v"), "id")).alias("id"), F.to_json("__v").alias("layer"))
 
 
 def _changed(layers: DataFrame, layer_id: str, change) -> DataFrame:

@@ -81,7 +81,7 @@ def query_region_point(spark, sf_dir):
 @query()
 def symbols_placed(spark, sf_dir):
     """Tested against one pass in order."""
-    b = part_boxes(spark, sf_dir).select(F.col("id").alias("seq"), "minx", "miny", (F.col("maxx") + 40).alias("maxx"), (F.col("maxy") + 40).alias("maxy"), F.when(F.col("id") % 3 > 0, F.col("id") % 5).cast("double").alias("priority"))
+    b = part_boxes(spark, sf_dir).select(F.col("id").alias("seq"), "minx", "miny", (F.col("maxx") + 300).alias("maxx"), (F.col("maxy") + 300).alias("maxy"), F.when(F.col("id") % 3 > 0, F.col("id") % 5).cast("double").alias("priority"))
     return symbols.placed(b).select("seq")
 
 

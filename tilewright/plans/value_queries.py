@@ -50,7 +50,8 @@ def box_ring(spark, sf_dir):
 )
 def latlng_bounds(spark, sf_dir):
     ev = event_points(spark, sf_dir)
-    b = geo.bounds_shifted(F.struct((F.col("lng") + 399).alias("west"), (F.col("lat") - 1).alias("south"), (F.col("lng") + 401).alias("east"), (F.col("lat") + 1).alias("north")))
+    wide = F.struct((F.col("lng") + 399).alias("west"), (F.col("lat") - 1).alias("south"), (F.col("lng") + 401).alias("east"), (F.col("lat") + 1).alias("north"))
+    ev, b = ev.withColumn("b", geo.bounds_shifted(wide)), F.col("b")
     near = geo.latlng_equals(F.col("lat"), F.col("lng"), F.lit(10.0), F.lit(20.0), 5.0)
     padded = geo.geographic(geo.box_padded(geo.planar(b), 0.5))
     return ev.select("event_id", F.round(b.west, 6).alias("west"), F.round(b.east, 6).alias("east"), near.alias("near"), F.round(padded.west, 6).alias("padded"))

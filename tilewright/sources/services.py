@@ -70,9 +70,9 @@ def photon_places(answers: DataFrame, column: str, limit: int | None = None) ->
     )
     some = lambda c: F.when(F.length(c) > 0, c)
     street = F.when(some(p.street).isNotNull(), F.concat_ws(" ", p.street, some(p.housenumber)))
-    street = F.when(~street.eqNullSafe(some(p.name)), street)
+    street = F.when(~street.eqNullSafe(some(p["name"])), street)
     town = some(F.concat_ws(" ", some(p.postcode), some(p.city)))
-    label = F.concat_ws(", ", some(p.name), street, town, some(p.country))
+    label = F.concat_ws(", ", some(p["name"]), street, town, some(p.country))
     side = lambda n: F.get(p.extent, F.lit(n))
     bbox = F.when(p.extent.isNotNull(), F.array(side(0), side(3), side(2), side(1)))
     return _places(rows, label, _spot(at, 1), _spot(at, 0), bbox, kind, None, limit)
@@ -83,7 +83,7 @@ def mapbox_places(answers: DataFrame, column: str, limit: int | None = None) ->
     rows = _rows(answers, column, f"features array<struct<geometry:struct<coordinates:array<double>>,properties:struct<{own}>,relevance:double>>", lambda a: a.features)
     i = F.col("__i")
     p, at = i.properties, i.geometry.coordinates
-    return _places(rows, F.coalesce(p.full_address, p.name, F.lit("")), _spot(at, 1), _spot(at, 0), p.bbox, F.when(p.feature_type.isin(*COMMON), p.feature_type), i.relevance, limit)
+    return _places(rows, F.coalesce(p.full_address, p["name"], F.lit("")), _spot(at, 1), _spot(at, 0), p.bbox, F.when(p.feature_type.isin(*COMMON), p.feature_type), i.relevance, limit)
 
 
 def maptiler_places(answers: DataFrame, column: str, limit: int | None = None) -> DataFrame:
@@ -135,7 +135,7 @@ def osrm_routes(answers: DataFrame, column: str) -> DataFrame:
 
     def told(s: Column) -> Column:
         m, some = s.maneuver, lambda c: F.when(F.length(c) > 0, c)
-        made = F.concat_ws(" ", some(m.type), some(m.modifier), F.concat(F.lit("onto "), some(s.name)))
+        made = F.concat_ws(" ", some(m.type), some(m.modifier), F.concat(F.lit("onto "), some(s["name"])))
         instruction = F.coalesce(some(m.instruction), some(F.trim(made)), F.lit("continue"))
         maneuver = F.when(F.length(m.type) > 0, F.coalesce(F.regexp_replace(F.concat(m.type, F.lit("-"), some(m.modifier)), r"\s+", "-"), m.type))
         return _step(s.distance, s.duration, instruction, maneuver, _line(s.geometry.coordinates))
