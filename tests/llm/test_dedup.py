@@ -113,3 +113,10 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got.get(k, k) == top(k) for k in root)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_lines_over_ranges_of_hashes_and_at_the_least_length(spark, monkeypatch):
+    monkeypatch.setattr(bloom, "ranges_for", lambda n, each=24: 3)
+    texts = [(k, "\n".join(f"line number {j}" for j in range(k % 7, k % 7 + 9)) + "\n" + x) for k, x in enumerate(["ééééééééé", "éééééééééé", "ééééééééé ", "éééééééééé\t"] * 10)]
+    done = line_dedup(spark.createDataFrame(texts, "doc_id long, text string").repartition(4))
+    assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in done.collect()} == brute_lines(texts)

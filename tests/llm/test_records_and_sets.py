@@ -2,6 +2,8 @@ import base64
 import gzip
 import hashlib
 import io
+import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -80,6 +82,33 @@ def brute_links(ids, vectors, least):
     return dict(zip(ids, near.sum(axis=1).tolist(), strict=True)), near
 
 
+def test_links_near_the_threshold_are_found(spark):
+    """Pairs of cosines from 0.95 to 0.96 alone: what an index misses most."""
+    rng = np.random.default_rng(9)
+    unit = lambda v: v / np.linalg.norm(v)
+    rows = []
+    for k in range(400):
+        a = unit(rng.standard_normal(64))
+        b = unit(rng.standard_normal(64))
+        b = unit(b - (a @ b) * a)
+        c = rng.uniform(0.951, 0.96)
+        rows += [(2 * k, a), (2 * k + 1, c * a + math.sqrt(1 - c * c) * b)]
+    table = spark.createDataFrame([(k, [float(x) for x in np.float32(v)], "x") for k, v in rows] + [(None, [1.0] * 64, "x"), (5, [-1.0] * 64, "x")], "vec_id long, embedding array<float>, n_links string")
+    got = embedding_dedup.near_duplicates(table).collect()
+    found = sum(r["n_links"] for r in got if r["component_id"] is not None)
+    assert 0.9 * 800 <= found <= 800 and len(got) == 802 and sum(r["vec_id"] == 5 for r in got) == 2
+
+
+def test_cap_height_holds_at_any_share():
+    rng = np.random.default_rng(0)
+    u = rng.standard_normal((400_000, 24))
+    for share in (0.3, 0.01, 0.001):
+        t = embedding_dedup.cap_height(24, share)
+        assert np.mean(u[:, 0] > t * np.linalg.norm(u, axis=1)) == pytest.approx(share, rel=0.2)
+    heights = [embedding_dedup.cap_height(64, 10.0**-k) for k in range(1, 12)]
+    assert all(a < b for a, b in zip(heights, heights[1:], strict=False))
+
+
 @pytest.mark.parametrize("block", [1024, 40])
 def test_embedding_links(spark, monkeypatch, block):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
@@ -240,6 +269,21 @@ def test_rollup_deltas(spark):
     assert TokenRollup(spark, new_folder(spark, "rollup")).totals().count() == 0
 
 
+def test_rollup_reads_touched_buckets_and_applies_a_raced_batch_once(spark):
+    rollup = TokenRollup(spark, new_folder(spark, "rollup"), buckets=4)
+    change = lambda rows: spark.createDataFrame(rows, "op string, id long, source string, lang string, version string, tokens long")
+    rows = [("insert", k, "a", "en", "v", 1) for k in range(40)] + [("insert", None, "a", "en", "v", 5), ("insert", 7, "a", "en", "v", 3), ("insert", 7, "a", "en", "v", 2)]
+    assert rollup.commit(1, change(rows))
+    plan = rollup.documents([0])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ = 0", plan)
+    late = TokenRollup(spark, rollup.folder, buckets=4)
+    late._log = lambda: {"batch-000000000001": TokenRollup._log(rollup)["batch-000000000001"]}  # it looked before the other was done
+    assert rollup.commit(2, change([("revise", 1, "a", "en", "v", 100)]))
+    assert not late.commit(2, change([("revise", 1, "a", "en", "v", 100)]))
+    total = rollup.totals().collect()
+    assert [(r["documents"], r["tokens"]) for r in total] == [(41, 40 - 2 + 3 + 5 + 99 + 1)]
+
+
 def test_op10_totals(spark):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
     want = defaultdict(lambda: [0, 0])
@@ -277,3 +321,34 @@ def test_pipeline_rejects_other_languages(spark, learned):
     clean = spark.read.parquet(f"{SF}/documents.parquet").where(F.col("lang").isin(learned)).select("doc_id", "text", "lang")
     docs = clean.union(spark.createDataFrame(rows, clean.schema))
     assert {r[0] for r in corpus_pipeline.language(spark, docs, SF).select("doc_id").collect()} == {r[0] for r in clean.select("doc_id").collect()}
+
+
+def test_stages_of_odd_rows(spark):
+    """Null identifiers, repeated rows, ties, extra columns with clashing names: nobody's columns are touched."""
+    text = "the same words stand here again and again so that they make a text\nand a second line of it"
+    rows = [(None, text, "en", 7.0, "u", 3, "x"), (4, text, "en", 7.0, "u", 3, "x"), (4, text, "en", 7.0, "u", 3, "x"), (2, text, "en", 7.0, "u", 3, "x"), (9, None, None, 7.0, "u", 3, "x"), (8, "", "en", 7.0, "u", 3, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string, n_lines int, gone string").repartition(3)
+    own = lambda df: sorted((r["doc_id"] or 0, r["score"], r["lang_pred"], r["n_lines"], r["gone"]) for r in df.collect())
+    kept = corpus_pipeline.language(spark, docs, SF)
+    assert kept.columns == docs.columns and own(kept) == [(k, 7.0, "u", 3, "x") for k in (0, 2, 4, 4)]
+    lined = corpus_pipeline.lines(spark, docs, SF)
+    assert lined.columns == docs.columns and own(lined) == [(k, 7.0, "u", 3, "x") for k in (0, 2, 4, 4, 8, 9)]
+    assert {r["doc_id"]: r["text"] for r in lined.collect()} == {None: text, 2: text, 4: "", 8: "", 9: ""}
+    near = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert near.columns == docs.columns and own(near) == [(k, 7.0, "u", 3, "x") for k in (0, 2, 8, 9)]
+    packed = corpus_pipeline.packing(spark, docs, SF).collect()
+    assert sorted(r["doc_id"] or 0 for r in packed) == [0, 2, 4, 4, 8, 9] and {r["doc_tokens"] for r in packed if r["doc_id"] in (8, 9)} == {1}
+
+
+def test_jaccard_of_rows_without_or_with_repeated_identifiers(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, text), (5, text + " more"), (5, text), (3, text), (None, "alone in the world of words"), (8, None)]
+    got = sorted((r[0] or 0, r[1], r[2] or 0) for r in jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect())
+    assert got == [(0, 2, 0), (0, 36, 3), (3, 36, 3), (5, 36, 3), (5, 37, 3), (8, 0, 8)]
+
+
+def test_packing_of_repeated_rows_without_identifiers(spark):
+    rows = [(None, "a b"), (None, "a b"), (1, "a b"), (1, "a b"), (1, None)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), WORDS).collect()
+    assert sorted(r["doc_id"] or 0 for r in got) == [0, 0, 1, 1, 1] and {r["sequence_id"] for r in got} == {0}
+    assert sorted(r["offset"] for r in got) == [0, *[sum(sorted((r["length"] for r in got), reverse=True)[:k]) for k in range(1, 5)]]

@@ -162,3 +162,15 @@ def test_tokens_are_those_of_plain_python(texts):
             told = [distinct[k] for k in own.index]
             got += [told[a : a + n] for a, n in zip(own.starts, own.counts)]
         assert got == [(x or "").encode().lower().split() for x in rows]
+
+
+def test_models_of_repeated_rows_without_identifiers(spark):
+    rows = [(None, "one two", "en"), (None, "one two", "en"), (2, "three", "fr"), (2, "three", "fr"), (2, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    scored = maxent_lm.lm_scores(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in scored) == [(0, 3), (0, 3), (2, 1), (2, 2), (2, 2)]
+    assert len({(r["doc_id"], r["n_tokens"], r["score"]) for r in scored}) == 3
+    told = language_id.language_id(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["lang_pred"]) for r in told) == [(0, "en"), (0, "en"), (2, "fr"), (2, "fr"), (2, "und")]
+    ids = docs.select("doc_id", byte_bpe.bpe_encode(F.col("text"), *BPE).alias("p")).collect()
+    assert len({bytes(r["p"]) for r in ids if r["doc_id"] is None}) == 1 and len(ids) == 5

@@ -30,6 +30,16 @@ MEAN_FILTERS, LEAST_FILTERS = 24, 6
 BLOCK = 1024
 
 
+def cap_height(size: int, share: float) -> float:
+    """The height above which so small a share of random unit vectors of `size` components lies in a given direction."""
+    if size < 3:
+        return 0.9
+    t = np.linspace(0, 1, 400_001)
+    density = np.exp((size - 3) / 2 * np.log1p(-np.minimum(t * t, 1 - 1e-15)))
+    above = np.cumsum(density[::-1])[::-1] / density.sum() / 2
+    return float(t[np.searchsorted(-above, -share)])
+
+
 @dataclass
 class ProductCode:
     """Code vectors of unit length over sqrt(PARTS) in each part, after a random rotation of the whole space."""
@@ -46,19 +56,12 @@ class ProductCode:
         random = np.random.default_rng(SEED)
         rotation = np.linalg.qr(random.standard_normal((size, size)))[0]
         cuts = np.linspace(0, size, PARTS + 1).round().astype(int).tolist()
-        own = int(np.clip(round((count / 4) ** (1 / PARTS)), 8, 1024))
+        own = max(8, round((count / 4) ** (1 / PARTS)))
         words = []
         for low, high in zip(cuts, cuts[1:], strict=False):
             w = random.standard_normal((own, max(1, high - low)))[:, : high - low]
             words.append(w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12) / np.sqrt(PARTS))
-        code = ProductCode(rotation, words, cuts, 0.0)
-        probe = random.standard_normal((64, size))
-        probe /= np.linalg.norm(probe, axis=1, keepdims=True)
-        parts = code.parts(probe)
-        # sums of independent draws from each part give the distribution of products with a direction
-        draws = sum(random.choice(p.ravel(), 400_000) for p in parts)
-        code.threshold = float(np.quantile(draws, max(0.0, 1 - MEAN_FILTERS / own**PARTS)))
-        return code
+        return ProductCode(rotation, words, cuts, cap_height(size, min(0.5, MEAN_FILTERS / own**PARTS)))
 
     def parts(self, unit: np.ndarray) -> list[np.ndarray]:
         turned = unit @ self.rotation
@@ -82,7 +85,7 @@ class ProductCode:
             enough = (found >= LEAST_FILTERS) | (threshold <= -1)
             for k, own in zip(np.flatnonzero(enough), np.split(code, np.cumsum(found)[:-1]) if enough.all() else [code[row == k] for k in np.flatnonzero(enough)], strict=True):
                 out[todo[k]] = np.sort(own)
-            todo, threshold = todo[~enough], threshold - 0.05
+            todo, threshold = todo[~enough], threshold - 0.02
         return out
 
 
@@ -171,8 +174,6 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     kind = table.schema[id_col].dataType.simpleString()
     links = None
     sizes = [(r[0], r[1]) for r in classes.groupBy(F.size("vector")).agg(F.count(F.lit(1))).collect()]
-    if len(sizes) > 64:
-        raise ValueError("vectors of more than 64 lengths")
     for size, count in sizes:
         code = spark.sparkContext.broadcast(ProductCode.of(size, count))
         met = classes.where((F.size("vector") == size) & F.col("rep").isNotNull()).select(F.col("rep").alias("id"), "copies", "vector", directions(F.col("vector"), code).alias("filters"))

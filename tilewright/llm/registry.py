@@ -149,9 +149,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     tokens = token_count(bpe_encode(F.col("text"), *vocabulary))
-    counted = stored(docs.select(F.col("doc_id").alias("id"), "source", "lang", size.alias("size"), tokens.alias("n")), "counted")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id()))  # rows without identifier stay apart
+    counted = stored(docs.select(key.alias("id"), "source", "lang", size.alias("size"), tokens.alias("n")), "counted")
     change = lambda op, version, n: counted.select(F.lit(op).alias("op"), "id", "source", "lang", F.lit(version).alias("version"), n.alias("tokens"))
-    rollup = TokenRollup(spark, new_folder(spark, "rollup"), docs.schema["doc_id"].dataType.simpleString())
+    rollup = TokenRollup(spark, new_folder(spark, "rollup"), "string")
     rollup.commit(1, change("insert", "bytes", F.col("size")))
     rollup.commit(2, change("insert", "byte_bpe_50k", F.col("n")).union(change("delete", "bytes", F.col("size"))))
     closed = change("revise", "byte_bpe_50k", F.col("n") + 1)
