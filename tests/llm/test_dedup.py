@@ -2,9 +2,10 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tilewright.llm import bloom
+from tilewright.llm import bloom, components
 from tilewright.llm.components import connected_components
 from tilewright.llm.exact_dedup import exact_dedup, merge_round
 from tilewright.llm.line_dedup import line_dedup
@@ -97,7 +98,9 @@ def test_twice_seen_filter_has_no_false_negatives(spark):
     assert hit[500:].mean() < 0.05
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [components.TASK_EDGES, 0])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(components, "TASK_EDGES", at_once)
     random = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in random.integers(0, 400, (260, 2))] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, k) for k in range(2001, 2100)]
     root = {}
