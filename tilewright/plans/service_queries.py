@@ -21,7 +21,8 @@ def query(sql: str | None = None):
     return put
 
 
-K = F.col("c_custkey")
+def K():
+    return F.col("c_custkey")
 
 
 def answers(spark, sf_dir, value):
@@ -30,14 +31,21 @@ def answers(spark, sf_dir, value):
 
 
 def pick(*values):
-    return F.element_at(F.array(*map(F.lit, values)), (K % len(values) + 1).cast("int"))
+    return F.element_at(F.array(*map(F.lit, values)), (K() % len(values) + 1).cast("int"))
 
 
 def pick_sql(*values):
     return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + f"][c_custkey % {len(values)} + 1]"
 
 
-X, Y = (K % 180).cast("double"), (K % 90).cast("double")
+def X():
+    return (K() % 180).cast("double")
+
+
+def Y():
+    return (K() % 90).cast("double")
+
+
 PLACE = "c_custkey, 0 AS rank, {text} AS text, (c_custkey % 90) * 1e0 AS lat, (c_custkey % 180) * 1e0 AS lng, {kind} AS place_type"
 WORLD = "-1e0 AS west, 2e0 AS south, 3e0 AS east, 4e0 AS north"
 RESULT = ("c_custkey", "rank", "text", "lat", "lng", "place_type")
@@ -54,7 +62,7 @@ OSM = [("boundary", "administrative"), ("place", "country"), ("place", "state"),
 def nominatim_places(spark, sf_dir):
     text = lambda v: F.lit(v).cast("string")
     one = F.struct(
-        Y.cast("string").alias("lat"), X.cast("string").alias("lon"), F.col("c_name").alias("display_name"), pick(*[a for a, _ in OSM]).alias("class"), pick(*[b for _, b in OSM]).alias("type"), (K / 100 - 0.1).alias("importance"),
+        Y().cast("string").alias("lat"), X().cast("string").alias("lon"), F.col("c_name").alias("display_name"), pick(*[a for a, _ in OSM]).alias("class"), pick(*[b for _, b in OSM]).alias("type"), (K() / 100 - 0.1).alias("importance"),
         F.array(text(2), text(4), text(-1), text(3)).alias("boundingbox"),
     )
     return boxed(services.read("places", answers(spark, sf_dir, F.array(one)), "answer"), "relevance")
@@ -62,31 +70,31 @@ def nominatim_places(spark, sf_dir):
 
 @query(f"SELECT {PLACE.format(text='c_name', kind=pick_sql('place', 'address', 'poi'))} FROM customer")
 def nominatim_reverse(spark, sf_dir):
-    one = F.struct(Y.cast("string").alias("lat"), X.cast("string").alias("lon"), F.col("c_name").alias("display_name"), pick("place", "highway", "amenity").alias("class"), pick("town", "road", "bar").alias("type"))
+    one = F.struct(Y().cast("string").alias("lat"), X().cast("string").alias("lon"), F.col("c_name").alias("display_name"), pick("place", "highway", "amenity").alias("class"), pick("town", "road", "bar").alias("type"))
     return services.nominatim_places(answers(spark, sf_dir, one), "answer").select(*RESULT)
 
 
 @query(f"SELECT {PLACE.format(text=chr(39) + 'Main Street 5, 1000 Town, Land' + chr(39), kind=pick_sql('place', 'country', 'district', 'address'))}, {WORLD} FROM customer")
 def photon_places(spark, sf_dir):
     own = F.struct(
-        F.lit("Main Street 5").alias("name"), F.lit("Main Street").alias("street"), F.when(K % 4 == 3, "5").otherwise("").alias("housenumber"), F.lit("1000").alias("postcode"), F.lit("Town").alias("city"), F.lit("Land").alias("country"),
+        F.lit("Main Street 5").alias("name"), F.lit("Main Street").alias("street"), F.when(K() % 4 == 3, "5").otherwise("").alias("housenumber"), F.lit("1000").alias("postcode"), F.lit("Town").alias("city"), F.lit("Land").alias("country"),
         pick("place", "x", "x", "x").alias("osm_key"), pick("city", "country", "x", "x").alias("osm_value"), pick("x", "x", "county", "x").alias("type"), F.array(*[F.lit(float(v)) for v in (-1, 4, 3, 2)]).alias("extent"),
     )
-    own = own.withField("street", F.when(K % 4 == 3, "Main Street"))
-    feature = F.struct(F.struct(F.array(X, Y).alias("coordinates")).alias("geometry"), own.alias("properties"))
+    own = own.withField("street", F.when(K() % 4 == 3, "Main Street"))
+    feature = F.struct(F.struct(F.array(X(), Y()).alias("coordinates")).alias("geometry"), own.alias("properties"))
     return boxed(services.photon_places(answers(spark, sf_dir, F.struct(F.array(feature).alias("features"))), "answer"))
 
 
 @query(f"SELECT {PLACE.format(text='c_name', kind=pick_sql('poi', None, 'region'))}, {WORLD}, 0.5e0 AS relevance FROM customer")
 def mapbox_places(spark, sf_dir):
-    own = F.struct(F.when(K % 2 == 0, F.col("c_name")).alias("full_address"), F.col("c_name").alias("name"), F.array(*[F.lit(float(v)) for v in (-1, 2, 3, 4)]).alias("bbox"), pick("poi", "street", "region").alias("feature_type"))
-    feature = F.struct(F.struct(F.array(X, Y).alias("coordinates")).alias("geometry"), own.alias("properties"), F.lit(0.5).alias("relevance"))
+    own = F.struct(F.when(K() % 2 == 0, F.col("c_name")).alias("full_address"), F.col("c_name").alias("name"), F.array(*[F.lit(float(v)) for v in (-1, 2, 3, 4)]).alias("bbox"), pick("poi", "street", "region").alias("feature_type"))
+    feature = F.struct(F.struct(F.array(X(), Y()).alias("coordinates")).alias("geometry"), own.alias("properties"), F.lit(0.5).alias("relevance"))
     return boxed(services.mapbox_places(answers(spark, sf_dir, F.struct(F.array(feature).alias("features"))), "answer"), "relevance")
 
 
 @query(f"SELECT {PLACE.format(text='c_name', kind=pick_sql('place', None))}, {WORLD}, 0.5e0 AS relevance FROM customer")
 def maptiler_places(spark, sf_dir):
-    feature = F.struct(F.col("c_name").alias("place_name"), F.array(X, Y).alias("center"), F.array(*[F.lit(float(v)) for v in (-1, 2, 3, 4)]).alias("bbox"), F.array(pick("place", "street")).alias("place_type"), F.lit(0.5).alias("relevance"))
+    feature = F.struct(F.col("c_name").alias("place_name"), F.array(X(), Y()).alias("center"), F.array(*[F.lit(float(v)) for v in (-1, 2, 3, 4)]).alias("bbox"), F.array(pick("place", "street")).alias("place_type"), F.lit(0.5).alias("relevance"))
     return boxed(services.maptiler_places(answers(spark, sf_dir, F.struct(F.array(feature, feature, feature).alias("features"))), "answer", limit=1), "relevance")
 
 
@@ -94,7 +102,7 @@ def maptiler_places(spark, sf_dir):
 def google_places(spark, sf_dir):
     spot = lambda lat, lng: F.struct(F.lit(lat).cast("double").alias("lat"), F.lit(lng).cast("double").alias("lng"))
     box = F.struct(spot(4, 3).alias("northeast"), spot(2, -1).alias("southwest"))
-    geometry = F.struct(spot(Y, X).alias("location"), F.when(K % 2 == 0, box).alias("bounds"), box.alias("viewport"))
+    geometry = F.struct(spot(Y(), X()).alias("location"), F.when(K() % 2 == 0, box).alias("bounds"), box.alias("viewport"))
     one = F.struct(F.col("c_name").alias("formatted_address"), geometry.alias("geometry"), F.array(F.lit("political"), pick("country", "locality", "route", "x")).alias("types"))
     return boxed(services.google_places(answers(spark, sf_dir, F.struct(F.lit("OK").alias("status"), F.array(one).alias("results"))), "answer"))
 
@@ -145,7 +153,7 @@ def google_routes(spark, sf_dir):
 )
 def isochrone_polygons(spark, sf_dir):
     ring = "[[0,0],[1,0],[1,1],[0,0]]"
-    shape = F.when(K % 3 == 0, f'{{"type":"Polygon","coordinates":[{ring},{ring}]}}').when(K % 3 == 1, f'{{"type":"MultiPolygon","coordinates":[[{ring}],[{ring}],[]]}}').otherwise(f'{{"type":"LineString","coordinates":{ring}}}')
+    shape = F.when(K() % 3 == 0, f'{{"type":"Polygon","coordinates":[{ring},{ring}]}}').when(K() % 3 == 1, f'{{"type":"MultiPolygon","coordinates":[[{ring}],[{ring}],[]]}}').otherwise(f'{{"type":"LineString","coordinates":{ring}}}')
     text = F.concat(F.lit('{"features":[{"properties":{"contour":10},"geometry":'), shape, F.lit("}]}"))
     found = services.read("isochrones", table(spark, sf_dir, "customer").select("c_custkey", text.alias("answer")), "answer")
     return found.select("c_custkey", "contour", F.size("geometry").alias("points"), F.size("holes").alias("holes"))
@@ -168,7 +176,10 @@ def travel_matrices(spark, sf_dir):
     return out
 
 
-P = F.col("p_partkey")
+def P():
+    return F.col("p_partkey")
+
+
 #: Styles by p_partkey % 8: sound, then seven that are wrong in one way each.
 WRONG = [
     (None, None, None),
@@ -188,7 +199,7 @@ STYLE = (
 
 def style_texts():
     texts = [STYLE if change is None else STYLE.replace(*change) for _, _, change in WRONG]
-    return F.element_at(F.array(*map(F.lit, texts)), (P % len(texts) + 1).cast("int"))
+    return F.element_at(F.array(*map(F.lit, texts)), (P() % len(texts) + 1).cast("int"))
 
 
 @query("SELECT p_partkey, path, message FROM part JOIN (VALUES " + ", ".join(f"({k}, '{path}', '{message}')" for k, (path, message, _) in enumerate(WRONG) if path) + f") AS v(k, path, message) ON p_partkey % {len(WRONG)} = k")
@@ -220,7 +231,7 @@ def _text(v):
 )
 def style_changes(spark, sf_dir):
     texts = [STYLE.replace(*change) if change else STYLE for change, _ in CHANGES]
-    after = F.element_at(F.array(*map(F.lit, texts)), (P % len(texts) + 1).cast("int"))
+    after = F.element_at(F.array(*map(F.lit, texts)), (P() % len(texts) + 1).cast("int"))
     pairs = table(spark, sf_dir, "part").select("p_partkey", F.lit(STYLE).alias("before"), after.alias("after"))
     return styles.style_changes(pairs, "p_partkey", "before", "after").select("p_partkey", "step", "command", "target", "name", "anchor")
 
