@@ -59,3 +59,14 @@ def test_all_events_take_part(spark, name):
         assert {r[:2] for r in rows(spark, name)} == {(k * 37 % 256 + i, k * 53 % 256 + j) for (k,) in sql("SELECT event_id FROM events") for i, j in near}
     else:
         assert [r[0] for r in rows(spark, name)] == [r[0] for r in sql("SELECT event_id FROM events ORDER BY 1")]
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    root = Path(__file__).resolve().parents[1]
+    for before in ("", "import sys; sys.modules['tilewright.llm'] = None; "):
+        code = before + "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 150)"
+        done = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=root, capture_output=True, text=True)
+        assert done.stdout.strip() == "True", done.stderr
