@@ -162,3 +162,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_token_counts"] = op10_token_counts
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested against brute force (DuckDB has no CRC-32)."""
+    from tilewright.llm.spelling import runs_of, spelling_variants
+
+    runs = table(spark, sf_dir, "documents").select("doc_id", F.explode(runs_of(F.col("text"))).alias("run"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")))
+    at = (h % F.char_length("run")).cast("int")
+    cut = F.concat(F.left("run", at), F.substring("run", at + F.lit(2), F.char_length("run")))
+    words = runs.select(F.when(h % 97 == 0, cut).otherwise(F.col("run")).alias("word")).where(F.char_length("word") >= 5)
+    return spelling_variants(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 3"))
+
+
+QUERIES["op11_spelling_variants"] = op11_spelling_variants
