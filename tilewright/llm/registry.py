@@ -177,3 +177,27 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op11_spelling_variants"] = op11_spelling_variants
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested against brute force (SQL can't express it)."""
+    from tilewright.llm.periodic_runs import periodic_runs
+
+    w = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    n, h = F.size(w), F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    turns = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    planted = F.array_join(F.slice(F.concat(F.slice(w, F.lit(1), a), turns), F.lit(1), n), " ")
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.when((h % 10 == 0) & (n > 0), planted).otherwise(F.col("text")).alias("text"))
+    found = periodic_runs(texts, min_length=12)
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    told = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return rows.select(
+        "doc_id", "n_runs", "best.start", (-F.col("best.less")).alias("length"), "best.period", F.expr("-1000 * best.less div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
+    )
+
+
+QUERIES["op12_periodic_runs"] = op12_periodic_runs
