@@ -201,3 +201,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op12_periodic_runs"] = op12_periodic_runs
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested against the tokenizers library and by round trips (SQL can't express it)."""
+    from tilewright.llm.token_files import read_token_files, write_token_files
+
+    files = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_token_files(files).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES["op13_token_files"] = op13_token_files
