@@ -32,7 +32,7 @@ WORTH = 1 / 256
 #: A block: MAGIC, bytes of the block after this header, pieces, ids, first new symbol, rules, symbols, bytes of a symbol.
 MAGIC, HEADER = b"RPB1", struct.Struct("<4sQIQIIIB")
 SENT_BYTES = 8 << 20
-FILE = "folder string, file string, part int, n_documents long, n_ids long, stored_bytes long"
+FILE = "folder string, file string, part long, n_documents long, n_ids long, stored_bytes long"
 
 
 def replace_pairs(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, int]:
