@@ -39,9 +39,14 @@ def _home(spark: SparkSession) -> str:
     return home
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A name for a folder of this application in the shared folder."""
+    return f"{_home(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder."""
-    path = f"{_home(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
     made.written_at = path
