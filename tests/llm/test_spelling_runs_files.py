@@ -215,11 +215,11 @@ def expected(rows):
     return [(key, [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]) for key, text in rows]
 
 
-@pytest.mark.parametrize(("block_ids", "file_ids"), [(token_files.BLOCK_IDS, token_files.FILE_IDS), (1000, 3000)])
-def test_token_files_hold_all_documents(spark, docs, texts, block_ids, file_ids):
+@pytest.mark.parametrize(("block_ids", "file_bytes"), [(token_files.BLOCK_IDS, token_files.FILE_BYTES), (1000, 3000)])
+def test_token_files_hold_all_documents(spark, docs, texts, block_ids, file_bytes):
     rows = [*texts, (None, "no identifier"), (5, "again"), (-3, "negative")]
     more = docs.select("doc_id", "text").union(spark.createDataFrame(rows[len(texts) :], "doc_id long, text string")).withColumn("start", F.lit("clash"))
-    files = token_files.write_token_files(more, WORDS, block_ids=block_ids, file_ids=file_ids)
+    files = token_files.write_token_files(more, WORDS, block_ids=block_ids, file_bytes=file_bytes)
     got = sorted(token_files.read_token_files(files).collect(), key=lambda r: r["start"])
     assert Counter((r["id"], array("I", r["ids"]).tobytes()) for r in got) == Counter((k, array("I", ids).tobytes()) for k, ids in expected(rows))
     assert [r["id"] for r in got] == sorted((k for k, _ in rows), key=lambda k: (k is not None, k or 0))
@@ -227,7 +227,7 @@ def test_token_files_hold_all_documents(spark, docs, texts, block_ids, file_ids)
     for r in got:
         assert (r["start"], 4 * r["n_tokens"]) == (at, len(r["ids"]))
         at += r["n_tokens"]
-    assert files.count() > 1 or file_ids > 10_000
+    assert files.count() > 1 or file_bytes > 10_000
 
 
 def test_token_files_of_nothing(spark, empty):

@@ -2,7 +2,7 @@
 
 A file is a row of blocks, and a block holds some pieces of documents, one after the other. In each round the pairs that
 stand often enough in the block's sequence are replaced by new symbols, more frequent ones first where they overlap;
-the count that is enough halves from round to round. A block stores its rules and how many ids each stands for, so that any
+the count that is enough falls from round to round. A block stores its rules and how many ids each stands for, so that any
 stretch can be decoded without the rest. Documents stand in the order of their identifiers, over all files.
 """
 
@@ -23,10 +23,12 @@ from tilewright.llm.packing import chunk_tokenizer, text_ids
 from tilewright.llm.scratch import new_folder, small_batches, stored
 from tilewright.llm.words import gathered, spans
 
-#: Ids of a block, and about how many a task writes to its file.
-BLOCK_IDS, FILE_IDS = 1 << 18, 1 << 23
+#: Ids of a block, and about how many bytes of text a task writes to its file.
+BLOCK_IDS, FILE_BYTES = 1 << 18, 16 << 20
 #: Times that a pair must stand in a sequence: a rule costs as much as it saves there.
 LEAST = 8
+#: From round to round the count that is enough becomes so many times less.
+FEWER = 4
 #: The rounds end when one shortens the sequence by less than this share.
 WORTH = 1 / 256
 #: A block: MAGIC, bytes of the block after this header, pieces, ids, first new symbol, rules, symbols, bytes of a symbol.
@@ -42,33 +44,36 @@ def replace_pairs(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.n
     sequence, rules, symbol, enough = ids.astype(np.uint64), [], first, None
     while len(sequence) > 1:
         keys = sequence[:-1] << np.uint64(32) | sequence[1:]
-        slots = (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
-        bounds = np.bincount(slots.astype(np.int64), minlength=1 << 18)  # of pairs that share a slot
-        enough = max(least, int(bounds.max()) // 2 if enough is None else enough // 2)
-        at = np.flatnonzero(bounds[slots.astype(np.int64)] >= enough)
+        slots = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).view(np.int64)
+        bounds = np.bincount(slots, minlength=1 << 18)  # of pairs that share a slot
+        enough = max(least, (int(bounds.max()) if enough is None else enough) // FEWER)
+        at = np.flatnonzero((bounds >= enough)[slots])
         pairs, own, counts = np.unique(keys[at], return_inverse=True, return_counts=True)
-        rank = np.full(len(counts), len(counts))
         often = np.flatnonzero(counts >= enough)
+        rank = np.full(len(counts), len(counts))
         rank[often[np.argsort(-counts[often], kind="stable")]] = np.arange(len(often))
-        ranks = np.full(len(keys) + 2, len(counts))
-        ranks[at + 1] = rank[own]
-        same = np.flatnonzero((ranks[1:-1] == ranks[:-2]) & (ranks[1:-1] < len(counts)))  # one symbol again and again
+        ranks = rank[own]
+        at, ranks = at[ranks < len(counts)], ranks[ranks < len(counts)]
+        beside = np.diff(at) == 1
+        same = np.flatnonzero(beside & (ranks[1:] == ranks[:-1])) + 1  # one symbol again and again
         if len(same):
-            run = np.cumsum(np.r_[True, np.diff(same) > 1]) - 1
-            begin = same[np.r_[True, np.diff(same) > 1]]
-            ranks[same[(same - begin[run]) % 2 == 0] + 1] = len(counts)  # every other pair of it
-        taken = np.flatnonzero((ranks[1:-1] < ranks[:-2]) & (ranks[1:-1] < ranks[2:]))
-        chosen = ranks[taken + 1]
-        times = np.bincount(chosen, minlength=len(counts))
+            begins = np.r_[True, np.diff(same) > 1]
+            odd = (same - same[begins][np.cumsum(begins) - 1]) % 2 == 0
+            ranks[same[odd]] = len(counts)  # every other pair of it
+        less = ranks < len(counts)
+        less[1:] &= ~beside | (ranks[1:] < ranks[:-1])
+        less[:-1] &= ~beside | (ranks[:-1] < ranks[1:])
+        taken, chosen = at[less], ranks[less]
+        times = np.bincount(chosen, minlength=len(often))
         worth = np.flatnonzero(times >= least)
-        number = np.full(len(counts) + 1, -1)
+        number = np.full(len(often), -1)
         number[worth] = symbol + np.arange(len(worth))
-        taken = taken[number[chosen] >= 0]
+        taken, chosen = taken[number[chosen] >= 0], chosen[number[chosen] >= 0]
         by_rank = np.empty(len(often), np.int64)
         by_rank[rank[often]] = often
         rules.append(pairs[by_rank[worth]])
         symbol += len(worth)
-        sequence[taken] = number[ranks[taken + 1]]
+        sequence[taken] = number[chosen]
         sequence = np.delete(sequence, taken + 1)
         if enough == least and len(taken) <= WORTH * len(sequence):
             break
@@ -181,77 +186,58 @@ def made_block(pieces: list[tuple[int | None, int, np.ndarray]]) -> Block:
     return Block(np.array([k or 0 for k in ids]), np.array([k is not None for k in ids]), np.array(begins), np.array(sizes), first, rules, expansion_lengths(rules, first), symbols)
 
 
-def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> DataFrame:
-    """docs -> (id, n_tokens, ids): the ids of each text and end_id after them, as little-endian unsigned 16-bit integers
-    where all ids of the tokenizer are so small, 32-bit ones otherwise. A null text is empty."""
-    small_batches(docs.sparkSession)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = chunk_tokenizer(path)
-        kind = np.dtype(_kind(len(tokenizer.ends)))
-        for batch in gathered(batches, "text"):
-            ids, totals = text_ids(batch["text"], tokenizer, end_id)
-            ends = pa.py_buffer((np.r_[0, np.cumsum(totals)] * kind.itemsize).astype(np.int32))
-            packed = pa.Array.from_buffers(pa.binary(), len(totals), [None, ends, pa.py_buffer(ids.astype(kind))])
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(totals), packed], ["id", "n_tokens", "ids"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(encode, "id long, n_tokens long, ids binary")
-
-
-def _kind(size: int) -> str:
-    return "<u2" if size <= 1 << 16 else "<u4"
-
-
-def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, block_ids: int = BLOCK_IDS, file_ids: int = FILE_IDS) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, block_ids: int = BLOCK_IDS, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encodes whole texts and writes their ids, end_id after each document, in ascending order of id_col (integers);
     returns a row for each file: folder, file, part (the files' order), n_documents, n_ids, stored_bytes.
 
-    Rows that repeat an identifier are documents of their own, in an order that their ids fix; those without an identifier
-    come first. A null or empty text is the one id end_id. Other columns play no part. An empty table writes no file. A
-    document is cut over blocks where it doesn't fit, but lies in one file. Files are named by stage, partition and
+    Rows that repeat an identifier are documents of their own, in an order that their texts fix; those without an
+    identifier come first. A null or empty text is the one id end_id. Other columns play no part. An empty table writes no
+    file. A document is cut over blocks where it doesn't fit, but lies in one file. Files are named by stage, partition and
     attempt, and only those returned count: what a lost executor left is never read.
     """
     from pyarrow import fs
 
     spark = docs.sparkSession
+    small_batches(spark)
     folder = new_folder(spark, "token-files")
-    tokens = stored(tokenized(docs, path, id_col, text_col, end_id).withColumn("tie", F.xxhash64("ids")), "tokens")
-    total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = [F.col("id").asc_nulls_first(), F.col("tie")]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-        context, kind = TaskContext.get(), _kind(len(chunk_tokenizer(path).ends))
+        context, tokenizer = TaskContext.get(), chunk_tokenizer(path)
         name = f"{base}/{context.stageId()}-{context.partitionId()}-{context.taskAttemptId()}.ids"
-        documents = ids = size = held = 0
+        documents = n_ids = size = held = 0
         pieces: list[tuple[int | None, int, np.ndarray]] = []
         out = None
         try:
-            for batch in batches:
-                for key, raw in zip(batch["id"].to_pylist(), batch["ids"], strict=True):
-                    if out is None:
-                        store.create_dir(base, recursive=True)
-                        out = store.open_output_stream(name, compression=None)
-                    own, begin = np.frombuffer(raw.as_buffer(), kind), 0
-                    documents, ids = documents + 1, ids + len(own)
-                    while begin < len(own):
-                        piece = own[begin : begin + block_ids - held]
+            for batch in gathered(batches, "text"):
+                ids, totals = text_ids(batch["text"], tokenizer, end_id)
+                if out is None:
+                    store.create_dir(base, recursive=True)
+                    out = store.open_output_stream(name, compression=None)
+                documents, n_ids, at = documents + len(totals), n_ids + len(ids), 0
+                for key, total in zip(batch["id"].to_pylist(), totals.tolist(), strict=True):
+                    begin = 0
+                    while begin < total:
+                        piece = ids[at + begin : at + min(total, begin + block_ids - held)]
                         pieces.append((key, begin, piece))
                         begin, held = begin + len(piece), held + len(piece)
                         if held == block_ids:
                             size += out.write(made_block(pieces).to_bytes())
                             pieces, held = [], 0
+                    at += total
             if pieces:
                 size += out.write(made_block(pieces).to_bytes())
         finally:
             if out is not None:
                 out.close()
         if documents:
-            yield pa.RecordBatch.from_pylist([{"folder": folder, "file": name, "part": context.partitionId(), "n_documents": documents, "n_ids": ids, "stored_bytes": size}])
+            yield pa.RecordBatch.from_pylist([{"folder": folder, "file": name, "part": context.partitionId(), "n_documents": documents, "n_ids": n_ids, "stored_bytes": size}])
 
-    parts = tokens.select("id", "tie", "ids").repartitionByRange(max(1, -(-total // file_ids)), *order).sortWithinPartitions(*order)
-    return stored(parts.mapInArrow(write, FILE), "token-index")
+    parts = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(max(1, -(-total // file_bytes)), *order).sortWithinPartitions(*order)
+    return stored(parts.select("id", "text").mapInArrow(write, FILE), "token-index")
 
 
 def with_starts(files: DataFrame, together: int = 1024) -> DataFrame:
