@@ -81,16 +81,6 @@ def test_throttled_calls(spark):
     assert {(r.user_id, r.event_id, r.fired_at) for r in map_queries.throttled_calls(spark, SF).collect()} == want
 
 
-def test_stream_of_states(spark, tmp_path):
-    changes = [("1", "hover", "true"), ("1", "size", "3"), ("2", "hover", "true"), ("1", "hover", None), ("2", None, None), ("3", "a", "b")]
-    spark.createDataFrame(changes, "feature string, name string, value string").coalesce(1).write.parquet(f"{tmp_path}/changes")
-    stream = spark.readStream.schema("feature string, name string, value string").parquet(f"{tmp_path}/changes")
-    query = events.feature_states(stream, "feature", "name", "value").writeStream.format("memory").queryName("states").outputMode("update").trigger(availableNow=True).start()
-    query.awaitTermination(60)
-    query.stop()
-    assert {r.feature: r.state for r in spark.table("states").collect()} == {"1": {"size": "3"}, "2": {}, "3": {"a": "b"}}
-
-
 def test_stream_of_calls(spark, tmp_path):
     calls = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "key string, at int, value string").select("key", F.timestamp_seconds("at").alias("time"), "value")
     calls.write.parquet(f"{tmp_path}/calls")

@@ -178,14 +178,7 @@ def event_dispatch(spark, sf_dir):
     own = n.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("listener"), F.lit("click").alias("type"), (F.col("n_nationkey") % 5).cast("long").alias("target"), F.lit(False).alias("once"))
     of_map = spark.range(2).select((F.col("id") * 2 + 1).cast("int").alias("listener"), F.lit("click").alias("type"), F.lit(99).cast("long").alias("target"), (F.col("id") == 1).alias("once"))
     parents = spark.range(5).select(F.col("id").alias("target"), F.lit(99).cast("long").alias("parent"))
-    return events.dispatched(ev, own.union(of_map), parents, depth=2).select("event_id", "listener")
-
-
-@query(f"SELECT event_id, count(*) AS n, min(id) AS first FROM (SELECT event_id, value, event_id % 4096 AS px FROM events WHERE event_type = 'click') e JOIN ({BOXES}) b ON b.minx = e.px GROUP BY event_id")
-def layer_events(spark, sf_dir):
-    clicks = table(spark, sf_dir, "events").where("event_type = 'click'").select("event_id", (F.col("event_id") % 4096).alias("minx"))
-    met = events.with_hits(clicks, part_boxes(spark, sf_dir).select("minx", "id"), "minx")
-    return met.select("event_id", F.size("features").cast("long").alias("n"), F.get("features", F.lit(0))["id"].alias("first"))
+    return events.dispatched(ev, own.union(of_map), parents).select("event_id", "listener")
 
 
 @query()
@@ -212,11 +205,6 @@ def location_bounds(spark, sf_dir):
     return made.select("event_id", F.round("bounds.west", 6).alias("west"), F.round("bounds.north", 6).alias("north"))
 
 
-@query("SELECT DISTINCT user_id FROM events")
-def asked_once(spark, sf_dir):
-    return events.asked_once(table(spark, sf_dir, "events").select(F.col("user_id"), "ts"), "user_id", "ts").select("user_id")
-
-
 @query("SELECT event_id, coalesce(n, 0) AS n FROM events LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY user_id) USING (user_id)")
 def feature_with_state(spark, sf_dir):
     ev = table(spark, sf_dir, "events")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tilewright.functions import elevation, geo
 from tilewright.operators.shared import new_folder
 from tilewright.sources import rasters
-from tilewright.sources.views import EV, event_points, table
+from tilewright.sources.views import BOXES, EV, event_points, part_boxes, table
+from tilewright.streaming import events, stateful
 
 QUERIES, ORACLES = {}, {}
 
@@ -69,3 +70,97 @@ def raster_covering(spark, sf_dir):
     have = rasters.read_pictures(spark, folder).where("(x + y) % 2 = 0")
     made = rasters.covering(wanted, have, DEM_ZOOM)
     return made.select("z", "x", "y", F.col("of_z").cast("int").alias("of_z"), F.col("left").alias("part_left"), F.col("top").alias("part_top"))
+
+
+ASKED = "SELECT user_id, ts FROM events"
+
+
+@query(
+    f"WITH RECURSIVE let AS (SELECT user_id, min(ts) AS ts FROM ({ASKED}) GROUP BY user_id "
+    f"UNION ALL SELECT e.user_id, min(e.ts) FROM ({ASKED}) e JOIN let ON e.user_id = let.user_id AND e.ts >= let.ts + INTERVAL 6 HOUR GROUP BY e.user_id) SELECT user_id, epoch_us(ts) AS at FROM let"
+)
+def asked_once(spark, sf_dir):
+    """A user's requests, none within six hours of one that was let through."""
+    made = events.asked_once(table(spark, sf_dir, "events").select("user_id", "ts"), "user_id", "ts", 6 * 3600)
+    return made.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+
+
+CLICKS = "SELECT event_id, event_id * 7919 % 4096 + 0.5e0 AS x, event_id * 104729 % 4096 + 0.5e0 AS y FROM events WHERE event_type = 'click'"
+#: Parts as polygons, customers as lines of two segments, suppliers as points.
+LINE_POINTS = "SELECT c_custkey AS id, c_custkey * 7919 % 3800 * 1e0 AS x0, c_custkey * 104729 % 3800 * 1e0 AS y0, c_custkey % 290 * 1e0 AS dx, c_custkey * 31 % 280 * 1e0 AS dy FROM customer"
+
+
+def spots(spark, sf_dir):
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").where("event_type = 'click'").select("event_id", (e * 7919 % 4096 + 0.5).cast("double").alias("x"), (e * 104729 % 4096 + 0.5).cast("double").alias("y"))
+
+
+def shapes(spark, sf_dir):
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    b = part_boxes(spark, sf_dir)
+    ring = F.array(*[point(F.col(x), F.col(y)) for x, y in (("minx", "miny"), ("maxx", "miny"), ("maxx", "maxy"), ("minx", "maxy"), ("minx", "miny"))])
+    polygons = b.select(F.concat(F.lit("p"), "id").alias("id"), F.lit(3).alias("kind"), F.array(ring).alias("parts"))
+    k = F.col("c_custkey")
+    x, y, dx, dy = k * 7919 % 3800, k * 104729 % 3800, k % 290, k * 31 % 280
+    lines = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), k).alias("id"), F.lit(2).alias("kind"), F.array(F.array(point(x, y), point(x + dx, y + dy), point(x + dx, y))).alias("parts"))
+    s = F.col("s_suppkey")
+    points = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), s).alias("id"), F.lit(1).alias("kind"), F.array(F.array(point(s * 7919 % 4096, s * 104729 % 4096))).alias("parts"))
+    return polygons.union(lines).union(points)
+
+
+def distance_sql(x0, y0, x1, y1):
+    t = f"greatest(0, least(1, CASE WHEN {x1} = {x0} AND {y1} = {y0} THEN 0e0 ELSE ((e.x-{x0})*({x1}-{x0}) + (e.y-{y0})*({y1}-{y0})) / (pow({x1}-{x0}, 2) + pow({y1}-{y0}, 2)) END))"
+    return f"sqrt(pow(e.x - {x0} - {t} * ({x1}-{x0}), 2) + pow(e.y - {y0} - {t} * ({y1}-{y0}), 2))"
+
+
+HITS = (
+    f"SELECT event_id, 'p' || id AS id FROM ({CLICKS}) e JOIN ({BOXES}) b ON e.x > minx AND e.x < maxx AND e.y > miny AND e.y < maxy "
+    f"UNION ALL SELECT event_id, 'c' || id FROM ({CLICKS}) e JOIN ({LINE_POINTS}) l ON e.x BETWEEN x0 - 5 AND x0 + dx + 5 AND least({distance_sql('x0', 'y0', 'x0+dx', 'y0+dy')}, {distance_sql('(x0+dx)', '(y0+dy)', '(x0+dx)', 'y0')}) <= 4.5 "
+    f"UNION ALL SELECT event_id, 's' || s_suppkey FROM ({CLICKS}) e JOIN supplier ON sqrt(pow(s_suppkey * 7919 % 4096 - e.x, 2) + pow(s_suppkey * 104729 % 4096 - e.y, 2)) <= 6"
+)
+
+
+@query(f"SELECT event_id, count(*) AS n, min(id) AS first, max(id) AS last FROM ({HITS}) GROUP BY event_id")
+def layer_events(spark, sf_dir):
+    """Clicks with the polygons, lines and points that they hit."""
+    met = events.with_hits(spots(spark, sf_dir), shapes(spark, sf_dir))
+    return met.select("event_id", F.col("n_hits").alias("n"), F.get("features", F.lit(0)).alias("first"), F.element_at("features", -1).alias("last"))
+
+
+@query(HITS)
+def stream_layer_events(spark, sf_dir):
+    """The same over a stream of clicks in four batches, joined with the features as they stand."""
+    stream = stateful.replayed(spots(spark, sf_dir), "event_id", 4)
+    return stateful.drained(events.hit_features(stream, shapes(stream.sparkSession, sf_dir))).select("event_id", "id")
+
+
+@query("SELECT user_id, event_type AS name, round(arg_max(value, event_id), 4) AS value FROM events WHERE event_type <> 'error' OR event_id % 2 = 0 GROUP BY ALL HAVING arg_max(event_type, event_id) <> 'error' ORDER BY 1")
+def stream_feature_state(spark, sf_dir):
+    """Each user's last value of each type, errors taken back, over a stream whose batches come in no order of their own."""
+    e = table(spark, sf_dir, "events").where("event_type <> 'error' OR event_id % 2 = 0")
+    changes = e.select(F.col("user_id").cast("string").alias("feature"), F.col("event_type").alias("name"), F.when(F.col("event_type") != "error", F.col("value")).cast("string").alias("value"), "event_id", (F.col("event_id") * 7919 % 10_007).alias("arrival"))
+    states = stateful.drained(stateful.feature_states(stateful.replayed(changes, "arrival", 3), "feature", "name", "value", "event_id"), "update")
+    last = states.groupBy("feature").agg(F.max_by("state", "batch").alias("state"))
+    return last.select(F.col("feature").cast("int").alias("user_id"), F.explode("state").alias("name", "value")).select("user_id", "name", F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, count(*) OVER w AS n, sum(event_id % 50) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id DESC ROWS UNBOUNDED PRECEDING)) WHERE n <= 20 AND b <= 400")
+def stream_cache(spark, sf_dir):
+    """What is left in each user's cache after a stream of entries: the changes of all batches, folded."""
+    puts = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("cache"), F.col("event_id").cast("string").alias("key"), F.col("event_id").alias("added"), (F.col("event_id") % 50).alias("bytes"))
+    changes = stateful.drained(stateful.cache_changes(stateful.replayed(puts, "added", 3), "cache", "key", "added", "bytes", 20, 400))
+    left = changes.groupBy("cache", "key").agg(F.max_by("change", "batch").alias("change")).where("change = 'put'")
+    return left.select(F.col("cache").cast("int").alias("user_id"), F.col("key").cast("long").alias("event_id"))
+
+
+@query(
+    f"WITH RECURSIVE let AS (SELECT user_id, min(ts) AS ts FROM ({ASKED}) GROUP BY user_id "
+    f"UNION ALL SELECT e.user_id, min(e.ts) FROM ({ASKED}) e JOIN let ON e.user_id = let.user_id AND e.ts >= let.ts + INTERVAL 6 HOUR GROUP BY e.user_id) SELECT user_id, epoch_us(ts) AS at FROM let"
+)
+def stream_asked_once(spark, sf_dir):
+    """asked_once over a stream that closes with a far later request."""
+    asked = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("url"), F.col("ts").cast("timestamp").alias("ts"))
+    last = asked.agg(F.lit("end").alias("url"), (F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"))
+    stream = stateful.replayed(asked.union(last), "ts", 3)
+    made = stateful.drained(stateful.asked_once_stream(stream, "url", "ts", 6 * 3_600_000)).where("url <> 'end'")
+    return made.select(F.col("url").cast("int").alias("user_id"), F.unix_micros("ts").alias("at"))

@@ -4,120 +4,164 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
-from tilewright.functions import geo
-
-
-def dispatched(events: DataFrame, listeners: DataFrame, parents: DataFrame | None = None, order: str = "event_id", depth: int = 8) -> DataFrame:
+from tilewright.functions import geo, geometry
+from tilewright.operators import spatial
+from tilewright.operators.shared import done_with, written
+
+
+def ancestors(parents: DataFrame) -> DataFrame:
+    """(target, parent) -> (target, ancestor): all that can be reached upwards, however far, each pair once; those of a
+    cycle reach themselves too. Each round doubles the steps that are taken, so a chain of n costs log2(n) rounds; the
+    rounds end when none finds a pair."""
+    step = parents.select("target", F.col("parent").alias("ancestor")).where("target IS NOT NULL AND ancestor IS NOT NULL").distinct()
+    known = written(step, "ancestors")
+    n = known.count()
+    while True:
+        further = known.alias("a").join(known.alias("b"), F.expr("a.ancestor = b.target")).select("a.target", "b.ancestor")
+        more = written(known.union(further).distinct(), "ancestors")
+        found = more.count()
+        done_with(known)
+        known = more
+        if found == n:
+            return known
+        n = found
+
+
+def dispatched(events: DataFrame, listeners: DataFrame, parents: DataFrame | None = None, order: str = "event_id") -> DataFrame:
     """events (order, type, target, ...) with each listener (listener, type, target, once) that hears them: one of the
-    event's target, or of the target's parents (target, parent), up to `depth` of them. A listener that is `once` hears
-    its first event alone."""
-    reach = events.withColumn("heard_at", F.col("target"))
-    if parents is not None:
-        level = reach
-        for _ in range(depth):
-            level = level.join(parents.select(F.col("target").alias("heard_at"), F.col("parent").alias("__up")), "heard_at").drop("heard_at").withColumnRenamed("__up", "heard_at")
-            reach = reach.unionByName(level)
+    event's target, or of what the target's parents (target, parent) lead to, at any depth and once each, in cycles too.
+    A listener that is `once` hears its first event alone. Events are read once for what they reach and once more for the
+    first events."""
     at = listeners.select("listener", "type", F.col("target").alias("heard_at"), "once")
-    heard = reach.join(at, ["type", "heard_at"])
+    heard = events.join(at.withColumn("target", F.col("heard_at")), ["type", "target"])
+    if parents is not None:  # what is listened to from below: listeners, not events, go up and down the tree
+        below = at.join(ancestors(parents).where("target <> ancestor").withColumnRenamed("ancestor", "heard_at"), "heard_at")
+        heard = heard.unionByName(events.join(below, ["type", "target"]))
     first = heard.where("once").groupBy("listener").agg(F.min(order).alias("__first"))
     kept = heard.join(first, "listener", "left").where(F.col("__first").isNull() | (F.col(order) == F.col("__first")))
     return kept.drop("__first")
 
 
-def with_hits(events: DataFrame, hits: DataFrame, *keys: str, event: str = "event_id") -> DataFrame:
-    """The events that meet features, with `features`, an array of them: hits has the keys, and the features' columns."""
-    own = [c for c in hits.columns if c not in keys]
-    met = events.join(hits, [*keys]).groupBy(event).agg(F.sort_array(F.collect_list(F.struct(*own))).alias("features"))
-    return events.join(met, event)
-
-
-def throttled(calls: DataFrame, key: str, time: str, span: float) -> DataFrame:
+def hit_features(places: DataFrame, features: DataFrame, cell: float = 64.0, keep: list[str] | None = None) -> DataFrame:
+    """places (x, y, ...), a table or a stream, with each feature that they hit: `keep` of the features' columns (id).
+    features: id, kind (1 point, 2 line, 3 polygon), parts (arrays of points), width and radius where they have them. A
+    polygon is hit inside, a line within half its width and 4 units, a point within its radius and 2 units. Both sides
+    meet on cells of a grid: a place in its own, a feature in all that its box with its reach meets, so a pair meets
+    once, and only pairs of a cell are measured."""
+    width, radius = (F.coalesce(F.col(c), F.lit(v)) if c in features.columns else F.lit(v) for c, v in (("width", 1.0), ("radius", 4.0)))
+    reach = F.when(F.col("kind") == 1, radius + 2).when(F.col("kind") == 2, width / 2 + 4).otherwise(0.0)
+    box = geometry.bounds(F.flatten("parts"))
+    at = lambda v: F.floor(v / cell).cast("long")
+    drawn = features.select(*[F.col(c).alias(c) for c in keep or ["id"]], F.col("kind").alias("__kind"), F.col("parts").alias("__parts"), width.alias("__width"), radius.alias("__radius"), reach.alias("__reach"), box.alias("__box"))
+    columns = F.sequence(at(F.col("__box.minx") - F.col("__reach")), at(F.col("__box.maxx") + F.col("__reach")))
+    rows = F.sequence(at(F.col("__box.miny") - F.col("__reach")), at(F.col("__box.maxy") + F.col("__reach")))
+    drawn = drawn.where(F.size(F.flatten("__parts")) > 0).withColumn("__i", F.explode(columns)).withColumn("__j", F.explode(rows))
+    placed = places.withColumns({"__i": at(F.col("x")), "__j": at(F.col("y"))})
+    spot = F.struct(F.col("x").alias("px"), F.col("y").alias("py"), F.lit(1.0).alias("scale"))
+    met = spatial.hit(F.col("__kind"), F.col("__parts"), spot, F.lit(1.0), False, F.col("__width"), F.col("__radius"), 1.0)
+    return placed.join(drawn, ["__i", "__j"]).where(met).select(*places.columns, *keep or ["id"])
+
+
+def with_hits(events: DataFrame, features: DataFrame, *, event: str = "event_id", most: int = 1000, cell: float = 64.0) -> DataFrame:
+    """The events (event, x, y, ...) of a table that hit features, with n_hits and `features`, the `most` smallest ids of
+    those that they hit in order: no event of a crowded place gathers more."""
+    met = hit_features(events, features, cell)
+    ranked = met.withColumn("__k", F.row_number().over(Window.partitionBy(event).orderBy("id")))
+    counts = met.groupBy(event).agg(F.count(F.lit(1)).alias("n_hits"))
+    ids = ranked.where(F.col("__k") <= most).groupBy(event).agg(F.sort_array(F.collect_list("id")).alias("features"))
+    return events.join(counts.join(ids, event), event)
+
+
+def fired(times: np.ndarray, until: float, span: float, trailing: bool) -> tuple[list[int], list[float], float, int | None]:
+    """What goes through of calls at ascending times, where none may before `until`: their places, when they fire, until
+    when no further one may, and the place of the one that waits for that. Each step is a search, not a call."""
+    places, at, waiting, k, n = [], [], None, 0, len(times)
+    while True:
+        if waiting is None and k < n and times[k] >= until:
+            places.append(k)
+            at.append(float(times[k]))
+            until, k = float(times[k]) + span, k + 1
+        last = int(np.searchsorted(times[k:], until)) + k  # calls before `until`: the last of them waits
+        if last > k:
+            waiting, k = last - 1, last
+        if k == n:
+            return places, at, until, waiting if trailing else None
+        if waiting is not None and trailing:
+            places.append(waiting)
+            at.append(until)
+            until += span
+        waiting = None
+
+
+def throttled(calls: DataFrame, key: str, time: str, span: float, trailing: bool = True) -> DataFrame:
     """The calls (key, time in seconds, ...) that go through, with fired_at: the first at once; of those that come within
-    `span` seconds after one that went through the last alone, when the span ends. Calls are read in order of time, key by
-    key, with one call held for each key; the calls of one key are one task's."""
-    columns = calls.columns
+    `span` seconds after one that went through the last alone, when the span ends (none of them if not trailing). Calls are
+    read in order of time, key by key, in Arrow batches with one call held; the calls of one key are one task's."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, until, queued = None, 0.0, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # the row that waits, of the last key read
+        own, until = None, -np.inf
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False, name=None):
-                k, at = row[columns.index(key)], row[columns.index(time)]
-                if own != (k,):
-                    if queued is not None:
-                        out.append((*queued, until))
-                    own, until, queued = (k,), float("-inf"), None
-                while queued is not None and at >= until:
-                    out.append((*queued, until))
-                    queued, until = None, until + span
-                if at >= until:
-                    out.append((*row, at))
-                    until = at + span
-                else:
-                    queued = row
-            yield pd.DataFrame(out, columns=[*columns, "fired_at"]).astype({"fired_at": float})
-        if queued is not None:
-            yield pd.DataFrame([(*queued, until)], columns=[*columns, "fired_at"])
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            codes = table[key].combine_chunks().dictionary_encode(null_encoding="encode")
+            edges = np.r_[0, np.flatnonzero(np.diff(codes.indices.to_numpy())) + 1, table.num_rows].tolist()
+            times = table[time].to_numpy().astype(float)
+            places, at = [], []
+            for begin, end in zip(edges, edges[1:], strict=False):
+                this = codes.dictionary[codes.indices[begin].as_py()]
+                if begin or own is None or own != (this.as_py(),):
+                    own, until = (this.as_py(),), -np.inf
+                found, fired_at, until, waiting = fired(times[begin:end], until, span, trailing)
+                places += [begin + k for k in found]
+                at += fired_at
+                held = None if waiting is None else table.slice(begin + waiting, 1)
+                if held is not None and end < table.num_rows:  # the key ends here
+                    places.append(begin + waiting)
+                    at.append(until)
+                    held = None
+            yield from table.take(pa.array(places, pa.int64())).append_column("fired_at", pa.array(at, pa.float64())).combine_chunks().to_batches()
+        if held is not None:
+            yield from held.append_column("fired_at", pa.array([until], pa.float64())).combine_chunks().to_batches()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in calls.schema)
-    return calls.repartition(key).sortWithinPartitions(key, time).mapInPandas(run, f"{schema}, fired_at double")
+    return calls.repartition(key).sortWithinPartitions(key, time).mapInArrow(run, f"{schema}, fired_at double")
 
 
 def throttled_stream(calls: DataFrame, key: str, time: str, value: str, span_ms: int) -> DataFrame:
     """The same over a stream (key string, time timestamp, value string), by processing time: key, value, the first at once,
-    then at most one in each span, the last that came. State is one value for each key."""
-
-    def step(of: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else None
-        if state.hasTimedOut:
-            if held is None:
-                state.remove()
-                return
-            state.update((None,))
-            state.setTimeoutDuration(span_ms)
-            yield pd.DataFrame({"key": [of[0]], "value": [held]})
-            return
-        rows = pd.concat([*batches]).sort_values(time, kind="stable")[value].tolist()
-        if not state.exists:
-            state.update((rows[-1] if len(rows) > 1 else None,))
-            state.setTimeoutDuration(span_ms)
-            yield pd.DataFrame({"key": [of[0]], "value": [rows[0]]})
-        else:
-            state.update((rows[-1],))
-            state.setTimeoutDuration(span_ms)
-
-    return calls.groupBy(key).applyInPandasWithState(step, "key string, value string", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def feature_states(changes: DataFrame, feature: str, name: str, value: str) -> DataFrame:
-    """The state of each feature over a stream of changes (feature string, name string, value string): each change sets
-    `name`, or removes it where value is null; a change without a name removes all. Gives feature and its state after
-    each batch as a map; a feature without any names has an empty one and is forgotten."""
+    then at most one in each span, the last that came. The state of a key is the value that waits and the end of its span,
+    which later calls don't move. stateful.throttled_by_time() follows the calls' own times."""
 
     def step(of: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = dict(zip(*state.get, strict=True)) if state.exists else {}
-        for batch in batches:
-            for n, v in zip(batch[name], batch[value], strict=True):
-                if n is None:
-                    held = {}
-                elif v is None:
-                    held.pop(n, None)
-                else:
-                    held[n] = v
-        if held:
-            state.update(([*held], [*held.values()]))
-        elif state.exists:
+        now = state.getCurrentProcessingTimeMs()
+        held, until = state.get if state.exists else (None, now)
+        rows = [] if state.hasTimedOut else pd.concat([*batches]).sort_values(time, kind="stable")[value].tolist()
+        out = []
+        if now >= until and (held is not None or rows):
+            out, until = [held if held is not None else rows.pop(0)], now + span_ms
+            held = None
+        if rows:
+            held = rows[-1]
+        if state.hasTimedOut and not out:
             state.remove()
-        yield pd.DataFrame({"feature": [of[0]], "names": [[*held]], "held": [[*held.values()]]})
+        else:
+            state.update((held, until))
+            state.setTimeoutDuration(max(1, until - now))
+        yield pd.DataFrame({"key": [of[0]] * len(out), "value": out}, dtype=object)
 
-    made = changes.groupBy(feature).applyInPandasWithState(step, "feature string, names array<string>, held array<string>", "names array<string>, held array<string>", "update", GroupStateTimeout.NoTimeout)
-    return made.select("feature", F.map_from_arrays("names", "held").alias("state"))
+    return calls.groupBy(key).applyInPandasWithState(step, "key string, value string", "held string, until long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def with_state(features: DataFrame, states: DataFrame, *keys: str, column: str = "state") -> DataFrame:
@@ -126,10 +170,11 @@ def with_state(features: DataFrame, states: DataFrame, *keys: str, column: str =
     return features.join(states.select(*keys, column), [*keys], "left").withColumn(column, F.coalesce(column, F.create_map().cast(kind)))
 
 
-def asked_once(requests: DataFrame, url: str, time: str, span: str = "1 minute") -> DataFrame:
-    """A stream's or a table's requests without those of an address that was asked for within the span before."""
-    timed = requests.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, span)
-    return timed.dropDuplicatesWithinWatermark([url]) if requests.isStreaming else timed.dropDuplicates([url])
+def asked_once(requests: DataFrame, url: str, time: str, span: float = 60.0) -> DataFrame:
+    """A table's requests without those of an address that was asked for, and let through, less than `span` seconds
+    before. stateful.asked_once_stream() does the same over a stream."""
+    timed = requests.withColumn("__at", F.unix_micros(F.col(time).cast("timestamp")) / F.lit(1e6))
+    return throttled(timed, url, "__at", span, trailing=False).select(*requests.columns)
 
 
 def located(positions: DataFrame, lat: str = "lat", lng: str = "lng", accuracy: str = "accuracy") -> DataFrame:

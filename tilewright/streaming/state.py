@@ -25,10 +25,16 @@ def sessions(events: DataFrame, time: str, gap: str, *keys: str, late: str = "10
 
 def merged_state(changes: DataFrame, keys: list[str], order: list[str], name: str, value: str) -> DataFrame:
     """The state of each feature after all changes: a row of changes sets `name` to `value`, or removes it where value is
-    null; the last change of a name wins. Features all of whose names are removed have no row. Two aggregates, the first
-    of which combines on the map side, so that a feature with very many changes is no task of its own."""
-    last = changes.groupBy(*keys, name).agg(F.max_by(F.struct(value), F.struct(*order)).alias("v")).where(f"v.{value} IS NOT NULL")
-    return last.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(name), F.col(f"v.{value}"))))).alias("state"))
+    null; a row without a name removes all names set before it. The last change of a name wins. Features all of whose names
+    are removed have no row. Two aggregates, the first of which combines on the map side, so that a feature with very many
+    changes is no task of its own."""
+    at = F.struct(*order)
+    last = changes.groupBy(*keys, name).agg(F.max_by(F.struct(value), at).alias("v"), F.max(at).alias("at"))
+    entry = F.struct(F.col("at"), F.col(name).alias("name"), F.col(f"v.{value}").alias("value"))
+    made = last.groupBy(*keys).agg(F.collect_list(F.when(F.col(name).isNotNull(), entry)).alias("set"), F.max(F.when(F.col(name).isNull(), F.col("at"))).alias("cleared"))
+    left = F.filter("set", lambda e: e["value"].isNotNull() & (F.col("cleared").isNull() | (e["at"] > F.col("cleared"))))
+    pairs = F.sort_array(F.transform(left, lambda e: F.struct(e["name"].alias("name"), e["value"].alias("value"))))
+    return made.select(*keys, F.map_from_entries(pairs).alias("state")).where(F.size("state") > 0)
 
 
 def live(cached: DataFrame, now: Column, ttl: float, added: str = "added_at") -> DataFrame:
