@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tilewright.operators import style_edits as edits
 from tilewright.operators import styles
 from tilewright.sources import services
 from tilewright.sources.views import LINES, table
@@ -236,6 +237,30 @@ def style_changes(spark, sf_dir):
     return styles.style_changes(pairs, "p_partkey", "before", "after").select("p_partkey", "step", "command", "target", "name", "anchor")
 
 
+#: Layers in order after the change of each style, by p_partkey % 8.
+ORDERS = ["bg,roads"] * 5 + ["bg,rail,roads", "roads", "bg,roads"]
+
+
+@query(
+    "SELECT p_partkey, true AS same, layers, CASE WHEN p_partkey % 8 <> 3 THEN CAST(p_size AS INT) END AS width, CAST(CASE WHEN p_partkey % 8 = 1 THEN 9 ELSE 8 END AS INT) AS version, CASE WHEN p_partkey % 8 = 7 THEN 3 END AS least FROM part "
+    f"JOIN (VALUES {', '.join(f'({k}, {chr(39)}{v}{chr(39)})' for k, v in enumerate(ORDERS))}) AS v(k, layers) ON k = p_partkey % 8"
+)
+def style_applied(spark, sf_dir):
+    """The changes between two styles of each part, applied to the first: the second."""
+    texts = [STYLE.replace(*change) if change else STYLE for change, _ in CHANGES]
+    sized = lambda text: F.replace(text, F.lit('"line-width":2'), F.concat(F.lit('"line-width":'), "p_size"))
+    after = F.element_at(F.array(*map(F.lit, texts)), (P() % len(texts) + 1).cast("int"))
+    pairs = table(spark, sf_dir, "part").select("p_partkey", F.lit(STYLE).alias("before"), sized(after).alias("after"))
+    made = edits.style_applied(pairs.select("p_partkey", "before"), styles.style_changes(pairs, "p_partkey", "before", "after"), "p_partkey", "before")
+    both = made.join(pairs.select("p_partkey", "after"), "p_partkey")
+    same = F.to_json(F.parse_json("before")) == F.to_json(F.parse_json("after"))
+    layers = F.transform(F.try_variant_get(F.parse_json("before"), "$.layers", "array<variant>"), lambda v: F.try_variant_get(v, "$.id", "string"))
+    at = lambda path, kind: F.try_variant_get(F.parse_json("before"), path, kind)
+    last = F.element_at(at("$.layers", "array<variant>"), -1)
+    width, least = F.try_variant_get(last, "$.paint['line-width']", "int"), F.try_variant_get(last, "$.minzoom", "int")
+    return both.select("p_partkey", same.alias("same"), F.array_join(layers, ",").alias("layers"), width.alias("width"), at("$.version", "int").alias("version"), least.alias("least"))
+
+
 @query("SELECT s_suppkey, k AS position, ['bg', 'rail', 'roads'][k + 1] AS id, k = 2 AS filtered, CASE WHEN k = 2 THEN 4 END AS width FROM supplier, range(3) AS r(k)")
 def style_edits(spark, sf_dir):
     docs = table(spark, sf_dir, "supplier").select("s_suppkey", F.lit(STYLE).alias("style"))
