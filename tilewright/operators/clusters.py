@@ -161,18 +161,25 @@ def children(levels: DataFrame, cluster_id: int) -> DataFrame:
     return levels.where((F.col("parent") == cluster_id) & (F.col("zoom") == cluster_id % 32))
 
 
+def all_leaves(levels: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (cluster_id) -> of_cluster and the columns of levels: the points of each cluster, at whatever depth; its
+    members and theirs, until none is a cluster. A recursive query, whose steps are joins with the members alone."""
+    spark = levels.sparkSession
+    members = levels.where("cluster_id IS NOT NULL OR parent IS NOT NULL").where(F.col("parent").isNotNull() & (F.col("zoom") == F.col("parent") % 32))
+    walked = spark.sql(
+        "WITH RECURSIVE down(of_cluster, cluster_id, idx, zoom) AS (SELECT cluster_id, cluster_id, CAST(NULL AS BIGINT), CAST(NULL AS INT) FROM {wanted} "
+        "UNION ALL SELECT down.of_cluster, m.cluster_id, m.idx, m.zoom FROM down JOIN {members} m ON m.parent = down.cluster_id) "
+        "SELECT of_cluster, idx, zoom FROM (SELECT * FROM down LIMIT ALL) WHERE cluster_id IS NULL",  # as large as the clusters are
+        wanted=wanted.select("cluster_id").where("cluster_id IS NOT NULL").distinct(),
+        members=members.select("parent", "cluster_id", "idx", "zoom"),
+    )
+    return walked.join(levels, ["idx", "zoom"]).select("of_cluster", *levels.columns)
+
+
 def leaves(levels: DataFrame, cluster_id: int, limit: int | None = 10, offset: int = 0) -> DataFrame:
     """The points of a cluster in the order of their index; no limit where that is None."""
-    members = levels.where(F.col("parent").isNotNull() & (F.col("zoom") == F.col("parent") % 32))
-    found, at = [], members.where(F.col("parent") == cluster_id)
-    deepest = levels.agg(F.max("zoom")).first()[0] or 0
-    for _ in range(cluster_id % 32, deepest + 1):  # members of members are of a deeper zoom each time
-        found.append(at.where("cluster_id IS NULL"))
-        at = members.join(at.where("cluster_id IS NOT NULL").select(F.col("cluster_id").alias("parent")), "parent").select(*levels.columns)
-    every = levels.where("false")
-    for one in found:
-        every = every.unionByName(one)
-    ordered = every.orderBy("idx").offset(offset)
+    one = levels.sparkSession.range(1).select(F.lit(cluster_id).cast("long").alias("cluster_id"))
+    ordered = all_leaves(levels, one).drop("of_cluster").orderBy("idx").offset(offset)
     return ordered if limit is None else ordered.limit(limit)
 
 

@@ -7,20 +7,75 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import geo
 from tilewright.operators.clusters import greedy_owners
-from tilewright.operators.spatial import box_join
+from tilewright.operators.shared import written
 
 
-def placed(boxes: DataFrame, cell: float = 64.0) -> DataFrame:
+#: Boxes that are settled first; each later range of the order has twice as many.
+FIRST_BOXES = 2_000
+#: Pairs that share a cell within one range; a range with more is halved.
+RANGE_PAIRS = 4_000_000
+
+
+def _celled(boxes: DataFrame, cell: float) -> DataFrame:
+    """A row for each cell (i, j) of a grid that a box meets."""
+    at = lambda v: F.floor(F.col(v) / cell).cast("long")
+    return boxes.withColumn("i", F.explode(F.sequence(at("minx"), at("maxx")))).withColumn("j", F.explode(F.sequence(at("miny"), at("maxy"))))
+
+
+def _refuses(old: str, new: str) -> Column:
+    """Whether a placed box refuses a new one: they have a point in common, and the new one's priority isn't greater."""
+    o, n = (lambda c, at=at: F.col(f"{at}.{c}") for at in (old, new))
+    meet = (o("minx") <= n("maxx")) & (o("maxx") >= n("minx")) & (o("miny") <= n("maxy")) & (o("maxy") >= n("miny"))
+    return meet & (o("priority").isNull() | n("priority").isNull() | (o("priority") >= n("priority")))
+
+
+def _settled(boxes: DataFrame, cell: float) -> DataFrame:
+    """The boxes that find a place among themselves, by their pairs."""
+    own = _celled(boxes, cell)
+    first = (F.col("b.i") == F.floor(F.greatest("a.minx", "b.minx") / cell)) & (F.col("b.j") == F.floor(F.greatest("a.miny", "b.miny") / cell))
+    met = own.alias("a").join(own.alias("b"), F.expr("a.i = b.i AND a.j = b.j AND a.seq < b.seq")).where(first & _refuses("a", "b"))
+    pairs = met.select(F.col("a.seq").alias("a"), F.col("b.seq").alias("b"), F.col("b.minx").alias("bx"))
+    owners = greedy_owners(boxes.select(F.col("seq").alias("idx"), F.col("minx").alias("x")), pairs)
+    return boxes.join(owners.where("idx = owner").select(F.col("idx").alias("seq")), "seq", "left_semi")
+
+
+def placed(boxes: DataFrame, cell: float | None = None, first: int = FIRST_BOXES, most: int = RANGE_PAIRS) -> DataFrame:
     """The boxes (seq, minx, miny, maxx, maxy, priority) that find a place when they come in the order of seq: a box is
     refused if it has a point in common with one placed before, unless both have a priority and its own is greater. What
-    is placed stays. seq: integers, each once. A box waits only for earlier boxes that it overlaps, so the order is
-    settled in rounds of many tasks (see greedy_owners), not in one."""
-    rows = boxes.select(F.col("seq").cast("long").alias("id"), "minx", "miny", "maxx", "maxy")
-    pairs = box_join(rows, rows, cell).where("a < b")
-    of = lambda c: boxes.select(F.col("seq").cast("long").alias(c), F.col("priority").alias(f"p_{c}"), F.col("minx").cast("double").alias(f"{c}x"))
-    met = pairs.join(of("a"), "a").join(of("b"), "b").where("p_a IS NULL OR p_b IS NULL OR p_a >= p_b")
-    owners = greedy_owners(rows.select(F.col("id").alias("idx"), F.col("minx").cast("double").alias("x")), met)
-    return boxes.join(owners.where("idx = owner").select(F.col("idx").alias("seq")), "seq", "left_semi")
+    is placed stays. seq: integers, each once.
+
+    The order is taken in ranges, each twice as long as all before. A range's boxes first look for what refuses them among
+    those already placed, cell by cell, and end at the first one that does; only those that are left are compared with each
+    other (see greedy_owners). In a crowded place few are left, so pairs grow with what is placed and not with all that
+    overlaps. A range whose boxes still share cells `most` times is halved. cell: the side of the grid's cells, by default
+    the mean side of the boxes.
+    """
+    columns = [F.col(c).cast("double").alias(c) for c in ("minx", "miny", "maxx", "maxy", "priority")]
+    rows = written(boxes.select(F.col("seq").cast("long").alias("seq"), *columns), "boxes")
+    side = (F.col("maxx") - F.col("minx") + F.col("maxy") - F.col("miny")) / 2
+    n, mean, low, high = rows.agg(F.count("seq"), F.avg(side), F.min("seq"), F.max("seq")).first()
+    if not n:
+        return boxes.where("false")
+    cell = cell or mean or 1.0
+    shares = [first * 2**k / n for k in range(64) if first * 2**k < n]
+    cuts = rows.agg(F.percentile_approx("seq", shares, int(min(10_000_000, 16 * n / first + 100)))).first()[0] if shares else []
+    edges = [low - 1, *sorted({*cuts} - {high}), high]
+    todo = [*zip(edges, edges[1:], strict=False)][::-1]
+    kept: DataFrame | None = None
+    while todo:
+        begin, end = todo.pop()
+        mine = rows.where((F.col("seq") > begin) & (F.col("seq") <= end))
+        if kept is not None:
+            refused = _celled(mine, cell).alias("new").join(_celled(kept, cell).alias("old"), F.expr("new.i = old.i AND new.j = old.j") & _refuses("old", "new"), "left_semi")
+            mine = written(mine.join(refused.select("seq").distinct(), "seq", "left_anti"), "left")
+        crowd = _celled(mine, cell).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+        middle = mine.agg(F.percentile_approx("seq", 0.5)).first()[0] if crowd > most else None
+        if middle is not None and begin < middle < end:
+            todo += [(middle, end), (begin, middle)]
+            continue
+        new = written(_settled(mine, cell), "placed")
+        kept = new if kept is None else kept.union(new)
+    return boxes.join(kept.select(F.col("seq")), "seq", "left_semi")
 
 
 def text_size(text: Column, advances: dict[str, float], height: float, other: float) -> Column:

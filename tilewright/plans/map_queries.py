@@ -78,9 +78,14 @@ def query_region_point(spark, sf_dir):
     return found.select("event_id", "layer")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE b AS (SELECT row_number() OVER (ORDER BY id) AS k, id, minx, miny, maxx + 300 AS maxx, maxy + 300 AS maxy, CASE WHEN id % 3 > 0 THEN id % 5 END AS p FROM ({BOXES})), "
+    "r AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(id BIGINT, x0 BIGINT, y0 BIGINT, x1 BIGINT, y1 BIGINT, p BIGINT)[]) AS kept UNION ALL "
+    "SELECT b.k, CASE WHEN len(list_filter(r.kept, lambda o: o.x0 <= b.maxx AND o.x1 >= b.minx AND o.y0 <= b.maxy AND o.y1 >= b.miny AND (o.p IS NULL OR b.p IS NULL OR o.p >= b.p))) = 0 "
+    "THEN list_append(r.kept, {'id': b.id, 'x0': b.minx, 'y0': b.miny, 'x1': b.maxx, 'y1': b.maxy, 'p': b.p}) ELSE r.kept END FROM r JOIN b ON b.k = r.k + 1) "
+    "SELECT unnest(kept).id AS seq FROM r WHERE k = (SELECT max(k) FROM b)"
+)
 def symbols_placed(spark, sf_dir):
-    """Tested against one pass in order."""
     b = part_boxes(spark, sf_dir).select(F.col("id").alias("seq"), "minx", "miny", (F.col("maxx") + 300).alias("maxx"), (F.col("maxy") + 300).alias("maxy"), F.when(F.col("id") % 3 > 0, F.col("id") % 5).cast("double").alias("priority"))
     return symbols.placed(b).select("seq")
 
