@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilewright.operators import style_edits as edits
+from tilewright.operators import style_expressions
 from tilewright.operators import styles
 from tilewright.sources import services
 from tilewright.sources.views import LINES, table
@@ -275,3 +276,26 @@ def style_edits(spark, sf_dir):
 def route_legs(spark, sf_dir):
     rows = legs(spark, sf_dir, F.struct(F.col("q").alias("distance")))
     return rows.select("id", F.size("steps").cast("long").alias("legs"))
+
+
+#: Expressions that take the place of a width, by p_partkey % 6, and what is wrong in each: path after the property, and message.
+EXPRESSIONS = [
+    ('["interpolate",["linear"],["zoom"],0,1,#,9]', None, None),
+    ('["case",["has","a"],["+",1,"x"],#]', ".2", "+ takes numbers"),
+    ('["all",["all",["all",["==",#]]]]', ".1.1.1", "a wrong number of arguments to =="),
+    ('["step",["zoom"],0,#,1,3,2]', "", "stops of step don't grow"),
+    ('["match",["get","k"],[["a"]],1,#]', "", "labels of match are scalars"),
+    ('["coalesce",["get",#],["interpolate",["bent"],["zoom"],0,1,5,#]]', ".1", "get takes a key"),
+]
+
+
+@query(
+    "SELECT p_partkey, 'layers.1.paint.line-width' || path AS path, message FROM part JOIN (VALUES "
+    + ", ".join(f"({k}, '{path}', '{message.replace(chr(39), chr(39) * 2)}')" for k, (_, path, message) in enumerate(EXPRESSIONS) if message)
+    + ", (5, '.2', 'no such curve')) AS v(k, path, message) ON p_partkey % 6 = k WHERE k <> 3 OR p_size >= 3"
+)
+def style_expression_issues(spark, sf_dir):
+    """What is wrong in an expression of each part's style, whose numbers are the part's."""
+    texts = F.element_at(F.array(*[F.lit(t) for t, _, _ in EXPRESSIONS]), (P() % len(EXPRESSIONS) + 1).cast("int"))
+    style = F.replace(F.lit(STYLE), F.lit('"line-width":2'), F.concat(F.lit('"line-width":'), F.replace(texts, F.lit("#"), F.col("p_size").cast("string"))))
+    return style_expressions.expression_issues(table(spark, sf_dir, "part").select("p_partkey", style.alias("style")), "p_partkey", "style")
