@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilewright.functions import elevation, geo
+from tilewright.operators.box_store import BoxStore
 from tilewright.operators.shared import new_folder
 from tilewright.sources import rasters
 from tilewright.sources.views import BOXES, EV, event_points, part_boxes, table
@@ -164,3 +165,17 @@ def stream_asked_once(spark, sf_dir):
     stream = stateful.replayed(asked.union(last), "ts", 3)
     made = stateful.drained(stateful.asked_once_stream(stream, "url", "ts", 6 * 3_600_000)).where("url <> 'end'")
     return made.select(F.col("url").cast("int").alias("user_id"), F.unix_micros("ts").alias("at"))
+
+
+@query(f"SELECT s_suppkey AS a, id AS b FROM (SELECT s_suppkey, s_suppkey * 7919 % 3900 AS qx, s_suppkey * 104729 % 3900 AS qy FROM supplier) JOIN ({BOXES}) ON minx <= qx + 150 AND maxx >= qx AND miny <= qy + 150 AND maxy >= qy WHERE id % 5 <> 2")
+def boxes_stored(spark, sf_dir):
+    """A store of boxes filled in two parts, some taken out again, asked for a box of each supplier."""
+    boxes = part_boxes(spark, sf_dir).select("id", "minx", "miny", "maxx", "maxy")
+    store = BoxStore(spark, new_folder(spark, "boxes"), per_file=250)
+    store.insert(boxes.where("id % 3 = 0"))
+    store.insert(boxes.where("id % 3 <> 0"))
+    store.remove(boxes.where("id % 5 = 2"))
+    s = F.col("s_suppkey")
+    asked = table(spark, sf_dir, "supplier").select(s.alias("id"), (s * 7919 % 3900).alias("minx"), (s * 104729 % 3900).alias("miny"))
+    asked = asked.withColumns({"maxx": F.col("minx") + 150, "maxy": F.col("miny") + 150})
+    return store.search_many(asked, 64.0)
