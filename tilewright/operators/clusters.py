@@ -13,8 +13,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tilewright.functions import geo
 from tilewright.operators.shared import done_with, written
@@ -97,9 +99,44 @@ def greedy_owners(points: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 Reduced = dict[str, tuple[Column, Callable[[str], Column]]]
-
-
-def cluster_level(level: DataFrame, zoom: int, radius: float, extent: float, min_points: int, reduced: Reduced) -> DataFrame:
+#: A column of the points, and a function of two of its values (Python ones) that puts them together.
+Folded = dict[str, tuple[Column, Callable[[object, object], object]]]
+
+
+def reduced_in_order(rows: DataFrame, group: str, order: list[str], value: str, put: Callable[[object, object], object]) -> DataFrame:
+    """group and value: each group's values put together from the first in order to the last. put must be associative but
+    may mind the order. Rows are dealt by ranges of (group, order), so a large group lies in several tasks; each puts its
+    stretch together, and these few are put together once more."""
+    kind = rows.schema[value].dataType
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, own = TaskContext.get().partitionId(), None, None
+        for batch in batches:
+            out = []
+            for g, v in zip(batch[group].to_pylist(), batch[value].to_pylist(), strict=True):
+                if own == (g,):
+                    held = put(held, v)
+                    continue
+                if own is not None:
+                    out.append((own[0], part, held))
+                own, held = (g,), v
+            yield made(out)
+        if own is not None:
+            yield made([(own[0], part, held)])
+
+    types = [to_arrow_type(rows.schema[group].dataType), pa.int64(), to_arrow_type(kind)]
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 3, types, strict=True)], [group, "__part", value])
+
+    schema = f"`{group}` {rows.schema[group].dataType.simpleString()}, __part long, `{value}` {kind.simpleString()}"
+    ranged = rows.select(group, *order, value).repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    parts = ranged.select(group, value).mapInArrow(fold, schema)
+    whole = parts.repartition(group).sortWithinPartitions(group, "__part").select(group, value)
+    return whole.mapInArrow(fold, schema).select(group, value)
+
+
+def cluster_level(level: DataFrame, zoom: int, radius: float, extent: float, min_points: int, reduced: Reduced, folded: Folded) -> DataFrame:
     """The points of `level` (that of zoom + 1), each with what is made of it at `zoom`: `made`, `owner`, and the new
     cluster's columns as struct `c`, null where the point goes on alone."""
     pairs = radius_join(level, level, "idx", "idx", radius / (extent * 2**zoom), self_join=True, keep=["bx"])
@@ -107,30 +144,33 @@ def cluster_level(level: DataFrame, zoom: int, radius: float, extent: float, min
     merged = owned.groupBy("owner").agg(
         F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows"), F.sum(F.col("x") * F.col("n")).alias("wx"), F.sum(F.col("y") * F.col("n")).alias("wy"), *[put(k).alias(k) for k, (_, put) in reduced.items()]
     )
+    for k, (_, put) in folded.items():  # the origin first, the others as they come
+        merged = merged.join(reduced_in_order(owned.select("owner", (F.col("idx") != F.col("owner")).alias("__later"), "idx", k), "owner", ["__later", "idx"], k, put), "owner")
     cluster_id = (F.col("owner") * 32 + zoom + 1).cast("long")
-    values = [(F.col("wx") / F.col("total")).alias("x"), (F.col("wy") / F.col("total")).alias("y"), F.col("total").alias("n"), cluster_id.alias("cluster_id"), *reduced]
+    values = [(F.col("wx") / F.col("total")).alias("x"), (F.col("wy") / F.col("total")).alias("y"), F.col("total").alias("n"), cluster_id.alias("cluster_id"), *reduced, *folded]
     made = merged.where((F.col("rows") > 1) & (F.col("total") >= min_points)).select("owner", F.struct(*values).alias("c"))
     return written(owned.join(made, "owner", "left"), "level")
 
 
 def cluster(
     points: DataFrame, key: str, lng: str = "lng", lat: str = "lat", radius: float = RADIUS, extent: float = EXTENT, min_points: int = MIN_POINTS, min_zoom: int = MIN_ZOOM, max_zoom: int = MAX_ZOOM,
-    sums: dict[str, Column] | None = None, reduced: Reduced | None = None,
+    sums: dict[str, Column] | None = None, reduced: Reduced | None = None, folded: Folded | None = None,
 ) -> DataFrame:
     """All levels: zoom, idx, x, y, n (points in it), cluster_id (null for a lone point), parent (null at the top), and one
     column for each of `sums` (added up over the members) and of `reduced` (a column of the points and the aggregate, by
-    the column's name, that puts members together; it must not mind in which groups and order they come). key: an
+    the column's name, that puts members together; it must not mind in which groups and order they come), and of `folded`
+    (a column and a Python function of two values, which come in order: the cluster's origin first). key: an
     integer that gives the order of the points. Level max_zoom + 1 holds the points. Points without key or place are
     left out; an empty table gives an empty result."""
-    reduced = {k: (v, F.sum) for k, v in (sums or {}).items()} | (reduced or {})
+    reduced, folded = {k: (v, F.sum) for k, v in (sums or {}).items()} | (reduced or {}), folded or {}
     x, y = unit_mercator(F.col(lng), F.col(lat))
     start = points.where(F.col(key).isNotNull() & F.col(lng).isNotNull() & F.col(lat).isNotNull())
     none = F.lit(None).cast("long")
-    level = written(start.select(F.col(key).cast("long").alias("idx"), x.alias("x"), y.alias("y"), F.lit(1).cast("long").alias("n"), none.alias("cluster_id"), *[v.alias(k) for k, (v, _) in reduced.items()]), "level")
-    columns = [*LEVEL, *reduced]
+    level = written(start.select(F.col(key).cast("long").alias("idx"), x.alias("x"), y.alias("y"), F.lit(1).cast("long").alias("n"), none.alias("cluster_id"), *[v.alias(k) for k, (v, _) in (reduced | folded).items()]), "level")
+    columns = [*LEVEL, *reduced, *folded]
     whole = []
     for zoom in range(max_zoom, min_zoom - 1, -1):
-        told = cluster_level(level, zoom, radius, extent, min_points, reduced)
+        told = cluster_level(level, zoom, radius, extent, min_points, reduced, folded)
         whole.append(told.select(F.lit(zoom + 1).alias("zoom"), *columns, F.col("c.cluster_id").alias("parent")))
         new = told.where("c IS NOT NULL AND idx = owner").select("idx", *[F.col("c")[k].alias(k) for k in columns[1:]])
         level = new.unionByName(told.where("c IS NULL").select(*columns))
@@ -138,7 +178,7 @@ def cluster(
     levels = whole[0]
     for one in whole[1:]:
         levels = levels.unionByName(one)
-    return levels.select("zoom", *LEVEL, "parent", *reduced)
+    return levels.select("zoom", *LEVEL, "parent", *reduced, *folded)
 
 
 def abbreviated(n: Column) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilewright.functions import elevation, geo
+from tilewright.operators import clusters
 from tilewright.operators.box_store import BoxStore
 from tilewright.operators.shared import new_folder
-from tilewright.sources import rasters
+from tilewright.sources import answer_cache, rasters
 from tilewright.sources.views import BOXES, EV, event_points, part_boxes, table
 from tilewright.streaming import events, stateful
 
@@ -179,3 +180,24 @@ def boxes_stored(spark, sf_dir):
     asked = table(spark, sf_dir, "supplier").select(s.alias("id"), (s * 7919 % 3900).alias("minx"), (s * 104729 % 3900).alias("miny"))
     asked = asked.withColumns({"maxx": F.col("minx") + 150, "maxy": F.col("miny") + 150})
     return store.search_many(asked, 64.0)
+
+
+@query("SELECT 'u' || user_id AS url, max(event_id) AS event_id, count(*) FILTER (event_type = 'click') > 0 AS clicked FROM events GROUP BY user_id")
+def cached_answers(spark, sf_dir):
+    """Answers captured for each user, each written over by later ones, through the cache's data source."""
+    answer_cache.register(spark)
+    path = new_folder(spark, "answers")
+    e = table(spark, sf_dir, "events")
+    for part in ("event_type <> 'click'", "event_type = 'click'"):
+        told = e.where(part).select(F.concat(F.lit("u"), "user_id").alias("url"), F.col("event_id").cast("string").cast("binary").alias("data"), F.col("event_type").alias("mime"), F.timestamp_seconds("event_id").alias("added_at"))
+        told.write.format("answer_cache").option("path", path).option("parts", 8).mode("append").save()
+    kept = spark.read.format("answer_cache").option("path", path).load()
+    clicked = e.groupBy(F.concat(F.lit("u"), "user_id").alias("url")).agg((F.count_if(F.col("event_type") == "click") > 0).alias("clicked"))
+    return kept.join(clicked, "url").select("url", F.col("data").cast("string").cast("long").alias("event_id"), "clicked")
+
+
+@query("SELECT user_id, string_agg(event_type[1:1], '' ORDER BY event_id) AS path FROM events GROUP BY user_id")
+def reduced_in_order(spark, sf_dir):
+    """Each user's events as one word, put together by a function that minds the order."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.left("event_type", F.lit(1)).alias("path"))
+    return clusters.reduced_in_order(e, "user_id", ["event_id"], "path", lambda a, b: a + b)
