@@ -352,3 +352,13 @@ def test_packing_of_repeated_rows_without_identifiers(spark):
     got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), WORDS).collect()
     assert sorted(r["doc_id"] or 0 for r in got) == [0, 0, 1, 1, 1] and {r["sequence_id"] for r in got} == {0}
     assert sorted(r["offset"] for r in got) == [0, *[sum(sorted((r["length"] for r in got), reverse=True)[:k]) for k in range(1, 5)]]
+
+
+def test_vectors_without_identifier_are_links_of_others(spark):
+    rng = np.random.default_rng(4)
+    v, far = rng.standard_normal(24), rng.standard_normal(24)
+    near = [v + rng.standard_normal(24) * 0.03 for _ in range(3)]
+    rows = [(9, v), (None, near[0]), (7, near[1]), (None, near[2]), (None, far), (3, -v), (None, -v + 0.02)]
+    table = spark.createDataFrame([(k, [float(x) for x in w]) for k, w in rows], "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(table).collect())
+    assert got == sorted([("9", 3, 7, False), ("7", 3, 7, True), ("3", 1, 3, True), *[("None", n, None, True) for n in (3, 3, 0, 1)]])

@@ -170,13 +170,12 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     squares = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     rows = table.select(F.col(id_col).alias("id"), F.when((F.size(v) > 0) & (squares > 0) & (squares < float("inf")), v).alias("vector"))
     good = stored(rows.where("vector IS NOT NULL").withColumn("digest", F.sha2(F.to_json(F.struct("vector")), 256)), "vectors")
-    classes = stored(good.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("vector").alias("vector")), "classes")
-    kind = table.schema[id_col].dataType.simpleString()
+    classes = stored(good.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("vector").alias("vector")).withColumn("key", F.monotonically_increasing_id()), "classes")
     links = None
     sizes = [(r[0], r[1]) for r in classes.groupBy(F.size("vector")).agg(F.count(F.lit(1))).collect()]
     for size, count in sizes:
         code = spark.sparkContext.broadcast(ProductCode.of(size, count))
-        met = classes.where((F.size("vector") == size) & F.col("rep").isNotNull()).select(F.col("rep").alias("id"), "copies", "vector", directions(F.col("vector"), code).alias("filters"))
+        met = classes.where(F.size("vector") == size).select(F.col("key").alias("id"), "copies", "vector", directions(F.col("vector"), code).alias("filters"))
         met = stored(met, "directions")
         at = met.select("id", F.explode("filters").alias("direction"))
         counts = at.groupBy("direction").agg(F.count(F.lit(1)).alias("total"), F.min("id").alias("least")).where("total > 1")
@@ -189,18 +188,20 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
             .select("direction", "id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
         )
         full = turns.join(met, "id")
-        found = full.groupBy("direction", "i", "j").applyInPandas(lambda group: linked_in_blocks(group, threshold), f"id {kind}, n_links long, root {kind}")
+        found = full.groupBy("direction", "i", "j").applyInPandas(lambda group: linked_in_blocks(group, threshold), "id long, n_links long, root long")
         found = stored(found, "found")
         links = found if links is None else links.union(found)
     if links is None:
-        links = spark.createDataFrame([], f"id {kind}, n_links long, root {kind}")
+        links = spark.createDataFrame([], "id long, n_links long, root long")
     totals = links.groupBy("id").agg(F.sum("n_links").alias("n"))
-    inside = connected_components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    inside = stored(connected_components(links.select(F.col("id").alias("a"), F.col("root").alias("b"))), "inside")
+    least = inside.join(classes.select(F.col("key").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
     of_class = stored(
-        classes.select("digest", "rep", "copies")
-        .join(totals, F.col("rep") == F.col("id"), "left")
-        .join(inside, F.col("rep") == F.col("node"), "left")
-        .select("digest", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")),
+        classes.select("key", "digest", "rep", "copies")
+        .join(totals, F.col("key") == F.col("id"), "left")
+        .join(inside, F.col("key") == F.col("node"), "left")
+        .join(least, "component", "left")
+        .select("digest", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component")),
         "classes",
     )
     told = good.select("id", "digest").join(of_class, "digest").select("id", "n_links", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
