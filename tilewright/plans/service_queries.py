@@ -8,7 +8,7 @@ from tilewright.operators import style_edits as edits
 from tilewright.operators import style_expressions
 from tilewright.operators import styles
 from tilewright.sources import services
-from tilewright.sources.views import LINES, table
+from tilewright.sources.views import table
 
 QUERIES, ORACLES = {}, {}
 
@@ -272,10 +272,43 @@ def style_edits(spark, sf_dir):
     return shown.select("s_suppkey", F.col("position").cast("long").alias("position"), "id", layer("$.filter").isNotNull().alias("filtered"), layer("$.paint.line-width").cast("int").alias("width"))
 
 
-@query(f"SELECT id, count(*) AS legs FROM ({LINES}) GROUP BY id")
+@query(
+    "WITH s AS (SELECT l_orderkey AS id, l_linenumber % 2 AS half, count(*) AS steps, sum(l_quantity) AS distance FROM lineitem GROUP BY ALL) "
+    "SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY half) - 1 AS INT) AS leg, distance, half + 7e0 AS duration, steps, 2 * steps AS points FROM s"
+)
 def route_legs(spark, sf_dir):
-    rows = legs(spark, sf_dir, F.struct(F.col("q").alias("distance")))
-    return rows.select("id", F.size("steps").cast("long").alias("legs"))
+    """Routes with a leg for the lines of even number and one for those of odd number, taken apart again."""
+    line = F.struct(F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.col("l_quantity"))).alias("coordinates"))
+    step = F.struct(F.col("l_quantity").alias("distance"), F.lit(1.0).alias("duration"), F.lit("High Street").alias("name"), line.alias("geometry"))
+    halves = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", (F.col("l_linenumber") % 2).alias("half")).agg(F.sum("l_quantity").alias("distance"), F.collect_list(step).alias("steps"))
+    leg = F.struct("half", "distance", (F.col("half") + 7.0).alias("duration"), "steps")
+    routes = halves.groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(leg)).alias("legs"), F.sum("distance").alias("distance"))
+    answer = F.to_json(F.struct(F.lit("Ok").alias("code"), F.array(F.struct("distance", "legs")).alias("routes")))
+    found = services.read("routes", routes.select("id", answer.alias("answer")), "answer").select("id", F.posexplode("legs").alias("leg", "l"))
+    return found.select("id", "leg", "l.distance", "l.duration", F.size("l.steps").cast("long").alias("steps"), F.size("l.geometry").cast("long").alias("points"))
+
+
+@query(
+    "SELECT c_custkey, service, CASE service WHEN 'nominatim' THEN 'T' || c_nationkey WHEN 'google' THEN 'p' || c_custkey ELSE c_mktsegment END AS told, CASE WHEN service = 'nominatim' AND c_custkey % 2 = 0 THEN 'city' END AS kind "
+    "FROM customer, (VALUES ('nominatim'), ('google'), ('photon')) AS v(service)"
+)
+def place_properties(spark, sf_dir):
+    """What three services say of each customer's place besides."""
+    c = table(spark, sf_dir, "customer")
+    address = F.struct(F.concat(F.lit("T"), "c_nationkey").alias("town"), F.lit("lost").alias("type"))
+    raw = F.struct(F.lit("1").alias("lat"), F.lit("2").alias("lon"), F.col("c_name").alias("display_name"), F.when(F.col("c_custkey") % 2 == 0, F.lit("city")).alias("type"), address.alias("address"), F.col("c_custkey").alias("osm_id"))
+    spot = F.struct(F.struct(F.lit(1.0).alias("lat"), F.lit(2.0).alias("lng")).alias("location"))
+    google = F.struct(F.array(F.struct(F.concat(F.lit("p"), "c_custkey").alias("place_id"), F.col("c_name").alias("formatted_address"), spot.alias("geometry"), F.array(F.lit("country")).alias("types"))).alias("results"), F.lit("OK").alias("status"))
+    photon = F.struct(F.array(F.struct(F.struct(F.col("c_mktsegment").alias("extra"), F.col("c_name").alias("name")).alias("properties"))).alias("features"))
+    out = None
+    for service, read, answer, path in (
+        ("nominatim", services.nominatim_places, F.to_json(F.array(raw)), "$.town"), ("google", services.google_places, F.to_json(google), "$.place_id"), ("photon", services.photon_places, F.to_json(photon), "$.extra"),
+    ):
+        found = read(c.select("c_custkey", answer.alias("answer")), "answer")
+        kind = F.when(F.lit(service) == "nominatim", F.get_json_object("properties", "$.type"))
+        one = found.select("c_custkey", F.lit(service).alias("service"), F.get_json_object("properties", path).alias("told"), F.when(kind != "lost", kind).alias("kind"))
+        out = one if out is None else out.union(one)
+    return out
 
 
 #: Expressions that take the place of a width, by p_partkey % 6, and what is wrong in each: path after the property, and message.

@@ -1,7 +1,8 @@
 """Answers of geocoding, routing, isochrone and matrix services, each brought into one form, in built-in functions.
 
-Places: text, lat, lng, bbox (west, south, east, north), place_type, relevance. Routes: distance (metres), duration
-(seconds), geometry and steps (distance, duration, instruction, maneuver, geometry). Isochrones: contour, geometry,
+Places: text, lat, lng, bbox (west, south, east, north), place_type, relevance, properties (JSON: what the service says
+besides). Routes: distance (metres), duration (seconds), geometry, steps (distance, duration, instruction, maneuver,
+geometry) and legs (distance, duration, geometry, steps; null from a service that gives no legs of its own). Isochrones: contour, geometry,
 holes. Matrices: durations and distances by origin and destination. Geometries are arrays of points x (longitude) and y
 (latitude). An answer is one JSON text; one that doesn't parse gives no rows.
 """
@@ -22,19 +23,31 @@ NO_POINTS = lambda: F.array().cast(POINTS)
 COMMON = ("country", "region", "district", "postcode", "place", "address", "poi")
 
 
-def _rows(answers: DataFrame, column: str, schema: str, items: Callable[[Column], Column]) -> DataFrame:
-    """One row for each of the answer's items, as `__i`, with its place `rank` from 0."""
+def _rows(answers: DataFrame, column: str, schema: str, items: Callable[[Column], Column], raw: str | None = None) -> DataFrame:
+    """One row for each of the answer's items, as `__i`, with its place `rank` from 0. raw: the path of the array of items,
+    each of which then comes along whole as `__raw`."""
     parsed = answers.withColumn("__a", F.from_json(column, schema))
     each = parsed.select("*", F.posexplode(items(F.col("__a"))).alias("rank", "__i"))
+    if raw:
+        each = each.withColumn("__raw", F.get(F.try_variant_get(F.try_parse_json(column), raw, "array<variant>"), F.col("rank")))
     return each.drop("__a", column)
 
 
-def _places(rows: DataFrame, text: Column, lat: Column, lng: Column, bbox: Column, place_type: Column, relevance: Column | None = None, limit: int | None = None) -> DataFrame:
+def _told(*names: str) -> Column:
+    """What an item says under these names, as JSON; its object `properties` without names."""
+    if not names:
+        return F.to_json(F.try_variant_get("__raw", "$.properties", "variant"))
+    own = [F.struct(F.lit(n).alias("key"), F.try_variant_get("__raw", f"$.{n}", "variant").alias("value")) for n in names]
+    return F.filter(F.array(*own), lambda e: e["value"].isNotNull())
+
+
+def _places(rows: DataFrame, text: Column, lat: Column, lng: Column, bbox: Column, place_type: Column, relevance: Column | None = None, limit: int | None = None, properties: Column | None = None) -> DataFrame:
     """limit: the first so many places of each answer."""
     rows = rows if limit is None else rows.where(F.col("rank") < limit)
-    keys = [c for c in rows.columns if c != "__i"]
+    keys = [c for c in rows.columns if c not in ("__i", "__raw")]
+    told = _told() if properties is None else properties
     score = F.lit(None).cast("double") if relevance is None else relevance
-    return rows.select(*keys, text.alias("text"), lat.alias("lat"), lng.alias("lng"), bbox.alias("bbox"), place_type.alias("place_type"), score.alias("relevance"))
+    return rows.select(*keys, text.alias("text"), lat.alias("lat"), lng.alias("lng"), bbox.alias("bbox"), place_type.alias("place_type"), score.alias("relevance"), told.alias("properties"))
 
 
 def _spot(c: Column, k: int) -> Column:
@@ -45,7 +58,7 @@ def nominatim_places(answers: DataFrame, column: str, limit: int | None = None)
     """Of a search (a list) or of one reverse lookup (an object)."""
     raw = "lat string, lon string, display_name string, class string, type string, importance double, boundingbox array<string>"
     listed = F.when(F.trim(column).startswith("["), F.col(column)).otherwise(F.concat(F.lit("["), column, F.lit("]")))
-    rows = _rows(answers.withColumn(column, listed), column, f"array<struct<{raw}>>", lambda a: a)
+    rows = _rows(answers.withColumn(column, listed), column, f"array<struct<{raw}>>", lambda a: a, "$")
     i = F.col("__i")
     k, t = i["class"], i["type"]
     kind = (
@@ -55,12 +68,16 @@ def nominatim_places(answers: DataFrame, column: str, limit: int | None = None)
     side = lambda n: F.get(i.boundingbox, F.lit(n)).cast("double")
     bbox = F.when(i.boundingbox.isNotNull(), F.array(side(2), side(0), side(3), side(1)))
     relevance = F.when(i.importance.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), i.importance)))
-    return _places(rows, i.display_name, i.lat.cast("double"), i.lon.cast("double"), bbox, kind, relevance, limit)
+    names = ("osm_id", "osm_type", "class", "type")
+    own = F.map_from_entries(_told(*names))
+    address = F.coalesce(F.try_variant_get("__raw", "$.address", "map<string,variant>"), F.map_filter(own, lambda k, v: F.lit(False)))
+    told = F.to_json(F.map_concat(F.map_filter(address, lambda k, v: ~k.isin(*names)), own))
+    return _places(rows, i.display_name, i.lat.cast("double"), i.lon.cast("double"), bbox, kind, relevance, limit, told)
 
 
 def photon_places(answers: DataFrame, column: str, limit: int | None = None) -> DataFrame:
     own = "name:string,street:string,housenumber:string,postcode:string,city:string,country:string,osm_key:string,osm_value:string,type:string,extent:array<double>"
-    rows = _rows(answers, column, f"features array<struct<geometry:struct<coordinates:array<double>>,properties:struct<{own}>>>", lambda a: a.features)
+    rows = _rows(answers, column, f"features array<struct<geometry:struct<coordinates:array<double>>,properties:struct<{own}>>>", lambda a: a.features, "$.features")
     i = F.col("__i")
     p, at = i.properties, i.geometry.coordinates
     v, t, k = p.osm_value, p.type, p.osm_key
@@ -80,14 +97,14 @@ def photon_places(answers: DataFrame, column: str, limit: int | None = None) ->
 
 def mapbox_places(answers: DataFrame, column: str, limit: int | None = None) -> DataFrame:
     own = f"full_address:string,name:string,bbox:{BOX},feature_type:string"
-    rows = _rows(answers, column, f"features array<struct<geometry:struct<coordinates:array<double>>,properties:struct<{own}>,relevance:double>>", lambda a: a.features)
+    rows = _rows(answers, column, f"features array<struct<geometry:struct<coordinates:array<double>>,properties:struct<{own}>,relevance:double>>", lambda a: a.features, "$.features")
     i = F.col("__i")
     p, at = i.properties, i.geometry.coordinates
     return _places(rows, F.coalesce(p.full_address, p["name"], F.lit("")), _spot(at, 1), _spot(at, 0), p.bbox, F.when(p.feature_type.isin(*COMMON), p.feature_type), i.relevance, limit)
 
 
 def maptiler_places(answers: DataFrame, column: str, limit: int | None = None) -> DataFrame:
-    rows = _rows(answers, column, f"features array<struct<place_name:string,text:string,center:array<double>,bbox:{BOX},place_type:array<string>,relevance:double>>", lambda a: a.features)
+    rows = _rows(answers, column, f"features array<struct<place_name:string,text:string,center:array<double>,bbox:{BOX},place_type:array<string>,relevance:double>>", lambda a: a.features, "$.features")
     i = F.col("__i")
     kind = F.get(i.place_type, F.lit(0))
     return _places(rows, F.coalesce(i.place_name, i.text, F.lit("")), _spot(i.center, 1), _spot(i.center, 0), i.bbox, F.when(kind.isin(*COMMON), kind), i.relevance, limit)
@@ -96,7 +113,7 @@ def maptiler_places(answers: DataFrame, column: str, limit: int | None = None) -
 def google_places(answers: DataFrame, column: str, limit: int | None = None) -> DataFrame:
     spot = "struct<lat:double,lng:double>"
     box = f"struct<northeast:{spot},southwest:{spot}>"
-    rows = _rows(answers, column, f"results array<struct<formatted_address:string,geometry:struct<location:{spot},bounds:{box},viewport:{box}>,types:array<string>>>", lambda a: a.results)
+    rows = _rows(answers, column, f"results array<struct<formatted_address:string,geometry:struct<location:{spot},bounds:{box},viewport:{box}>,types:array<string>>>", lambda a: a.results, "$.results")
     i = F.col("__i")
     b = F.coalesce(i.geometry.bounds, i.geometry.viewport)
     has = lambda *names: F.arrays_overlap(i.types, F.array(*map(F.lit, names)))
@@ -105,7 +122,8 @@ def google_places(answers: DataFrame, column: str, limit: int | None = None) ->
         .when(has("locality", "sublocality"), "place").when(has("street_address", "route", "premise"), "address").when(has("point_of_interest", "establishment"), "poi")
     )
     bbox = F.when(b.isNotNull(), F.array(b.southwest.lng, b.southwest.lat, b.northeast.lng, b.northeast.lat))
-    return _places(rows, i.formatted_address, i.geometry.location.lat, i.geometry.location.lng, bbox, kind, None, limit)
+    told = F.to_json(F.map_from_entries(_told("place_id", "types", "address_components")))
+    return _places(rows, i.formatted_address, i.geometry.location.lat, i.geometry.location.lng, bbox, kind, None, limit, told)
 
 
 def _line(c: Column) -> Column:
@@ -117,9 +135,18 @@ def _step(distance: Column, duration: Column, instruction: Column, maneuver: Col
     return F.struct(distance.alias("distance"), duration.alias("duration"), instruction.alias("instruction"), maneuver.cast("string").alias("maneuver"), geometry.alias("geometry"))
 
 
-def _routes(rows: DataFrame, distance: Column, duration: Column, geometry: Column, steps: Column) -> DataFrame:
+STEP = f"struct<distance:double,duration:double,instruction:string,maneuver:string,geometry:{POINTS}>"
+LEGS = f"array<struct<distance:double,duration:double,geometry:{POINTS},steps:array<{STEP}>>>"
+
+
+def _leg(distance: Column, duration: Column, geometry: Column, steps: Column) -> Column:
+    return F.struct(distance.alias("distance"), duration.alias("duration"), geometry.alias("geometry"), steps.alias("steps"))
+
+
+def _routes(rows: DataFrame, distance: Column, duration: Column, geometry: Column, steps: Column, legs: Column | None = None) -> DataFrame:
     keys = [c for c in rows.columns if c != "__i"]
-    return rows.select(*keys, distance.alias("distance"), duration.alias("duration"), geometry.alias("geometry"), steps.alias("steps"))
+    own = F.lit(None) if legs is None else legs
+    return rows.select(*keys, distance.alias("distance"), duration.alias("duration"), geometry.alias("geometry"), steps.alias("steps"), own.cast(LEGS).alias("legs"))
 
 
 def _all(legs: Column, of: Callable[[Column], Column]) -> Column:
@@ -130,7 +157,7 @@ def osrm_routes(answers: DataFrame, column: str) -> DataFrame:
     """An instruction that is missing is made of the maneuver and the street's name."""
     line = "struct<coordinates:array<array<double>>>"
     step = f"struct<distance:double,duration:double,name:string,geometry:{line},maneuver:struct<type:string,modifier:string,instruction:string>>"
-    rows = _rows(answers, column, f"code string, routes array<struct<distance:double,duration:double,geometry:{line},legs:array<struct<steps:array<{step}>>>>>", lambda a: F.when(a.code == "Ok", a.routes))
+    rows = _rows(answers, column, f"code string, routes array<struct<distance:double,duration:double,geometry:{line},legs:array<struct<distance:double,duration:double,steps:array<{step}>>>>>", lambda a: F.when(a.code == "Ok", a.routes))
     i = F.col("__i")
 
     def told(s: Column) -> Column:
@@ -140,17 +167,21 @@ def osrm_routes(answers: DataFrame, column: str) -> DataFrame:
         maneuver = F.when(F.length(m.type) > 0, F.coalesce(F.regexp_replace(F.concat(m.type, F.lit("-"), some(m.modifier)), r"\s+", "-"), m.type))
         return _step(s.distance, s.duration, instruction, maneuver, _line(s.geometry.coordinates))
 
-    steps = _all(i.legs, lambda leg: F.transform(leg.steps, told))
-    return _routes(rows, i.distance, i.duration, _line(i.geometry.coordinates), steps)
+    def one(leg: Column) -> Column:
+        own = F.coalesce(F.transform(leg.steps, told), F.array().cast(f"array<{STEP}>"))
+        return _leg(leg.distance, leg.duration, F.flatten(F.transform(own, lambda s: s.geometry)), own)
+
+    legs = F.transform(F.coalesce(i.legs, F.array()), one)
+    return _routes(rows, i.distance, i.duration, _line(i.geometry.coordinates), F.flatten(F.transform(legs, lambda leg: leg.steps)), legs)
 
 
 def valhalla_routes(answers: DataFrame, column: str) -> DataFrame:
     """Kilometres become metres; a step's geometry is its slice of the leg's shape."""
     move = "struct<length:double,time:double,instruction:string,begin_shape_index:int,end_shape_index:int>"
-    trip = f"struct<summary:struct<length:double,time:double>,legs:array<struct<shape:string,maneuvers:array<{move}>>>>"
+    trip = f"struct<summary:struct<length:double,time:double>,legs:array<struct<summary:struct<length:double,time:double>,shape:string,maneuvers:array<{move}>>>>"
     rows = _rows(answers, column, f"trip {trip}, alternates array<struct<trip:{trip}>>", lambda a: F.filter(F.concat(F.array(a.trip), F.coalesce(F.transform(a.alternates, lambda x: x.trip), F.array().cast(f"array<{trip}>"))), lambda t: t.isNotNull()))
     i, zero = F.col("__i"), F.lit(0.0)
-    legs = F.transform(i.legs, lambda leg: F.struct(decoded_polyline(leg["shape"], 6).alias("shape"), leg.maneuvers.alias("moves")))
+    legs = F.transform(i.legs, lambda leg: F.struct(leg.summary.alias("summary"), decoded_polyline(leg["shape"], 6).alias("shape"), leg.maneuvers.alias("moves")))
 
     def told(leg: Column) -> Column:
         def one(m: Column) -> Column:
@@ -158,9 +189,10 @@ def valhalla_routes(answers: DataFrame, column: str) -> DataFrame:
             last = F.coalesce(m.end_shape_index, first)
             return _step(F.coalesce(m.length, zero) * 1000, F.coalesce(m.time, zero), F.coalesce(m.instruction, F.lit("")), F.lit(None), F.slice(leg["shape"], first + 1, F.greatest(last - first + 1, F.lit(0))))
 
-        return F.transform(leg.moves, one)
+        return F.coalesce(F.transform(leg.moves, one), F.array().cast(f"array<{STEP}>"))
 
-    return _routes(rows, F.coalesce(i.summary.length, zero) * 1000, F.coalesce(i.summary.time, zero), _all(legs, lambda leg: leg["shape"]), _all(legs, told))
+    whole = F.transform(F.coalesce(legs, F.array()), lambda leg: _leg(F.coalesce(leg.summary.length, zero) * 1000, F.coalesce(leg.summary.time, zero), F.coalesce(leg["shape"], NO_POINTS()), told(leg)))
+    return _routes(rows, F.coalesce(i.summary.length, zero) * 1000, F.coalesce(i.summary.time, zero), _all(legs, lambda leg: leg["shape"]), _all(legs, told), whole)
 
 
 def google_routes(answers: DataFrame, column: str) -> DataFrame:
