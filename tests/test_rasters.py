@@ -91,3 +91,22 @@ def test_covering_takes_the_deepest(spark):
     got = {(r.z, r.x): (r.of_z, r.left, r.top, r.share) for r in rasters.covering(wanted, have, 4).collect()}
     assert got == {(4, 5): (4, 0.0, 0.0, 1.0), (4, 6): (2, 0.5, 0.25, 0.25), (4, 0): (0, 0.0, 0.0, 0.0625), (1, 1): (0, 0.5, 0.5, 0.5)}
     assert rasters.covering(wanted, have.where("z = 4"), 3).where("of_z IS NOT NULL").count() == 0
+
+
+def test_tiles_keep_kinds_of_properties(spark):
+    import json
+    import struct
+
+    from tilewright.sources import vector_tiles
+
+    told = {"a": 1, "b": -7, "c": 0.5, "d": 0.1, "e": True, "f": False, "g": "é", "h": [1, 2], "i": 2**63, "j": -(2**63), "k": 2**70, "l": 1.0, "m": None, "n": 0, "o": "1"}
+    rows = [(0, 0, 0, "l", 1, 1, json.dumps(told), [[(3, -4)]]), (0, 0, 0, "l", 2, 2, None, [[(0, 0), (5, 5)], [(1, 1), (2, 2)]]), (0, 0, 0, "m", None, 1, "{}", [])]
+    features = spark.createDataFrame(rows, "z int, x int, y int, layer string, id long, kind int, typed string, parts array<array<struct<x:int,y:int>>>")
+    got = {(r.layer, r.id): r for r in vector_tiles.read_tiles(vector_tiles.write_tiles(features)).collect()}
+    back = json.loads(got["l", 1].typed)
+    want = told | {"h": "[1, 2]", "k": str(2**70)}
+    del want["m"]
+    assert back == {**want} and {k: type(v) for k, v in back.items()} == {k: type(v) for k, v in want.items()}
+    assert [[tuple(p) for p in part] for part in got["l", 2].parts] == [[(0, 0), (5, 5)], [(1, 1), (2, 2)]] and got["l", 2].properties == {}
+    assert got["m", None].parts == [] and all(r.error is None for r in got.values())
+    assert len(vector_tiles.value_bytes(0.5)) == 5 and len(vector_tiles.value_bytes(0.1)) == 9 and struct.unpack("<f", vector_tiles.value_bytes(0.5)[1:])[0] == 0.5

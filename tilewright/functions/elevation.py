@@ -115,14 +115,19 @@ def mesh_vertices(tiles: DataFrame, size: int, tile_size: float | None = None, r
     return made.withColumns({"nx": F.col("__nx") / size_of, "ny": F.col("__ny") / size_of, "nz": 1 / size_of}).drop("__nx", "__ny")
 
 
+def triangle_corners(triangle: Column, resolution: int) -> Column:
+    """The vertices a, b and c of a triangle of a mesh; each cell has two, one after the other."""
+    cell = F.floor(triangle / 2)
+    a = F.floor(cell / resolution) * (resolution + 1) + F.pmod(cell, F.lit(resolution))
+    even = triangle % 2 == 0
+    corner = lambda first, second: F.when(even, first).otherwise(second).cast("long")
+    below = a + resolution + 1
+    return F.struct(corner(a, a + 1).alias("a"), below.cast("long").alias("b"), corner(a + 1, below + 1).alias("c"))
+
+
 def mesh_triangles(spark: SparkSession, resolution: int) -> DataFrame:
     """triangle, a, b, c: two triangles for each cell of a mesh, the same for every tile."""
-    cell = F.col("triangle") / 2
-    j, i = F.floor(cell / resolution), F.floor(F.pmod(F.floor(cell), F.lit(resolution)))
-    a = j * (resolution + 1) + i
-    even = F.col("triangle") % 2 == 0
-    corner = lambda first, second: F.when(even, first).otherwise(second).cast("long")
-    return spark.range(2 * resolution * resolution).select(F.col("id").alias("triangle")).select("triangle", corner(a, a + 1).alias("a"), corner(a + resolution + 1, a + resolution + 1).alias("b"), corner(a + 1, a + resolution + 2).alias("c"))
+    return spark.range(2 * resolution * resolution).select(F.col("id").alias("triangle"), triangle_corners(F.col("id"), resolution).alias("t")).select("triangle", "t.*")
 
 
 # The stops of the usual ramp of a heat map.

@@ -23,16 +23,22 @@ def query(sql: str | None = None):
     return put
 
 
-@query(f"SELECT id, count(*) AS n, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(y) AS BIGINT) AS sy FROM ({LINES}) GROUP BY id")
+@query(
+    f"SELECT id, count(*) AS n, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(y) AS BIGINT) AS sy, id AS whole, -id AS less, id / 4e0 AS quarter, id / 1e1 AS tenth, id % 2 = 0 AS even, 'o' || id AS name FROM ({LINES}) GROUP BY id"
+)
 def mvt_roundtrip(spark, sf_dir):
+    """Lines written as tiles with properties of every kind, and read back."""
     line = F.transform("vertices", lambda p: F.struct(p.x.cast("int").alias("x"), p.y.cast("int").alias("y")))
+    k = F.col("id")
+    told = F.to_json(F.struct(k.alias("whole"), (-k).alias("less"), (k / 4).alias("quarter"), (k / 10).alias("tenth"), (k % 2 == 0).alias("even"), F.concat(F.lit("o"), k).alias("name")))
     made = order_lines(spark, sf_dir).select(
-        F.lit(6).alias("z"), (F.col("id") % 64).cast("int").alias("x"), (F.col("id") % 61).cast("int").alias("y"), F.lit("orders").alias("layer"), "id",
-        F.lit(vector_tiles.LINE).alias("kind"), F.create_map(F.lit("key"), F.col("id").cast("string")).alias("properties"), F.array(line).alias("parts"),
-    )
-    back = vector_tiles.read_tiles(vector_tiles.write_tiles(made)).where("error IS NULL AND properties['key'] = id")
+        F.lit(6).alias("z"), (k % 64).cast("int").alias("x"), (k % 61).cast("int").alias("y"), F.lit("orders").alias("layer"), "id", F.lit(vector_tiles.LINE).alias("kind"), told.alias("typed"), F.array(line).alias("parts")
+    )
+    back = vector_tiles.read_tiles(vector_tiles.write_tiles(made))
     flat = F.flatten("parts")
-    return back.select("id", F.size(flat).cast("long").alias("n"), geometry.total(flat, lambda p: p.x.cast("double")).cast("long").alias("sx"), geometry.total(flat, lambda p: p.y.cast("double")).cast("long").alias("sy"))
+    own = F.from_json("typed", "whole long, less long, quarter double, tenth double, even boolean, name string")
+    sums = [geometry.total(flat, lambda p, c=c: p[c].cast("double")).cast("long").alias(f"s{c}") for c in "xy"]
+    return back.select("id", F.size(flat).cast("long").alias("n"), *sums, own.alias("p")).select("id", "n", "sx", "sy", "p.*")
 
 
 @query(f"SELECT event_id, event_type, round(lng, 6) AS lng, round(lat, 6) AS lat FROM ({EV})")

@@ -147,9 +147,19 @@ def terrain_mesh(spark, sf_dir):
     return made.select("s_suppkey", "vertex", "x", "y", *[F.round(c, 6).alias(c) for c in ("z", "nx", "ny")])
 
 
-@query("SELECT (j*8+i)*2+k AS triangle, j*9+i+k AS a, j*9+i+9 AS b, j*9+i+1+k*9 AS c FROM range(8) AS x(i), range(8) AS y(j), range(2) AS z(k)")
+@query(
+    "WITH t AS (SELECT s_suppkey, (j*2+i)*2+k AS triangle, j*3+i+k AS a, j*3+i+3 AS b, j*3+i+1+k*3 AS c FROM supplier, range(2) AS x(i), range(2) AS y(j), range(2) AS z(k)) "
+    "SELECT s_suppkey, triangle, a, b, c, round(2*s_suppkey + (1.5e0*(a%3+b%3+c%3) + 15e0*(a//3+b//3+c//3))*2/3, 6) AS height FROM t"
+)
 def terrain_triangles(spark, sf_dir):
-    return elevation.mesh_triangles(spark, 8)
+    """The triangles of each supplier's tile with the mean height of their corners."""
+    grid = F.array(*[F.col("s_suppkey") + float(x + 10 * y) for y in range(4) for x in range(4)])
+    made = elevation.mesh_vertices(table(spark, sf_dir, "supplier").select("s_suppkey", grid.alias("grid")), 4, 4.0, 2, 2.0)
+    heights = made.groupBy("s_suppkey").agg(F.map_from_entries(F.collect_list(F.struct(F.col("vertex").cast("long").alias("vertex"), "z"))).alias("z"))  # nine a tile
+    each = heights.withColumn("triangle", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
+    each = each.withColumn("t", elevation.triangle_corners(F.col("triangle"), 2)).select("s_suppkey", "z", "triangle", "t.*")
+    corner = lambda c: F.element_at("z", F.col(c))
+    return each.select("s_suppkey", "triangle", "a", "b", "c", F.round((corner("a") + corner("b") + corner("c")) / 3, 6).alias("height"))
 
 
 HEAT = [(0.4, (0, 0, 255)), (0.6, (0, 255, 255)), (0.7, (0, 255, 0)), (0.8, (255, 255, 0)), (1.0, (255, 0, 0))]
@@ -269,10 +279,22 @@ def lines_drawn(spark, sf_dir):
     return order_lines(spark, sf_dir).select("id", geometry.drawn_line(F.col("vertices"), 500.0, 500.0, 3500.0, 3000.0).alias("parts"))
 
 
-@query(f"SELECT id, 2*count(*) AS n, 0e0 AS balance FROM ({LINES}) GROUP BY id HAVING count(*) > 1")
+ALONG = "WINDOW w AS (PARTITION BY id ORDER BY l_linenumber, l_partkey, l_suppkey, x, y)"
+
+
+@query(
+    f"WITH p AS (SELECT *, row_number() OVER w AS k, x - lag(x) OVER w AS cx, y - lag(y) OVER w AS cy, lead(x) OVER w - x AS gx, lead(y) OVER w - y AS gy FROM ({LINES}) {ALONG}), "
+    "u AS (SELECT id, k, coalesce(cx / nullif(hypot, 0), 0) + coalesce(gx / nullif(hypot2, 0), 0) AS ax, coalesce(cy / nullif(hypot, 0), 0) + coalesce(gy / nullif(hypot2, 0), 0) AS ay FROM (SELECT *, sqrt(cx*cx+cy*cy) AS hypot, sqrt(gx*gx+gy*gy) AS hypot2 FROM p)), "
+    "n AS (SELECT id, k, coalesce(ax / nullif(sqrt(ax*ax+ay*ay), 0), 0) AS ax, coalesce(ay / nullif(sqrt(ax*ax+ay*ay), 0), 0) AS ay FROM u) "
+    "SELECT id, 2*count(*) AS n, round(sum(-k*ay), 4) + 0 AS left_x, round(sum(k*ax), 4) + 0 AS left_y FROM n GROUP BY id HAVING count(*) > 1"
+)
 def lines_tessellated(spark, sf_dir):
+    """Lines as strips: the number of vertices, and the normals of their left sides, each times its place."""
     made = order_lines(spark, sf_dir).where(F.size("vertices") > 1).select("id", geometry.tessellated(F.col("vertices")).alias("v"))
-    return made.select("id", F.size("v").cast("long").alias("n"), F.abs(F.round(geometry.total(F.col("v"), lambda p: p.nx + p.ny), 6)).alias("balance"))
+    left = F.filter("v", lambda p: p.side == 1)
+    weighted = F.transform(left, lambda p, k: F.struct((p.nx * (k + 1)).alias("x"), (p.ny * (k + 1)).alias("y")))
+    told = made.select("id", F.size("v").cast("long").alias("n"), weighted.alias("w"))
+    return told.select("id", "n", *[(F.round(geometry.total(F.col("w"), lambda p, c=c: p[c]), 4) + 0).alias(f"left_{c}") for c in "xy"])
 
 
 @query()

@@ -133,20 +133,20 @@ def point_search(spark, sf_dir):
     return part_boxes(spark, sf_dir).where(held).select("id")
 
 
-@query(f"SELECT a.id AS a, b.id AS b FROM ({BOXES}) a, ({BOXES}) b WHERE a.p_brand = 'Brand#11' AND b.p_brand <> 'Brand#11' AND a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy")
+@query(f"SELECT a.id AS a, b.id AS b FROM ({BOXES}) a, ({BOXES}) b WHERE a.id < b.id AND a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy")
 def bbox_join(spark, sf_dir):
     b = part_boxes(spark, sf_dir)
-    return spatial.box_join(b.where("p_brand = 'Brand#11'"), b.where("p_brand <> 'Brand#11'"), 128.0)
+    return spatial.box_join(b, b, 128.0).where("a < b")
 
 
 def planar(df):
     return df.withColumns({"x": F.col("lng"), "y": F.col("lat")})
 
 
-@query(f"SELECT event_id FROM ({CLUMP}) WHERE (lng-5)*(lng-5)+(lat-5)*(lat-5) <= 100")
+@query(f"SELECT event_id FROM ({EV}) WHERE (lng-5)*(lng-5)+(lat-5)*(lat-5) <= 900")
 def radius_within(spark, sf_dir):
-    near = (F.col("lng") - 5) * (F.col("lng") - 5) + (F.col("lat") - 5) * (F.col("lat") - 5) <= 100
-    return event_clumps(spark, sf_dir).where(F.col("lng").between(-5, 15) & F.col("lat").between(-5, 15)).where(near).select("event_id")
+    near = (F.col("lng") - 5) * (F.col("lng") - 5) + (F.col("lat") - 5) * (F.col("lat") - 5) <= 900
+    return event_points(spark, sf_dir).where(F.col("lng").between(-25, 35) & F.col("lat").between(-25, 35)).where(near).select("event_id")
 
 
 @query(f"WITH p AS (SELECT * FROM ({CLUMP})) SELECT a.event_id AS a, b.event_id AS b, round(sqrt((a.lng-b.lng)*(a.lng-b.lng)+(a.lat-b.lat)*(a.lat-b.lat)), 4) AS distance FROM p a, p b WHERE a.event_id < b.event_id AND (a.lng-b.lng)*(a.lng-b.lng)+(a.lat-b.lat)*(a.lat-b.lat) <= 0.0025")

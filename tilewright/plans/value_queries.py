@@ -140,6 +140,22 @@ def flight_ends(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(start.w, 4).alias("w0"), F.round(end.w, 4).alias("w1"), F.round(start.u, 4).alias("u0"), F.round(end.u, 4).alias("u1"))
 
 
+FLIGHT = camera.FLIGHT_CURVE
+RISE = f"(w1*w1 - w0*w0 {{sign}} {FLIGHT**4!r}*u1*u1) / ({{own}} * {2 * FLIGHT**2!r} * u1)"
+
+
+@query(
+    "WITH e AS (SELECT event_id, 800e0 AS w0, 800 * pow(2e0, event_id % 5 - 2) AS w1, (event_id % 997 + 1) * 1e0 AS u1, (event_id % 99 + 1) / 100e0 AS share FROM events), "
+    f"b AS (SELECT *, {RISE.format(sign='+', own='w0')} AS b0, {RISE.format(sign='-', own='w1')} AS b1 FROM e), r AS (SELECT *, ln(sqrt(b0*b0+1)-b0) AS r0, ln(sqrt(b1*b1+1)-b1) AS r1 FROM b), h AS (SELECT *, r0 + (r1-r0)*share AS h FROM r) "
+    f"SELECT event_id, round((r1-r0)/{FLIGHT!r}, 5) AS length, round(w0*(exp(r0)+exp(-r0))/(exp(h)+exp(-h)), 3) AS w, round(w0*((exp(r0)+exp(-r0))/2*(exp(h)-exp(-h))/(exp(h)+exp(-h)) - (exp(r0)-exp(-r0))/2)/{FLIGHT**2!r}, 3) AS u FROM h"
+)
+def flight_midpoints(spark, sf_dir):
+    """Views on the way of a flight, each event at a share of its own."""
+    w1, far = F.pow(F.lit(2.0), F.col("event_id") % 5 - 2) * 800, (F.col("event_id") % 997 + 1).cast("double")
+    made = camera.flight(F.lit(800.0), w1, far, (F.col("event_id") % 99 + 1) / F.lit(100.0))
+    return table(spark, sf_dir, "events").select("event_id", F.round(made.S, 5).alias("length"), F.round(made.w, 3).alias("w"), F.round(made.u, 3).alias("u"))
+
+
 @query(
     "WITH m AS (SELECT event_id, (event_id % 5000 + 1) * 3e0 AS m FROM events), p AS (SELECT *, pow(10, length(CAST(floor(m) AS BIGINT)::VARCHAR)-1) AS p FROM m), "
     "n AS (SELECT *, p * CASE WHEN m/p >= 10 THEN 10 WHEN m/p >= 5 THEN 5 WHEN m/p >= 3 THEN 3 WHEN m/p >= 2 THEN 2 ELSE 1 END AS n FROM p) "

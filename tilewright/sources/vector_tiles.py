@@ -7,7 +7,9 @@ import math
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,14 +135,27 @@ def drawn(data: bytes) -> list[list[tuple[int, int]]]:
     return parts
 
 
-def encode_layer(name: str, extent: int, features: list[tuple[int | None, int, dict[str, str], list]]) -> bytes:
+def value_bytes(v: object) -> bytes:
+    """A property's value as a message: text, a truth value, a whole number (negative ones zigzag), or the shorter of the two
+    kinds of floating numbers that holds it. Lists and objects become JSON text, as do whole numbers beyond 64 bits."""
+    if isinstance(v, bool):
+        return number(7, v)
+    if isinstance(v, int) and -(1 << 63) <= v < 1 << 64:
+        return number(5, v) if v >= 0 else number(6, zigzag(v))
+    if isinstance(v, float):
+        short = abs(v) < 3e38 and struct.unpack("<f", struct.pack("<f", v))[0] == v
+        return varint(2 << 3 | 5) + struct.pack("<f", v) if short else varint(3 << 3 | 1) + struct.pack("<d", v)
+    return block(1, (v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)).encode())
+
+
+def encode_layer(name: str, extent: int, features: list[tuple[int | None, int, dict[str, object], list]]) -> bytes:
     keys: dict[str, int] = {}
-    values: dict[str, int] = {}
+    values: dict[bytes, int] = {}
     body = []
     for key, kind, properties, parts in features:
-        tags = b"".join(varint(keys.setdefault(k, len(keys))) + varint(values.setdefault(v, len(values))) for k, v in properties.items() if v is not None)
+        tags = b"".join(varint(keys.setdefault(k, len(keys))) + varint(values.setdefault(value_bytes(v), len(values))) for k, v in properties.items() if v is not None)
         body.append(block(2, (number(1, key) if key is not None and key >= 0 else b"") + block(2, tags) + number(3, kind) + block(4, draw(kind, parts))))
-    return block(3, number(15, 2) + block(1, name.encode()) + b"".join(body) + b"".join(block(3, k.encode()) for k in keys) + b"".join(block(4, block(1, v.encode())) for v in values) + number(5, extent))
+    return block(3, number(15, 2) + block(1, name.encode()) + b"".join(body) + b"".join(block(3, k.encode()) for k in keys) + b"".join(block(4, v) for v in values) + number(5, extent))
 
 
 def value(data: bytes) -> str | float | int | bool | None:
@@ -201,7 +216,7 @@ def decode_layer(data: bytes) -> Iterator[tuple]:
             properties, error = {}, str(bad)
         typed = json.dumps({k: None if v != v or v in (float("inf"), -float("inf")) else v for k, v in properties.items()}, ensure_ascii=False)
         properties = {k: value_text(v) for k, v in properties.items()}
-        yield name, extent, key, kind, properties, typed, [[{"x": x, "y": y} for x, y in part] for part in parts], error
+        yield name, extent, key, kind, properties, typed, parts, error
 
 
 def read_tiles(tiles: DataFrame) -> DataFrame:
@@ -211,33 +226,64 @@ def read_tiles(tiles: DataFrame) -> DataFrame:
     Layers without a name are left out; of layers that share a name in one tile all features come. Bytes that don't
     parse give one row with `error`, or one for the feature they belong to. Null and empty data give no rows."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for z, x, y, data in batch.itertuples(index=False):
+            for z, x, y, data in zip(*[batch[c].to_pylist() for c in ("z", "x", "y", "data")], strict=True):
                 try:
                     for tag, v in fields(data or b""):
                         if tag == 3:
                             out += [(z, x, y, *feature) for feature in decode_layer(v)]
                 except ValueError as bad:
                     out.append((z, x, y, *[None] * 7, str(bad)))
-            made = pd.DataFrame(out, columns=["z", "x", "y", *[c.split()[0] for c in FEATURE.split(", ")]])
-            yield made.astype({"extent": "Int32", "id": "Int64", "kind": "Int32"})
+            columns = [*zip(*out, strict=True)] or [()] * 11
+            arrays = [pa.array(c, t) for c, t in zip((*columns[:7], *columns[7:9]), READ_TYPES, strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays, parts_array(columns[9]), pa.array(columns[10], pa.string())], ["z", "x", "y", *[c.split()[0] for c in FEATURE.split(", ")]])
+
+    return tiles.select("z", "x", "y", "data").mapInArrow(read, f"z int, x int, y int, {FEATURE}")
+
+
+READ_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string()]
 
-    return tiles.select("z", "x", "y", "data").mapInPandas(read, f"z int, x int, y int, {FEATURE}")
+
+def parts_array(features: tuple) -> pa.Array:
+    """Parts of many features as one array, from flat lists of their coordinates."""
+    parts = [part for f in features for part in f or ()]
+    flat = np.array([p for part in parts for p in part], np.int32).reshape(-1, 2)
+    points = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["x", "y"])
+    inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), points)
+    whole = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(f or ()) for f in features]]), pa.int32()), inner)
+    return whole if all(f is not None for f in features) else pc.if_else(pa.array([f is not None for f in features]), whole, pa.scalar(None, whole.type))
+
+
+def points_of(parts: pa.ListArray) -> Iterator[list[list[tuple[int, int]]]]:
+    """The parts of each feature of a batch, from the flat arrays below them."""
+    inner = parts.values
+    x, y = (inner.values.field(c).to_pylist() for c in "xy")
+    outer, ends = parts.offsets.to_pylist(), inner.offsets.to_pylist()
+    return ([[*zip(x[ends[k] : ends[k + 1]], y[ends[k] : ends[k + 1]], strict=True)] for k in range(a, b)] for a, b in zip(outer, outer[1:], strict=False))
 
 
 def write_tiles(features: DataFrame, extent: int = 4096) -> DataFrame:
-    """features (z, x, y, layer, id, kind, properties, parts) -> z, x, y, part, data. Parts have about PART features, so
-    that no tile, however full, is one task's work; polygons' rings come without their repeated first point."""
+    """features (z, x, y, layer, id, kind, parts, and properties or typed) -> z, x, y, part, data. typed: a JSON object, whose
+    numbers and truth values are written as such; else properties, a map of text. Null values are left out. Parts have
+    about PART features, so that no tile, however full, is one task's work; polygons' rings come without their repeated
+    first point."""
     size = features.groupBy("z", "x", "y").agg(F.ceil(F.count(F.lit(1)) / PART).alias("__parts"))
     dealt = features.join(size, ["z", "x", "y"]).withColumn("part", F.pmod(F.xxhash64("id", "parts"), "__parts").cast("int"))
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["z", "x", "y", "part", "data"]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+
+    def made(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [()] * 5, kinds, strict=True)], names)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, layer, held, data = None, None, [], b""
         for batch in batches:
             done = []
-            for z, x, y, part, name, key, kind, properties, parts in batch.itertuples(index=False):
+            flat = zip(*[batch[c].to_pylist() for c in ("z", "x", "y", "part", "layer", "id", "kind", "properties")], points_of(batch["parts"]), strict=True)
+            for z, x, y, part, name, key, kind, properties, parts in flat:
                 own = (z, x, y, part)
                 if held and (own != tile or name != layer):
                     data += encode_layer(layer, extent, held)
@@ -246,14 +292,16 @@ def write_tiles(features: DataFrame, extent: int = 4096) -> DataFrame:
                     done.append((*tile, data))
                     data = b""
                 tile, layer = own, name
-                held.append((None if key is None else int(key), int(kind), dict(properties or {}), [[(q["x"], q["y"]) for q in one] for one in parts]))
-            yield pd.DataFrame(done, columns=["z", "x", "y", "part", "data"])
+                told = json.loads(properties or "{}") if typed else dict(properties or ())
+                held.append((None if key is None else int(key), int(kind), told, parts))
+            yield made(done)
         if tile is not None:
-            yield pd.DataFrame([(*tile, data + encode_layer(layer, extent, held))], columns=["z", "x", "y", "part", "data"])
+            yield made([(*tile, data + encode_layer(layer, extent, held))])
 
+    typed = "typed" in features.columns
     place = ["z", "x", "y", "part"]
-    columns = dealt.select(*place, "layer", F.col("id").cast("string").alias("id"), "kind", "properties", "parts")
-    return columns.repartition(*place).sortWithinPartitions(*place, "layer", "id").mapInPandas(encode, "z int, x int, y int, part int, data binary")
+    columns = dealt.select(*place, "layer", F.col("id").cast("string").alias("id"), "kind", F.col("typed" if typed else "properties").alias("properties"), "parts")
+    return columns.repartition(*place).sortWithinPartitions(*place, "layer", "id").mapInArrow(encode, "z int, x int, y int, part int, data binary")
 
 
 def feature_box(parts: Column) -> Column:
