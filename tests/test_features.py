@@ -23,7 +23,7 @@ def line(*points):
 
 
 def test_every_query_has_sql_or_a_test():
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"simplify_lines", "clip_polygons", "cluster_levels", "tiles_retained", "symbols_placed", "icon_shelves", "throttled_calls", "lines_drawn", "cluster_tile"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"simplify_lines", "clip_polygons", "cluster_levels", "tiles_retained", "icon_shelves", "throttled_calls", "lines_drawn", "cluster_tile"}
 
 
 def test_distances_and_projections(spark):
