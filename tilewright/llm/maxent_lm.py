@@ -144,14 +144,24 @@ def log10_of(weights: np.ndarray, rows: np.ndarray, own: np.ndarray) -> np.ndarr
         z = _logits(weights, rows[k : k + BATCH])
         z -= z.max(axis=1, keepdims=True)
         mine = z[np.arange(len(z)), own[k : k + BATCH]].astype(float)
-        out[k : k + BATCH] = (mine - np.log(np.exp(z, out=z).sum(axis=1))) / np.log(10)
+        out[k : k + BATCH] = (mine - np.log(np.exp(z, out=z) @ ONES)) / np.log(10)
     return out
 
 
+#: Adds up a row's logits in one product.
+ONES = np.ones(CLASSES, np.float32)
+
+
+def _shared(rows: np.ndarray) -> bool:
+    """Whether the first feature is the same for all: the bias of the first factor."""
+    return bool((rows[:, 0] == rows[0, 0]).all())
+
+
 def _logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
+    z = weights[rows[:, 1]]
+    for k in range(2, rows.shape[1]):
         z += weights[rows[:, k]]
+    z += weights[rows[0, 0]] if _shared(rows) else weights[rows[:, 0]]
     return z
 
 
@@ -164,8 +174,16 @@ def summed(z: np.ndarray, of: np.ndarray, first: np.ndarray) -> np.ndarray:
         at = np.flatnonzero((length > k) & (length <= SHORT))
         out[at] += z[of[first[at] + k]]
     long = np.flatnonzero(length > SHORT)
-    if len(long):
-        out[long] = np.add.reduceat(z[of[spans(first[long], length[long])]], np.cumsum(length[long]) - length[long], axis=0)
+    if len(long):  # eights of rows at once, then what is left of each run
+        eights = -(-length[long] // 8)
+        ends = np.cumsum(eights)
+        padded = np.full(8 * ends[-1], len(z), np.int64)  # no row
+        padded[spans(8 * (ends - eights), length[long])] = of[spans(first[long], length[long])]
+        rows = np.concatenate([z, np.zeros((1, z.shape[1]), z.dtype)])
+        part = rows[padded[0::8]]
+        for k in range(1, 8):
+            part += rows[padded[k::8]]
+        out[long] = np.add.reduceat(part, ends - eights, axis=0)
     return out
 
 
@@ -182,18 +200,22 @@ class Learner:
             z = _logits(self.weights, r)
             z -= z.max(axis=1, keepdims=True)
             np.exp(z, out=z)
-            z /= z.sum(axis=1, keepdims=True)
+            z /= (z @ ONES)[:, None]
             z[np.arange(len(y)), y] -= 1
+            if _shared(r):
+                self._move(r[:1, 0], z.sum(axis=0, keepdims=True), len(r))
+                r = r[:, 1:]
             flat = r.ravel()
             order = np.argsort(flat, kind="stable")
             flat = flat[order]
             first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-            gradient, times = summed(z, order // r.shape[1], first), np.diff(np.r_[first, len(flat)])
-            at = flat[first]
-            self.square[at] += np.einsum("ij,ij->i", gradient, gradient) * (4 / gradient.shape[1])
-            gradient *= (self.step / np.sqrt(self.square[at]))[:, None]
-            self.weights[at] -= gradient
-            self.seen[at] += times
+            self._move(flat[first], summed(z, order // r.shape[1], first), np.diff(np.r_[first, len(flat)]))
+
+    def _move(self, at: np.ndarray, gradient: np.ndarray, times: np.ndarray | int) -> None:
+        self.square[at] += np.einsum("ij,ij->i", gradient, gradient) * (4 / gradient.shape[1])
+        gradient *= (self.step / np.sqrt(self.square[at]))[:, None]
+        self.weights[at] -= gradient
+        self.seen[at] += times
 
 
 def cluster_endings(near: np.ndarray) -> np.ndarray:
