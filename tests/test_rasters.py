@@ -110,3 +110,21 @@ def test_tiles_keep_kinds_of_properties(spark):
     assert [[tuple(p) for p in part] for part in got["l", 2].parts] == [[(0, 0), (5, 5)], [(1, 1), (2, 2)]] and got["l", 2].properties == {}
     assert got["m", None].parts == [] and all(r.error is None for r in got.values())
     assert len(vector_tiles.value_bytes(0.5)) == 5 and len(vector_tiles.value_bytes(0.1)) == 9 and struct.unpack("<f", vector_tiles.value_bytes(0.5)[1:])[0] == 0.5
+
+
+def test_collections_within_collections_are_opened(spark):
+    import json
+
+    from tilewright.sources import geojson
+
+    point = lambda x: {"type": "Point", "coordinates": [x, 0]}
+    deep = {"type": "GeometryCollection", "geometries": [point(9)]}
+    for k in range(10):
+        deep = {"type": "GeometryCollection", "geometries": [point(k), deep, {"type": "LineString", "coordinates": [[k, 0], [1, 1]]}]}
+    docs = [json.dumps({"type": "Feature", "id": "a", "properties": {"p": 1}, "geometry": deep}), json.dumps(deep), json.dumps({"type": "GeometryCollection", "geometries": []}), json.dumps(point(3))]
+    got = geojson.read_features(spark.createDataFrame([(k, d) for k, d in enumerate(docs)], "k int, doc string"), "doc").collect()
+    of = {k: [r for r in got if r.k == k] for k in range(4)}
+    want = sorted(["[9,0]", *[f"[{k},0]" for k in range(10)], *[f"[[{k},0],[1,1]]" for k in range(10)]])
+    for k in (0, 1):
+        assert sorted(r.coordinates.replace(" ", "") for r in of[k]) == want and {r.kind for r in of[k]} == {1, 2}
+    assert {r.id for r in of[0]} == {"a"} and of[2] == [] and [r.geometry_type for r in of[3]] == ["Point"]

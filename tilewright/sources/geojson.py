@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tilewright.functions import geo, geometry
 
 GEOMETRY = "type:string,coordinates:string"
-NESTED = f"{GEOMETRY},geometries:array<struct<{GEOMETRY}>>"
+NESTED = f"{GEOMETRY},geometries:array<string>"
+#: Collections within collections that are opened.
+DEPTH = 12
 FEATURE = f"type:string,id:string,properties:map<string,string>,geometry:struct<{NESTED}>"
 KINDS = {"Point": 1, "MultiPoint": 1, "LineString": 2, "MultiLineString": 2, "Polygon": 3, "MultiPolygon": 3}
 XYZ = "array<double>"
@@ -18,13 +20,22 @@ def _feature(kind: Column, feature_id: Column, properties: Column, geometry: Col
     return F.struct(kind.alias("type"), feature_id.alias("id"), properties.alias("properties"), geometry.alias("geometry"))
 
 
+def _opened(members: Column) -> Column:
+    """Geometries (JSON) with those of collections among them in their place, at any depth up to DEPTH; in order."""
+    nested = lambda g: F.coalesce(F.get_json_object(g, "$.type") == "GeometryCollection", F.lit(False))
+    inner = lambda g: F.coalesce(F.from_json(F.get_json_object(g, "$.geometries"), "array<string>"), F.array().cast("array<string>"))
+    for _ in range(DEPTH):
+        members = F.flatten(F.transform(members, lambda g: F.when(nested(g), inner(g)).otherwise(F.array(g))))
+    return F.transform(members, lambda g: F.from_json(g, f"struct<{GEOMETRY}>"))
+
+
 def read_features(docs: DataFrame, column: str, strict: bool = False) -> DataFrame:
     """One row per geometry of a FeatureCollection, a Feature, a bare geometry or an array of features: the other columns
-    of docs, then id, properties, geometry_type, coordinates (as JSON) and kind. The members of a GeometryCollection
-    come each by itself with the feature's id and properties. Features without geometry and what is no GeoJSON give no
+    of docs, then id, properties, geometry_type, coordinates (as JSON) and kind. The members of a GeometryCollection,
+    and of collections within it, come each by itself with the feature's id and properties. Features without geometry and what is no GeoJSON give no
     row; with `strict` a geometry of an unknown type stops the job, else it has no kind."""
     none = F.lit(None).cast("string")
-    g = F.from_json(column, f"type string, features array<struct<{FEATURE}>>, id string, properties map<string,string>, geometry struct<{NESTED}>, coordinates string, geometries array<struct<{GEOMETRY}>>")
+    g = F.from_json(column, f"type string, features array<struct<{FEATURE}>>, id string, properties map<string,string>, geometry struct<{NESTED}>, coordinates string, geometries array<string>")
     listed = F.from_json(column, f"array<struct<{FEATURE}>>")
     parsed = docs.withColumns({"__g": g, "__l": F.when(F.trim(column).startswith("["), listed)})
     g = F.col("__g")
@@ -35,7 +46,7 @@ def read_features(docs: DataFrame, column: str, strict: bool = False) -> DataFra
     )
     each = parsed.withColumn("__f", F.explode(several)).where("__f.geometry IS NOT NULL")
     inner = F.col("__f.geometry")
-    members = F.when(inner.geometries.isNotNull(), inner.geometries).otherwise(F.array(F.struct(inner.type.alias("type"), inner.coordinates.alias("coordinates"))))
+    members = F.when(inner.geometries.isNotNull(), _opened(inner.geometries)).otherwise(F.array(F.struct(inner.type.alias("type"), inner.coordinates.alias("coordinates"))))
     each = each.withColumn("__m", F.explode(members))
     kind = F.element_at(F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair]), F.col("__m.type"))
     if strict:
