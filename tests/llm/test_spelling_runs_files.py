@@ -235,6 +235,12 @@ def test_token_files_of_nothing(spark, empty):
     assert files.collect() == [] and token_files.read_token_files(files).collect() == []
 
 
+def test_equal_rows_go_to_several_files(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 3000, "one text many times").otherwise(F.col("id").cast("string")).alias("text"))
+    files = token_files.write_token_files(rows.repartition(4), WORDS, file_bytes=8_000).collect()
+    assert len(files) >= 6 and max(f["n_documents"] for f in files) < 1500 and sum(f["n_documents"] for f in files) == 4000
+
+
 def test_starts_of_many_files(spark):
     sizes = [(p, (p * 37) % 11) for p in range(50)]
     got = {r["part"]: r["start"] for r in token_files.with_starts(spark.createDataFrame(sizes, "part long, n_ids long"), together=8).collect()}

@@ -202,7 +202,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     folder = new_folder(spark, "token-files")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    order = [F.col("id").asc_nulls_first(), F.col("tie")]
+    order = [F.col("id").asc_nulls_first(), F.col("tie"), F.col("row")]  # row: many equal rows go to several files
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
@@ -236,7 +236,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         if documents:
             yield pa.RecordBatch.from_pylist([{"folder": folder, "file": name, "part": context.partitionId(), "n_documents": documents, "n_ids": n_ids, "stored_bytes": size}])
 
-    parts = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(max(1, -(-total // file_bytes)), *order).sortWithinPartitions(*order)
+    parts = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(max(1, -(-total // file_bytes)), *order).sortWithinPartitions(*order)
     return stored(parts.select("id", "text").mapInArrow(write, FILE), "token-index")
 
 
