@@ -143,7 +143,7 @@ def stream_feature_state(spark, sf_dir):
     changes = e.select(F.col("user_id").cast("string").alias("feature"), F.col("event_type").alias("name"), F.when(F.col("event_type") != "error", F.col("value")).cast("string").alias("value"), "event_id", (F.col("event_id") * 7919 % 10_007).alias("arrival"))
     states = stateful.drained(stateful.feature_states(stateful.replayed(changes, "arrival", 3), "feature", "name", "value", "event_id"), "update")
     last = states.groupBy("feature").agg(F.max_by("state", "batch").alias("state"))
-    return last.select(F.col("feature").cast("int").alias("user_id"), F.explode("state").alias("name", "value")).select("user_id", "name", F.round(F.col("value").cast("double"), 4).alias("value"))
+    return last.select(F.col("feature").cast("long").alias("user_id"), F.explode("state").alias("name", "value")).select("user_id", "name", F.round(F.col("value").cast("double"), 4).alias("value"))
 
 
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, count(*) OVER w AS n, sum(event_id % 50) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id DESC ROWS UNBOUNDED PRECEDING)) WHERE n <= 20 AND b <= 400")
@@ -152,7 +152,7 @@ def stream_cache(spark, sf_dir):
     puts = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("cache"), F.col("event_id").cast("string").alias("key"), F.col("event_id").alias("added"), (F.col("event_id") % 50).alias("bytes"))
     changes = stateful.drained(stateful.cache_changes(stateful.replayed(puts, "added", 3), "cache", "key", "added", "bytes", 20, 400))
     left = changes.groupBy("cache", "key").agg(F.max_by("change", "batch").alias("change")).where("change = 'put'")
-    return left.select(F.col("cache").cast("int").alias("user_id"), F.col("key").cast("long").alias("event_id"))
+    return left.select(F.col("cache").cast("long").alias("user_id"), F.col("key").cast("long").alias("event_id"))
 
 
 @query(
@@ -165,7 +165,7 @@ def stream_asked_once(spark, sf_dir):
     last = asked.agg(F.lit("end").alias("url"), (F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"))
     stream = stateful.replayed(asked.union(last), "ts", 3)
     made = stateful.drained(stateful.asked_once_stream(stream, "url", "ts", 6 * 3_600_000)).where("url <> 'end'")
-    return made.select(F.col("url").cast("int").alias("user_id"), F.unix_micros("ts").alias("at"))
+    return made.select(F.col("url").cast("long").alias("user_id"), F.unix_micros("ts").alias("at"))
 
 
 @query(f"SELECT s_suppkey AS a, id AS b FROM (SELECT s_suppkey, s_suppkey * 7919 % 3900 AS qx, s_suppkey * 104729 % 3900 AS qy FROM supplier) JOIN ({BOXES}) ON minx <= qx + 150 AND maxx >= qx AND miny <= qy + 150 AND maxy >= qy WHERE id % 5 <> 2")

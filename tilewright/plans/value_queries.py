@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tilewright.functions import camera, geo, geometry, text
+from tilewright.functions import camera, geo, geometry, text, view
 from tilewright.sources.views import BOXES, EV, LINES, event_points, order_lines, part_boxes, table
 
 QUERIES, ORACLES = {}, {}
@@ -194,3 +194,45 @@ def quantile_statistics(spark, sf_dir):
     p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
     made = table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value").alias("mean"), p.alias("p"), F.count(F.lit(1)).alias("n"))
     return made.select("event_type", F.round("mean", 6).alias("mean"), *[F.round(F.col("p")[k], 6).alias(n) for k, n in enumerate(("p50", "p95", "p99"))], "n")
+
+
+#: World pixels of zoom 4 in SQL: of a place, and of the view's centre at 10 north, 20 east.
+PIXEL = "({lng}/360e0+0.5)*4096 AS {x}, (0.5-ln((1+sin(radians({lat})))/(1-sin(radians({lat}))))/(4*pi()))*4096 AS {y}"
+CONTAINER = (
+    f"WITH p AS (SELECT event_id, {PIXEL.format(lng='lng', lat='lat', x='px', y='py')}, {PIXEL.format(lng='20e0', lat='10e0', x='cx', y='cy')}, event_id % 7 - 3 AS dx, event_id % 5 - 2 AS dy FROM ({EV})), "
+    "o AS (SELECT *, floor(cx-400+dx+0.5) AS ox, floor(cy-300+dy+0.5) AS oy FROM p), l AS (SELECT *, floor(px+0.5)-ox AS lx, floor(py+0.5)-oy AS ly FROM o) "
+)
+
+
+@query(CONTAINER + "SELECT event_id, lx AS layer_x, ly AS layer_y, lx+dx AS x, ly+dy AS y, ox-dx AS west_edge, oy-dy+600 AS south_edge FROM l")
+def container_points(spark, sf_dir):
+    """Events on the layers' plane and in the container of a view whose pane each has dragged."""
+    e = F.col("event_id")
+    pane = F.struct((e % 7 - 3).cast("double").alias("x"), (e % 5 - 2).cast("double").alias("y"))
+    v = view.View(F.lit(10.0), F.lit(20.0), F.lit(4), 800, 600, pane)
+    at, seen, box = v.to_layer(F.col("lat"), F.col("lng")), v.to_container(F.col("lat"), F.col("lng")), v.pixel_bounds()
+    return event_points(spark, sf_dir).select("event_id", *[c.cast("double").alias(n) for c, n in ((at.x, "layer_x"), (at.y, "layer_y"), (seen.x, "x"), (seen.y, "y"), (box.minx, "west_edge"), (box.maxy, "south_edge"))])
+
+
+@query(
+    f"WITH p AS (SELECT event_id, event_id % 800 * 1e0 AS x, event_id % 600 * 1e0 AS y, event_id % 360 * 1e0 AS turn, {PIXEL.format(lng='20e0', lat='10e0', x='cx', y='cy')} FROM events), "
+    "o AS (SELECT *, floor(cx-400+0.5) AS ox, floor(cy-300+0.5) AS oy, x-400 AS dx, y-300 AS dy FROM p), "
+    "w AS (SELECT event_id, 400+dx*cos(radians(turn))+dy*sin(radians(turn))+ox AS wx, 300-dx*sin(radians(turn))+dy*cos(radians(turn))+oy AS wy FROM o) "
+    "SELECT event_id, round((wx/4096-0.5)*360, 5) AS lng, round(degrees(2*atan(exp((0.5-wy/4096)*2*pi()))-pi()/2), 5) AS lat FROM w"
+)
+def container_places(spark, sf_dir):
+    """What is seen at a point of the container of a view that each event has turned."""
+    e = F.col("event_id")
+    v = view.View(F.lit(10.0), F.lit(20.0), F.lit(4), 800, 600, bearing=(e % 360).cast("double"))
+    lat, lng = v.from_container(F.struct((e % 800).cast("double").alias("x"), (e % 600).cast("double").alias("y")))
+    return table(spark, sf_dir, "events").select("event_id", F.round(lng, 5).alias("lng"), F.round(lat, 5).alias("lat"))
+
+
+@query("SELECT event_id, 0e0 AS minx, 0e0 AS miny, 256 * pow(2e0, event_id % 20) AS maxx, 256 * pow(2e0, event_id % 20) AS maxy, 0.5 * 256 * pow(2e0, event_id % 20) AS middle FROM events")
+def world_pixels(spark, sf_dir):
+    """The whole world in pixels of each event's zoom, and the middle of that of the other axes' projection."""
+    zoom = F.col("event_id") % 20
+    whole, flat = view.projected_bounds(geo.EPSG3857, zoom), view.projected_bounds(geo.EPSG4326, zoom)
+    side = F.pow(F.lit(2.0), zoom) * 256
+    near = lambda x: F.when(F.abs(x) < 1e-6 * side, 0.0).otherwise(F.round(x, 3))
+    return table(spark, sf_dir, "events").select("event_id", *[near(whole[c]).alias(c) for c in ("minx", "miny", "maxx", "maxy")], F.round((flat.miny + flat.maxy) / 2, 3).alias("middle"))
