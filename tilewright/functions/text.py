@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,31 +56,41 @@ def flattened_rings(rings: Column) -> Column:
     return F.struct(coordinates.alias("vertices"), F.slice(sums.starts, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0))).alias("holes"))
 
 
+def _decoded(texts: pa.Array, precision: int) -> pa.ListArray:
+    """Each text's points, all texts at once."""
+    n, texts = len(texts), texts.fill_null("")
+    codes = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64) - 63
+    row = np.repeat(np.arange(n), pc.utf8_length(texts).to_numpy())[codes >= 0]
+    codes = codes[codes >= 0]
+    ends = codes < 32
+    starts = np.flatnonzero(np.r_[True, ends[:-1] | (row[1:] != row[:-1])][: len(codes)])
+    sizes = np.diff(np.r_[starts, len(codes)])
+    place = np.arange(len(codes)) - np.repeat(starts, sizes)
+    bits = (codes & 31) << (place * 5 % 64)
+    whole = ends[starts + sizes - 1]  # a text may break off within a number
+    numbers, of = (np.bitwise_or.reduceat(bits, starts) if len(starts) else bits)[whole], row[starts][whole]
+    numbers = (numbers >> 1) ^ -(numbers & 1)
+    counts = np.bincount(of, minlength=n)
+    pairs, first = counts // 2, np.r_[0, np.cumsum(counts)[:-1]][:n]
+    numbers = numbers[np.arange(len(numbers)) - first[of] < 2 * pairs[of]].reshape(-1, 2)
+    offsets = np.r_[0, np.cumsum(pairs)]
+    walked = np.vstack([np.zeros((1, 2), np.int64), np.cumsum(numbers, axis=0)])
+    lat, lng = ((walked[1:] - np.repeat(walked[offsets[:-1]], pairs, axis=0)) / 10.0**precision).T
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(lng), pa.array(lat)], ["x", "y"]))
+
+
+def decoded_polylines(encoded: Column, precision: int = 5) -> Column:
+    """The points (x: longitude, y: latitude) of each of an array of encoded polylines: numbers of five bits a character,
+    the least first, each added to the one before; null gives none."""
+
+    @F.arrow_udf(f"array<{POINTS}>")
+    def decoded(lists: pa.Array) -> pa.Array:
+        sizes = pc.list_value_length(lists).fill_null(0).to_numpy()
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), _decoded(lists.flatten(), precision), mask=lists.is_null())
+
+    return decoded(encoded)
+
+
 def decoded_polyline(encoded: Column, precision: int = 5) -> Column:
-    """The points (x: longitude, y: latitude) of an encoded polyline: numbers of five bits a character, the least first,
-    each added to the one before; null gives none."""
-    codes = F.transform(F.split(F.coalesce(encoded, F.lit("")), ""), lambda c: F.ascii(c) - 63)
-    start = F.struct(F.lit(0).alias("shift"), F.lit(0).cast("long").alias("bits"), F.array().cast("array<long>").alias("numbers"))
-
-    def take(s: Column, c: Column) -> Column:
-        bits = s.bits.bitwiseOR(F.call_function("shiftleft", c.bitwiseAND(F.lit(31)).cast("long"), s["shift"]))
-        half = F.shiftright(bits, 1)
-        whole = F.when(bits.bitwiseAND(F.lit(1)) == 1, -half - 1).otherwise(half)
-        last = c < 32
-        return F.struct(
-            F.when(last, 0).otherwise(s["shift"] + 5).alias("shift"), F.when(last, F.lit(0).cast("long")).otherwise(bits).alias("bits"), F.when(last, F.concat(s.numbers, F.array(whole))).otherwise(s.numbers).alias("numbers")
-        )
-
-    numbers = F.aggregate(F.filter(codes, lambda c: c >= 0), start, take, lambda s: s.numbers)
-    steps = F.transform(F.sequence(F.lit(0), (F.size(numbers) / 2).cast("int") - 1), lambda k: F.struct(F.get(numbers, k * 2).alias("lat"), F.get(numbers, k * 2 + 1).alias("lng")))
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).cast("long").alias("lat"), F.lit(0).cast("long").alias("lng"), F.array().cast(POINTS).alias("points")),
-        lambda s, d: F.struct(
-            (s.lat + d.lat).alias("lat"),
-            (s.lng + d.lng).alias("lng"),
-            F.concat(s.points, F.array(F.struct(((s.lng + d.lng) / 10.0**precision).alias("x"), ((s.lat + d.lat) / 10.0**precision).alias("y")))).alias("points"),
-        ),
-        lambda s: s.points,
-    )
-    return F.when(F.size(numbers) >= 2, walked).otherwise(F.array().cast(POINTS))
+    """The same of one polyline."""
+    return F.get(decoded_polylines(F.array(encoded), precision), F.lit(0))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.geometry import POINTS
-from tilewright.functions.text import decoded_polyline, strip_html
+from tilewright.functions.text import decoded_polylines, strip_html
 
 BOX = "array<double>"
 NO_POINTS = lambda: F.array().cast(POINTS)
@@ -144,9 +144,11 @@ def _leg(distance: Column, duration: Column, geometry: Column, steps: Column) ->
 
 
 def _routes(rows: DataFrame, distance: Column, duration: Column, geometry: Column, steps: Column, legs: Column | None = None) -> DataFrame:
-    keys = [c for c in rows.columns if c != "__i"]
+    """geometry may be made of the column `steps`, geometry and steps of `legs`: a column that is read twice is made once."""
+    keys = [c for c in rows.columns if c not in ("__i", "__steps", "__lines")]
     own = F.lit(None) if legs is None else legs
-    return rows.select(*keys, distance.alias("distance"), duration.alias("duration"), geometry.alias("geometry"), steps.alias("steps"), own.cast(LEGS).alias("legs"))
+    made = rows.withColumn("legs", own.cast(LEGS)).withColumn("steps", steps)
+    return made.select(*keys, distance.alias("distance"), duration.alias("duration"), geometry.alias("geometry"), "steps", "legs")
 
 
 def _all(legs: Column, of: Callable[[Column], Column]) -> Column:
@@ -172,7 +174,7 @@ def osrm_routes(answers: DataFrame, column: str) -> DataFrame:
         return _leg(leg.distance, leg.duration, F.flatten(F.transform(own, lambda s: s.geometry)), own)
 
     legs = F.transform(F.coalesce(i.legs, F.array()), one)
-    return _routes(rows, i.distance, i.duration, _line(i.geometry.coordinates), F.flatten(F.transform(legs, lambda leg: leg.steps)), legs)
+    return _routes(rows, i.distance, i.duration, _line(i.geometry.coordinates), F.flatten(F.transform("legs", lambda leg: leg.steps)), legs)
 
 
 def valhalla_routes(answers: DataFrame, column: str) -> DataFrame:
@@ -181,7 +183,8 @@ def valhalla_routes(answers: DataFrame, column: str) -> DataFrame:
     trip = f"struct<summary:struct<length:double,time:double>,legs:array<struct<summary:struct<length:double,time:double>,shape:string,maneuvers:array<{move}>>>>"
     rows = _rows(answers, column, f"trip {trip}, alternates array<struct<trip:{trip}>>", lambda a: F.filter(F.concat(F.array(a.trip), F.coalesce(F.transform(a.alternates, lambda x: x.trip), F.array().cast(f"array<{trip}>"))), lambda t: t.isNotNull()))
     i, zero = F.col("__i"), F.lit(0.0)
-    legs = F.transform(i.legs, lambda leg: F.struct(leg.summary.alias("summary"), decoded_polyline(leg["shape"], 6).alias("shape"), leg.maneuvers.alias("moves")))
+    rows = rows.withColumn("__lines", decoded_polylines(F.transform(i.legs, lambda leg: leg["shape"]), 6))
+    legs = F.transform(i.legs, lambda leg, k: F.struct(leg.summary.alias("summary"), F.get("__lines", k).alias("shape"), leg.maneuvers.alias("moves")))
 
     def told(leg: Column) -> Column:
         def one(m: Column) -> Column:
@@ -192,7 +195,7 @@ def valhalla_routes(answers: DataFrame, column: str) -> DataFrame:
         return F.coalesce(F.transform(leg.moves, one), F.array().cast(f"array<{STEP}>"))
 
     whole = F.transform(F.coalesce(legs, F.array()), lambda leg: _leg(F.coalesce(leg.summary.length, zero) * 1000, F.coalesce(leg.summary.time, zero), F.coalesce(leg["shape"], NO_POINTS()), told(leg)))
-    return _routes(rows, F.coalesce(i.summary.length, zero) * 1000, F.coalesce(i.summary.time, zero), _all(legs, lambda leg: leg["shape"]), _all(legs, told), whole)
+    return _routes(rows, F.coalesce(i.summary.length, zero) * 1000, F.coalesce(i.summary.time, zero), F.flatten(F.transform("legs", lambda leg: leg.geometry)), F.flatten(F.transform("legs", lambda leg: leg.steps)), whole)
 
 
 def google_routes(answers: DataFrame, column: str) -> DataFrame:
@@ -201,10 +204,13 @@ def google_routes(answers: DataFrame, column: str) -> DataFrame:
     step = f"struct<distance:{n},duration:{n},html_instructions:string,maneuver:string,polyline:{shape}>"
     rows = _rows(answers, column, f"status string, routes array<struct<overview_polyline:{shape},legs:array<struct<distance:{n},duration:{n},steps:array<{step}>>>>>", lambda a: F.when(a.status.isin("OK", "ZERO_RESULTS"), a.routes))
     i, zero = F.col("__i"), F.lit(0.0)
-    told = lambda s: _step(F.coalesce(s.distance.value, zero), F.coalesce(s.duration.value, zero), strip_html(s.html_instructions), s.maneuver, decoded_polyline(s.polyline.points))
-    steps = _all(i.legs, lambda leg: F.transform(leg.steps, told))
+    rows = rows.withColumn("__steps", _all(i.legs, lambda leg: leg.steps))
+    shapes = F.concat(F.array(i.overview_polyline.points), F.coalesce(F.transform("__steps", lambda s: s.polyline.points), F.array()))
+    rows = rows.withColumn("__lines", decoded_polylines(shapes))
+    told = lambda s, k: _step(F.coalesce(s.distance.value, zero), F.coalesce(s.duration.value, zero), strip_html(s.html_instructions), s.maneuver, F.get("__lines", k + 1))
+    steps = F.transform("__steps", told)
     total = lambda of: F.aggregate(F.coalesce(i.legs, F.array()), zero, lambda s, leg: s + F.coalesce(of(leg), zero))
-    geometry = F.when(i.overview_polyline.isNotNull(), decoded_polyline(i.overview_polyline.points)).otherwise(F.flatten(F.transform(steps, lambda s: s.geometry)))
+    geometry = F.when(i.overview_polyline.isNotNull(), F.get("__lines", F.lit(0))).otherwise(F.flatten(F.transform("steps", lambda s: s.geometry)))
     return _routes(rows, total(lambda leg: leg.distance.value), total(lambda leg: leg.duration.value), geometry, steps)
 
 
