@@ -1,5 +1,6 @@
 """Work grows with the input: rows of a size that a step of quadratic work would not finish, against plain versions."""
 
+import math
 import random
 import time
 
@@ -7,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.functions import text
+from tilewright.functions.expressions import Scope, evaluate
 from tilewright.sources import services
+from tilewright.streaming import events
 
 
 def encoded(points, precision=5):
@@ -44,3 +47,48 @@ def test_a_long_route_is_decoded_once(spark):
     [r] = services.google_routes(answers, "a").collect()
     assert time.monotonic() - began < 30
     assert [len(s.geometry) for s in r.steps] == [3000, 3000] and len(r.geometry) == 6000 and r.geometry[-1].x == 29.99
+
+
+def test_the_first_stop_is_handed_on_as_it_stands(spark):
+    rows = spark.createDataFrame([(0.0,), (-1.0,), (50.0,), (100.0,)], "value double")
+    color = evaluate(["interpolate", ["linear"], ["get", "value"], 0, "black", 100, "white"], Scope.of(rows, ["value"]))
+    assert [r.v for r in rows.select(color.alias("v")).collect()] == ["black", "black", "rgba(128,128,128,1)", "white"]
+
+
+def hit_pairs(places, features):
+    """By distances in Python: (x, y), (id, kind, parts, width, radius)."""
+
+    def off(x, y, a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        t = max(0, min(1, ((x - a[0]) * dx + (y - a[1]) * dy) / (dx * dx + dy * dy))) if dx or dy else 0
+        return math.hypot(x - a[0] - t * dx, y - a[1] - t * dy)
+
+    def odd(x, y, parts):
+        sides = [(v[k - 1], v[k]) for v in parts for k in range(len(v))]
+        return sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in sides) % 2
+
+    for x, y in places:
+        for k, kind, parts, width, radius in features:
+            pairs = [(a, b) for v in parts for a, b in zip(v, v[1:], strict=False)]
+            if (kind == 1 and any(math.hypot(p[0] - x, p[1] - y) <= radius + 2 for v in parts for p in v)) or (kind == 2 and any(off(x, y, a, b) <= width / 2 + 4 for a, b in pairs)) or (kind == 3 and odd(x, y, parts)):
+                yield x, y, k
+
+
+def test_hits_of_pieces_count_once_and_cells_hold_few_candidates(spark):
+    rng = random.Random(11)
+    walk = lambda n, step: [(x := rng.uniform(0, 400), y := rng.uniform(0, 400))] + [(x := x + rng.uniform(-step, step), y := y + rng.uniform(-step, step)) for _ in range(n - 1)]  # noqa: E731, F841
+    features = [(k, k % 3 + 1, [walk(k % 7 + (k % 3 == 2) * 3, 90) for _ in range(k % 4)], float(k % 9), float(k % 5)) for k in range(60)]
+    features += [(60, 2, [[(5.0, 5.0)]], 1.0, 4.0), (61, 2, [[(0.0, 0.0), (0.0, 0.0), (300.0, 300.0), (0.0, 0.0)]], 1.0, 4.0), (62, 3, [[]], 1.0, 4.0), features[4], (63, 9, [[(5.0, 5.0)]], 1.0, 4.0)]
+    places = [(rng.uniform(-50, 450), rng.uniform(-50, 450)) for _ in range(300)] + [(5.0, 5.0), (0.0, 0.0)]
+    rows = [(k, kind, [[{"x": x, "y": y} for x, y in v] for v in parts], w, r) for k, kind, parts, w, r in features]
+    shapes = spark.createDataFrame(rows, "id long, kind int, parts array<array<struct<x:double,y:double>>>, width double, radius double")
+    spots = spark.createDataFrame([(k, *p) for k, p in enumerate(places)], "event_id long, x double, y double")
+    want = sorted(hit_pairs(places, features))
+    assert sorted(map(tuple, events.hit_features(spots, shapes).select("x", "y", "id").collect())) == want and len(want) > 200
+    told = {r.event_id: (r.n_hits, r.features) for r in events.with_hits(spots, shapes, most=2).collect()}
+    assert told == {e: (len(ids), ids[:2]) for e, p in enumerate(places) if (ids := sorted(k for x, y, k in want if (x, y) == p))}
+
+
+def test_a_line_meets_the_cells_along_it_alone(spark):
+    line = spark.createDataFrame([(1, 2, [[{"x": 0.0, "y": 0.0}, {"x": 6400.0, "y": 6400.0}]])], "id long, kind int, parts array<array<struct<x:double,y:double>>>")
+    assert events._pieces(line, 64.0, ["id"]).count() < 500  # its box has ten thousand

@@ -664,7 +664,7 @@ def _interpolate(args: list, scope: Scope) -> Value:
     given = lower(args[1], scope)
     x = curve_input(given)
     at, values = stops_of("interpolate", args[2:], scope)
-    choices = [(x.isNull() | (x < at[0]), values[0])]
+    choices = [(x.isNull() | (x <= at[0]), values[0])]
     for k in range(len(at) - 1):
         choices.append((x < at[k + 1], blended(values[k], values[k + 1], curve_share(args[0], at[k], at[k + 1], x))))
     return take(choices, values[-1], given.failed)
