@@ -13,7 +13,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from tilewright.functions import geo, geometry
-from tilewright.operators import spatial
 from tilewright.operators.shared import done_with, written
 
 
@@ -50,34 +49,57 @@ def dispatched(events: DataFrame, listeners: DataFrame, parents: DataFrame | Non
     return kept.drop("__first")
 
 
+def _pieces(features: DataFrame, cell: float, keep: list[str]) -> DataFrame:
+    """A row for each cell (__i, __j) and each piece of a feature that reaches into it: a segment __a to __b of a line, a
+    point as a segment without length, a polygon whole, with the corners of its box. __before: the feature's pieces that
+    come first."""
+    width, radius = (F.coalesce(F.col(c), F.lit(v)) if c in features.columns else F.lit(v) for c, v in (("width", 1.0), ("radius", 4.0)))
+    reach = F.when(F.col("kind") == 1, radius + 2).when(F.col("kind") == 2, width / 2 + 4).otherwise(0.0)
+    own = lambda p: F.struct(p.x.cast("double").alias("x"), p.y.cast("double").alias("y"))
+    piece = lambda a, b: F.struct(own(a).alias("a"), own(b).alias("b"))
+    box = geometry.bounds(F.flatten("parts"))
+    edges = F.flatten(F.transform("parts", lambda v: F.when(F.size(v) > 1, F.transform(geometry.edges(v), lambda e: piece(e.a, e.b))).otherwise(F.array())))
+    corners = F.array(F.struct(F.struct(box.minx.cast("double").alias("x"), box.miny.cast("double").alias("y")).alias("a"), F.struct(box.maxx.cast("double").alias("x"), box.maxy.cast("double").alias("y")).alias("b")))
+    pieces = F.when(F.col("kind") == 1, F.transform(F.flatten("parts"), lambda p: piece(p, p))).when(F.col("kind") == 2, edges).when(F.col("kind") == 3, corners)
+    tasks = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small file is a single task's
+    drawn = features.repartition(tasks, *keep).select(*keep, F.col("kind").alias("__kind"), F.when(F.col("kind") == 3, F.col("parts")).alias("__parts"), reach.alias("__reach"), pieces.alias("__pieces"))
+    each = drawn.select("*", F.posexplode("__pieces").alias("__k", "__p"))
+    before = F.when(F.col("__k") > 0, F.slice("__pieces", F.lit(1), F.col("__k"))).otherwise(F.array())
+    rest = [c for c in drawn.columns if c != "__pieces"]
+    each = each.select(*rest, F.col("__p.a").alias("__a"), F.col("__p.b").alias("__b"), before.alias("__before"))
+    at = lambda v: F.floor(v / cell).cast("long")
+    r, a, b = F.col("__reach"), F.col("__a"), F.col("__b")
+    columns, rows = (F.sequence(at(F.least(a[c], b[c]) - r), at(F.greatest(a[c], b[c]) + r)) for c in "xy")
+    celled = each.where(a.x.isNotNull() & a.y.isNotNull() & b.x.isNotNull() & b.y.isNotNull()).withColumn("__i", F.explode(columns)).withColumn("__j", F.explode(rows))
+    x, y = (F.col("__i") + 0.5) * cell, (F.col("__j") + 0.5) * cell
+    return celled.where((F.col("__kind") == 3) | (geometry.distance_to_segment(x, y, a, b) <= r + cell * 0.7072))  # half a cell's diagonal and a little
+
+
 def hit_features(places: DataFrame, features: DataFrame, cell: float = 64.0, keep: list[str] | None = None) -> DataFrame:
     """places (x, y, ...), a table or a stream, with each feature that they hit: `keep` of the features' columns (id).
     features: id, kind (1 point, 2 line, 3 polygon), parts (arrays of points), width and radius where they have them. A
     polygon is hit inside, a line within half its width and 4 units, a point within its radius and 2 units. Both sides
-    meet on cells of a grid: a place in its own, a feature in all that its box with its reach meets, so a pair meets
-    once, and only pairs of a cell are measured."""
-    width, radius = (F.coalesce(F.col(c), F.lit(v)) if c in features.columns else F.lit(v) for c, v in (("width", 1.0), ("radius", 4.0)))
-    reach = F.when(F.col("kind") == 1, radius + 2).when(F.col("kind") == 2, width / 2 + 4).otherwise(0.0)
-    box = geometry.bounds(F.flatten("parts"))
+    meet on cells of a grid: a place in its own, a feature's pieces in all that they reach into. A piece is measured by
+    plain arithmetic; only what it meets looks at the feature's pieces before, so that a pair counts once."""
+    keep = keep or ["id"]
     at = lambda v: F.floor(v / cell).cast("long")
-    drawn = features.select(*[F.col(c).alias(c) for c in keep or ["id"]], F.col("kind").alias("__kind"), F.col("parts").alias("__parts"), width.alias("__width"), radius.alias("__radius"), reach.alias("__reach"), box.alias("__box"))
-    columns = F.sequence(at(F.col("__box.minx") - F.col("__reach")), at(F.col("__box.maxx") + F.col("__reach")))
-    rows = F.sequence(at(F.col("__box.miny") - F.col("__reach")), at(F.col("__box.maxy") + F.col("__reach")))
-    drawn = drawn.where(F.size(F.flatten("__parts")) > 0).withColumn("__i", F.explode(columns)).withColumn("__j", F.explode(rows))
     placed = places.withColumns({"__i": at(F.col("x")), "__j": at(F.col("y"))})
-    spot = F.struct(F.col("x").alias("px"), F.col("y").alias("py"), F.lit(1.0).alias("scale"))
-    met = spatial.hit(F.col("__kind"), F.col("__parts"), spot, F.lit(1.0), False, F.col("__width"), F.col("__radius"), 1.0)
-    return placed.join(drawn, ["__i", "__j"]).where(met).select(*places.columns, *keep or ["id"])
+    x, y, a, b, slack = F.col("x"), F.col("y"), F.col("__a"), F.col("__b"), 1e-6
+    near = lambda a, b: geometry.distance_to_segment(x, y, a, b) <= F.col("__reach")
+    inside = x.between(a.x - slack, b.x + slack) & y.between(a.y - slack, b.y + slack)
+    met = F.when(F.col("__kind") == 3, inside).otherwise(near(a, b))
+    whole = F.when(F.col("__kind") == 3, geometry.in_polygon(x, y, F.col("__parts"))).otherwise((F.size("__before") == 0) | ~F.exists("__before", lambda p: F.coalesce(near(p.a, p.b), F.lit(False))))
+    return placed.join(_pieces(features, cell, keep).hint("merge"), ["__i", "__j"]).where(met & whole).select(*places.columns, *keep)
 
 
 def with_hits(events: DataFrame, features: DataFrame, *, event: str = "event_id", most: int = 1000, cell: float = 64.0) -> DataFrame:
     """The events (event, x, y, ...) of a table that hit features, with n_hits and `features`, the `most` smallest ids of
     those that they hit in order: no event of a crowded place gathers more."""
-    met = hit_features(events, features, cell)
-    ranked = met.withColumn("__k", F.row_number().over(Window.partitionBy(event).orderBy("id")))
-    counts = met.groupBy(event).agg(F.count(F.lit(1)).alias("n_hits"))
-    ids = ranked.where(F.col("__k") <= most).groupBy(event).agg(F.sort_array(F.collect_list("id")).alias("features"))
-    return events.join(counts.join(ids, event), event)
+    met = hit_features(events.select(event, "x", "y"), features, cell)
+    own = Window.partitionBy(event)
+    ranked = met.select(event, "id", F.row_number().over(own.orderBy("id")).alias("__k"), F.count(F.lit(1)).over(own).alias("__n"))
+    hits = ranked.where(F.col("__k") <= most).groupBy(event).agg(F.max("__n").alias("n_hits"), F.sort_array(F.collect_list("id")).alias("features"))
+    return events.join(hits, event)
 
 
 def fired(times: np.ndarray, until: float, span: float, trailing: bool) -> tuple[list[int], list[float], float, int | None]:
