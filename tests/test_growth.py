@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import text
 from tilewright.functions.expressions import Scope, evaluate
-from tilewright.operators import spatial
+from tilewright.operators import clusters, spatial
 from tilewright.sources import services
 from tilewright.streaming import events
 
@@ -103,3 +103,19 @@ def test_boxes_of_a_small_file_are_dealt_over_tasks(spark):
     want = sorted((a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0] and a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4])
     assert sorted(map(tuple, met.collect())) == want and len(want) > 300
     assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_crowded_points_are_settled_in_ranges(spark, monkeypatch):
+    rng = random.Random(9)
+    spots = [(k * 3, rng.choice([0.1, 0.5]) + rng.random() * 0.03, 0.2 + rng.random() * 0.03) for k in range(600)] + [(k * 3 + 1, 0.7, 0.7) for k in range(300)]
+    owners, free = {}, sorted(spots)
+    for k, x, y in sorted(spots):
+        if k not in owners:
+            taken = [p[0] for p in free if p[0] not in owners and (p[1] - x) * (p[1] - x) + (p[2] - y) * (p[2] - y) <= 0.02 * 0.02]
+            owners |= dict.fromkeys(taken, k)
+    points = spark.createDataFrame(spots, "idx long, x double, y double")
+    seen, real = [], clusters.greedy_owners
+    monkeypatch.setattr(clusters, "greedy_owners", lambda of, pairs: seen.append(pairs.count()) or real(of, pairs))
+    got = clusters.owners_within(points, 0.02, 500)
+    assert dict(map(tuple, got.collect())) == owners and got.count() == len(spots)
+    assert len(seen) > 2 and sum(seen) < 15_000  # all pairs are more than 80,000

@@ -6,10 +6,14 @@ over tasks by place, and a task settles every point whose smaller neighbours are
 on points of other tasks waits for the next round. A track of points costs a round for each task that it passes, and
 pairs that one task holds cost a single round. A taken point belongs to its smallest origin. The indexes stay those of
 the origins, so no global numbering is needed between levels.
+
+Where places are so crowded that pairs would be many, the order is taken in ranges, each twice as long as all before: the
+origins found so far, which lie farther apart than the radius, take most of a range, and only the rest makes pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,6 +30,9 @@ RADIUS, EXTENT, MIN_POINTS, MIN_ZOOM, MAX_ZOOM = 40, 512, 2, 0, 16
 LEVEL = ["idx", "x", "y", "n", "cluster_id"]
 #: Pairs of neighbours that one task settles.
 TASK_PAIRS = 400_000
+#: Pairs that share a cell within one range of the order: so many, or so many for each point where that is more. Points
+#: with more are taken in several ranges.
+RANGE_PAIRS, POINT_PAIRS = 100_000, 2
 FREE, ORIGIN, TAKEN = 0, 1, 2
 
 
@@ -98,6 +105,49 @@ def greedy_owners(points: DataFrame, pairs: DataFrame) -> DataFrame:
     return found
 
 
+def owners_within(points: DataFrame, radius: float, most: int | None = None) -> DataFrame:
+    """points (idx, x, y) -> (idx, owner), as greedy_owners gives them for all pairs within the radius."""
+    points = points.select("idx", "x", "y")
+
+    def crowd(df: DataFrame) -> tuple:
+        cells = df.groupBy(*[F.floor(F.col(c) / radius).alias(c) for c in "xy"]).agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("low"), F.max("idx").alias("high"))
+        return cells.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2), F.min("low"), F.max("high")).first()
+
+    def settled(df: DataFrame) -> DataFrame:
+        return greedy_owners(df.select("idx", "x"), radius_join(df, df, "idx", "idx", radius, self_join=True, keep=["bx"]))
+
+    n, pairs, low, high = crowd(points)
+    most = most or max(RANGE_PAIRS, POINT_PAIRS * (n or 0))
+    if not n or pairs <= most:
+        return settled(points)
+    first = max(1, int(n * math.sqrt(most / pairs)))
+    shares = [first * 2**k / n for k in range(64) if first * 2**k < n]
+    cuts = points.agg(F.percentile_approx("idx", shares, int(min(10_000_000, 16 * n / first + 100)))).first()[0] if shares else []
+    edges = [low - 1, *sorted({*cuts} - {high}), high]
+    todo = [*zip(edges, edges[1:], strict=False)][::-1]
+    owned, origins = [], None
+    while todo:
+        begin, end = todo.pop()
+        left, taken = points.where((F.col("idx") > begin) & (F.col("idx") <= end)), None
+        if origins is not None:
+            met = radius_join(left, origins, "idx", "idx", radius)
+            taken = written(met.groupBy(F.col("a").alias("idx")).agg(F.min("b").alias("owner")), "taken")
+            left = written(left.join(taken, "idx", "left_anti"), "left")
+        if (crowd(left)[1] or 0) > most:
+            middle = left.agg(F.percentile_approx("idx", 0.5)).first()[0]
+            if begin < middle < end:
+                todo += [(middle, end), (begin, middle)]
+                continue
+        own = written(settled(left), "owners")
+        new = written(left.join(own.where("idx = owner").select("idx"), "idx", "left_semi"), "origins")
+        origins = new if origins is None else origins.union(new)
+        owned += [own] if taken is None else [taken, own]
+    every = owned[0]
+    for one in owned[1:]:
+        every = every.unionByName(one)
+    return every
+
+
 Reduced = dict[str, tuple[Column, Callable[[str], Column]]]
 #: A column of the points, and a function of two of its values (Python ones) that puts them together.
 Folded = dict[str, tuple[Column, Callable[[object, object], object]]]
@@ -139,8 +189,7 @@ def reduced_in_order(rows: DataFrame, group: str, order: list[str], value: str,
 def cluster_level(level: DataFrame, zoom: int, radius: float, extent: float, min_points: int, reduced: Reduced, folded: Folded) -> DataFrame:
     """The points of `level` (that of zoom + 1), each with what is made of it at `zoom`: `made`, `owner`, and the new
     cluster's columns as struct `c`, null where the point goes on alone."""
-    pairs = radius_join(level, level, "idx", "idx", radius / (extent * 2**zoom), self_join=True, keep=["bx"])
-    owned = level.join(greedy_owners(level, pairs), "idx")
+    owned = level.join(owners_within(level, radius / (extent * 2**zoom)), "idx")
     merged = owned.groupBy("owner").agg(
         F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows"), F.sum(F.col("x") * F.col("n")).alias("wx"), F.sum(F.col("y") * F.col("n")).alias("wy"), *[put(k).alias(k) for k, (_, put) in reduced.items()]
     )
