@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -162,6 +163,18 @@ def test_packing(spark, docs, texts, empty):
     assert check_packed(registry.op4_packing(spark, "/root/testdata/sf0.01").collect(), whole) > 0.97
 
 
+def test_packing_encodes_a_few_megabytes_at_once(monkeypatch):
+    sizes, real = [], packing.text_ids
+    monkeypatch.setattr(packing, "text_ids", lambda texts, *more: sizes.append(texts.nbytes) or real(texts, *more))
+    texts = [f"word{k} and more " * 8000 for k in range(60)]  # 8 MB in batches of 0.5 MB
+    batches = [pa.RecordBatch.from_pydict({"id": [k, k + 1, k + 2, k + 3], "text": texts[k : k + 4]}) for k in range(0, 60, 4)]
+    cut = [*packing.cut_batches(iter(batches), public_tokenizers.path("word_bpe_49k.json"), 2, 4096, False)]
+    assert max(sizes) < 3_000_000 and sum(sizes) > 7_000_000
+    ids = [x for b in cut for x in b["id"].to_pylist()]
+    assert ids == sorted(ids) and {*ids} == {*range(60)}
+    assert sum(sum(b["length"].to_pylist()) for b in cut) == sum(n for b in cut for n, s in zip(b["doc_tokens"].to_pylist(), b["start"].to_pylist(), strict=True) if s == 0)
+
+
 def test_packed_ids(docs):
     for r in packing.pack(docs, WORDS, keep_ids=True).collect():
         assert zlib.crc32(r["ids"]) == r["ids_crc32"]

@@ -26,6 +26,8 @@ from tilewright.llm.words import gathered, spans, words_of
 
 #: Ranks are dealt within blocks of the documents, so that no length, however common, is ranked in one task.
 BLOCKS = 512
+#: Bytes of text that a task encodes at once: its words, ids and their places take some twenty-five times that.
+PART_BYTES = 1 << 21
 
 
 class ChunkTokenizer:
@@ -105,24 +107,26 @@ def text_ids(texts: pa.Array, tokenizer: ChunkTokenizer, end_id: int) -> tuple[n
     return flat[spans(begins[at], sizes[at])], totals
 
 
+def cut_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, max_len: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
+    """cut_pieces() of one task's batches (id, text)."""
+    tokenizer = chunk_tokenizer(path)
+    for batch in gathered(batches, "text", PART_BYTES):
+        ids, totals = text_ids(batch["text"], tokenizer, end_id)
+        n = -(-totals // max_len)
+        of_text = np.repeat(np.arange(len(n)), n)
+        start = spans(np.zeros(len(n), np.int64), n) * max_len
+        length = np.minimum(max_len, totals[of_text] - start)
+        raw, at = memoryview(ids.tobytes()), (np.cumsum(totals) - totals)[of_text] + start
+        pieces = [raw[a:b] for a, b in zip((4 * at).tolist(), (4 * (at + length)).tolist(), strict=True)]
+        told = pa.array([bytes(x) if keep_ids else zlib.crc32(x).to_bytes(4, "big") for x in pieces], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(of_text)), pa.array(totals[of_text]), pa.array(start), pa.array(length), told], ["id", "doc_tokens", "start", "length", "ids"])
+
+
 def cut_pieces(docs: DataFrame, path: str, end_id: int, max_len: int, keep_ids: bool) -> DataFrame:
     """docs(id, text) -> (id, doc_tokens, start, length, ids), a row for each piece: the ids of each text and end_id
     after them, cut every max_len ids. A null text is empty and has end_id alone. Without keep_ids a piece holds the
     CRC-32 of its ids in four bytes instead of them."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = chunk_tokenizer(path)
-        for batch in gathered(batches, "text"):
-            ids, totals = text_ids(batch["text"], tokenizer, end_id)
-            n = -(-totals // max_len)
-            of_text = np.repeat(np.arange(len(n)), n)
-            start = spans(np.zeros(len(n), np.int64), n) * max_len
-            length = np.minimum(max_len, totals[of_text] - start)
-            raw, at = memoryview(ids.tobytes()), (np.cumsum(totals) - totals)[of_text] + start
-            pieces = [raw[a:b] for a, b in zip((4 * at).tolist(), (4 * (at + length)).tolist(), strict=True)]
-            told = pa.array([bytes(x) if keep_ids else zlib.crc32(x).to_bytes(4, "big") for x in pieces], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(of_text)), pa.array(totals[of_text]), pa.array(start), pa.array(length), told], ["id", "doc_tokens", "start", "length", "ids"])
-
+    cut = functools.partial(cut_batches, path=path, end_id=end_id, max_len=max_len, keep_ids=keep_ids)
     return docs.mapInArrow(cut, f"id {docs.schema['id'].dataType.simpleString()}, doc_tokens long, start long, length long, ids binary")
 
 
