@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import text
 from tilewright.functions.expressions import Scope, evaluate
-from tilewright.operators import clusters, spatial
+from tilewright.operators import clusters, spatial, symbols
 from tilewright.sources import services
 from tilewright.streaming import events
 
@@ -119,3 +119,22 @@ def test_crowded_points_are_settled_in_ranges(spark, monkeypatch):
     got = clusters.owners_within(points, 0.02, 500)
     assert dict(map(tuple, got.collect())) == owners and got.count() == len(spots)
     assert len(seen) > 2 and sum(seen) < 15_000  # all pairs are more than 80,000
+
+
+@pytest.mark.parametrize("wide", [40, 120])
+def test_long_sheets_are_filled_by_stretches(spark, wide):
+    rng = random.Random(wide)
+    sheets = ["a", None, *["b"] * 4]
+    sprites = [(rng.choice(sheets), k // 2, k, rng.randrange(wide) if k != 59_000 else None, rng.choice([None, *range(30)])) for k in range(60_000)]
+    want, rows = {}, {}
+    for sheet, _, k, w, h in sprites:
+        x, y, tall = rows.get(sheet, (0, 0, 0))
+        if x is not None and w is not None and x + w > 100:
+            x, y, tall = 0, y + tall, 0
+        want[k] = sheet, x, y, w, h
+        rows[sheet] = None if x is None or w is None else x + w, y, max(tall, h or 0)
+    df = spark.createDataFrame(sprites, "sheet string, k int, id int, w int, h int").repartition(3)
+    began = time.monotonic()
+    made = symbols.shelves(df, "sheet", "k", 100).collect()
+    assert time.monotonic() - began < 20
+    assert {r.id: (r.sheet, r.x, r.y, r.w, r.h) for r in made} == want and len(made) == len(sprites)

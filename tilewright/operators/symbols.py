@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,18 +100,90 @@ def symbol_box(x: Column, y: Column, text: Column, text_size_at_24: Column, size
     return geo.box_union(of_text, of_icon)
 
 
+def _stretch(ws: list[int], hs: list[int], width: int) -> list[tuple[int | None, int, int, int | None, int]]:
+    """What a stretch of sprites makes of the row that it finds: (m, before, down, x, row) for each place where that row may
+    end. A row begun up to x ends at the first with m > width - x, none at all where m is null. before: the height that the
+    stretch gives to that row; down: the rows after it, to the last; x and row: where that one ends (what is added to x,
+    where no row ended)."""
+    at = [0, *itertools.accumulate(ws)]
+    ends: dict[int, tuple[int, int, int]] = {}
+
+    def after(first: int) -> tuple[int, int, int]:
+        begun = []
+        while first not in ends:
+            last = max(first + 1, bisect.bisect_right(at, at[first] + width) - 1)
+            tall = max(hs[first:last])
+            if last >= len(ws):
+                ends[first] = 0, at[-1] - at[first], tall
+            else:
+                begun.append((first, tall))
+                first = last
+        down, x, row = ends[first]
+        for first, tall in reversed(begun):
+            down += tall
+            ends[first] = down, x, row
+        return ends[begun[0][0] if begun else first]
+
+    out, tall = [], 0
+    for k, h in enumerate(hs):
+        if at[k + 1] > (out[-1][0] if out else -1):
+            out.append((at[k + 1], tall, *after(k)))
+        if at[k + 1] > width:
+            return out
+        tall = max(tall, h)
+    return [*out, (None, tall, 0, at[-1], tall)]
+
+
 def shelves(sprites: DataFrame, atlas: str, order: str, width: int) -> DataFrame:
     """Places of sprites (atlas, order, id, w, h) in sheets of the given width, in order: side by side, and from the left
-    again below the tallest of the row when one doesn't fit. Each sheet is one array: a sheet's sprites, not all."""
-    item = F.struct(F.col(order).alias("k"), "id", F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"))
-    sheets = sprites.groupBy(atlas).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    place = "array<struct<id:{},x:int,y:int,w:int,h:int>>".format(sprites.schema["id"].dataType.simpleString())
-    start = F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("row"), F.array().cast(place).alias("out"))
-
-    def put(s: Column, i: Column) -> Column:
-        full = s.x + i.w > width
-        x, y, row = F.when(full, 0).otherwise(s.x), F.when(full, s.y + s["row"]).otherwise(s.y), F.when(full, 0).otherwise(s["row"])
-        one = F.struct(i.id.alias("id"), x.alias("x"), y.alias("y"), i.w.alias("w"), i.h.alias("h"))
-        return F.struct((x + i.w).alias("x"), y.alias("y"), F.greatest(row, i.h).alias("row"), F.concat(s.out, F.array(one)).alias("out"))
-
-    return sheets.select(atlas, F.inline(F.aggregate("items", start, put, lambda s: s.out)))
+    again below the tallest of the row when one doesn't fit. w and h: not below 0. What comes after a sprite without w has no
+    x. A sheet is dealt over tasks by stretches of its order: each first tells where it would end, whatever row it finds
+    (there are no more answers than sprites in a row); then all know where they begin."""
+    tasks = int(sprites.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = lambda c: F.when(F.col(c) < 0, F.raise_error(F.lit(f"a sprite whose {c} is below 0")).cast("int")).otherwise(F.col(c).cast("int")).alias(c)
+    rows = sprites.select(F.col(atlas).alias("sheet"), F.col(order).alias("k"), "id", whole("w"), whole("h"))
+    placed_by = ["sheet", "k", "id", "w", "h"]
+    dealt = written(rows.repartitionByRange(tasks, *placed_by).withColumn("part", F.spark_partition_id()), "sprites")
+    sheet, own = (rows.schema[c].dataType.simpleString() for c in ("sheet", "id"))
+
+    def told(part: pa.Table) -> pa.Table:
+        part = part.sort_by([(c, "ascending") for c in ("k", "id", "w", "h")])
+        ws, hs = part["w"].to_pylist(), [h or 0 for h in part["h"].to_pylist()]
+        cut = ws.index(None) if None in ws else len(ws)
+        ends = [(m, before, down, x, row, cut < len(ws)) for m, before, down, x, row in _stretch(ws[:cut], hs[:cut], width)]
+        columns = [pa.array(c, t) for c, t in zip(zip(*ends, strict=True), [pa.int64()] * 5 + [pa.bool_()], strict=True)]
+        first = pa.array([0] * len(ends))
+        return pa.table([part["sheet"].combine_chunks().take(first), part["part"].combine_chunks().take(first), *columns], ["sheet", "part", "m", "before", "down", "ends_x", "ends_row", "lost"])
+
+    def begun(one: pa.Table) -> pa.Table:
+        parts: dict[int, list] = {}
+        for part, *end in zip(*[one[c].to_pylist() for c in ("part", "m", "before", "down", "ends_x", "ends_row", "lost")], strict=True):
+            parts.setdefault(part, []).append(end)
+        x, y, row, out = 0, 0, 0, []
+        for part in sorted(parts):
+            out.append((part, x, y, row))
+            if x is None:
+                continue
+            m, before, down, ends_x, ends_row, lost = min((e for e in parts[part] if e[0] is None or e[0] > width - x), key=lambda e: (e[0] is None, e[0]))
+            x, y, row = (x + ends_x, y, max(row, ends_row)) if m is None else (ends_x, y + max(row, before) + down, ends_row)
+            x = None if lost else x
+        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32()] + [pa.int64()] * 3, strict=True)]
+        return pa.table([one["sheet"].combine_chunks().take(pa.array([0] * len(out))), *columns], ["sheet", "part", "x", "y", "row"])
+
+    def put(part: pa.Table) -> pa.Table:
+        part = part.sort_by([(c, "ascending") for c in ("k", "id", "w", "h")])
+        x, y, row = (part[c][0].as_py() for c in ("x", "y", "row"))
+        xs, ys = [], []
+        for w, h in zip(part["w"].to_pylist(), part["h"].to_pylist(), strict=True):
+            if x is not None and w is not None and x + w > width:
+                x, y, row = 0, y + row, 0
+            xs.append(x)
+            ys.append(y)
+            x, row = None if x is None or w is None else x + w, max(row, h or 0)
+        return pa.table([part["sheet"], part["id"], pa.array(xs, pa.int32()), pa.array(ys, pa.int32()), part["w"], part["h"]], ["sheet", "id", "x", "y", "w", "h"])
+
+    ends = dealt.groupBy("sheet", "part").applyInArrow(told, f"sheet {sheet}, part int, m long, before long, down long, ends_x long, ends_row long, lost boolean")
+    starts = ends.groupBy("sheet").applyInArrow(begun, f"sheet {sheet}, part int, x long, y long, row long").withColumnsRenamed({"sheet": "s", "part": "p"})
+    met = dealt.join(starts, F.col("sheet").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).drop("s", "p")
+    done = met.groupBy("sheet", "part").applyInArrow(put, f"sheet {sheet}, id {own}, x int, y int, w int, h int")
+    return done.withColumnRenamed("sheet", atlas)
