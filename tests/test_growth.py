@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.functions import text
+from tilewright.functions import colors, text
 from tilewright.functions.expressions import Scope, evaluate
 from tilewright.operators import clusters, spatial, symbols
 from tilewright.sources import services
@@ -138,3 +138,13 @@ def test_long_sheets_are_filled_by_stretches(spark, wide):
     made = symbols.shelves(df, "sheet", "k", 100).collect()
     assert time.monotonic() - began < 20
     assert {r.id: (r.sheet, r.x, r.y, r.w, r.h) for r in made} == want and len(made) == len(sprites)
+
+
+def test_colors_are_parsed_once_a_row(spark):
+    css = ["red", " #0F08", "#abc", "#a1b2c3", "#abcde", "rgb(10% 20% 30% / 0.5)", "RGBA(1, 2, 3, 50%)", "rgb(1,2)", "nothing", "", None, "transparent"]
+    df = spark.createDataFrame([(c,) for c in css], "c string")
+    got = [r.v for r in df.select(colors.color_channels(F.col("c")).alias("v")).collect()]
+    assert got == [None if c is None or colors.parse_color(c) is None else pytest.approx(colors.parse_color(c)) for c in css]
+    color = evaluate(["to-color", ["match", ["get", "c"], "a", "red", "b", "#0f08", "rgb(10% 20% 30% / 0.5)"]], Scope.of(df, ["c"]))
+    plan = df.select(color.alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN") < 150

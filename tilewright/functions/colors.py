@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import colorsys
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -77,28 +78,42 @@ def _clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
+def _bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), whose value is computed once however often `of` uses it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def color_channels(css: Column) -> Column:
     """array(r, g, b, a) of a column of CSS colours: names, hexadecimal digits and rgb(); null where there is none."""
-    text = F.lower(F.trim(css))
     names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
-    digits = F.coalesce(F.try_element_at(names, text), F.regexp_extract(text, r"^#([0-9a-f]{3,8})$", 1))
-    digits = F.when(F.length(digits).isin(3, 4), F.regexp_replace(digits, "(.)", "$1$1")).otherwise(digits)
-    digits = F.when(F.length(digits) == 6, F.concat(digits, F.lit("ff"))).otherwise(digits)
-    from_hex = F.array(*[F.conv(F.substring(digits, k, 2), 16, 10).cast("double") / 255 for k in (1, 3, 5, 7)])
-    parts = F.filter(F.split(F.regexp_extract(text, r"^rgba?\((.*)\)$", 1), r"[\s,/]+"), lambda x: x != "")
-    number = lambda k: F.regexp_extract(F.get(parts, F.lit(k)), f"^({_NUMBER})", 1).try_cast("double")
-    part = lambda k, whole: _clamp(number(k) / F.when(F.get(parts, F.lit(k)).endswith("%"), 100.0).otherwise(whole))
-    channels = F.array(part(0, 255.0), part(1, 255.0), part(2, 255.0), F.when(F.size(parts) == 4, part(3, 1.0)).otherwise(1.0))
-    from_call = F.when(F.size(parts).isin(3, 4) & ~F.exists(channels, lambda x: x.isNull()), channels)
-    return F.when(F.length(digits) == 8, from_hex).otherwise(from_call)
+
+    def of_digits(text: Column) -> Column:
+        digits = F.coalesce(F.try_element_at(names, text), F.regexp_extract(text, r"^#([0-9a-f]{3,8})$", 1))
+        digits = _bound(digits, lambda d: F.when(F.length(d).isin(3, 4), F.regexp_replace(d, "(.)", "$1$1")).otherwise(d))
+        return _bound(digits, lambda d: F.when(F.length(d) == 6, F.concat(d, F.lit("ff"))).otherwise(d))
+
+    def of_parts(parts: Column) -> Column:
+        number = lambda x: F.regexp_extract(x, f"^({_NUMBER})", 1).try_cast("double")
+        part = lambda k, whole: _bound(F.get(parts, F.lit(k)), lambda x: _clamp(number(x) / F.when(x.endswith("%"), 100.0).otherwise(whole)))
+        channels = F.array(part(0, 255.0), part(1, 255.0), part(2, 255.0), F.when(F.size(parts) == 4, part(3, 1.0)).otherwise(1.0))
+        return F.when(F.size(parts).isin(3, 4), _bound(channels, lambda c: F.when(~F.exists(c, lambda x: x.isNull()), c)))
+
+    from_hex = lambda digits: F.array(*[F.conv(F.substring(digits, k, 2), 16, 10).cast("double") / 255 for k in (1, 3, 5, 7)])
+    from_call = lambda text: _bound(F.filter(F.split(F.regexp_extract(text, r"^rgba?\((.*)\)$", 1), r"[\s,/]+"), lambda x: x != ""), of_parts)
+    either = lambda text: _bound(of_digits(text), lambda digits: F.when(F.length(digits) == 8, from_hex(digits)).otherwise(from_call(text)))
+    return _bound(F.lower(F.trim(css)), either)
 
 
 def lerp_channels(a: Column, b: Column, t: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + (y - x) * t)
 
 
-def format_color(channels: Column, number_text) -> Column:
+def format_color(channels: Column, number_text: Callable[[Column], Column]) -> Column:
     """rgba(r,g,b,a) with the first three from 0 to 255 and alpha to four places."""
-    byte = lambda k: F.floor(F.get(channels, F.lit(k)) * 255 + 0.5).cast("int").cast("string")
-    alpha = number_text(F.floor(F.get(channels, F.lit(3)) * 10000 + 0.5) / 10000)
-    return F.concat(F.lit("rgba("), byte(0), F.lit(","), byte(1), F.lit(","), byte(2), F.lit(","), alpha, F.lit(")"))
+
+    def text(c: Column) -> Column:
+        byte = lambda k: F.floor(F.get(c, F.lit(k)) * 255 + 0.5).cast("int").cast("string")
+        alpha = _bound(F.floor(F.get(c, F.lit(3)) * 10000 + 0.5) / 10000, number_text)
+        return F.concat(F.lit("rgba("), byte(0), F.lit(","), byte(1), F.lit(","), byte(2), F.lit(","), alpha, F.lit(")"))
+
+    return _bound(channels, text)
