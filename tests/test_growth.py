@@ -4,13 +4,14 @@ import math
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tilewright.functions import colors, text
 from tilewright.functions.expressions import Scope, evaluate
 from tilewright.operators import clusters, spatial, symbols
-from tilewright.sources import services
+from tilewright.sources import services, vector_tiles
 from tilewright.streaming import events
 
 
@@ -148,3 +149,14 @@ def test_colors_are_parsed_once_a_row(spark):
     color = evaluate(["to-color", ["match", ["get", "c"], "a", "red", "b", "#0f08", "rgb(10% 20% 30% / 0.5)"]], Scope.of(df, ["c"]))
     plan = df.select(color.alias("v"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("CASE WHEN") < 150
+
+
+def test_full_tiles_are_read_in_small_batches(monkeypatch):
+    monkeypatch.setattr(vector_tiles, "READ_ROWS", 70, raising=False)
+    tile = vector_tiles.encode_layer("a", 4096, [(k, 2, {"k": k}, [[(k, 1), (2, k)]]) for k in range(100)])
+    data = [tile, None, tile + tile, tile + b"\x1a\x7f", b""]
+    batch = pa.RecordBatch.from_pydict({"z": [6] * 5, "x": [*range(5)], "y": [0] * 5, "data": pa.array(data, pa.binary())})
+    made = [*vector_tiles.read_batches(iter([batch, batch.slice(1, 1)]))]
+    assert max(b.num_rows for b in made) == 70
+    rows = [(r["x"], r["id"]) for b in made for r in b.to_pylist()]
+    assert rows == [(x, k) for x, n in ((0, 1), (2, 2), (3, 1)) for _ in range(n) for k in range(100)] + [(3, None)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import struct
@@ -19,6 +20,8 @@ POINT, LINE, POLYGON = 1, 2, 3
 MOVE, DRAW, CLOSE = 1, 2, 7
 #: Features of one encoded part; a tile with more is several parts, each a tile by itself (readers may join their bytes).
 PART = 20_000
+#: Features that a reading task holds at once.
+READ_ROWS = 2_000
 FEATURE = "layer string, extent int, id long, kind int, properties map<string,string>, typed string, parts array<array<struct<x:int,y:int>>>, error string"
 
 
@@ -219,6 +222,27 @@ def decode_layer(data: bytes) -> Iterator[tuple]:
         yield name, extent, key, kind, properties, typed, parts, error
 
 
+def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """read_tiles() of one task's batches, handed on READ_ROWS features at a time, however many a tile holds."""
+
+    def each(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for k, place in enumerate(zip(*[batch[c].to_pylist() for c in ("z", "x", "y")], strict=True)):
+            try:
+                for tag, v in fields(batch["data"][k].as_py() or b""):
+                    if tag == 3:
+                        for feature in decode_layer(v):
+                            yield *place, *feature
+            except ValueError as bad:
+                yield *place, *[None] * 7, str(bad)
+
+    for batch in batches:
+        found = each(batch)
+        while out := [*itertools.islice(found, READ_ROWS)]:
+            columns = [*zip(*out, strict=True)]
+            arrays = [pa.array(c, t) for c, t in zip(columns[:9], READ_TYPES, strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays, parts_array(columns[9]), pa.array(columns[10], pa.string())], ["z", "x", "y", *[c.split()[0] for c in FEATURE.split(", ")]])
+
+
 def read_tiles(tiles: DataFrame) -> DataFrame:
     """tiles (z, x, y, data) -> one row per feature: z, x, y, layer, extent, id, kind, properties (as
     text), typed (properties as a JSON object, with numbers, booleans and null), parts, error.
@@ -226,21 +250,7 @@ def read_tiles(tiles: DataFrame) -> DataFrame:
     Layers without a name are left out; of layers that share a name in one tile all features come. Bytes that don't
     parse give one row with `error`, or one for the feature they belong to. Null and empty data give no rows."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for z, x, y, data in zip(*[batch[c].to_pylist() for c in ("z", "x", "y", "data")], strict=True):
-                try:
-                    for tag, v in fields(data or b""):
-                        if tag == 3:
-                            out += [(z, x, y, *feature) for feature in decode_layer(v)]
-                except ValueError as bad:
-                    out.append((z, x, y, *[None] * 7, str(bad)))
-            columns = [*zip(*out, strict=True)] or [()] * 11
-            arrays = [pa.array(c, t) for c, t in zip((*columns[:7], *columns[7:9]), READ_TYPES, strict=True)]
-            yield pa.RecordBatch.from_arrays([*arrays, parts_array(columns[9]), pa.array(columns[10], pa.string())], ["z", "x", "y", *[c.split()[0] for c in FEATURE.split(", ")]])
-
-    return tiles.select("z", "x", "y", "data").mapInArrow(read, f"z int, x int, y int, {FEATURE}")
+    return tiles.select("z", "x", "y", "data").mapInArrow(read_batches, f"z int, x int, y int, {FEATURE}")
 
 
 READ_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string()]
