@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.functions import colors, text
+from tilewright.functions import colors, geometry, text
 from tilewright.functions.expressions import Scope, evaluate
 from tilewright.operators import clusters, spatial, symbols
 from tilewright.sources import services, vector_tiles
@@ -160,3 +160,13 @@ def test_full_tiles_are_read_in_small_batches(monkeypatch):
     assert max(b.num_rows for b in made) == 70
     rows = [(r["x"], r["id"]) for b in made for r in b.to_pylist()]
     assert rows == [(x, k) for x, n in ((0, 1), (2, 2), (3, 1)) for _ in range(n) for k in range(100)] + [(3, None)]
+
+
+def test_strips_of_lines_take_each_direction_once(spark):
+    line = [(0.0, 0.0), (3.0, 4.0), (3.0, 4.0), (3.0, 9.0)]
+    df = spark.createDataFrame([([{"x": x, "y": y} for x, y in line],), ([{"x": 1.0, "y": 1.0}],), (None,)], "v array<struct<x:double,y:double>>")
+    made = df.select(geometry.tessellated(F.col("v")).alias("s"))
+    got = [[(p.x, p.y, round(p.nx, 6) + 0, round(p.ny, 6) + 0, p.side) for p in r.s] for r in made.collect()]
+    along = [(0.6, 0.8), (0.6, 0.8), (0.0, 1.0), (0.0, 1.0)]
+    assert got == [[(x, y, round(-s * dy, 6) + 0, round(s * dx, 6) + 0, s) for (x, y), (dx, dy) in zip(line, along, strict=True) for s in (1, -1)], [], []]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("HYPOT") < 10

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,11 @@ def point(x: object, y: object) -> Column:
     return F.struct(F.lit(x).cast("double").alias("x"), F.lit(y).cast("double").alias("y"))
 
 
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), whose value is computed once however often `of` uses it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def edges(line: Column) -> Column:
     """Neighbouring points of a line as structs of a and b."""
     return F.transform(F.sequence(F.lit(1), F.size(line) - 1), lambda k: F.struct(F.get(line, k - 1).alias("a"), F.get(line, k).alias("b")))
@@ -258,23 +263,21 @@ def simplify_parts(parts: Column, tolerance: float) -> Column:
 def tessellated(line: Column) -> Column:
     """Two vertices for each point of a line, on either side: x, y, the normal nx, ny (of the mean direction of the
     segments that meet there) and side 1 or -1. A line of less than two points has none."""
-    n = F.size(line)
 
     def unit(x: Column, y: Column) -> Column:
-        size = F.hypot(x, y)
-        size = F.when(size == 0, 1.0).otherwise(size)
-        return F.struct((x / size).alias("x"), (y / size).alias("y"))
+        size = lambda d: F.when(F.hypot(d.x, d.y) == 0, 1.0).otherwise(F.hypot(d.x, d.y))
+        return bound(F.struct(x.alias("x"), y.alias("y")), lambda d: bound(size(d), lambda s: F.struct((d.x / s).alias("x"), (d.y / s).alias("y"))))
 
-    def at(k: Column) -> Column:
-        p, before, after = F.get(line, k), F.get(line, k - 1), F.get(line, k + 1)
+    def strip(v: Column, along: Column) -> Column:
+        """along: the directions of the segments."""
         zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-        come = F.when(k > 0, unit(p.x - before.x, p.y - before.y)).otherwise(zero)
-        go = F.when(k < n - 1, unit(after.x - p.x, after.y - p.y)).otherwise(zero)
-        along = unit(come.x + go.x, come.y + go.y)
-        side = lambda s: F.struct(p.x.alias("x"), p.y.alias("y"), (along.y * -s).alias("nx"), (along.x * s).alias("ny"), F.lit(s).alias("side"))
-        return F.array(side(1), side(-1))
+        way = lambda k: F.coalesce(F.get(along, k), zero)
+        side = lambda p, d, s: F.struct(p.x.alias("x"), p.y.alias("y"), (d.y * -s).alias("nx"), (d.x * s).alias("ny"), F.lit(s).alias("side"))
+        mean = lambda k: bound(F.struct(way(k - 1).alias("come"), way(k).alias("go")), lambda w: unit(w.come.x + w.go.x, w.come.y + w.go.y))
+        return F.flatten(F.transform(v, lambda p, k: bound(mean(k), lambda d: F.array(side(p, d, 1), side(p, d, -1)))))
 
-    return F.when(n > 1, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), at))).otherwise(F.array().cast("array<struct<x:double,y:double,nx:double,ny:double,side:int>>"))
+    made = bound(line, lambda v: bound(F.transform(edges(v), lambda e: unit(e.b.x - e.a.x, e.b.y - e.a.y)), lambda along: strip(v, along)))
+    return F.when(F.size(line) > 1, made).otherwise(F.array().cast("array<struct<x:double,y:double,nx:double,ny:double,side:int>>"))
 
 
 def projected_rings(rings: Column, crs: object, zoom: float, reach: float = 0.0) -> Column:
