@@ -170,3 +170,12 @@ def test_strips_of_lines_take_each_direction_once(spark):
     along = [(0.6, 0.8), (0.6, 0.8), (0.0, 1.0), (0.0, 1.0)]
     assert got == [[(x, y, round(-s * dy, 6) + 0, round(s * dx, 6) + 0, s) for (x, y), (dx, dy) in zip(line, along, strict=True) for s in (1, -1)], [], []]
     assert made._jdf.queryExecution().optimizedPlan().toString().count("HYPOT") < 10
+
+
+def test_points_at_the_radius_meet_through_four_cells(spark):
+    spots = [(k, k % 20 * 0.05, k // 20 * 0.05) for k in range(200)] + [(200 + k, -0.1 * k, 7.3) for k in range(9)]
+    df = spark.createDataFrame(spots, "id long, x double, y double")
+    met = spatial.radius_join(df, df, "id", "id", 0.05, self_join=True)
+    want = [(a[0], b[0]) for a in spots for b in spots if a[0] < b[0] and (a[1] - b[1]) * (a[1] - b[1]) + (a[2] - b[2]) * (a[2] - b[2]) <= 0.05 * 0.05]
+    assert sorted((r.a, r.b) for r in met.collect()) == sorted(want) and len(want) > 100
+    assert "sequence(" in met._jdf.queryExecution().optimizedPlan().toString()  # not nine cells for each point
