@@ -65,3 +65,15 @@ def test_commands_one_after_the_other(spark):
         "version": 8, "light": {"x": 1}, "sources": {"s": {"type": "geojson", "data": {"type": "Point"}}},
         "layers": [{"id": "a", "type": "moved"}, {"id": "c", "type": "line", "paint": {"w": [1, "x"]}}, {"type": "nameless"}, {"id": "d"}],
     }
+
+
+def test_documents_are_read_once_where_they_are_dealt_out(spark):
+    """Small documents of one file are no single task's, and their parts don't shuffle again; odd ones keep their commands."""
+    style = '{"version":8,"sources":{"s":{"type":"vector"}},"layers":[{"type":"line"},{"id":"a","type":"line","paint":{"w":1}},{"id":"a","type":"fill"}]}'
+    rows = [(1, style, style.replace('"fill"', '"line"')), (2, style, None), (3, None, style), (4, style, style.replace('"w":1', '"w":2')), (5, "no json", "[]")]
+    changes = styles.style_changes(spark.createDataFrame(rows, "k int, a string, b string").coalesce(1), "k", "a", "b")
+    assert changes._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    nameless = [("removeLayer", None), ("addLayer", None)]
+    want = {1: [*nameless, ("removeLayer", "a"), ("addLayer", "a")], 2: [("setStyle", None)], 3: [("setStyle", None)], 4: nameless}
+    got = {k: [(r.command, r.target) for r in sorted(changes.where(f"k = {k}").collect(), key=lambda r: r.step)] for k in range(1, 6)}
+    assert got == want | {5: []}

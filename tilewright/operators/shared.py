@@ -58,3 +58,9 @@ def done_with(*tables: DataFrame) -> None:
     for df in tables:
         files, at = _files(df.sparkSession, df.written_at)
         files.delete(at, True)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt over as many tasks as the session shuffles to, by the keys' hashes or evenly: for work whose rows are small and
+    dear. Such tables are a few MB, which one task would read, and into which adaptive plans would merge a plain shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

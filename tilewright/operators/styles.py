@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilewright.functions.expressions import OPERATORS
+from tilewright.operators.shared import dealt
 
 # The types of layers and sources, and the properties of each type of layer with what they may hold.
 LAYER_TYPES = ("background", "fill", "fill-extrusion", "line", "circle", "symbol", "raster")
@@ -242,71 +243,102 @@ def style_changes(pairs: DataFrame, key: str, before: str, after: str) -> DataFr
     Commands: setStyle (all anew: another version, sprite, glyphs, or an order of layers that the others can't express),
     setTransition, setLight, addSource, removeSource, setSourceData, addLayer (below the layer `anchor`, on top without),
     removeLayer, setLayerZoomRange, setFilter, setPaintProperty, setLayoutProperty. Values equal but for the order of
-    keys are equal. Of layers that repeat an id the last one counts."""
-    docs, given, key = pairs.select(F.col(key).alias("__key"), F.try_parse_json(before).alias("p"), F.try_parse_json(after).alias("n")), key, "__key"
+    keys are equal. Of layers that repeat an id the last one counts. The key tells documents apart.
+
+    Documents are dealt out by key before they are read, so that many small ones of one file are no single task's; each is
+    taken apart once, into a row of its own and one for each layer, and its rows stay in the task."""
+    docs = dealt(pairs.select(F.col(key).alias("__key"), F.col(before).alias("p"), F.col(after).alias("n")), "__key")
+    parts = _parts(docs.select("__key", F.try_parse_json("p").alias("p"), F.try_parse_json("n").alias("n")))
+    there = ~F.col("whole") & F.col("p_k").isNotNull() & F.col("n_k").isNotNull()
+    order = Window.partitionBy("__key").orderBy("n_k")
+    earlier, later, all_of = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing), Window.partitionBy("__key")
+    kept = F.when(there, F.struct("n_k", "id"))
+    told = parts.withColumns({"back": there & (F.col("p_k") < F.last(F.when(there, F.col("p_k")), True).over(earlier)), "anchor": F.when(F.col("n_k").isNotNull(), F.min(kept).over(later)["id"])})
+    told = told.withColumn("anew", F.max(F.coalesce("back", F.lit(False)) | F.coalesce("other", F.lit(False))).over(all_of))
+    told = told.withColumns({"p_v": F.parse_json("p_v"), "n_v": F.parse_json("n_v")})
+    made = told.select("__key", F.inline(F.when(F.col("whole"), _document_commands()).otherwise(_layer_commands())))
+    step = F.row_number().over(Window.partitionBy("__key").orderBy("order"))
+    return made.select(F.col("__key").alias(key), step.alias("step"), "command", "target", "name", "value", "anchor")
+
+
+def _parts(docs: DataFrame) -> DataFrame:
+    """docs (__key, p, n) -> __key, whole, id, other, p_k, p_v, n_k, n_v: a row of each document (whole; other: it has another
+    version, sprite or glyphs), and one of each layer, the last of its id on either side. Values are JSON."""
     p, n = F.col("p"), F.col("n")
-    layers = _layers(docs, key, "p").join(_layers(docs, key, "n"), [key, "id"], "full")
-    there = F.col("p_k").isNotNull() & F.col("n_k").isNotNull()
-    moved = layers.where(there).withColumn("back", F.col("p_k") < F.lag("p_k").over(Window.partitionBy(key).orderBy("n_k"))).groupBy(key).agg(F.max("back").alias("moved"))
-    anew = ~(_same(_get(p, "version"), _get(n, "version")) & _same(_get(p, "sprite"), _get(n, "sprite")) & _same(_get(p, "glyphs"), _get(n, "glyphs")))
-    judged = docs.join(moved, key, "left").withColumn("anew", anew | F.coalesce("moved", F.lit(False)))
-    none = F.lit(None).cast("string")
-
-    def rows(df: DataFrame, condition: Column, phase: int, at: Column, sub: int, command: str, target: Column, name: Column = none, value: Column = none, anchor: Column = none) -> DataFrame:
-        order = F.struct(F.lit(phase).alias("phase"), at.cast("string").alias("at"), F.lit(sub).alias("sub"), F.coalesce(name, F.lit("")).alias("name"))
-        return df.where(condition).select(key, order.alias("order"), F.lit(command).alias("command"), target.alias("target"), name.alias("name"), value.alias("value"), anchor.alias("anchor"))
-
-    out = [rows(judged, F.col("anew"), 0, F.lit(""), 0, "setStyle", none, none, F.to_json(n))]
-    same = judged.where("NOT anew")
-    for k, what in enumerate(("transition", "light"), 1):
-        out.append(rows(same, _get(n, what).isNotNull() & ~_same(_get(p, what), _get(n, what)), k, F.lit(""), 0, f"set{what.title()}", none, none, F.to_json(_get(n, what))))
-    gone = same.select(key, "p", "n")
-    each = lambda side: gone.select(key, F.explode(_get(F.col(side), "sources", kind="map<string,variant>")).alias("id", f"{side}_v"))
-    sources = each("p").join(each("n"), [key, "id"], "full")
-    pv, nv, sid = F.col("p_v"), F.col("n_v"), F.col("id")
+    other = ~(_same(_get(p, "version"), _get(n, "version")) & _same(_get(p, "sprite"), _get(n, "sprite")) & _same(_get(p, "glyphs"), _get(n, "glyphs")))
+
+    def item(side: str, k: Column, v: Column, whole: bool = False) -> Column:
+        layer_id = F.lit(None).cast("string") if whole else _text(_get(v, "id"))
+        return F.struct(F.lit(whole).alias("whole"), F.lit(side).alias("side"), layer_id.alias("id"), k.cast("int").alias("k"), F.to_json(v).alias("v"))
+
+    def layers(side: str) -> Column:
+        return F.transform(F.coalesce(_get(F.col(side), "layers", kind="array<variant>"), F.array().cast("array<variant>")), lambda v, k: item(side, k, v))
+
+    roots = F.array(*[item(side, F.lit(0), F.col(side), whole=True) for side in ("p", "n")])
+    rows = docs.select("__key", other.alias("other"), F.inline(F.concat(roots, layers("p"), layers("n"))))
+    apart = F.when(~F.col("whole") & F.col("id").isNull(), F.col("side"))  # layers without an id are never the same
+    last = lambda side: F.max(F.when(F.col("side") == side, F.struct("k", "v")))
+    met = rows.groupBy("__key", "whole", "id", apart.alias("apart")).agg(F.max("other").alias("other"), last("p").alias("p"), last("n").alias("n"))
+    return met.select("__key", "whole", "id", "other", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("p", "n") for c in ("k", "v")])
+
+
+def _command(condition: Column, phase: int, at: Column | None, sub: int, command: str, target: Column | None = None, value: Column | None = None, anchor: Column | None = None, name: Column | None = None) -> Column:
+    """A command with its place among those of a document; null unless condition."""
+    text = lambda v: F.lit(None).cast("string") if v is None else v.cast("string")
+    order = F.struct(F.lit(phase).alias("phase"), F.coalesce(text(at), F.lit("")).alias("at"), F.lit(sub).alias("sub"), F.coalesce(text(name), F.lit("")).alias("name"))
+    return F.when(condition, F.struct(order.alias("order"), F.lit(command).alias("command"), text(target).alias("target"), text(name).alias("name"), text(value).alias("value"), text(anchor).alias("anchor")))
+
+
+def _document_commands() -> Column:
+    """Commands of the row of a document: setStyle, or those of its sources and of what else is its own."""
+    p, n, empty = F.col("p_v"), F.col("n_v"), F.create_map().cast("map<string,string>")
+    own = [_command(_get(n, what).isNotNull() & ~_same(_get(p, what), _get(n, what)), k, None, 0, f"set{what.title()}", value=F.to_json(_get(n, what))) for k, what in enumerate(("transition", "light"), 1)]
+    old, new = (F.coalesce(F.transform_values(_get(v, "sources", kind="map<string,variant>"), lambda _, x: F.to_json(x)), empty) for v in (p, n))
     bare = lambda v: F.to_json(F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: k != "data"))
-    data = (_text(_get(pv, "type")) == "geojson") & (_text(_get(nv, "type")) == "geojson") & bare(pv).eqNullSafe(bare(nv))
-    differs, data = pv.isNotNull() & nv.isNotNull() & ~_same(pv, nv), F.coalesce(data, F.lit(False))
-    out += [
-        rows(sources, nv.isNull(), 3, sid, 0, "removeSource", sid),
-        rows(sources, differs & data, 4, sid, 0, "setSourceData", sid, none, F.to_json(_get(nv, "data"))),
-        rows(sources, differs & ~data, 4, sid, 0, "removeSource", sid),
-        rows(sources, pv.isNull() | (differs & ~data), 4, sid, 1, "addSource", sid, none, F.to_json(nv)),
-    ]
-    later = Window.partitionBy(key).orderBy("n_k").rowsBetween(1, Window.unboundedFollowing)
-    kept = F.when(F.col("p_k").isNotNull(), F.struct("n_k", "id"))
-    both = layers.join(same.select(key), key).withColumn("anchor", F.when(F.col("n_k").isNotNull(), F.min(kept).over(later)["id"]))
+
+    def source(sid: Column) -> Column:
+        return F.array(*source_commands(sid, F.parse_json(F.element_at(old, sid)), F.parse_json(F.element_at(new, sid))))
+
+    def source_commands(sid: Column, pv: Column, nv: Column) -> list[Column]:
+        data = (_text(_get(pv, "type")) == "geojson") & (_text(_get(nv, "type")) == "geojson") & bare(pv).eqNullSafe(bare(nv))
+        differs, data = pv.isNotNull() & nv.isNotNull() & ~_same(pv, nv), F.coalesce(data, F.lit(False))
+        return [
+            _command(nv.isNull(), 3, sid, 0, "removeSource", sid),
+            _command(differs & data, 4, sid, 0, "setSourceData", sid, F.to_json(_get(nv, "data"))),
+            _command(differs & ~data, 4, sid, 0, "removeSource", sid),
+            _command(pv.isNull() | (differs & ~data), 4, sid, 1, "addSource", sid, F.to_json(nv)),
+        ]
+
+    changed = F.filter(F.array_union(F.map_keys(old), F.map_keys(new)), lambda sid: ~F.element_at(old, sid).eqNullSafe(F.element_at(new, sid)))
+    each = F.concat(F.array(*own), F.flatten(F.transform(changed, source)))
+    return F.filter(F.when(F.col("anew"), F.array(_command(F.lit(True), 0, None, 0, "setStyle", value=F.to_json(n)))).otherwise(each), lambda c: c.isNotNull())
+
+
+def _layer_commands() -> Column:
+    """Commands of the row of a layer; none where the style is set anew."""
+    pv, nv, sid, empty = F.col("p_v"), F.col("n_v"), F.col("id"), F.create_map().cast("map<string,string>")
     pad = lambda k: F.lpad(k.cast("string"), 9, "0")
     fresh = pv.isNull() | ~F.coalesce(_same(_get(pv, "type"), _get(nv, "type")) & _same(_get(pv, "source"), _get(nv, "source")) & _same(_get(pv, "source-layer"), _get(nv, "source-layer")), F.lit(False))
     at, there = pad(F.col("n_k")), pv.isNotNull() & nv.isNotNull()
     zooms = F.to_json(F.struct(_get(nv, "minzoom").alias("minzoom"), _get(nv, "maxzoom").alias("maxzoom")))
     stays = there & ~fresh
-    out += [
-        rows(both, nv.isNull(), 5, pad(F.col("p_k")), 0, "removeLayer", sid),
-        rows(both, there & fresh, 6, at, 0, "removeLayer", sid),
-        rows(both, nv.isNotNull() & fresh, 6, at, 1, "addLayer", sid, none, F.to_json(nv), F.col("anchor")),
-        rows(both, stays & ~(_same(_get(pv, "minzoom"), _get(nv, "minzoom")) & _same(_get(pv, "maxzoom"), _get(nv, "maxzoom"))), 6, at, 2, "setLayerZoomRange", sid, none, zooms),
-        rows(both, stays & ~_same(_get(pv, "filter"), _get(nv, "filter")), 6, at, 3, "setFilter", sid, none, F.to_json(_get(nv, "filter"))),
-    ]
+    each = F.array(
+        _command(nv.isNull(), 5, pad(F.col("p_k")), 0, "removeLayer", sid),
+        _command(there & fresh, 6, at, 0, "removeLayer", sid),
+        _command(nv.isNotNull() & fresh, 6, at, 1, "addLayer", sid, F.to_json(nv), F.col("anchor")),
+        _command(stays & ~(_same(_get(pv, "minzoom"), _get(nv, "minzoom")) & _same(_get(pv, "maxzoom"), _get(nv, "maxzoom"))), 6, at, 2, "setLayerZoomRange", sid, zooms),
+        _command(stays & ~_same(_get(pv, "filter"), _get(nv, "filter")), 6, at, 3, "setFilter", sid, F.to_json(_get(nv, "filter"))),
+    )
     for sub, part in ((4, "paint"), (5, "layout")):
-        empty = F.create_map().cast("map<string,string>")
-        values = lambda v, part=part: F.coalesce(F.transform_values(_get(v, part, kind="map<string,variant>"), lambda k, x: F.to_json(x)), empty)
-        names = F.array_union(F.map_keys(values(nv)), F.map_keys(values(pv)))
-        own = both.where(stays).select("*", values(pv).alias("old"), values(nv).alias("new"), F.explode(names).alias("name"))
-        old, new = F.element_at("old", F.col("name")), F.element_at("new", F.col("name"))
-        out.append(rows(own.withColumn("name_", F.col("name")), ~old.eqNullSafe(new), 6, at, sub, f"set{part.title()}Property", sid, F.col("name_"), new))
-    every = out[0]
-    for one in out[1:]:
-        every = every.union(one)
-    step = F.row_number().over(Window.partitionBy(key).orderBy("order"))
-    return every.select(F.col(key).alias(given), step.alias("step"), "command", "target", "name", "value", "anchor")
+        old, new = (F.coalesce(F.transform_values(_get(v, part, kind="map<string,variant>"), lambda k, x: F.to_json(x)), empty) for v in (pv, nv))
+        names = F.when(stays & ~_same(_get(pv, part), _get(nv, part)), F.array_union(F.map_keys(new), F.map_keys(old))).otherwise(F.array().cast("array<string>"))
 
+        def put(name: Column) -> Column:
+            value = F.element_at(new, name)  # noqa: B023
+            return _command(~F.element_at(old, name).eqNullSafe(value), 6, at, sub, f"set{part.title()}Property", sid, value, name=name)  # noqa: B023
 
-def _layers(docs: DataFrame, key: str, side: str) -> DataFrame:
-    """key, id, {side}_k and {side}_v of the layers of one side, the last of each id."""
-    rows = docs.select(key, F.posexplode(_get(F.col(side), "layers", kind="array<variant>")).alias("k", "v"))
-    last = rows.select(key, _text(_get(F.col("v"), "id")).alias("id"), "k", F.to_json("v").alias("v")).groupBy(key, "id").agg(F.max(F.struct("k", "v")).alias("l"))
-    return last.select(key, "id", F.col("l.k").alias(f"{side}_k"), F.parse_json("l.v").alias(f"{side}_v"))
+        each = F.concat(each, F.transform(names, put))
+    return F.when(~F.col("anew") & ~F.coalesce(_same(pv, nv), F.lit(False)), F.filter(each, lambda c: c.isNotNull()))
 
 
 def layers_of(docs: DataFrame, key: str, column: str) -> DataFrame:
