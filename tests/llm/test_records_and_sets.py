@@ -375,3 +375,15 @@ def test_vectors_without_identifier_are_links_of_others(spark):
     table = spark.createDataFrame([(k, [float(x) for x in w]) for k, w in rows], "vec_id long, embedding array<double>").repartition(3)
     got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(table).collect())
     assert got == sorted([("9", 3, 7, False), ("7", 3, 7, True), ("3", 1, 3, True), *[("None", n, None, True) for n in (3, 3, 0, 1)]])
+
+
+def test_texts_are_joined_only_to_pairs_that_may_link(spark, monkeypatch):
+    """Texts that share a long passage meet on it; what their sketches tell apart is never verified on whole texts."""
+    shared = [f"s{k}" for k in range(300)]
+    rows = [(k, " ".join(shared + [f"d{k}w{i}" for i in range(200)])) for k in range(30)]
+    rows += [(100 + k, rows[k][1].replace(f"d{k}w7 ", "another ")) for k in range(0, 30, 3)]
+    pairs, verified = [], jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "_verified", lambda p, *more: pairs.append(p.count()) or verified(p, *more))
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), width=5, num=80, den=100).collect()}
+    assert got == {k: k % 100 for k, _ in rows}
+    assert 10 <= sum(pairs) <= 20

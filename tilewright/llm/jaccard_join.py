@@ -9,7 +9,7 @@ these out: linked sets share about a third of so many words, and all of these wo
 a chance under 1e-12).
 
 Sets that are identical are one class with one representative. Where many representatives meet on a word, each is
-verified against the smallest of them; after that only pairs in different components are looked at, their sketches
+verified against the smallest of them, if the Hamming distance of their sketches allows a link; after that only pairs in different components are looked at, their sketches
 compared within tasks, and verified where the Hamming distance allows a link. So neither a large group of near copies
 nor one of documents that are only alike becomes all of its pairs, and no link between components is lost.
 """
@@ -123,9 +123,10 @@ class Bands:
         return bisect_right(self.starts, n) - 1
 
     def filters(self, hashes: np.ndarray) -> list[bytes]:
-        """Smaller parity sketches for the bands that a set is joined in, to compare by Hamming distance."""
+        """Smaller parity sketches for the bands that a set is joined in, to compare by Hamming distance: of about four bits
+        for each n-gram in which linked sets can differ, so that sets that are only alike are mostly twice too far apart."""
         band = self.band(len(hashes))
-        return [self.sketch(hashes, self.differ(low) // 4 + 1).tobytes() if low >= 0 else b"" for low in (band - 1, band)]
+        return [self.sketch(hashes, self.differ(low) // 16 + 1).tobytes() if low >= 0 else b"" for low in (band - 1, band)]
 
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         if min(len(a), len(b)) * self.den < max(len(a), len(b)) * self.num:
@@ -181,6 +182,34 @@ def _repeated_keys(rows: DataFrame) -> DataFrame:
     return functools.reduce(DataFrame.union, map(of, range(ranges)))
 
 
+def _near(pairs: DataFrame, rows: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs (a, b) whose sketches allow a link: linked sets differ in at most (n_a + n_b) * (den - num) /
+    (den + num) n-grams. Only sketches shuffle, so that texts are joined to few more pairs than link."""
+
+    @F.pandas_udf("binary")
+    def picked(n: pd.Series, other: pd.Series, below: pd.Series, own: pd.Series) -> pd.Series:
+        """The sketch of the band in which a set of n meets one of `other`; null where they don't."""
+        out = []
+        for n_own, n_other, *both in zip(n.tolist(), other.tolist(), below, own, strict=True):
+            band, far = bands.band(n_own), bands.band(n_other)
+            out.append(both[band <= far] if abs(band - far) < 2 else None)
+        return pd.Series(out, dtype=object)
+
+    @F.pandas_udf("boolean")
+    def near(n_a: pd.Series, n_b: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        apart = [(int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count() for x, y in zip(a, b, strict=True)]
+        return np.array(apart, np.int64) * (bands.den + bands.num) <= (n_a + n_b) * (bands.den - bands.num)
+
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    held = rows.where("n > 0").where(bloom.maybe_among(ids, F.xxhash64("id")))
+    sketches = stored(held.select("id", "n", "below", "own").distinct(), "near-sketches")
+    with_n = pairs.join(sketches.select(F.col("id").alias("a"), F.col("n").alias("n_a")).distinct(), "a")
+    with_b = with_n.join(sketches.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "below", "own"), "b")
+    with_b = with_b.select("a", "n_a", "b", "n_b", picked("n_b", "n_a", "below", "own").alias("of_b")).where("of_b IS NOT NULL")
+    both = with_b.join(sketches.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "below", "own"), ["a", "n_a"])
+    return both.where(near("n_a", "n_b", picked("n_a", "n_b", "below", "own"), "of_b")).select("a", "b").distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, bands: Bands) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity. docs: id, text."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
@@ -214,13 +243,13 @@ def _near_apart(labelled: DataFrame, keys: DataFrame, rows: DataFrame, bands: Ba
         """Pairs of one group, both blocks of one key."""
         low = int(band.min())
         sketches = [o if own else u for o, u, own in zip(group["own"], group["below"], (band == low).tolist(), strict=True)]
-        words, most = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1), bands.differ(low)
+        words = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
         ids, part, n, side = (group[c] for c in ("id", "component", "n", "side"))
         alone = not side.any()
         for k in np.flatnonzero(side == 0):
             others = np.flatnonzero(((ids > ids[k]) if alone else (side == 1)) & (part != part[k]))
             if len(others):
-                near = np.bitwise_count(words[others] ^ words[k]).sum(axis=1) <= most
+                near = np.bitwise_count(words[others] ^ words[k]).sum(axis=1, dtype=np.int64) * (bands.den + bands.num) <= (n[others] + n[k]) * (bands.den - bands.num)
                 near &= np.minimum(n[others], n[k]) * bands.den >= np.maximum(n[others], n[k]) * bands.num
                 hit = ids[others[near]]
                 if len(hit):
@@ -278,7 +307,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hubs = stored(hubs, "hubs")  # as a table of its own, so that a join on a very common word can be split
     b = met.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"))
     stars = stored(b.join(hubs, "key").where("b > a").where(may_link).select("a", "b").distinct(), "stars")
-    links = _verified(stars, texts, width, bands)
+    links = _verified(stored(_near(stars, rows, bands), "near"), texts, width, bands)
 
     inside = connected_components(links)
     labelled = stored(met.join(inside, met["id"] == inside["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), "labelled")
