@@ -77,3 +77,11 @@ def test_documents_are_read_once_where_they_are_dealt_out(spark):
     want = {1: [*nameless, ("removeLayer", "a"), ("addLayer", "a")], 2: [("setStyle", None)], 3: [("setStyle", None)], 4: nameless}
     got = {k: [(r.command, r.target) for r in sorted(changes.where(f"k = {k}").collect(), key=lambda r: r.step)] for k in range(1, 6)}
     assert got == want | {5: []}
+
+
+def test_documents_are_dealt_out_before_commands_are_applied(spark):
+    docs = spark.createDataFrame([(1, '{"version":8}')], "k int, style string").coalesce(1)
+    commands = spark.createDataFrame([(1, 1, "setLight", None, None, '{"x":1}', None)], "k int, step int, command string, target string, name string, value string, anchor string")
+    made = style_edits.style_applied(docs, commands, "k", "style")
+    assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()
+    assert [json.loads(r.style) for r in made.collect()] == [{"version": 8, "light": {"x": 1}, "sources": {}, "layers": []}]

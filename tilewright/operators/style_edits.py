@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.operators.shared import dealt
+
 FIELDS = "map<string,string>"
 STATE = f"struct<top:{FIELDS},sources:{FIELDS},layers:array<{FIELDS}>>"
 
@@ -98,7 +100,7 @@ def style_applied(docs: DataFrame, commands: DataFrame, key: str, column: str) -
     or layout. Commands on what isn't there change nothing; unknown ones neither. A text that is no JSON object counts as
     an empty style; commands of keys without a document are left out."""
     folded = commands.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("step", "command", "target", "name", "value", "anchor"))).alias("__commands"))
-    held = docs.select(key, _state(F.col(column)).alias("__state")).join(folded, key, "left")
+    held = dealt(docs.select(key, column), key).join(folded, key, "left").withColumn("__state", _state(F.col(column)))  # taken apart where they are dealt out
     after = F.when(F.col("__commands").isNull(), F.col("__state")).otherwise(F.aggregate("__commands", F.col("__state"), _step))
     told = held.select(key, after.alias("__state"))
     sources = F.parse_json(_json(F.col("__state.sources")))
