@@ -31,6 +31,7 @@ from tilewright.llm import bloom
 from tilewright.llm.byte_bpe import Recent
 from tilewright.llm.components import connected_components
 from tilewright.llm.scratch import small_batches, stored
+from tilewright.llm.workers import lean
 
 WORD = 64
 #: Bits of the filters of repeated sketch words for each word: what a false positive costs is a row that shuffles.
@@ -140,19 +141,24 @@ def signatures(text: Column, width: int, bands: Bands) -> Column:
 
     @F.pandas_udf(KEYS)
     def made(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        shingles = Shingles(width)
-        for batch in texts:
-            out = []
-            for x in batch:
-                own = shingles.of(x)
-                digest = xxhash.xxh3_128_digest(own)
-                sketches = (bands.keys(own), *bands.filters(own)) if len(own) else ([], b"", b"")
-                out.append((len(own), *np.frombuffer(digest, np.int64), *sketches))
-            yield pd.DataFrame(out, columns=["n", "k1", "k2", "keys", "below", "own"])
+        return signed(texts, width, bands)
 
     return made(text)
 
 
+def signed(texts: Iterator[pd.Series], width: int, bands: Bands) -> Iterator[pd.DataFrame]:
+    """signatures() of one task's batches."""
+    shingles = Shingles(width)
+    for batch in lean(texts):
+        out = []
+        for x in batch:
+            own = shingles.of(x)
+            digest = xxhash.xxh3_128_digest(own)
+            sketches = (bands.keys(own), *bands.filters(own)) if len(own) else ([], b"", b"")
+            out.append((len(own), *np.frombuffer(digest, np.int64), *sketches))
+        yield pd.DataFrame(out, columns=["n", "k1", "k2", "keys", "below", "own"])
+
+
 def _repeated_keys(rows: DataFrame) -> DataFrame:
     """(key, id, n) for the keys that the twice-seen filters hold: one filter for each range of keys."""
     total = rows.agg(F.sum(F.size("keys"))).first()[0] or 0
@@ -165,7 +171,7 @@ def _repeated_keys(rows: DataFrame) -> DataFrame:
 
         def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seen = bloom.SeenTwice(bits)
-            for batch in batches:
+            for batch in lean(batches):
                 found = [x for x in batch["keys"] if len(x)]
                 if found:
                     seen.add(own(np.concatenate(found)))
@@ -218,7 +224,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, bands: Bands) -> Da
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, last, own = Shingles(width), None, np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in lean(batches):
             good = []
             for a, text_a, text_b in zip(batch["a"], batch["text_a"], batch["text_b"], strict=True):
                 if a != last or text != text_a:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilewright.llm.scratch import small_batches, stored
+from tilewright.llm.workers import lean
 
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -143,7 +144,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langua
 
     @F.pandas_udf("array<int>")
     def codes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
+        for batch in lean(texts):
             yield batch.map(ngram_codes)
 
     sample = stored(ranked.select("lang", "rank", codes("text").alias("codes")), "languages").orderBy("lang", "rank").toPandas()
@@ -192,7 +193,7 @@ def identify(docs: DataFrame, model: KernelModel, text_col: str = "text") -> Dat
 
     @F.pandas_udf("lang_pred string, score double")
     def told(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
+        for batch in lean(texts):
             yield held.value.predict([*batch])
 
     made = docs.drop("lang_pred", "score").withColumn("__told", told(F.col(text_col)))
@@ -207,7 +208,7 @@ def of_known_language(docs: DataFrame, model: KernelModel, text_col: str = "text
 
     @F.pandas_udf("boolean")
     def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
+        for batch in lean(texts):
             yield pd.Series(held.value.known([*batch]), dtype=bool)
 
     return docs.where(known(F.col(text_col)))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm import bloom
 from tilewright.llm.scratch import small_batches, stored
+from tilewright.llm.workers import lean
 
 #: The filters are sized for lines of so many bytes; shorter lines only make more suspects.
 LINE_BYTES = 100
@@ -54,7 +55,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bits = bloom.bits_for(size // LINE_BYTES // ranges)
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in lean(batches):
             owners, found = [], []
             for k, text in zip(batch["id"], batch["text"], strict=True):
                 own = {*key_digests(text, min_chars)[1]} - {None}

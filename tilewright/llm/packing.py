@@ -13,16 +13,20 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilewright.llm.scratch import small_batches, stored
 from tilewright.llm.words import gathered, spans, words_of
+from tilewright.llm.workers import give_back, kept, lean
 
 #: Ranks are dealt within blocks of the documents, so that no length, however common, is ranked in one task.
 BLOCKS = 512
@@ -30,6 +34,28 @@ BLOCKS = 512
 PART_BYTES = 1 << 21
 
 
+@dataclass
+class Remembered:
+    """Words and their ids in a few arrays: as objects they would take some ten times the memory."""
+
+    words: pa.BinaryArray
+    flat: np.ndarray  # ids of all words
+    begins: np.ndarray  # of each word in `flat`
+    sizes: np.ndarray
+
+    @staticmethod
+    def of(words: pa.BinaryArray, packed: list[bytes]) -> Remembered:
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        return Remembered(words, np.frombuffer(b"".join(packed), "<u4"), np.cumsum(sizes) - sizes, sizes)
+
+    def packed(self, k: int) -> bytes:
+        return self.flat[self.begins[k] : self.begins[k] + self.sizes[k]].tobytes()
+
+    def with_more(self, new: Remembered) -> Remembered:
+        joined = [np.concatenate(x) for x in ((self.flat, new.flat), (self.begins, new.begins + len(self.flat)), (self.sizes, new.sizes))]
+        return Remembered(pa.concat_arrays([self.words, new.words]), *joined)
+
+
 class ChunkTokenizer:
     """Ids of words. The tokenizer drops white space and never joins across it, so a text's ids are those of its words,
     one after the other. It lower-cases, and it parts letters from what follows them, so a word shares its ids with its
@@ -37,6 +63,8 @@ class ChunkTokenizer:
 
     #: Words that are encoded as one text; the ids are parted again at the tokens that end a word.
     JOINED = 512
+    #: Such texts that are encoded in one call: an encoding takes some hundred bytes a token.
+    AT_ONCE = 8
 
     def __init__(self, path: str, room: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,7 +75,8 @@ class ChunkTokenizer:
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(size)])
         self.marks = {x: self._alone(x.decode()) for x in (b"", b".", b",")}
-        self.room, self.known, self.older = room, {}, {}
+        none = Remembered.of(pa.array([], pa.binary()), [])
+        self.room, self.known, self.older = room, none, none
 
     def _alone(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -55,7 +84,9 @@ class ChunkTokenizer:
     def _words(self, words: list[bytes]) -> Iterator[bytes]:
         """The ids of words of letters alone, many in one text."""
         groups = [words[k : k + self.JOINED] for k in range(0, len(words), self.JOINED)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+        texts = [b" ".join(g).decode() for g in groups]
+        few = (self.tokenizer.encode_batch_fast(texts[k : k + self.AT_ONCE], add_special_tokens=False) for k in range(0, len(texts), self.AT_ONCE))
+        for group, found in zip(groups, chain.from_iterable(few), strict=True):
             ids = np.array(found.ids, "<u4")
             last = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(last) != len(group):  # a letter whose lower case is no letter
@@ -64,44 +95,60 @@ class ChunkTokenizer:
             raw = ids.tobytes()
             yield from map(raw.__getitem__, map(slice, [0, *last], last))
 
-    def ids_of(self, words: list[bytes]) -> list[bytes]:
-        """Packed ids of distinct words in lower case (A-Z); frequent ones are remembered, in two generations."""
-        if len(self.known) > self.room:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        found = [known.get(w) or older.get(w) for w in words]
-        new, bases = [], {}
-        for k, ids in enumerate(found):
-            if ids is not None:
-                continue
-            word = words[k]
+    def _new(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of distinct words that aren't remembered; some are words that are, with a mark after them."""
+        found, new, bases = [b""] * len(words), [], {}
+        for k, word in enumerate(words):
             mark = word[-1:] if word.endswith((b".", b",")) else b""
             base = word[: len(word) - len(mark)]
             if base.isalpha() or not base.isascii() and (text := base.decode()).isalpha() and text.lower().isalpha():
                 new.append((k, base, mark))
-                bases[base] = known.get(base) or older.get(base)
+                bases[base] = None
             else:
-                found[k] = known[word] = self._alone(word.decode())
+                found[k] = self._alone(word.decode())
+        marked = pa.array(list({base for _, base, mark in new if mark}), pa.binary())
+        for held in (self.older, self.known):
+            at = pc.index_in(marked, value_set=held.words)
+            for base, k in zip(marked.to_pylist(), at.to_pylist(), strict=True):
+                if k is not None:
+                    bases[base] = held.packed(k)
         lacking = [w for w, ids in bases.items() if ids is None]
         bases.update(zip(lacking, self._words(lacking), strict=True))
         for k, base, mark in new:
-            found[k] = known[words[k]] = bases[base] + self.marks[mark]
+            found[k] = bases[base] + self.marks[mark]
         return found
 
+    def ids_of(self, words: pa.Array) -> Remembered:
+        """The ids of distinct words in lower case (A-Z); frequent ones are remembered, in two generations."""
+        words = words.cast(pa.binary())
+        if len(self.known.words) > self.room:
+            self.older, self.known = self.known, Remembered.of(words[:0], [])
+        at, begins, sizes = np.zeros(len(words), bool), np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        flats, first = [], 0
+        for held in (self.known, self.older):
+            place = pc.fill_null(pc.index_in(words, value_set=held.words), -1).to_numpy()
+            own = np.flatnonzero((place >= 0) & ~at)
+            begins[own], sizes[own], at[own] = held.begins[place[own]] + first, held.sizes[place[own]], True
+            flats.append(held.flat)
+            first += len(held.flat)
+        rest = np.flatnonzero(~at)
+        lacking = words.take(pa.array(rest))
+        new = Remembered.of(lacking, self._new(lacking.to_pylist()))
+        begins[rest], sizes[rest] = new.begins + first, new.sizes
+        self.known = self.known.with_more(new)
+        return Remembered(words, np.concatenate([*flats, new.flat]), begins, sizes)
+
 
-@functools.lru_cache(2)
 def chunk_tokenizer(path: str) -> ChunkTokenizer:
-    return ChunkTokenizer(path)
+    return kept(ChunkTokenizer, path)
 
 
 def text_ids(texts: pa.Array, tokenizer: ChunkTokenizer, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, each with end_id after it, and how many each has."""
     words = words_of(texts)
-    packed = tokenizer.ids_of(words.distinct.cast(pa.binary()).to_pylist())
-    flat = np.frombuffer(b"".join([*packed, array("I", [end_id]).tobytes()]), "<u4")
-    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-    begins = np.append(np.cumsum(sizes) - sizes, len(flat) - 1)
-    sizes = np.append(sizes, 1)
+    told = tokenizer.ids_of(words.distinct)
+    flat = np.append(told.flat, np.uint32(end_id))
+    begins, sizes = np.append(told.begins, len(told.flat)), np.append(told.sizes, 1)
     at = np.insert(words.index.astype(np.int64), np.cumsum(words.counts), len(sizes) - 1)  # an end after each text
     totals = np.add.reduceat(sizes[at], words.starts + np.arange(len(texts)))
     return flat[spans(begins[at], sizes[at])], totals
@@ -110,8 +157,9 @@ def text_ids(texts: pa.Array, tokenizer: ChunkTokenizer, end_id: int) -> tuple[n
 def cut_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, max_len: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     """cut_pieces() of one task's batches (id, text)."""
     tokenizer = chunk_tokenizer(path)
-    for batch in gathered(batches, "text", PART_BYTES):
+    for batch in gathered(lean(batches, keeps=True), "text", PART_BYTES):
         ids, totals = text_ids(batch["text"], tokenizer, end_id)
+        give_back()
         n = -(-totals // max_len)
         of_text = np.repeat(np.arange(len(n)), n)
         start = spans(np.zeros(len(n), np.int64), n) * max_len
