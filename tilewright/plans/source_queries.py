@@ -126,7 +126,7 @@ HITS = (
 def layer_events(spark, sf_dir):
     """Clicks with the polygons, lines and points that they hit."""
     met = events.with_hits(spots(spark, sf_dir), shapes(spark, sf_dir))
-    return met.select("event_id", F.col("n_hits").alias("n"), F.get("features", F.lit(0)).alias("first"), F.element_at("features", -1).alias("last"))
+    return met.groupBy("event_id").agg(F.sum("n_hits").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
 @query(HITS)

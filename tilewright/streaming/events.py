@@ -92,14 +92,28 @@ def hit_features(places: DataFrame, features: DataFrame, cell: float = 64.0, kee
     return placed.join(_pieces(features, cell, keep).hint("merge"), ["__i", "__j"]).where(met & whole).select(*places.columns, *keep)
 
 
-def with_hits(events: DataFrame, features: DataFrame, *, event: str = "event_id", most: int = 1000, cell: float = 64.0) -> DataFrame:
-    """The events (event, x, y, ...) of a table that hit features, with n_hits and `features`, the `most` smallest ids of
-    those that they hit in order: no event of a crowded place gathers more."""
-    met = hit_features(events.select(event, "x", "y"), features, cell)
-    own = Window.partitionBy(event)
-    ranked = met.select(event, "id", F.row_number().over(own.orderBy("id")).alias("__k"), F.count(F.lit(1)).over(own).alias("__n"))
-    hits = ranked.where(F.col("__k") <= most).groupBy(event).agg(F.max("__n").alias("n_hits"), F.sort_array(F.collect_list("id")).alias("features"))
-    return events.join(hits, event)
+#: So many distinct places at most are sent to all tasks; more of them meet features by a shuffle of both.
+FEW = 100_000
+
+
+def hit_places(places: DataFrame, features: DataFrame, cell: float = 64.0, keep: list[str] | None = None) -> DataFrame:
+    """x and y of a table's places with each feature that they hit: hit_features() of the distinct places alone, so that
+    a crowded place is measured once."""
+    spots = written(places.select("x", "y").distinct(), "spots")
+    return hit_features(spots.hint("broadcast") if spots.count() <= FEW else spots, features, cell, keep)
+
+
+def with_hits(events: DataFrame, features: DataFrame, *, most: int | None = None, cell: float = 64.0) -> DataFrame:
+    """The events (x, y, ...) of a table that hit features, with n_hits, first and last, the smallest and the largest id of
+    those that they hit, and `features`, all their ids in order, or the `most` smallest. Whoever doesn't select `features`
+    gathers no ids: the others take no more room for many hits than for one."""
+    met = hit_places(events, features, cell)
+    listed = F.col("id")
+    if most is not None:
+        met = met.withColumn("__k", F.row_number().over(Window.partitionBy("x", "y").orderBy("id")))
+        listed = F.when(F.col("__k") <= most, listed)
+    own = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n_hits"), F.min("id").alias("first"), F.max("id").alias("last"), F.sort_array(F.collect_list(listed)).alias("features"))
+    return events.join(own, ["x", "y"]).select(*events.columns, "n_hits", "first", "last", "features")
 
 
 def fired(times: np.ndarray, until: float, span: float, trailing: bool) -> tuple[list[int], list[float], float, int | None]:
