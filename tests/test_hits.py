@@ -41,3 +41,8 @@ def test_an_event_has_all_its_hits(spark, tmp_path):
     assert [len(r.features) for r in events.with_hits(spots, shapes, most=3).collect()] == [3, 3]
     folder = tables(tmp_path, clicks=[0, 4096, 7, 7, 5], parts=[(7, 20), (9, 50)], customers=range(300), suppliers=[k * 4096 for k in range(1200)])
     assert same(spark, "layer_events", folder) == (True, 3)
+
+
+def test_pairs_at_the_very_edge_are_those_of_the_sql(spark, tmp_path):
+    folder = tables(tmp_path, clicks=range(4096), customers=[435160, 670640, 535580, 654400])  # lines of slopes 3:4 and 5:12
+    assert same(spark, "layer_events", folder)[0]

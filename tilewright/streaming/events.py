@@ -49,6 +49,15 @@ def dispatched(events: DataFrame, listeners: DataFrame, parents: DataFrame | Non
     return kept.drop("__first")
 
 
+def _off(x: Column, y: Column, a: Column, b: Column) -> Column:
+    """The distance of (x, y) from a segment, step by step as in the queries' SQL: the last bit decides at the edge."""
+    dx, dy = b.x - a.x, b.y - a.y
+    size = dx * dx + dy * dy
+    t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - a.x) * dx + (y - a.y) * dy) / size))).otherwise(0.0)
+    u, v = x - a.x - t * dx, y - a.y - t * dy
+    return F.sqrt(u * u + v * v)
+
+
 def _pieces(features: DataFrame, cell: float, keep: list[str]) -> DataFrame:
     """A row for each cell (__i, __j) and each piece of a feature that reaches into it: a segment __a to __b of a line, a
     point as a segment without length, a polygon whole, with the corners of its box. __before: the feature's pieces that
@@ -72,7 +81,7 @@ def _pieces(features: DataFrame, cell: float, keep: list[str]) -> DataFrame:
     columns, rows = (F.sequence(at(F.least(a[c], b[c]) - r), at(F.greatest(a[c], b[c]) + r)) for c in "xy")
     celled = each.where(a.x.isNotNull() & a.y.isNotNull() & b.x.isNotNull() & b.y.isNotNull()).withColumn("__i", F.explode(columns)).withColumn("__j", F.explode(rows))
     x, y = (F.col("__i") + 0.5) * cell, (F.col("__j") + 0.5) * cell
-    return celled.where((F.col("__kind") == 3) | (geometry.distance_to_segment(x, y, a, b) <= r + cell * 0.7072))  # half a cell's diagonal and a little
+    return celled.where((F.col("__kind") == 3) | (_off(x, y, a, b) <= r + cell * 0.7072))  # half a cell's diagonal and a little
 
 
 def hit_features(places: DataFrame, features: DataFrame, cell: float = 64.0, keep: list[str] | None = None) -> DataFrame:
@@ -85,7 +94,7 @@ def hit_features(places: DataFrame, features: DataFrame, cell: float = 64.0, kee
     at = lambda v: F.floor(v / cell).cast("long")
     placed = places.withColumns({"__i": at(F.col("x")), "__j": at(F.col("y"))})
     x, y, a, b, slack = F.col("x"), F.col("y"), F.col("__a"), F.col("__b"), 1e-6
-    near = lambda a, b: geometry.distance_to_segment(x, y, a, b) <= F.col("__reach")
+    near = lambda a, b: _off(x, y, a, b) <= F.col("__reach")
     inside = x.between(a.x - slack, b.x + slack) & y.between(a.y - slack, b.y + slack)
     met = F.when(F.col("__kind") == 3, inside).otherwise(near(a, b))
     whole = F.when(F.col("__kind") == 3, geometry.in_polygon(x, y, F.col("__parts"))).otherwise((F.size("__before") == 0) | ~F.exists("__before", lambda p: F.coalesce(near(p.a, p.b), F.lit(False))))
