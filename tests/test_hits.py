@@ -46,3 +46,14 @@ def test_an_event_has_all_its_hits(spark, tmp_path):
 def test_pairs_at_the_very_edge_are_those_of_the_sql(spark, tmp_path):
     folder = tables(tmp_path, clicks=range(4096), customers=[435160, 670640, 535580, 654400])  # lines of slopes 3:4 and 5:12
     assert same(spark, "layer_events", folder)[0]
+
+
+def test_a_stream_of_crowded_places_is_kept_in_blocks(spark, tmp_path, monkeypatch):
+    folder = tables(tmp_path, clicks=[*range(0, 300 * 4096, 4096), 7, 9, 9], parts=[(7, 20), (9, 50)], customers=range(50), suppliers=[k * 4096 for k in range(1200)])
+    kept, real = [], events.pairs
+    monkeypatch.setattr(events, "pairs", lambda blocks: kept.append(blocks) or real(blocks))
+    equal, n = same(spark, "stream_layer_events", folder)
+    assert equal and n >= 300 * 1200
+    [blocks] = kept
+    rows = blocks.selectExpr("size(places) AS p", "size(features) AS f").collect()
+    assert max(r.p for r in rows) <= 100 and max(r.f for r in rows) <= 1000 and len(rows) < 30

@@ -133,7 +133,8 @@ def layer_events(spark, sf_dir):
 def stream_layer_events(spark, sf_dir):
     """The same over a stream of clicks in four batches, joined with the features as they stand."""
     stream = stateful.replayed(spots(spark, sf_dir), "event_id", 4)
-    return stateful.drained(events.hit_features(stream, shapes(stream.sparkSession, sf_dir))).select("event_id", "id")
+    blocks = stateful.drained(stream, each=lambda batch: events.hit_blocks(batch, shapes(batch.sparkSession, sf_dir)))
+    return events.pairs(blocks).select("event_id", "id")
 
 
 @query("SELECT user_id, event_type AS name, round(arg_max(value, event_id), 4) AS value FROM events WHERE event_type <> 'error' OR event_id % 2 = 0 GROUP BY ALL HAVING arg_max(event_type, event_id) <> 'error' ORDER BY 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from tilewright.functions import geo, geometry
-from tilewright.operators.shared import done_with, written
+from tilewright.operators.shared import dealt, done_with, written
 
 
 def ancestors(parents: DataFrame) -> DataFrame:
@@ -49,39 +49,51 @@ def dispatched(events: DataFrame, listeners: DataFrame, parents: DataFrame | Non
     return kept.drop("__first")
 
 
-def _off(x: Column, y: Column, a: Column, b: Column) -> Column:
-    """The distance of (x, y) from a segment, step by step as in the queries' SQL: the last bit decides at the edge."""
-    dx, dy = b.x - a.x, b.y - a.y
-    size = dx * dx + dy * dy
-    t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - a.x) * dx + (y - a.y) * dy) / size))).otherwise(0.0)
-    u, v = x - a.x - t * dx, y - a.y - t * dy
-    return F.sqrt(u * u + v * v)
+def _measures(p: Column) -> dict[str, Column]:
+    """What a piece (ax, ay, bx, by) is measured by: its beginning, where it leads to from there, and its length squared, 1
+    where it has none."""
+    dx, dy = p.bx - p.ax, p.by - p.ay
+    return {"ax": p.ax, "ay": p.ay, "dx": dx, "dy": dy, "size": F.when((dx != 0) | (dy != 0), dx * dx + dy * dy).otherwise(1.0)}
+
+
+def _near(x: Column, y: Column, p: dict[str, Column], reach: Column) -> Column:
+    """Whether a piece is within reach, step by step as in the queries' SQL: the last bit decides at the edge. Plain columns
+    and no branches keep the compiled condition small, which must stay so to be fast."""
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - p["ax"]) * p["dx"] + (y - p["ay"]) * p["dy"]) / p["size"]))
+    u, v = x - p["ax"] - t * p["dx"], y - p["ay"] - t * p["dy"]
+    return F.sqrt(u * u + v * v) <= reach
+
+
+#: What rounding may take off a piece's box.
+SLACK = 1e-6
 
 
 def _pieces(features: DataFrame, cell: float, keep: list[str]) -> DataFrame:
-    """A row for each cell (__i, __j) and each piece of a feature that reaches into it: a segment __a to __b of a line, a
-    point as a segment without length, a polygon whole, with the corners of its box. __before: the feature's pieces that
-    come first."""
+    """A row for each cell (__i, __j) and each piece of a feature that reaches into it: a segment of a line from __ax, __ay
+    on by __dx, __dy, a point as a segment without length, a polygon whole, with its box. __size: the segment's length
+    squared, 1 where there is none. __before: the feature's pieces that come first."""
     width, radius = (F.coalesce(F.col(c), F.lit(v)) if c in features.columns else F.lit(v) for c, v in (("width", 1.0), ("radius", 4.0)))
     reach = F.when(F.col("kind") == 1, radius + 2).when(F.col("kind") == 2, width / 2 + 4).otherwise(0.0)
-    own = lambda p: F.struct(p.x.cast("double").alias("x"), p.y.cast("double").alias("y"))
-    piece = lambda a, b: F.struct(own(a).alias("a"), own(b).alias("b"))
+    own = lambda v, name: v.cast("double").alias(name)
+    piece = lambda a, b: F.struct(own(a.x, "ax"), own(a.y, "ay"), own(b.x, "bx"), own(b.y, "by"))
     box = geometry.bounds(F.flatten("parts"))
     edges = F.flatten(F.transform("parts", lambda v: F.when(F.size(v) > 1, F.transform(geometry.edges(v), lambda e: piece(e.a, e.b))).otherwise(F.array())))
-    corners = F.array(F.struct(F.struct(box.minx.cast("double").alias("x"), box.miny.cast("double").alias("y")).alias("a"), F.struct(box.maxx.cast("double").alias("x"), box.maxy.cast("double").alias("y")).alias("b")))
-    pieces = F.when(F.col("kind") == 1, F.transform(F.flatten("parts"), lambda p: piece(p, p))).when(F.col("kind") == 2, edges).when(F.col("kind") == 3, corners)
+    corners = F.array(F.struct(own(box.minx, "ax"), own(box.miny, "ay"), own(box.maxx, "bx"), own(box.maxy, "by")))
+    ends = F.when(F.col("kind") == 1, F.transform(F.flatten("parts"), lambda p: piece(p, p))).when(F.col("kind") == 2, edges).when(F.col("kind") == 3, corners)
     tasks = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small file is a single task's
-    drawn = features.repartition(tasks, *keep).select(*keep, F.col("kind").alias("__kind"), F.when(F.col("kind") == 3, F.col("parts")).alias("__parts"), reach.alias("__reach"), pieces.alias("__pieces"))
-    each = drawn.select("*", F.posexplode("__pieces").alias("__k", "__p"))
+    drawn = features.repartition(tasks, *keep).select(*keep, F.col("kind").alias("__kind"), F.when(F.col("kind") == 3, F.col("parts")).alias("__parts"), reach.alias("__reach"), ends.alias("__pieces"))
+    each = drawn.select("*", F.posexplode_outer("__pieces").alias("__k", "__p"))  # inner ones look at their arrays twice
     before = F.when(F.col("__k") > 0, F.slice("__pieces", F.lit(1), F.col("__k"))).otherwise(F.array())
-    rest = [c for c in drawn.columns if c != "__pieces"]
-    each = each.select(*rest, F.col("__p.a").alias("__a"), F.col("__p.b").alias("__b"), before.alias("__before"))
+    own = [v.alias(f"__{c}") for c, v in _measures(F.col("__p")).items()]
+    each = each.select(*[c for c in drawn.columns if c != "__pieces"], *own, before.alias("__before"))
+    each = each.where("__ax IS NOT NULL AND __ay IS NOT NULL AND __dx IS NOT NULL AND __dy IS NOT NULL")
     at = lambda v: F.floor(v / cell).cast("long")
-    r, a, b = F.col("__reach"), F.col("__a"), F.col("__b")
-    columns, rows = (F.sequence(at(F.least(a[c], b[c]) - r), at(F.greatest(a[c], b[c]) + r)) for c in "xy")
-    celled = each.where(a.x.isNotNull() & a.y.isNotNull() & b.x.isNotNull() & b.y.isNotNull()).withColumn("__i", F.explode(columns)).withColumn("__j", F.explode(rows))
-    x, y = (F.col("__i") + 0.5) * cell, (F.col("__j") + 0.5) * cell
-    return celled.where((F.col("__kind") == 3) | (_off(x, y, a, b) <= r + cell * 0.7072))  # half a cell's diagonal and a little
+    r, ax, ay, dx, dy = (F.col(f"__{c}") for c in ("reach", "ax", "ay", "dx", "dy"))
+    columns, rows = (F.sequence(at(F.least(a, a + d) - r - SLACK), at(F.greatest(a, a + d) + r + SLACK)) for a, d in ((ax, dx), (ay, dy)))
+    celled = each.withColumn("__i", F.explode_outer(columns)).withColumn("__j", F.explode_outer(rows))
+    aside = ((F.col("__i") + 0.5) * cell - ax) * dy - ((F.col("__j") + 0.5) * cell - ay) * dx  # the cell's middle from the line, times its length
+    wide = r + cell * 0.7072  # half a cell's diagonal and a little
+    return celled.where((F.col("__kind") == 3) | (aside * aside <= wide * wide * F.col("__size")))
 
 
 def hit_features(places: DataFrame, features: DataFrame, cell: float = 64.0, keep: list[str] | None = None) -> DataFrame:
@@ -93,14 +105,18 @@ def hit_features(places: DataFrame, features: DataFrame, cell: float = 64.0, kee
     keep = keep or ["id"]
     at = lambda v: F.floor(v / cell).cast("long")
     placed = places.withColumns({"__i": at(F.col("x")), "__j": at(F.col("y"))})
-    x, y, a, b, slack = F.col("x"), F.col("y"), F.col("__a"), F.col("__b"), 1e-6
-    near = lambda a, b: _off(x, y, a, b) <= F.col("__reach")
-    inside = x.between(a.x - slack, b.x + slack) & y.between(a.y - slack, b.y + slack)
-    met = F.when(F.col("__kind") == 3, inside).otherwise(near(a, b))
-    whole = F.when(F.col("__kind") == 3, geometry.in_polygon(x, y, F.col("__parts"))).otherwise((F.size("__before") == 0) | ~F.exists("__before", lambda p: F.coalesce(near(p.a, p.b), F.lit(False))))
+    x, y, reach = F.col("x"), F.col("y"), F.col("__reach")
+    u, v = x - F.col("__ax"), y - F.col("__ay")
+    inside = u.between(-SLACK, F.col("__dx") + SLACK) & v.between(-SLACK, F.col("__dy") + SLACK)
+    polygon, own = F.col("__kind") == 3, {c: F.col(f"__{c}") for c in ("ax", "ay", "dx", "dy", "size")}
+    met = (polygon & inside) | (~polygon & _near(x, y, own, reach))
+    first = (F.size("__before") == 0) | ~F.exists("__before", lambda p: F.coalesce(_near(x, y, _measures(p), reach), F.lit(False)))
+    whole = (polygon & geometry.in_polygon(x, y, F.col("__parts"))) | (~polygon & first)
     return placed.join(_pieces(features, cell, keep).hint("merge"), ["__i", "__j"]).where(met & whole).select(*places.columns, *keep)
 
 
+#: Of so many places and hits at most is a block: what one row stands for stays small.
+BLOCK = 100, 1000
 #: So many distinct places at most are sent to all tasks; more of them meet features by a shuffle of both.
 FEW = 100_000
 
@@ -112,6 +128,26 @@ def hit_places(places: DataFrame, features: DataFrame, cell: float = 64.0, keep:
     return hit_features(spots.hint("broadcast") if spots.count() <= FEW else spots, features, cell, keep)
 
 
+def hit_blocks(places: DataFrame, features: DataFrame, cell: float = 64.0, keep: list[str] | None = None) -> DataFrame:
+    """What hit_features() gives of a table, in blocks: `places`, rows that lie in one place, up to 100 of them, and
+    `features`, up to 1,000 that each of them hits, so that a crowded place is written once. pairs() takes them apart."""
+
+    def blocks(rows: DataFrame, columns: list[str], most: int, name: str) -> DataFrame:
+        own = F.row_number().over(Window.partitionBy("x", "y").orderBy("x"))
+        cut = rows.select("x", "y", F.struct(*columns).alias("__row"), F.floor((own - 1) / most).alias("__block"))
+        return cut.groupBy("x", "y", "__block").agg(F.collect_list("__row").alias(name)).drop("__block")
+
+    met = hit_places(places, features, cell, keep)
+    here = blocks(places.where("x IS NOT NULL AND y IS NOT NULL"), places.columns, BLOCK[0], "places")
+    return here.join(blocks(met, keep or ["id"], BLOCK[1], "features"), ["x", "y"]).select("places", "features")
+
+
+def pairs(blocks: DataFrame) -> DataFrame:
+    """Each place of a block with each of its features. Blocks, not pairs, are dealt over tasks."""
+    each = dealt(blocks.select("places", "features")).select(F.explode("places").alias("__place"), "features")
+    return each.select("__place", F.explode("features").alias("__feature")).select("__place.*", "__feature.*")
+
+
 def with_hits(events: DataFrame, features: DataFrame, *, most: int | None = None, cell: float = 64.0) -> DataFrame:
     """The events (x, y, ...) of a table that hit features, with n_hits, first and last, the smallest and the largest id of
     those that they hit, and `features`, all their ids in order, or the `most` smallest. Whoever doesn't select `features`
