@@ -57,3 +57,7 @@ def test_a_stream_of_crowded_places_is_kept_in_blocks(spark, tmp_path, monkeypat
     [blocks] = kept
     rows = blocks.selectExpr("size(places) AS p", "size(features) AS f").collect()
     assert max(r.p for r in rows) <= 100 and max(r.f for r in rows) <= 1000 and len(rows) < 30
+
+
+def test_a_stream_without_clicks_gives_no_rows(spark, tmp_path):
+    assert same(spark, "stream_layer_events", tables(tmp_path, suppliers=[0])) == (True, 0)
